@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import epsilon_grid, simhash
 from .common import table
 
 
@@ -15,8 +15,40 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = epsilon_grid.cosine_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 QUERIES = {
+    "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Pairs of equal label with a cosine of at least 0.93, then the smallest id reachable by label propagation over the links.
+OP9_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+    SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(u, v) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), least AS (
+    SELECT u, min(v) AS component_id FROM reach GROUP BY u
+), degree AS (
+    SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, t.component_id, v.vec_id = t.component_id AS kept
+FROM v JOIN least t ON v.vec_id = t.u LEFT JOIN degree d ON d.u = v.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_epsilon_grid_near_dedup": OP9_SQL,
+}
