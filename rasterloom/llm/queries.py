@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import epsilon_grid, simhash
+from . import epsilon_grid, packing, simhash
 from .common import table
 
 
@@ -15,12 +15,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), window=1024)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = epsilon_grid.cosine_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
