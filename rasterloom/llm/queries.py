@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import epsilon_grid, packing, simhash
+from . import audio, epsilon_grid, packing, simhash
 from .common import table
 
 
@@ -20,6 +20,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audio.audio_features(audio.encode_audio(table(spark, sf_dir, "documents", "doc_id", "text")))
+    voiced = F.aggregate("spans", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"])
+    bands = F.concat_ws(",", F.transform("mel_mean", lambda x: F.format_number(x, 2)))
+    size = F.octet_length("samples").cast("long")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_bytes", size.alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, greatest(1, octet_length(samples) - 31), 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.col("frames").cast("string"), F.size("spans").cast("string"), F.format_number(voiced, 2), bands).alias("feature"),
+    )
+
+
 def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = epsilon_grid.cosine_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -27,6 +40,7 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_media_audio_features": op4_media_audio_features,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
