@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, epsilon_grid, packing, simhash
-from .common import table
+from . import audio, backoff, epsilon_grid, packing, simhash
+from .common import in_fold, table
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), in_fold("doc_id", 7, 2))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = epsilon_grid.cosine_groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
@@ -41,6 +46,7 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_media_audio_features": op4_media_audio_features,
+    "op8_lm_backoff_scoring": op8_lm_backoff_scoring,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
