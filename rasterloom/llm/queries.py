@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, epsilon_grid, packing, simhash
+from . import audio, backoff, epsilon_grid, packing, simhash, toxicity
 from .common import in_fold, table
 
 
@@ -33,6 +33,14 @@ def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~in_fold("doc_id", 5, 0))
+    out = toxicity.score_documents(docs, toxicity.train(docs, labels))
+    out = out.withColumnRenamed("id", "doc_id").withColumn("held_out", in_fold("doc_id", 5, 0))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 def op8_lm_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), in_fold("doc_id", 7, 2))
     return out.withColumnRenamed("id", "doc_id")
@@ -46,6 +54,7 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_media_audio_features": op4_media_audio_features,
+    "op6_toxicity": op6_toxicity,
     "op8_lm_backoff_scoring": op8_lm_backoff_scoring,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
