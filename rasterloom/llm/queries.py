@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, epsilon_grid, packing, simhash, toxicity
+from . import audio, backoff, epsilon_grid, packing, quality, simhash, toxicity
 from .common import in_fold, table
 
 
@@ -33,6 +33,11 @@ def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.train(docs)).select("doc_id", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~in_fold("doc_id", 5, 0))
@@ -54,6 +59,7 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_media_audio_features": op4_media_audio_features,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op8_lm_backoff_scoring": op8_lm_backoff_scoring,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
