@@ -24,7 +24,7 @@ from .common import Batches, bound_batches
 #: Tokens of a stream that are packed at once; bounds the memory of a task.
 BLOCK_TOKENS = 1 << 18
 #: Windows in a run between two candidate cuts that cuts inside sentences may divide.
-RUN = 4
+RUN = 3
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -41,6 +41,16 @@ def sentence_ends(enc: tiktoken.Encoding) -> np.ndarray:
     return np.array([enc.decode_single_token_bytes(i).rstrip(b" ").endswith((b".", b"!", b"?", b"\n")) for i in range(enc.n_vocab)])
 
 
+def _power_steps(where: np.ndarray, window: int) -> dict[int, list[int]]:
+    """For each spot, the spots that lie a power of two (at most the window) before it."""
+    hits: dict[int, list[int]] = {}
+    for k in range(window.bit_length()):
+        place = np.searchsorted(where, where - (1 << k))
+        for j in np.flatnonzero((where[place] == where - (1 << k)) & (1 << k <= window)).tolist():
+            hits.setdefault(j, []).append(int(place[j]))
+    return hits
+
+
 def choose_cuts(spots: np.ndarray, prices: np.ndarray, window: int, inside: float) -> list[int]:
     """Cut positions (ends of windows) of a stream that ends at the last spot, of least total cost.
 
@@ -48,42 +58,39 @@ def choose_cuts(spots: np.ndarray, prices: np.ndarray, window: int, inside: floa
     padding, nothing if its length is a power of two; a cut inside a sentence costs `inside`. From spot i to spot j up
     to RUN windows may run, all full but the last. A gap longer than that is bridged by full windows from i on.
     """
-    at, price = [0, *spots.tolist()], [0.0, *prices.tolist()]
+    where = np.concatenate(([0], spots))
+    hits = _power_steps(where, window)
+    at, price = where.tolist(), [0.0, *prices.tolist()]
     n = len(at)
-    cost, back = [0.0] + [float("inf")] * (n - 1), [0] * n
-    queues = [deque() for _ in range(RUN)]  # of spots, increasing in position and in cost + position
-    heads = [0] * RUN  # the next spot to enter each queue
-    place = {0: 0}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    cost, key, back = [0.0] * n, [0.0] * n, [0] * n
+    runs = [(deque(), m * window, (m + 1) * window, (m + 1) * window + m * inside) for m in range(RUN)]
+    heads = [0] * RUN  # the next spot to enter each queue; a queue increases in position and in cost + position
     for j in range(1, n):
         here, best, from_ = at[j], float("inf"), 0
-        for m in range(RUN):
-            queue, low, high = queues[m], here - (m + 1) * window, here - m * window
-            k = heads[m]
+        for m, (queue, near, far, full) in enumerate(runs):
+            k, high = heads[m], here - near
             while k < j and at[k] < high:
-                key = cost[k] + at[k]
-                while queue and cost[queue[-1]] + at[queue[-1]] >= key:
+                x = key[k]
+                while queue and key[queue[-1]] >= x:
                     queue.pop()
                 queue.append(k)
                 k += 1
             heads[m] = k
-            while queue and at[queue[0]] < low:
+            while queue and at[queue[0]] < here - far:
                 queue.popleft()
-            if queue:
-                i = queue[0]
-                total = cost[i] + at[i] + (m + 1) * window - here + m * inside
-                if total < best:
-                    best, from_ = total, i
-        for p in powers:
-            i = place.get(here - p)
-            if i is not None and cost[i] < best:
+            if queue and key[queue[0]] + full < best:
+                from_ = queue[0]
+                best = key[from_] + full
+        best -= here
+        for i in hits.get(j, ()):
+            if cost[i] < best:
                 best, from_ = cost[i], i
         if best == float("inf"):  # a gap without a spot
             from_ = j - 1
-            runs = -(-(here - at[from_]) // window)
-            best = cost[from_] + (runs - 1) * inside + runs * window - (here - at[from_])
+            count = -(-(here - at[from_]) // window)
+            best = cost[from_] + (count - 1) * inside + count * window - (here - at[from_])
         cost[j], back[j] = best + price[j], from_
-        place[here] = j
+        key[j] = cost[j] + here
     cuts, j = [], n - 1
     while j:
         i = back[j]
