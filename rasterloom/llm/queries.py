@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, epsilon_grid, packing, quality, simhash, toxicity
+from . import audio, backoff, epsilon_grid, language, packing, quality, simhash, toxicity
 from .common import in_fold, table
 
 
@@ -46,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    likelihoods = language.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    pages = language.page_evidence(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return language.identify(pages, likelihoods).select(F.col("id").alias("page_id"), "lang", "confidence", "n_words")
+
+
 def op8_lm_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), in_fold("doc_id", 7, 2))
     return out.withColumnRenamed("id", "doc_id")
@@ -61,6 +67,7 @@ QUERIES = {
     "op4_media_audio_features": op4_media_audio_features,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_lm_backoff_scoring": op8_lm_backoff_scoring,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
