@@ -49,6 +49,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A hint to broadcast the frame where it is counted to be small (narrow rows); beyond that it is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column of an Arrow batch; null counts as the empty text."""
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

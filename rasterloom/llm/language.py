@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, fresh, written
+from .common import Batches, bound_batches, fresh, sized, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: No known language: a uniform likelihood.
@@ -173,4 +173,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("declared"), F.col(source_col).alias("host"), F.lit("").alias("suffix"))
     found = identify(rows, train(docs, id_col, text_col, lang_col))
     bad = found.groupBy("id").agg(F.max(F.when((F.col("lang") != OTHER) & (F.col("confidence") >= least), 1).otherwise(0)).alias("good")).where("good = 0").select(F.col("id").alias(key))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col(key)), "left_anti")
+    return docs.join(sized(written(bad, "unidentified")), docs[id_col].eqNullSafe(F.col(key)), "left_anti")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, byte_texts, checkpointed, fresh
+from .common import Batches, bound_batches, byte_texts, checkpointed, fresh, sized
 from .components import components
 
 #: Fingerprints in one block, and rows of it that meet another block at once.
@@ -144,10 +144,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """The documents with one of each group kept (that of the smallest id), columns as before.
 
-    Rows that repeat an id keep one row; rows with a null id are all kept, as they cannot be told apart.
+    Rows that share an id are one document and stay or go together; rows with a null id are all kept.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, radius).where("id = component").select("id").distinct()
-    mark = fresh(docs, "kept_id")
-    named = docs.where(F.col(id_col).isNotNull())
-    first = named.join(groups.withColumnRenamed("id", mark), F.col(id_col) == F.col(mark), "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    mark = fresh(docs, "group_id")
+    groups = checkpointed(simhash_groups(docs, id_col, text_col, words, radius).groupBy("id").agg(F.max(F.col("id") != F.col("component")).alias("gone")))
+    gone = groups.where("gone").select(F.col("id").alias(mark))
+    return docs.join(sized(gone), docs[id_col] == F.col(mark), "left_anti")
