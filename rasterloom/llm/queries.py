@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, epsilon_grid, language, line_dedup, packing, quality, simhash, toxicity
-from .common import in_fold, table
+from . import audio, backoff, epsilon_grid, language, lattice, line_dedup, packing, quality, simhash, toxicity
+from .common import in_fold, table, written
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"), F.col("least.first_doc").alias("least_first_doc"))
 
 
+def op3_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pieces = table(spark, sf_dir, "documents", "doc_id", "text"), lattice.pieces(spark)
+    encoded = written(lattice.encode(docs, pieces), "encoded")
+    decoded = lattice.decode(encoded, pieces).select("id", F.sha2("text", 256).alias("decoded_sha256"))
+    sizes = encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"))
+    return sizes.join(decoded, sizes.doc_id == decoded.id).join(docs.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "id").select("doc_id", "n_pieces", "ids_hash", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+
+
 def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(audio.encode_audio(table(spark, sf_dir, "documents", "doc_id", "text")))
     voiced = F.aggregate("spans", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"])
@@ -73,6 +81,7 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_sentencepiece_lattice": op3_sentencepiece_lattice,
     "op4_media_audio_features": op4_media_audio_features,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
