@@ -64,7 +64,7 @@ def transform(pixels: DataFrame, params: DataFrame, width: int, height: int, new
 
     params: frame_idx, dx, dy, rotation (degrees), scale, one row a frame. Each source pixel is sent to the targets whose
     four taps hold it, found from the forward map; weights of invalid or missing taps count 0, and a target is valid if
-    a tap with a pixel is. One aggregation by target, no grid join.
+    a tap of some weight has a pixel. One aggregation by target, no grid join.
     """
     c, s = F.cos(F.radians("rotation")), F.sin(F.radians("rotation"))
     p = params.select("frame_idx", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), c.alias("c"), s.alias("s"), F.col("scale").cast("double").alias("scale"))
@@ -85,4 +85,5 @@ def transform(pixels: DataFrame, params: DataFrame, width: int, height: int, new
     rows = rows.select("frame_idx", "plane_idx", "py", "px", "x", "y", "v", x0.alias("x0"), y0.alias("y0"), (xs - x0).alias("fx"), (ys - y0).alias("fy"))
     rows = rows.where((F.col("x") - F.col("x0")).isin(0, 1) & (F.col("y") - F.col("y0")).isin(0, 1))
     weight = F.when(F.col("x") == F.col("x0"), 1 - F.col("fx")).otherwise(F.col("fx")) * F.when(F.col("y") == F.col("y0"), 1 - F.col("fy")).otherwise(F.col("fy"))
-    return rows.groupBy("frame_idx", "plane_idx", F.col("py").alias("ty"), F.col("px").alias("tx")).agg(F.sum(F.col("v") * weight).alias("v")).select("frame_idx", "plane_idx", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    rows = rows.withColumn("w", weight).where("w > 0")
+    return rows.groupBy("frame_idx", "plane_idx", F.col("py").alias("ty"), F.col("px").alias("tx")).agg(F.sum(F.col("v") * F.col("w")).alias("v")).select("frame_idx", "plane_idx", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")

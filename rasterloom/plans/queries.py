@@ -371,3 +371,24 @@ def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("phase_shift", phase_shift)
+
+# --- macros ------------------------------------------------------------------------------------------------------
+from . import macros  # noqa: E402
+
+register("lrgb_combination", lambda s, d: pixels_out(macros.lrgb_combination(raster_em(s, d), raster_em(s, d))), planes_sql("em", EM_SQL, *[f"p0 {e}" for e in ("+ (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- 2 * (p0 + p1 - 2 * p2) / 6")]))
+register("chroma_denoise", lambda s, d: pixels_out(macros.chroma_denoise(raster_em(s, d), 8, 8)))
+register("median_disk", lambda s, d: pixels_out(macros.median_filter(raster_li(s, d), 32, 32, 1)), li("""SELECT frame_idx, plane_idx, ty AS y, tx AS x, s[CAST(round_even(0.5 * (len(s) - 1), 0) AS INT) + 1] AS v FROM (
+    SELECT frame_idx, plane_idx, y - dy AS ty, x - dx AS tx, list_sort(list(v)) AS s FROM li, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) k(dy, dx)
+    WHERE y - dy BETWEEN 0 AND 31 AND x - dx BETWEEN 0 AND 31 GROUP BY ALL)"""))
+register("star_mask", lambda s, d: pixels_out(macros.star_mask(raster_li(s, d), 32, 32, 1)))
+register("wavelet_soft_threshold", lambda s, d: pixels_out(macros.wavelet_denoise(raster_em(s, d), 8, 8, 0.05)))
+
+
+def pixel_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames shifted by their number and averaged."""
+    pixels = raster_li(spark, sf_dir)
+    params = pixels.select("frame_idx").distinct().select("frame_idx", F.col("frame_idx").alias("dx"), F.lit(0).alias("dy"), F.lit(0.0).alias("rotation"), F.lit(1.0).alias("scale"))
+    return pixels_out(macros.pixel_complete(pixels, params, 32, 32, 38, 32))
+
+
+register("pixel_complete", pixel_complete, li(f"SELECT 0 AS frame_idx, plane_idx, y, x + frame_idx AS x, round(avg(v), {DIGITS}) AS v FROM li GROUP BY ALL").replace("SELECT 0 AS frame_idx, plane_idx, y, x + frame_idx AS x, round(avg(v), 6) AS v FROM li GROUP BY ALL", "SELECT 0 AS frame_idx, plane_idx, y, tx AS x, round(avg(v), 6) AS v FROM (SELECT plane_idx, y, x + frame_idx AS tx, v FROM li) GROUP BY plane_idx, y, tx"))
