@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Batches, bound_batches
 
 #: Hashed feature slots; labelled documents of either label that the model is fitted on at most; passes over them.
-SLOTS, SAMPLE, EPOCHS = 1 << 18, 4000, 250
+SLOTS, SAMPLE, EPOCHS = 1 << 18, 4000, 150
 PREFIXES = range(4, 10)
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: ASCII letters stay, other ASCII becomes space; bytes of other characters stay.
@@ -47,12 +47,13 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, rate: float = 2.0, decay: float = 1e-6, steady: float = 0.1, least_docs: int = 3, balance: float = 0.4) -> Model:
+def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5, steady: float = 0.1, least_docs: int = 3, balance: float = 0.3) -> Model:
     """The noisy-or model of labelled texts; share is that of label 1 among all labelled rows, and the score where nothing can be learnt.
 
     The texts of label 1 weigh `balance` of the whole loss.
     P(document) = 1 - product(1 - P(sentence)), P(sentence) = logistic(bias + sum of its words' weights). Slots that fewer
-    than least_docs texts have stay at zero; `steady` slows the steps of slots with small gradients, that is, rare ones.
+    than least_docs texts have stay at zero; `steady` slows the steps of slots with small gradients, that is, rare ones. Slots start at half of their log-odds in
+    whole texts where these are clear.
     """
     words: dict[bytes, int] = {}
     tokens, sizes, counts = [], [], []
@@ -70,8 +71,12 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS,
     flat, of_word = np.concatenate(features).astype(np.int64), np.repeat(np.arange(len(words)), [len(f) for f in features])
     token = np.array(tokens)
     sentence_of_token, doc_of_sentence = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(y)), counts)
-    word_docs = np.bincount(np.unique(doc_of_sentence[sentence_of_token].astype(np.int64) * len(words) + token) % len(words), minlength=len(words))
-    open_ = np.bincount(flat, weights=word_docs[of_word], minlength=SLOTS) >= least_docs
+    pair = np.unique(doc_of_sentence[sentence_of_token].astype(np.int64) * len(words) + token)  # a text and a word of it
+    with_word = np.stack([np.bincount(pair[y[pair // len(words)] == k] % len(words), minlength=len(words)) for k in (False, True)])
+    clean_docs, toxic_docs = (np.bincount(flat, weights=n[of_word], minlength=SLOTS) for n in with_word)
+    open_ = clean_docs + toxic_docs >= least_docs
+    odds = np.log((toxic_docs + 0.5) / (y.sum() + 1)) - np.log((clean_docs + 0.5) / ((~y).sum() + 1))
+    theta = np.where(open_ & (toxic_docs >= 5) & (odds > 2), odds / 2, 0.0)
     importance = np.where(y, balance / y.mean(), (1 - balance) / (1 - y.mean())) / len(y)
     m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
     for step in range(1, epochs + 1):
