@@ -18,17 +18,18 @@ def topk_grid(points: DataFrame, by: str, width: float, height: float, rows: int
     return points.withColumn("cell", cell).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_a, id_b, d2) of points of two relations nearer than radius: an equi-join on square buckets of that side.
 
-    Only the left side is sent to its nine neighbours; a pair meets in the right point's bucket alone.
+    Only the left side is sent to its nine neighbours; a pair meets in the right point's bucket alone. `on` are further
+    keys of both sides, `carry` columns of the left one that pairs keep.
     """
     bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
-    a = left.select(*on, F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(F.array(*[F.struct((bucket("x") + i).alias("bx"), (bucket("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b"))
+    a = left.select(*on, *carry, F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(F.array(*[F.struct((bucket("x") + i).alias("bx"), (bucket("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b"))
     a = a.select("*", "b.bx", "b.by").drop("b")
     b = right.select(*on, F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"), bucket("x").alias("bx"), bucket("y").alias("by"))
     d2 = (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb"))
-    return a.join(b, [*on, "bx", "by"]).select(*on, "id_a", "id_b", "xa", "ya", "xb", "yb", d2.alias("d2")).where(F.col("d2") < radius * radius)
+    return a.join(b, [*on, "bx", "by"]).select(*on, *carry, "id_a", "id_b", "xa", "ya", "xb", "yb", d2.alias("d2")).where(F.col("d2") < radius * radius)
 
 
 def cone_search(catalog: DataFrame, cones: DataFrame, limit: float | None = None) -> DataFrame:
@@ -125,10 +126,11 @@ def ransac_shift(pairs: DataFrame, rounds: int = 100, tolerance: float = 1.5, se
 def detect_shifts(points: DataFrame, reference: DataFrame, frames: DataFrame, radius: float = 100.0) -> DataFrame:
     """The registration table: a row a frame with dx, dy, rotation (degrees), confidence and seconds since the reference.
 
-    Candidate pairs by range join, an offset by consensus, a similarity on its inliers. points: (frame_idx, id, x, y);
+    dx and dy move the frame onto the reference. Candidate pairs by range join, an offset by consensus, a similarity on its
+    inliers. points: (frame_idx, id, x, y);
     reference: (id, x, y); frames: (frame_idx, seconds). Frames without an offset have NULLs and confidence 0.
     """
-    pairs = pairs_within(points, reference, radius, ())
+    pairs = pairs_within(points, reference, radius, carry=("frame_idx",))
     found = ransac_shift(pairs).where("success")
     near = pairs.join(found.select("frame_idx", F.col("dx").alias("mx"), F.col("dy").alias("my")), "frame_idx").where(F.hypot(F.col("xb") - F.col("xa") - F.col("mx"), F.col("yb") - F.col("ya") - F.col("my")) < 2)
     fit = similarity_fit(near).select("frame_idx", F.degrees(F.atan2("b", "a")).alias("rotation"))
@@ -153,6 +155,18 @@ def star_votes(matches: DataFrame) -> DataFrame:
     return n.withColumn("r", first("star", "id")).withColumn("q", first("id", "star")).where("r = 1 and q = 1").select("star", "id", "votes")
 
 
+def identify_stars(points: DataFrame, catalog: DataFrame, known: DataFrame, radius: float, error: float = 0.005) -> DataFrame:
+    """(star, id, votes, x, y, brightness, ra, dec, mag) of image points that match catalogue stars, brightest first.
+
+    Triangles of each point with its neighbours within the radius are searched among the catalogue's (known, of
+    catalog_triangles) by their side ratios; the vertices of matches vote. The image is taken as not mirrored.
+    """
+    own = points.select("id", "x", "y")
+    near = pairs_within(own, own, radius).where("id_a != id_b").select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("xb") - F.col("xa")).alias("xi"), (F.col("yb") - F.col("ya")).alias("eta"))
+    votes = star_votes(triangle_search(triangles(near), known, error))
+    return votes.join(points.select(F.col("id").alias("star"), "x", "y", "brightness"), "star").join(catalog.select("id", "ra", "dec", "mag"), "id").orderBy("mag")
+
+
 def orientation(stars: DataFrame, ra0: float, dec0: float) -> DataFrame:
     """(frame_idx, crval1, crval2, rotation, pixel_scale, confidence) of identified stars (frame_idx, x, y, ra, dec), bound by name."""
     xi, eta, c = gnomonic(F.col("ra"), F.col("dec"), F.lit(ra0), F.lit(dec0))

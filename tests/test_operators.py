@@ -177,12 +177,21 @@ def test_registration_finds_a_shift(spark):
     pts = spark.createDataFrame([(0, i, x + 12.5, y - 7.25) for i, x, y in ref], "frame_idx int, id long, x double, y double")
     reference = spark.createDataFrame(ref, "id long, x double, y double")
     frames = spark.createDataFrame([(0, 1.5), (1, 2.5)], "frame_idx int, seconds double")
-    pairs = astrometry.pairs_within(pts.select("id", "x", "y"), reference, 20.0)
-    assert pairs.where("id_a = id_b").count() == 60
-    moved = astrometry.pairs_within(reference, pts, 20.0).withColumn("frame_idx", F.lit(0))
-    r = astrometry.ransac_shift(moved).first()
-    assert r.success and abs(r.dx - 12.5) < 0.1 and abs(r.dy + 7.25) < 0.1
-    assert frames.count() == 2
+    r, none = astrometry.detect_shifts(pts, reference, frames, 20.0).orderBy("frame_idx").collect()
+    assert abs(r.dx + 12.5) < 0.1 and abs(r.dy - 7.25) < 0.1 and abs(r.rotation) < 0.01 and r.confidence == 1.0 and r.time == 1.5
+    assert none.dx is None and none.confidence == 0.0
+
+
+def test_stars_are_identified(spark):
+    rng = np.random.default_rng(6)
+    stars = spark.createDataFrame([(k, float(ra), float(dec), float(m)) for k, (ra, dec, m) in enumerate(zip(100 + rng.uniform(-2, 2, 30), rng.uniform(-2, 2, 30), rng.uniform(2, 7, 30), strict=True))], "id long, ra double, dec double, mag double")
+    xi, eta, _ = scalar.gnomonic(F.col("ra"), F.col("dec"), F.lit(100.0), F.lit(0.0))
+    turn = math.radians(25)
+    points = stars.withColumns({"xi": xi, "eta": eta}).select((F.col("id") + 1000).alias("id"), (300 * (math.cos(turn) * F.col("xi") - math.sin(turn) * F.col("eta"))).alias("x"), (300 * (math.sin(turn) * F.col("xi") + math.cos(turn) * F.col("eta"))).alias("y"), (-F.col("mag")).alias("brightness"))
+    known = astrometry.catalog_triangles(stars, 2.0, count=12)
+    rows = astrometry.identify_stars(points, stars, known, 600.0, 0.002).collect()
+    right = sum(r.star == r.id + 1000 for r in rows)
+    assert right >= 20 and right >= 0.8 * len(rows)
 
 
 def test_triangle_keys_ignore_scale_and_turn(spark):
