@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fresh, sized, written
 from .components import components
 
 #: Characters from which a line takes part; edits between near duplicates.
 LEAST, EDITS = 24, 2
+#: Lines that share a segment at its place from which they are told apart by their rarest pieces, and the number of pieces.
+HOT, PIECES = 32, 10
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
@@ -24,31 +27,51 @@ def lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> Da
     return every.select("doc", "pos", "line", F.length("line").alias("len")).where(F.col("len") >= least).withColumn("h", F.xxhash64("line"))
 
 
-def _segment(size: str, i: int, edits: int) -> tuple[str, str]:
-    """SQL of the start (from 0) and length of segment i of a line of this length: even parts, the longer ones last."""
-    parts = edits + 1
-    return f"({i} * (({size}) div {parts}) + greatest(0, {i} - {parts} + ({size}) % {parts}))", f"(({size}) div {parts} + if({i} >= {parts} - ({size}) % {parts}, 1, 0))"
+def _start(i: str, size: str, parts: int) -> str:
+    """SQL of where part i of a line of this length starts (from 0): even parts, the longer ones last. Part `parts` is the end."""
+    return f"({i} * (({size}) div {parts}) + greatest(0, {i} - {parts} + ({size}) % {parts}))"
 
 
-def index_keys(edits: int) -> Column:
-    """Keys of a line's own segments."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment("len", i, edits)
-        keys.append(f"xxhash64(len, {i}, substring(line, {start} + 1, {size}))")
-    return F.expr(f"array({', '.join(keys)})")
+def _key(i: str, size: str, parts: int, shift: str = "0") -> str:
+    """SQL of the key of the substring where part i of a line of length `size` can stand, or NULL beyond the line's ends."""
+    begin, end = f"{_start(i, size, parts)} + {shift}", f"{_start(f'({i} + 1)', size, parts)} + {shift}"
+    return f"if({begin} >= 0 and {end} <= len, xxhash64({size}, {i}, substring(line, {begin} + 1, {end} - ({begin}))), null)"
 
 
-def probe_keys(edits: int, least: int) -> Column:
-    """Keys of the substrings where a segment of a line shorter by 0 to `edits` can stand: at most i edits lie to the left
-    of segment i and edits - i to its right, which bounds its shift from both ends."""
-    keys = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(f"len - {shorter}", i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                keys.append(f"if(len - {shorter} >= {least} and {start} + {shift} >= 0 and {start} + {shift} + {size} <= len, xxhash64(len - {shorter}, {i}, substring(line, {start} + {shift} + 1, {size})), null)")
-    return F.expr(f"array_distinct(array({', '.join(keys)}))")
+def index_keys(found: DataFrame, parts: int) -> DataFrame:
+    """(h, part, key) of each line's own parts."""
+    spread = found.select("h", "line", "len", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return spread.select("h", "part", F.expr(_key("part", "len", parts)).alias("key"))
+
+
+def probe_keys(found: DataFrame, parts: int, edits: int, least: int, tight: bool) -> DataFrame:
+    """(h2, key) of the substrings where a part of a line shorter by 0 to `edits` can stand.
+
+    A part that is shifted by s within lines whose lengths differ by d needs |s| edits to its left and |d - s| to its
+    right. With edits + 1 parts (tight), some part i has at most i edits to its left and edits - i to its right.
+    """
+    places = []
+    for d in range(edits + 1):
+        for i in range(parts):
+            for s in range(-edits, edits + 1):
+                if abs(s) + abs(d - s) <= edits and (not tight or (abs(s) <= i and abs(d - s) <= edits - i)):
+                    places.append((d, i, s))
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])).alias("at")
+    spread = found.select(F.col("h").alias("h2"), "line", "len", at).select("h2", "line", "len", (F.col("len") - F.col("at.d")).alias("size"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
+    return spread.where(F.col("size") >= least).select("h2", F.expr(_key("i", "size", parts, "s")).alias("key")).where("key is not null")
+
+
+def rare_pairs(found: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h, h2) candidates among lines that share a segment with many others.
+
+    Of PIECES pieces of a line, an edit spoils one at most; so of any edits + 1 pieces one stands in the other line. The
+    rarest ones are taken, which the variants of one line do not share.
+    """
+    pieces = index_keys(found, PIECES)
+    counts = pieces.groupBy("key").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "part"))
+    rare = pieces.join(counts, "key").withColumn("rank", rank).where(F.col("rank") <= edits + 1)
+    return rare.select("h", "key").join(probe_keys(found, PIECES, edits, least, False), "key").where("h != h2").select("h", "h2")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -81,14 +104,22 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
     twice = firsts.where("n > 1").select("h", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1"))
     once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)")
-    index = once.select("h", F.explode(index_keys(edits)).alias("key"))
-    probe = once.select(F.col("h").alias("h2"), F.explode(probe_keys(edits, least)).alias("key")).where("key is not null")
-    pairs = index.join(probe, "key").where("h != h2").select("h", "h2").distinct()
+    index = index_keys(once, edits + 1).select("h", "key").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    probe = probe_keys(once, edits + 1, edits, least, True)
+    few, many = index.where(F.col("n") <= HOT), index.where(F.col("n") > HOT)
+    met = few.join(probe, "key").where("h != h2").select("h", "h2")
+    shared = probe.join(many.select("key").distinct(), "key", "left_semi").select(F.lit(None).cast("long").alias("h"), "h2")
+    met = written(met.union(shared).union(many.select(F.lit(None).cast("long"), "h")).distinct(), "met")
+    crowd = once.join(sized(met.where("h is null").select(F.col("h2").alias("h")).distinct()), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"])
+    pairs = met.where("h is not null")
+    if not met.where("h is null").isEmpty():
+        pairs = pairs.union(rare_pairs(written(crowd, "crowd"), edits, least)).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select("h").union(pairs.select("h2")).distinct()
     texts = written(once.join(sized(wanted), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"]), "texts")
     both = pairs.join(texts.withColumnsRenamed({"line": "a", "len": "la"}), "h").join(texts.select(F.col("h").alias("h2"), F.col("line").alias("b"), F.col("len").alias("lb")), "h2")
-    links = both.where("la < lb or (la = lb and h < h2)").where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
+    alike = F.expr(f"size(filter(sequence(0, {PIECES - 1}), k -> contains(b, substring(a, {_start('k', 'la', PIECES)} + 1, {_start('(k + 1)', 'la', PIECES)} - {_start('k', 'la', PIECES)})))) >= {PIECES - edits}")
+    links = both.where("la < lb or (la = lb and h < h2)").where(alike).where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
     return components(written(links, "links"), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
 
 
