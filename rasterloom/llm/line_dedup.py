@@ -18,7 +18,7 @@ from .components import components
 #: Characters from which a line takes part; edits between near duplicates.
 LEAST, EDITS = 24, 2
 #: Lines that share a segment at its place from which they are told apart by their rarest pieces, and the number of pieces.
-HOT, PIECES = 32, 10
+HOT, PIECES = 6, 10
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
@@ -93,23 +93,33 @@ def edit_distance(a: str, b: str, edits: int) -> Column:
     state = f"named_struct('vp', (hn | ({full}L & ~(shiftright(d0, 1) | hp))), 'vn', (shiftright(d0, 1) & hp), 'd', {dist})"
     step = _let(hits, "e", _let(d0, "d0", _let(f"(s.vn | ({full}L & ~(d0 | s.vp)))", "hp", _let("(d0 & s.vp)", "hn", state))))
     first = f"named_struct('vp', {full ^ ((1 << edits) - 1)}L, 'vn', 0L, 'd', least(m, {edits}))"
-    fold = f"aggregate(sequence(1, size(y)), {first}, (s, j) -> {step}, s -> s.d)"
+    fold = f"if(size(y) = 0, m, aggregate(sequence(1, size(y)), {first}, (s, j) -> {step}, s -> s.d))"
     chars = lambda c: f"filter(split({c}, ''), c -> c != '')"
     return F.expr(_let(chars(a), "x", _let(chars(b), "y", _let("size(x)", "m", fold))))
 
 
+def middles(a: str, b: str) -> tuple[str, str]:
+    """SQL of a struct of the lengths that two strings share at their beginnings (p) and then at their ends (s), and of
+    what is left of one of them given that struct as t. Distances do not change without the shared parts."""
+    steps = "transform(sequence(20, 0, -1), k -> shiftleft(1, k))"
+    prefix = f"aggregate({steps}, 0, (p, k) -> if(p + k <= least(length({a}), length({b})) and substring({a}, p + 1, k) = substring({b}, p + 1, k), p + k, p))"
+    suffix = f"aggregate({steps}, 0, (s, k) -> if(p + s + k <= least(length({a}), length({b})) and substring({a}, length({a}) - s - k + 1, k) = substring({b}, length({b}) - s - k + 1, k), s + k, s))"
+    return _let(prefix, "p", f"named_struct('p', p, 's', {suffix})"), "substring({c}, t.p + 1, length({c}) - t.p - t.s)"
+
+
 def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(h, root) of the lines (of lines()) that link to others within `edits`, root being shared by all that links reach;
     and (h, first, n), the first place and the count of every line."""
     firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
     twice = firsts.where("n > 1").select("h", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1"))
     once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)")
-    index = index_keys(once, edits + 1).select("h", "key").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    within = Window.partitionBy("key")
+    index = index_keys(once, edits + 1).select("h", "key").withColumns({"n": F.count("*").over(within), "r": F.row_number().over(within.orderBy("h"))})
     probe = probe_keys(once, edits + 1, edits, least, True)
-    few, many = index.where(F.col("n") <= HOT), index.where(F.col("n") > HOT)
-    met = few.join(probe, "key").where("h != h2").select("h", "h2")
-    shared = probe.join(many.select("key").distinct(), "key", "left_semi").select(F.lit(None).cast("long").alias("h"), "h2")
-    met = written(met.union(shared).union(many.select(F.lit(None).cast("long"), "h")).distinct(), "met")
+    # a crowded key stands once in the join, where it marks the lines that meet it (h is null) instead of pairing them
+    slim = index.where(f"n <= {HOT} or r = 1").select("key", F.when(F.col("n") <= HOT, F.col("h")).alias("h"))
+    met = slim.join(probe, "key").where("h is null or h != h2").select("h", "h2")
+    met = written(met.union(index.where(f"n > {HOT}").select(F.lit(None).cast("long"), "h")).distinct(), "met")
     crowd = once.join(sized(met.where("h is null").select(F.col("h2").alias("h")).distinct()), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"])
     pairs = met.where("h is not null")
     if not met.where("h is null").isEmpty():
@@ -119,7 +129,10 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     texts = written(once.join(sized(wanted), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"]), "texts")
     both = pairs.join(texts.withColumnsRenamed({"line": "a", "len": "la"}), "h").join(texts.select(F.col("h").alias("h2"), F.col("line").alias("b"), F.col("len").alias("lb")), "h2")
     alike = F.expr(f"size(filter(sequence(0, {PIECES - 1}), k -> contains(b, substring(a, {_start('k', 'la', PIECES)} + 1, {_start('(k + 1)', 'la', PIECES)} - {_start('k', 'la', PIECES)})))) >= {PIECES - edits}")
-    links = both.where("la < lb or (la = lb and h < h2)").where(alike).where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
+    shared, rest = middles("a", "b")
+    both = both.where("la < lb or (la = lb and h < h2)").where(alike).withColumn("t", F.expr(shared))
+    both = both.select("h", "h2", F.expr(rest.format(c="a")).alias("a"), F.expr(rest.format(c="b")).alias("b"))
+    links = both.where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
     return components(written(links, "links"), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
 
 
