@@ -65,13 +65,13 @@ def rare_pairs(found: DataFrame, edits: int, least: int) -> DataFrame:
     """(h, h2) candidates among lines that share a segment with many others.
 
     Of PIECES pieces of a line, an edit spoils one at most; so of any edits + 1 pieces one stands in the other line. The
-    rarest ones are taken, which the variants of one line do not share.
+    ones that the fewest probes meet are taken, which the variants of one line do not share.
     """
-    pieces = index_keys(found, PIECES)
-    counts = pieces.groupBy("key").agg(F.count("*").alias("n"))
+    pieces, probe = index_keys(found, PIECES), probe_keys(found, PIECES, edits, least, False)
+    counts = probe.groupBy("key").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "part"))
     rare = pieces.join(counts, "key").withColumn("rank", rank).where(F.col("rank") <= edits + 1)
-    return rare.select("h", "key").join(probe_keys(found, PIECES, edits, least, False), "key").where("h != h2").select("h", "h2")
+    return rare.select("h", "key").join(probe, "key").where("h != h2").select("h", "h2")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -132,6 +132,7 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     shared, rest = middles("a", "b")
     both = both.where("la < lb or (la = lb and h < h2)").where(alike).withColumn("t", F.expr(shared))
     both = both.select("h", "h2", F.expr(rest.format(c="a")).alias("a"), F.expr(rest.format(c="b")).alias("b"))
+    both = written(both, "middles")  # or the filter would be pushed below, and the shared parts be sought once a use
     links = both.where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
     return components(written(links, "links"), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
 
