@@ -116,8 +116,7 @@ def tone_curve(v: Column, points: list[tuple[float, float]], condition: str = "n
     return F.when(v.isNotNull(), F.greatest(F.lit(out[0]), F.least(F.lit(out[1]), scaled)))
 
 
-#: Fixed values of the colour spaces used for chroma denoising.
-XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+#: Fixed values of the colour space used for chroma denoising.
 YUV = ((0.299, 0.587, 0.114), (-0.14713, -0.28886, 0.436), (0.615, -0.51499, -0.10001))
 
 
