@@ -3,6 +3,9 @@
 Distinct fingerprints are dealt into blocks by the population counts of their two halves. Two blocks are compared only
 if these counts differ by at most the radius in sum; each comparison is a numpy exclusive-or and bit count over tiles.
 A pair of blocks hands back a star for each group that it links, not all pairs.
+
+keep_one goes by the texts themselves: longer fingerprints of the sets of shingles propose pairs, compared exactly in
+tiles among sets of similar sizes, and a pair links only if the sets' Jaccard similarity, taken exactly, is high enough.
 """
 
 from __future__ import annotations
@@ -13,19 +16,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, byte_texts, checkpointed, fresh, sized
+from .common import Batches, bound_batches, byte_texts, checkpointed, fresh, sized, written
 from .components import components
 
 #: Fingerprints in one block, and rows of it that meet another block at once.
 BLOCK, TILE = 2048, 512
 SEED = 42
+#: Longs of a set's fingerprint, how many of them are compared first, and classes of sizes within one similarity ratio.
+LONGS, FIRST, CLASSES = 4, 2, 4
+#: Standard deviations beyond the mean distance of sets just similar enough that still make a candidate.
+MARGIN = 6.0
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """64-bit SimHash of the word shingles of a lower-cased (A-Z) text; 0 without words."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a lower-cased (A-Z) text, repeats included; a shorter text is one shingle."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -34,7 +41,14 @@ def fingerprint(text: bytes, words: int) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """64-bit SimHash of the word shingles of a lower-cased (A-Z) text; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -141,12 +155,162 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.join(classes, "fingerprint", "left").select("id", "fingerprint", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The documents with one of each group kept (that of the smallest id), columns as before.
+def _set_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of LONGS longs of a set of distinct shingle hashes."""
+    counts = np.zeros(64 * LONGS, dtype=np.int64)
+    salts = np.arange(1, LONGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 1 << 13):
+        z = shingles[at : at + (1 << 13), None] + salts
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.unpackbits(z.view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").view("<u8")
+
+
+def _key(text: bytes) -> int:
+    """Signed 64-bit hash of a text's lower-cased words; 0 without words."""
+    joined = b" ".join(text.lower().split())
+    return int(np.uint64(xxhash.xxh64_intdigest(joined, SEED)).view(np.int64)) if joined else 0
+
+
+def set_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, key, n, f0, f1, ...) of every document: hash of its words, distinct shingles, fingerprint of their set."""
+    bound_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    names = ["id", "key", "n", *[f"f{k}" for k in range(LONGS)]]
+
+    def run(parts: Batches) -> Batches:
+        for b in parts:
+            keys, sizes, prints = [], [], np.zeros((b.num_rows, LONGS), np.uint64)
+            for i, text in enumerate(byte_texts(b.column(1))):
+                found = np.unique(shingle_hashes(text, words))
+                keys.append(_key(text))
+                sizes.append(len(found))
+                prints[i] = _set_fingerprint(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(prints[:, k].copy().view(np.int64)) for k in range(LONGS)]], names=names)
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, key long, n int, " + ", ".join(f"f{k} long" for k in range(LONGS)))
+
+
+def candidate_radius(bits: int, least: float) -> int:
+    """Bits by which the fingerprints of two sets of this similarity differ, MARGIN standard deviations above the mean."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(bits * p + MARGIN * np.sqrt(bits * p * (1 - p)))
+
+
+def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
+    """(u, v) keys of sets that may be similar and whose labels differ. nodes: (key, label, n, f0, ...), n above 0.
+
+    mode "near": of each pair of blocks, each node with its nearest and its smallest partner; "labels": the nearest nodes
+    of each two labels; "all": every pair. Sets whose sizes alone rule out the similarity are not compared.
+    """
+    bound_batches(nodes.sparkSession)
+    width = float(-np.log(least) / CLASSES)
+    fields = ["key", "label", "n", *[f"f{k}" for k in range(LONGS)]]
+    nodes = nodes.withColumn("size", F.floor(F.log("n") / width + 1e-9).cast("int"))
+    cells = F.broadcast(checkpointed(nodes.groupBy("size").count().select("size", F.ceil(F.col("count") / BLOCK).cast("int").alias("salts"))))
+    salted = nodes.join(cells, "size").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+    blocks = checkpointed(salted.groupBy("size", "salt").agg(F.collect_list(F.struct(*fields)).alias("rows")))
+    left = blocks.select(F.col("size").alias("size0"), F.col("salt").alias("salt0"), F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(CLASSES))).alias("step")).withColumn("size", F.col("size0") + F.col("step"))
+    left = left.join(cells, "size").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    own = F.col("step") == 0
+    left = left.where(~own | (F.col("salt0") <= F.col("salt"))).withColumn("same", own & (F.col("salt0") == F.col("salt")))
+    met = left.join(blocks, ["size", "salt"]).select("same", *[F.col(f"left.{c}").alias(f"a_{c}") for c in fields], *[F.col(f"rows.{c}").alias(f"b_{c}") for c in fields])
+    first, whole = candidate_radius(64 * FIRST, least), candidate_radius(64 * LONGS, least)
+
+    def run(parts: Batches) -> Batches:
+        count = lambda a, b, ks: sum(np.bitwise_count(a[k] ^ b[k]).astype(np.int16) for k in ks)
+        for batch in parts:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py()
+                a, b = ([np.asarray(batch.column(1 + k + side * len(fields))[i].values) for k in range(len(fields))] for side in (0, 1))
+                fa, fb = ([x.view(np.uint64) for x in side[3:]] for side in (a, b))
+                us, vs = [], []
+                for at in range(0, len(a[0]), TILE):
+                    apart = sum(np.bitwise_count(fa[k][at : at + TILE, None] ^ fb[k][None]) for k in range(FIRST))
+                    u, v = np.nonzero(apart <= first)
+                    u = u + at
+                    low, high = np.minimum(a[2][u], b[2][v]), np.maximum(a[2][u], b[2][v])
+                    ok = (a[1][u] != b[1][v]) & (low >= least * high - 1e-9) & (~np.bool_(same) | (u < v))
+                    us.append(u[ok])
+                    vs.append(v[ok])
+                u, v = np.concatenate(us), np.concatenate(vs)
+                far = count([f[u] for f in fa], [f[v] for f in fb], range(LONGS)) if len(u) else np.empty(0, np.int16)
+                u, v, far = u[far <= whole], v[far <= whole], far[far <= whole]
+                if not len(u):
+                    continue
+                if mode == "all":
+                    chosen, other = a[0][u], b[0][v]
+                elif mode == "labels":
+                    la, lb = a[1][u], b[1][v]
+                    one, two = np.minimum(la, lb), np.maximum(la, lb)
+                    order = np.lexsort((far, two, one))
+                    new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+                    chosen, other = a[0][u][order[new]], b[0][v][order[new]]
+                else:
+                    x, y, d = np.concatenate((a[0][u], b[0][v])), np.concatenate((b[0][v], a[0][u])), np.concatenate((far, far))
+                    picks = []
+                    for order in (np.lexsort((y, d, x)), np.lexsort((y, x))):
+                        picks.append(order[np.concatenate(([True], x[order][1:] != x[order][:-1]))])
+                    pick = np.unique(np.concatenate(picks))
+                    chosen, other = y[pick], x[pick]
+                yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), pa.array(other, pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long")
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The pairs (u, v) of keys whose sets of shingles have at least this Jaccard similarity, taken from the texts."""
+    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    ids = nodes.join(sized(wanted), "key", "left_semi").select("id").distinct()
+    bound_batches(docs.sparkSession)
+
+    def run(parts: Batches) -> Batches:
+        for b in parts:
+            texts = byte_texts(b.column(0))
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_key, texts)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(ids), "id", "left_semi")
+    sets = written(found.select("text").mapInArrow(run, "key long, shingles array<long>"), "shingles")
+    # pairs are narrow: they meet their first sets by broadcast, so that a set with many partners is no hot key
+    both = sized(pairs).join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+    both = both.select("u", "v", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return both.where(F.col("shared") >= least * (F.col("total") - F.col("shared")) - 1e-9).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, component): every document with the smallest id that it reaches by links.
+
+    Documents link when the Jaccard similarity of their sets of word shingles is at least `least`; texts of the same words
+    (and all without words) are one node. Fingerprints only propose pairs: nearest ones first, so that most of a dense
+    group is linked before the pairs that are still apart are all compared. Rows with null ids as in simhash_groups.
+    """
+    found = written(set_fingerprints(docs, id_col, text_col, words), "sets")
+    prints = [f"f{k}" for k in range(LONGS)]
+    nodes = checkpointed(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *prints)]).where("id is not null"))
+    links, labels = None, nodes.select("key", F.col("key").alias("label"))
+    for mode in ("near", "labels", "all"):
+        pairs = candidate_pairs(nodes.where("n > 0").join(labels, "key"), least, mode)
+        pairs = written(pairs.select("u", "v").distinct(), "candidates")
+        if pairs.isEmpty():
+            break
+        more = similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
+        links = written(more if links is None else links.union(more), "similar")
+        groups = components(links, "u", "v").withColumnsRenamed({"id": "key", "component": "label"})
+        labels = checkpointed(nodes.select("key").join(groups, "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+    classes = nodes.join(labels, "key").select("key", "id", "label")
+    least_ids = classes.groupBy("label").agg(F.min("id").alias("component"))
+    return found.select("id", "key").join(classes.join(least_ids, "label").select("key", "component"), "key", "left").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The documents with one of each group of similar_groups kept (that of the smallest id), columns as before.
 
     Rows that share an id are one document and stay or go together; rows with a null id are all kept.
     """
     mark = fresh(docs, "group_id")
-    groups = checkpointed(simhash_groups(docs, id_col, text_col, words, radius).groupBy("id").agg(F.max(F.col("id") != F.col("component")).alias("gone")))
+    groups = checkpointed(similar_groups(docs, id_col, text_col, words, least).groupBy("id").agg(F.max(F.col("id") != F.col("component")).alias("gone")))
     gone = groups.where("gone").select(F.col("id").alias(mark))
     return docs.join(sized(gone), docs[id_col] == F.col(mark), "left_anti")

@@ -365,3 +365,34 @@ def test_simhash_edge_cases(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect())[:2] == [-1, 1]
     assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def jaccard_sets(text, words=5):
+    t = text.encode().lower().split()
+    return {b" ".join(t[i : i + words]) for i in range(max(1, len(t) - words + 1))} if t else set()
+
+
+def test_keep_one_finds_every_similar_text(spark):
+    rng = random.Random(4)
+    texts = []
+    for size in (3, 8, 9, 12, 40, 41, 90, 200, 600):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for cut in (0, 0, 1, 1, 2, 4, 9, 20):
+            t = list(base)
+            for _ in range(min(cut, size // 12 + (size < 20))):
+                t[rng.randrange(size)] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(t[: size - cut % 2]))
+    # hub with satellites: each is similar to the hub, and not to the other satellites
+    base = [f"h{i}" for i in range(120)]
+    texts += [" ".join(base)] + [" ".join(base[:k] + [f"y{k}", f"y{k + 1}"] + base[k + 2 :]) for k in range(10, 100, 8)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [jaccard_sets(t) for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = union_find(len(texts), alike)
+    prints = [plain_fingerprint(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in alike) > 20  # what a radius of 4 does not link
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.id, r.component) for r in simhash.similar_groups(docs).collect()) == list(enumerate(want))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want))
