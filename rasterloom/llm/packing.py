@@ -9,6 +9,8 @@ of (cost + position), which a monotone queue gives in constant time. There is no
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections import deque
 
 import numpy as np
@@ -30,10 +32,14 @@ SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, seq
 
 
 def encoding(vocabulary: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a public ranks file; special tokens are ordinary text."""
+    """The byte-level BPE of a public ranks file, with the added tokens of the tokenizer file of the same name, if any."""
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special, whole = {}, public_tokenizers.path(os.path.splitext(vocabulary)[0] + ".json")
+    if os.path.exists(whole):
+        with open(whole, encoding="utf-8") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def sentence_ends(enc: tiktoken.Encoding) -> np.ndarray:
@@ -117,7 +123,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece: doc_id, start (ids of the document before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (place in its sequence, gapless from 0).
 
-    A document is its ids and then end_id; null text counts as empty, so it is end_id alone. Documents keep their order
+    A document is its ids and then end_id; the literal of an added token is that token, as in the tokenizer file. Null text counts as empty, so it is end_id alone. Documents keep their order
     in a partition, repeated rows are packed again, other columns are ignored. A sequence holds at most `window` ids;
     shorter ones are padded, except at a power of two. sentence and inside are prices, in padded tokens, of a cut at a
     sentence's end and of one within a sentence; a cut between documents is free. sequence_id is the partition's number
@@ -152,7 +158,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in parts:
             kind_of = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), end_id], dtype=np.int64)
+                ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], dtype=np.int64)
                 held_ids.append(doc)
                 held.append(ids)
                 total += len(ids)

@@ -111,6 +111,16 @@ def test_packing_gives_every_id_once(spark, data):
     assert padding < 0.01 * total
 
 
+def test_packing_reads_added_tokens_as_the_tokenizer_file_does(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a text <|endoftext|> and more", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|ENDOFTEXT|> plain  text\t", "naïve 日本<|endoftext|>🙂"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        got = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start))
+        assert np.frombuffer(got, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert 50256 in tok.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_packing_edge_cases(spark, odd):
     got = packing.pack_documents(odd).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
     by = {r.doc_id: r for r in got}
