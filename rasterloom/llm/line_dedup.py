@@ -15,13 +15,13 @@ from pyspark.sql.window import Window
 from .common import fresh, sized, written
 from .components import components
 
-#: Characters from which a line takes part; edits between near duplicates.
+#: Characters from which a line may differ by all EDITS edits from a near duplicate; shorter ones by fewer, in proportion.
 LEAST, EDITS = 24, 2
 #: Lines that share a segment at its place from which they are told apart by their rarest pieces, and the number of pieces.
 HOT, PIECES = 6, 10
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
+def lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
     """(doc, pos, line, h, len) of every line of at least `least` characters; pos counts all lines from 0."""
     every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     return every.select("doc", "pos", "line", F.length("line").alias("len")).where(F.col("len") >= least).withColumn("h", F.xxhash64("line"))
@@ -107,12 +107,26 @@ def middles(a: str, b: str) -> tuple[str, str]:
     return _let(prefix, "p", f"named_struct('p', p, 's', {suffix})"), "substring({c}, t.p + 1, length({c}) - t.p - t.s)"
 
 
-def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(h, root) of the lines (of lines()) that link to others within `edits`, root being shared by all that links reach;
-    and (h, first, n), the first place and the count of every line."""
+def near_lines(found: DataFrame, edits: int = EDITS, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(h, root) of the lines (of lines()) that link to others, root being shared by all that links reach; and (h, first,
+    n), the first place and the count of every line.
+
+    Two lines link within as many edits as the shorter one allows: `edits` from LEAST characters on, fewer in proportion
+    below that. Lines that allow none are only grouped by their hash.
+    """
     firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
     twice = firsts.where("n > 1").select("h", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1"))
     once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)")
+    links = line_links(once.where(F.col("len") >= max(least, LEAST)), edits, max(least, LEAST))
+    for k in range(1, edits):
+        low, high = max(least, -(-LEAST * k // edits)), -(-LEAST * (k + 1) // edits)  # lengths of the shorter line, high excluded
+        if low < high:
+            links = links.union(line_links(once.where(F.col("len").between(low, high - 1 + k)), k, low))
+    return components(links, "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
+
+
+def line_links(once: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h, h2) of the lines of at least `least` characters, each given once, that differ in at most `edits` edits."""
     within = Window.partitionBy("key")
     index = index_keys(once, edits + 1).select("h", "key").withColumns({"n": F.count("*").over(within), "r": F.row_number().over(within.orderBy("h"))})
     probe = probe_keys(once, edits + 1, edits, least, True)
@@ -133,15 +147,14 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = LEAST) -> tupl
     both = both.where("la < lb or (la = lb and h < h2)").where(alike).withColumn("t", F.expr(shared))
     both = both.select("h", "h2", F.expr(rest.format(c="a")).alias("a"), F.expr(rest.format(c="b")).alias("b"))
     both = written(both, "middles")  # or the filter would be pushed below, and the shared parts be sought once a use
-    links = both.where(edit_distance("a", "b", edits) <= edits).select("h", "h2")
-    return components(written(links, "links"), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
+    return written(both.where(edit_distance("a", "b", edits) <= edits).select("h", "h2"), "links")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 1) -> DataFrame:
     """(doc, pos, first_doc, first_pos) of every line of at least `least` characters that repeats an earlier one.
 
-    Lines are classed with equal ones and with those within `edits` edits, directly or through others; the first of a
-    class, by document id and place, is not listed. Shorter lines, null texts and rows with a null id take no part;
+    Lines are classed with equal ones and with those within `edits` edits (fewer for lines under LEAST characters, see
+    near_lines), directly or through others; the first of a class, by document id and place, is not listed. Empty lines, null texts and rows with a null id take no part;
     rows that share an id are one document. Lines are told apart by a 64-bit hash. Very long lines are compared whole.
     """
     found = lines(docs, id_col, text_col, least)
@@ -155,7 +168,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc", "pos", F.col("least.doc").alias("first_doc"), F.col("least.pos").alias("first_pos"))
 
 
-def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 1) -> DataFrame:
     """The documents without the lines that repeated_lines lists, columns as before; the other lines keep their order.
 
     A document that loses every line goes; one that had no text stays as it is.

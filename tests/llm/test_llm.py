@@ -180,6 +180,20 @@ def test_repeated_lines_match_brute_force(spark, monkeypatch, hot):
     assert [got.get(i, i) for i in range(80)] == want
 
 
+def test_short_lines_take_part(spark):
+    rng = random.Random(8)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (1, 2, 5, 11, 12, 13, 17, 23, 24, 25, 31)]
+    texts = [variants(rng, bases[i % 11], i // 11 % 3) if len(bases[i % 11]) > 2 else bases[i % 11] for i in range(99)]
+    near = [(i, j) for i, j in itertools.combinations(range(99), 2) if levenshtein(texts[i], texts[j]) <= min(2, len(texts[i]) // 12, len(texts[j]) // 12)]
+    want = union_find(99, near)
+    rows = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc"]: r.first_doc for r in rows}
+    assert [got.get(i, i) for i in range(99)] == want
+    assert sum(len(texts[i]) < 24 for i in got) > 20
+    kept = line_dedup.drop_repeated(spark.createDataFrame([(1, "Les.\nfirst"), (2, "Les.\nsecond\n"), (3, "Les.")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == [(1, "Les.\nfirst"), (2, "second\n")]
+
+
 def test_line_dedup_matches_sql(spark, data):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
