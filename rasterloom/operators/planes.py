@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbourhood import filter_bank
+
 REAL, COMPLEX = "frame_idx int, plane_idx int, y int, x int, v double", "frame_idx int, plane_idx int, y int, x int, re double, im double"
 
 
@@ -118,40 +120,44 @@ def inverse_matrix(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4) -> DataFrame:
-    """Soft threshold sigma sqrt(2 ln n) of the detail bands of each level, by a periodic orthogonal transform of even extents."""
-    lo = np.array(taps) * np.sqrt(2) / np.sum(taps)
-    hi = lo[::-1] * (-1) ** np.arange(len(lo))
+    """Soft threshold sigma sqrt(2 ln n) of the detail bands of each level, by an orthogonal transform with half-sample
+    symmetric extension, of any extent. Levels are as many as leave about 8 pixels, one at least.
+
+    Invalid pixels count 0 in the transform and stay invalid; only the pixels that are there are returned.
+    """
+    bank = {k: np.array(v) for k, v in filter_bank(taps).items()}
+    size = len(taps)
 
     def split(a, axis):
         a = np.moveaxis(a, axis, -1)
-        out = []
-        for f in (lo, hi):
-            out.append(np.moveaxis(sum(f[t] * np.roll(a, -t, -1)[..., ::2] for t in range(len(f))), -1, axis))
-        return out
+        out = (a.shape[-1] + size - 1) // 2
+        wide = np.pad(a, [(0, 0), (size - 1, size - 1)], mode="symmetric")
+        return [np.moveaxis(sum(bank[f][t] * wide[:, size - t : size - t + 2 * out - 1 : 2] for t in range(size)), -1, axis) for f in ("dec_lo", "dec_hi")]
 
     def join(low, high, axis):
         low, high = np.moveaxis(low, axis, -1), np.moveaxis(high, axis, -1)
-        out = np.zeros((*low.shape[:-1], 2 * low.shape[-1]))
-        for f, c in ((lo, low), (hi, high)):
-            up = np.zeros_like(out)
-            up[..., ::2] = c
-            out += sum(f[t] * np.roll(up, t, -1) for t in range(len(f)))
-        return np.moveaxis(out, -1, axis)
+        n = low.shape[-1]
+        out = np.zeros((len(low), 2 * n - 2 + size))
+        for f, c in (("rec_lo", low), ("rec_hi", high)):
+            for t in range(size):
+                out[:, t : t + 2 * n - 1 : 2] += bank[f][t] * c
+        return np.moveaxis(out[:, size - 2 : 2 * n], -1, axis)
 
     def run(pdf):
         a, kept = _dense(pdf, ("v",), width, height)[0], []
-        for _ in range(levels):
-            if min(a.shape) < 2 * len(lo) or a.shape[0] % 2 or a.shape[1] % 2:
-                break
+        for _ in range(min(levels, max(1, int(np.log2(max(1, min(a.shape) // 8)))))):
             low, high = split(a, 0)
             (a, ad), (da, dd) = split(low, 1), split(high, 1)
             t = sigma * np.sqrt(2 * np.log(ad.size))
             kept.append([np.sign(c) * np.maximum(np.abs(c) - t, 0) for c in (ad, da, dd)])
         for ad, da, dd in reversed(kept):
+            a = a[: ad.shape[0], : ad.shape[1]]  # one too long where the extent was odd
             a = join(join(a, ad, 1), join(da, dd, 1), 0)
-        return _rows(pdf, v=a)
+        out = pdf[["frame_idx", "plane_idx", "y", "x"]].copy()
+        out["v"] = np.where(pdf["v"].isna(), np.nan, a[pdf["y"].to_numpy(), pdf["x"].to_numpy()])
+        return out
 
-    return _by_plane(pixels, run, REAL)
+    return _by_plane(pixels, run, REAL).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
 def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0) -> DataFrame:

@@ -131,6 +131,46 @@ def test_transforms_invert(spark):
     assert np.allclose(array(planes.wavelet_denoise(p, 12, 8, 0.0, neighbourhood.DB2), 8, 12), a)
 
 
+@pytest.mark.parametrize(("height", "width", "levels"), [(9, 13, 1), (18, 11, 1), (33, 35, 2), (34, 33, 1)])
+def test_wavelet_denoise_of_any_extent(spark, height, width, levels):
+    """Against plain sums over the half-sample symmetric extension."""
+    sigma, size = 0.2, 4
+    bank = neighbourhood.filter_bank(neighbourhood.DB2)
+
+    def analysis(n):  # rows of coefficients, columns of samples
+        at = lambda i: i % (2 * n) if i % (2 * n) < n else 2 * n - 1 - i % (2 * n)
+        made = []
+        for f in ("dec_lo", "dec_hi"):
+            m = np.zeros(((n + size - 1) // 2, n))
+            for i in range(len(m)):
+                for t in range(size):
+                    m[i, at(2 * i + 1 - t)] += bank[f][t]
+            made.append(m)
+        return made
+
+    def synthesis(n):
+        return [np.array([[bank[f][k + size - 2 - 2 * i] if 0 <= k + size - 2 - 2 * i < size else 0 for i in range((n + size - 1) // 2)] for k in range(n)]) for f in ("rec_lo", "rec_hi")]
+
+    def denoise(a, depth):
+        if not depth:
+            return a
+        (ly, hy), (lx, hx) = analysis(a.shape[0]), analysis(a.shape[1])
+        (sy, ty), (sx, tx) = synthesis(a.shape[0]), synthesis(a.shape[1])
+        limit = sigma * np.sqrt(2 * np.log(len(ly) * len(lx)))
+        soft = lambda c: np.sign(c) * np.maximum(np.abs(c) - limit, 0)
+        return sy @ denoise(ly @ a @ lx.T, depth - 1) @ sx.T + sy @ soft(ly @ a @ hx.T) @ tx.T + ty @ soft(hy @ a @ lx.T) @ sx.T + ty @ soft(hy @ a @ hx.T) @ tx.T
+
+    a = np.random.default_rng(height).normal(size=(height, width))
+    rows = a.tolist()
+    rows[3][4] = None
+    a[3, 4] = 0
+    got = array(planes.wavelet_denoise(raster(spark, rows), width, height, sigma, neighbourhood.DB2, levels), height, width)
+    assert np.isnan(got[3, 4]) and np.isnan(got).sum() == 1
+    want = denoise(a, levels)
+    want[3, 4] = got[3, 4]
+    assert np.allclose(got, want, equal_nan=True) and not np.allclose(got, a, atol=0.1, equal_nan=True)
+
+
 def test_colour_inverse_and_bayer(spark):
     p = raster(spark, [[1, 2]]).union(raster(spark, [[3, 5]], plane=1)).union(raster(spark, [[7, 4]], plane=2))
     back = colour.to_rgb(colour.to_lab(p))
