@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -27,6 +28,8 @@ OTHER = "und"
 SLOTS, SAMPLE = 1 << 14, 2000
 #: Trigrams of a text count as at most this much evidence; pseudo-counts of the wider prior; prior of no known language.
 EVIDENCE, WIDER, RARE = 60.0, 20.0, 0.01
+#: Trigrams of a word that are summed at once, so that a text without spaces needs no more memory than others.
+CHUNK = 1 << 12
 LETTERS = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 TAG, DECLARED = re.compile(r"<[^>]*>"), re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
@@ -36,9 +39,11 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
 
 
-def trigrams(word: bytes) -> list[int]:
-    w = b" " + word[:40] + b" "
-    return [xxhash.xxh64_intdigest(w[i : i + 3]) % SLOTS for i in range(len(w) - 2)]
+def trigrams(word: bytes) -> Iterator[list[int]]:
+    """Slots of the trigrams of a whole word with a space on both sides, in lists of at most CHUNK."""
+    w = b" " + word + b" "
+    for at in range(0, len(w) - 2, CHUNK):
+        yield [xxhash.xxh64_intdigest(w[i : i + 3]) % SLOTS for i in range(at, min(at + CHUNK, len(w) - 2))]
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -87,8 +92,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in parts:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for word, k in Counter(words_of(text or "")).items():
-                    for s in trigrams(word):
-                        counts[lang, s] += k
+                    for slots in trigrams(word):
+                        for s in slots:
+                            counts[lang, s] += k
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "slot", "n"])
 
     table = np.full((len(languages), SLOTS), 0.5)
@@ -116,8 +122,8 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
 
         class Words(dict):
             def __missing__(self, word):
-                slots = trigrams(word)
-                self[word] = x = (logs[slots].sum(axis=0), len(slots))
+                parts = [(logs[slots].sum(axis=0), len(slots)) for slots in trigrams(word)]
+                self[word] = x = parts[0] if len(parts) == 1 else (sum(p for p, _ in parts), sum(n for _, n in parts))
                 return x
 
         for b in parts:

@@ -307,6 +307,20 @@ def test_language_of_pages(spark):
     assert len(rows) == len(pages) and np.mean([f"/{r.lang}/" in pages[r.page_id] for r in rows]) > 0.97
 
 
+def test_text_without_spaces_is_read_whole(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    likelihoods = language.train(table)
+    english = " ".join(table.where("lang = 'en'").orderBy("doc_id").first().text.split()[:30])
+    rng = random.Random(6)
+    foreign = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000))
+    rows = [(1, f"{english} {foreign}"), (2, foreign), (3, english)]
+    docs = spark.createDataFrame([(i, t, None, "h", "") for i, t in rows], "id long, text string, declared string, host string, suffix string")
+    got = {r.id: r.lang for r in language.identify(docs, likelihoods).collect()}
+    assert got == {1: "und", 2: "und", 3: "en"}
+    word = ("é" * 9000).encode()
+    assert [len(x) for x in language.trigrams(word)] == [4096, 4096, 4096, 4096, 1616]
+
+
 # --- 8: language model -------------------------------------------------------------------------------------------
 
 
