@@ -17,8 +17,8 @@ from .components import components
 
 #: Characters from which a line may differ by all EDITS edits from a near duplicate; shorter ones by fewer, in proportion.
 LEAST, EDITS = 24, 2
-#: Lines that share a segment at its place from which they are told apart by their rarest pieces, and the number of pieces.
-HOT, PIECES = 6, 10
+#: Lines that own a segment from which those that meet it are told apart by rings of cells instead, and cells of a line.
+HOT, CELLS = 6, 32
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
@@ -38,40 +38,61 @@ def _key(i: str, size: str, parts: int, shift: str = "0") -> str:
     return f"if({begin} >= 0 and {end} <= len, xxhash64({size}, {i}, substring(line, {begin} + 1, {end} - ({begin}))), null)"
 
 
-def index_keys(found: DataFrame, parts: int) -> DataFrame:
-    """(h, part, key) of each line's own parts."""
-    spread = found.select("h", "line", "len", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    return spread.select("h", "part", F.expr(_key("part", "len", parts)).alias("key"))
-
-
-def probe_keys(found: DataFrame, parts: int, edits: int, least: int, tight: bool) -> DataFrame:
-    """(h2, key) of the substrings where a part of a line shorter by 0 to `edits` can stand.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(d, i, s): where part i of edits + 1 parts can stand, shifted by s, in a line longer by d; those of the part itself first.
 
     A part that is shifted by s within lines whose lengths differ by d needs |s| edits to its left and |d - s| to its
-    right. With edits + 1 parts (tight), some part i has at most i edits to its left and edits - i to its right.
+    right. Some part i has at most i edits to its left and edits - i to its right.
     """
-    places = []
-    for d in range(edits + 1):
-        for i in range(parts):
-            for s in range(-edits, edits + 1):
-                if abs(s) + abs(d - s) <= edits and (not tight or (abs(s) <= i and abs(d - s) <= edits - i)):
-                    places.append((d, i, s))
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])).alias("at")
-    spread = found.select(F.col("h").alias("h2"), "line", "len", at).select("h2", "line", "len", (F.col("len") - F.col("at.d")).alias("size"), F.col("at.i").alias("i"), F.col("at.s").alias("s"))
-    return spread.where(F.col("size") >= least).select("h2", F.expr(_key("i", "size", parts, "s")).alias("key")).where("key is not null")
-
-
-def rare_pairs(found: DataFrame, edits: int, least: int) -> DataFrame:
-    """(h, h2) candidates among lines that share a segment with many others.
-
-    Of PIECES pieces of a line, an edit spoils one at most; so of any edits + 1 pieces one stands in the other line. The
-    ones that the fewest probes meet are taken, which the variants of one line do not share.
+    every = [(d, i, s) for d in range(edits + 1) for i in range(edits + 1) for s in range(-edits, edits + 1)]
+    return sorted((p for p in every if abs(p[2]) <= p[1] and abs(p[0] - p[2]) <= edits - p[1]), key=lambda p: (p[0], abs(p[2])))
+
+
+def classes(edits: int, least: int) -> list[tuple[int, int, int | None]]:
+    """(k, low, high): shorter lines of low to high - 1 characters (high None: and more) link within k edits."""
+    bounds = [max(least, -(-LEAST * k // edits)) for k in range(1, edits + 1)]
+    return [(k, low, high) for k, low, high in zip(range(1, edits + 1), bounds, [*bounds[1:], None], strict=True) if high is None or low < high]
+
+
+def segment_keys(once: DataFrame, edits: int, least: int) -> DataFrame:
+    """(key, h, own) of each line's own segments (own = 1), and of its substrings where a segment of a shorter line, or a
+    shifted one of an equally long line, can stand (own = 0). A key holds the shorter line's length and the segment's number."""
+    keys = []
+    for k, low, high in classes(edits, least):
+        for d, i, s in _places(k):
+            inside = f"len >= {low + d}" + (f" and len < {high + d}" if high else "")
+            keys.append(f"if({inside}, named_struct('key', {_key(str(i), f'(len - {d})', str(k + 1), str(s))}, 'own', {int(d == s == 0)}), null)")
+    spread = once.select("h", F.expr(f"explode(array({', '.join(keys)}))").alias("at"))
+    return spread.where("at.key is not null").select("at.key", "h", "at.own")
+
+
+def ring_pairs(crowd: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h, h2) candidates among lines that share a segment with many others; h is the shorter line or as long.
+
+    A line is cut into CELLS cells. A cell (the centre), its two neighbours, the two beyond these, and so on are edits + 1
+    disjoint parts of the line, so one of them stands whole in any line within the threshold, each of its two cells shifted
+    by a few places. Of all centres the one whose parts the fewest lines meet is taken: where the variants of one line
+    differ, the parts about the difference are met only by those that differ there.
     """
-    pieces, probe = index_keys(found, PIECES), probe_keys(found, PIECES, edits, least, False)
+    cells = f"greatest({2 * edits + 1}, least({CELLS}, size div 2))"
+    cell = lambda i, shift: f"substring(line, {_start(i, 'size', cells)} + {shift} + 1, {_start(f'({i} + 1)', 'size', cells)} - {_start(i, 'size', cells)})"
+    far = range(-edits, edits + 1)
+    own = [(0, r, 0, 0) for r in range(edits + 1)]
+    met = [(d, r, s, t) for d in range(edits + 1) for r in range(edits + 1) for s in far for t in far if abs(s) + abs(t - s) + abs(d - t) <= edits and (r or s == t)]
+
+    def keys(places: list[tuple[int, int, int, int]]) -> DataFrame:
+        """(h, c, key): for a line longer by d, the two cells r places beside the centre, shifted by s and by t."""
+        place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("drst", p, strict=True)]) for p in places])).alias("at")
+        at = crowd.select("h", "line", "len", place).select("h", "line", "len", "at.*", (F.col("len") - F.col("at.d")).alias("size")).where(F.col("size") >= least)
+        at = at.select("*", F.expr(f"explode(sequence({edits}, {cells} - {edits + 1}))").alias("c"))
+        inside = f"{_start('(c - r)', 'size', cells)} + s >= 0 and {_start('(c + r + 1)', 'size', cells)} + t <= len"
+        return at.where(inside).select("h", "c", F.expr(f"xxhash64(size, c, r, {cell('(c - r)', 's')}, if(r = 0, '', {cell('(c + r)', 't')}))").alias("key"))
+
+    probe = written(keys(met).select(F.col("h").alias("h2"), "key"), "probes")
+    parts = keys(own)
     counts = probe.groupBy("key").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("n", "part"))
-    rare = pieces.join(counts, "key").withColumn("rank", rank).where(F.col("rank") <= edits + 1)
-    return rare.select("h", "key").join(probe, "key").where("h != h2").select("h", "h2")
+    centre = parts.join(counts, "key").groupBy("h", "c").agg(F.sum("n").alias("n")).groupBy("h").agg(F.min_by("c", F.struct("n", "c")).alias("c"))
+    return parts.join(centre, ["h", "c"]).select("h", "key").join(probe, "key").where("h != h2").select("h", "h2")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -98,13 +119,14 @@ def edit_distance(a: str, b: str, edits: int) -> Column:
     return F.expr(_let(chars(a), "x", _let(chars(b), "y", _let("size(x)", "m", fold))))
 
 
-def middles(a: str, b: str) -> tuple[str, str]:
-    """SQL of a struct of the lengths that two strings share at their beginnings (p) and then at their ends (s), and of
-    what is left of one of them given that struct as t. Distances do not change without the shared parts."""
-    steps = "transform(sequence(20, 0, -1), k -> shiftleft(1, k))"
-    prefix = f"aggregate({steps}, 0, (p, k) -> if(p + k <= least(length({a}), length({b})) and substring({a}, p + 1, k) = substring({b}, p + 1, k), p + k, p))"
-    suffix = f"aggregate({steps}, 0, (s, k) -> if(p + s + k <= least(length({a}), length({b})) and substring({a}, length({a}) - s - k + 1, k) = substring({b}, length({b}) - s - k + 1, k), s + k, s))"
-    return _let(prefix, "p", f"named_struct('p', p, 's', {suffix})"), "substring({c}, t.p + 1, length({c}) - t.p - t.s)"
+def middles(a: str, b: str, la: str, lb: str) -> tuple[str, str]:
+    """SQL of a struct of the lengths that two strings (of la and lb characters) share at their beginnings (p) and then at
+    their ends (s), and of what is left of string c of l characters given that struct as t. Distances do not change without the shared parts."""
+    most = f"least({la}, {lb})"
+    steps = f"transform(sequence(cast(floor(log2(greatest(1, {most}))) as int), 0, -1), k -> shiftleft(1, k))"
+    prefix = f"aggregate({steps}, 0, (p, k) -> if(p + k <= {most} and substring({a}, p + 1, k) = substring({b}, p + 1, k), p + k, p))"
+    suffix = f"aggregate({steps}, 0, (s, k) -> if(p + s + k <= {most} and substring({a}, {la} - s - k + 1, k) = substring({b}, {lb} - s - k + 1, k), s + k, s))"
+    return _let(prefix, "p", f"named_struct('p', p, 's', {suffix})"), "substring({c}, t.p + 1, {l} - t.p - t.s)"
 
 
 def near_lines(found: DataFrame, edits: int = EDITS, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -116,38 +138,39 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = 1) -> tuple[Da
     """
     firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
     twice = firsts.where("n > 1").select("h", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1"))
-    once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)")
-    links = line_links(once.where(F.col("len") >= max(least, LEAST)), edits, max(least, LEAST))
-    for k in range(1, edits):
-        low, high = max(least, -(-LEAST * k // edits)), -(-LEAST * (k + 1) // edits)  # lengths of the shorter line, high excluded
-        if low < high:
-            links = links.union(line_links(once.where(F.col("len").between(low, high - 1 + k)), k, low))
-    return components(links, "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
+    once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)").select("h", "line", "len")
+    return components(line_links(once, edits, least), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
 
 
 def line_links(once: DataFrame, edits: int, least: int) -> DataFrame:
-    """(h, h2) of the lines of at least `least` characters, each given once, that differ in at most `edits` edits."""
+    """(h, h2) of the lines of at least `least` characters, each given once, that link (see near_lines)."""
+    low = classes(edits, least)[0][1]
     within = Window.partitionBy("key")
-    index = index_keys(once, edits + 1).select("h", "key").withColumns({"n": F.count("*").over(within), "r": F.row_number().over(within.orderBy("h"))})
-    probe = probe_keys(once, edits + 1, edits, least, True)
-    # a crowded key stands once in the join, where it marks the lines that meet it (h is null) instead of pairing them
-    slim = index.where(f"n <= {HOT} or r = 1").select("key", F.when(F.col("n") <= HOT, F.col("h")).alias("h"))
-    met = slim.join(probe, "key").where("h is null or h != h2").select("h", "h2")
-    met = written(met.union(index.where(f"n > {HOT}").select(F.lit(None).cast("long"), "h")).distinct(), "met")
-    crowd = once.join(sized(met.where("h is null").select(F.col("h2").alias("h")).distinct()), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"])
-    pairs = met.where("h is not null")
-    if not met.where("h is null").isEmpty():
-        pairs = pairs.union(rare_pairs(written(crowd, "crowd"), edits, least)).distinct()
-    pairs = written(pairs, "pairs")
+    keys = segment_keys(once.where(F.col("len") >= low), edits, least)
+    met = keys.withColumns({"n": F.count("*").over(within), "owners": F.sum("own").over(within)}).where("n > 1 and owners > 0")
+    met = written(met.select("key", "h", "own", "owners"), "met")
+    few = met.where(F.col("owners") <= HOT)
+    pairs = few.where("own = 1").select("key", "h").join(few.select("key", F.col("h").alias("h2")), "key").where("h != h2").select("h", "h2")
+    crowded = written(met.where(F.col("owners") > HOT).select("h").distinct(), "crowded")
+    if not crowded.isEmpty():
+        crowd = written(once.join(sized(crowded), "h", "left_semi").dropDuplicates(["h"]), "crowd")
+        for k, bottom, top in classes(edits, least):
+            pairs = pairs.union(ring_pairs(crowd if top is None else crowd.where(F.col("len") < top + k), k, bottom))
+    pairs = written(pairs.distinct(), "pairs")
     wanted = pairs.select("h").union(pairs.select("h2")).distinct()
-    texts = written(once.join(sized(wanted), "h", "left_semi").select("h", "line", "len").dropDuplicates(["h"]), "texts")
+    texts = written(once.join(sized(wanted), "h", "left_semi").dropDuplicates(["h"]), "texts")
     both = pairs.join(texts.withColumnsRenamed({"line": "a", "len": "la"}), "h").join(texts.select(F.col("h").alias("h2"), F.col("line").alias("b"), F.col("len").alias("lb")), "h2")
-    alike = F.expr(f"size(filter(sequence(0, {PIECES - 1}), k -> contains(b, substring(a, {_start('k', 'la', PIECES)} + 1, {_start('(k + 1)', 'la', PIECES)} - {_start('k', 'la', PIECES)})))) >= {PIECES - edits}")
-    shared, rest = middles("a", "b")
+    begin, end = _start("k", "la", "12"), _start("(k + 1)", "la", "12")
+    alike = f"size(filter(sequence(0, 11), k -> contains(substring(b, greatest(0, {begin} - {edits}) + 1, {end} - {begin} + {2 * edits}), substring(a, {begin} + 1, {end} - {begin})))) >= {12 - edits}"
+    shared, rest = middles("a", "b", "la", "lb")
     both = both.where("la < lb or (la = lb and h < h2)").where(alike).withColumn("t", F.expr(shared))
-    both = both.select("h", "h2", F.expr(rest.format(c="a")).alias("a"), F.expr(rest.format(c="b")).alias("b"))
+    both = both.select("h", "h2", "la", F.expr(rest.format(c="a", l="la")).alias("a"), F.expr(rest.format(c="b", l="lb")).alias("b"))
     both = written(both, "middles")  # or the filter would be pushed below, and the shared parts be sought once a use
-    return written(both.where(edit_distance("a", "b", edits) <= edits).select("h", "h2"), "links")
+    if edits > 1:  # the first and the last edit stand at the ends, so one of edits - 1 parts of what lies between is whole
+        begin, end = _start("k", "(length(a) - 2)", str(edits - 1)), _start("(k + 1)", "(length(a) - 2)", str(edits - 1))
+        both = both.where(f"length(a) < 3 or exists(sequence(0, {edits - 2}), k -> contains(b, substring(a, {begin} + 2, {end} - {begin})))")
+    allowed = "case " + " ".join(f"when la >= {bottom} then {k}" for k, bottom, _ in reversed(classes(edits, least))) + " else 0 end"
+    return written(both.where(edit_distance("a", "b", edits) <= F.expr(allowed)).select("h", "h2"), "links")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 1) -> DataFrame:

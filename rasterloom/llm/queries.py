@@ -22,8 +22,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    gone = line_dedup.repeated_lines(docs, least=line_dedup.LEAST).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.min(F.struct("first_doc", "first_pos")).alias("least"))
-    counted = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= line_dedup.LEAST)), F.lit(0)).cast("long").alias("n_lines"))
+    gone = line_dedup.repeated_lines(docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.min(F.struct("first_doc", "first_pos")).alias("least"))
+    counted = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")), F.lit(0)).cast("long").alias("n_lines"))
     out = counted.join(gone, counted.doc_id == gone.doc, "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"), F.col("least.first_doc").alias("least_first_doc"))
 
@@ -115,25 +115,26 @@ SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, t.component_id, v.
 FROM v JOIN least t ON v.vec_id = t.u LEFT JOIN degree d ON d.u = v.vec_id
 """
 
-#: Lines of 24 characters or more, linked within two edits; a third of the shorter line must stand in the longer one.
+#: Lines linked within two edits (the shorter one has 24 characters or more) or one (12 or more), where a third of the
+#: shorter line, or half of it, must stand in the longer one; any other line only with equal ones.
 OP2_SQL = """
 WITH RECURSIVE l0 AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
     FROM documents WHERE doc_id IS NOT NULL
 ), l AS (
-    SELECT * FROM l0 WHERE length(line) >= 24
+    SELECT * FROM l0 WHERE length(line) >= 1
 ), d AS (
     SELECT line, length(line) AS n, min((doc_id, pos)) AS place FROM l GROUP BY line
 ), p AS (
     SELECT line, n, left(line, n // 3) AS head, right(line, n // 3) AS tail, substr(line, n // 3 + 1, n // 3) AS middle FROM d
 ), near AS (
     SELECT DISTINCT a.line AS u, b.line AS v FROM p a JOIN p b ON b.n = a.n AND a.line < b.line
-    WHERE CASE WHEN a.head = left(b.line, a.n // 3) OR a.tail = right(b.line, a.n // 3) OR contains(b.line, a.middle)
-               THEN levenshtein(a.line, b.line) ELSE 3 END <= 2
+    WHERE a.n >= 12 AND CASE WHEN a.head = left(b.line, a.n // 3) OR a.tail = right(b.line, a.n // 3) OR contains(b.line, a.middle)
+               THEN levenshtein(a.line, b.line) ELSE 3 END <= CASE WHEN a.n >= 24 THEN 2 ELSE 1 END
     UNION
     SELECT DISTINCT a.line, b.line FROM p a CROSS JOIN (VALUES (1), (2)) k(k) JOIN p b ON b.n = a.n + k.k
-    WHERE CASE WHEN a.head = left(b.line, a.n // 3) OR a.tail = right(b.line, a.n // 3) OR contains(b.line, a.middle)
-               THEN levenshtein(a.line, b.line) ELSE 3 END <= 2
+    WHERE a.n >= 12 AND CASE WHEN a.head = left(b.line, a.n // 3) OR a.tail = right(b.line, a.n // 3) OR contains(b.line, a.middle)
+               THEN levenshtein(a.line, b.line) ELSE 3 END <= CASE WHEN a.n >= 24 THEN 2 ELSE 1 END
 ), links AS (
     SELECT u, v FROM near UNION SELECT v, u FROM near
 ), reach(u, v) AS (
@@ -149,7 +150,7 @@ WITH RECURSIVE l0 AS (
 ), by_doc AS (
     SELECT doc_id, count(DISTINCT pos) AS n, array_to_string(list_sort(list(DISTINCT pos)), ',') AS removed, min(place)[1] AS first_doc FROM gone GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), lambda x: length(x) >= 24)), 0) AS BIGINT) AS n_lines,
+SELECT d.doc_id, CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), lambda x: length(x) >= 1)), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(b.n, 0) AS BIGINT) AS n_removed, b.removed, b.first_doc AS least_first_doc
 FROM documents d LEFT JOIN by_doc b USING (doc_id)
 """
