@@ -326,22 +326,40 @@ def test_text_without_spaces_is_read_whole(spark, data):
 
 def test_scores_match_a_plain_model(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(60).collect()
-    tokens = {r.doc_id: r.text.encode().lower().split() + [b""] for r in docs}
+    tokens = {r.doc_id: [1, 1, *r.text.encode().lower().split(), b""] for r in docs}  # 1: a start
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    one, two = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in zip([None, *tokens[i]], tokens[i], strict=False))
+    grams = [Counter(tuple(tokens[i][k - n : k + 1]) for i in train for k in range(2, len(tokens[i]))) for n in range(3)]
+    states = [None, *[Counter(tuple(tokens[i][k - n : k]) for i in train for k in range(2, len(tokens[i]))) for n in (1, 2)]]
+    one = grams[0]
     n, v = sum(one.values()), len(one)
     d = (n1 := sum(c == 1 for c in one.values())) / (n1 + 2 * sum(c == 2 for c in one.values()))
-    spread = d * v / n / (v + 1)
-    p = lambda w: max(one[w] - d, 0) / n + spread
+    spread, s = d * v / n / (v + 1), (50.0, 3.0)
+
+    def p(gram):
+        if len(gram) == 1:
+            return max(one[gram] - d, 0) / n + spread
+        k = len(gram) - 1
+        return (grams[k][gram] + s[k - 1] * p(gram[1:])) / (states[k][gram[:-1]] + s[k - 1])
+
     assert abs(sum(map(p, one)) + spread - 1) < 1e-9
-    for r in backoff.score_texts(spark.createDataFrame(docs), in_fold("doc_id", 7, 2), strength=50.0).collect():
+    state = tuple(tokens[train[0]][5:7])
+    assert abs(sum(p((*state, *w)) for w in one) + p((*state, b"\0unseen")) - 1) < 1e-9
+    for r in backoff.score_texts(spark.createDataFrame(docs), in_fold("doc_id", 7, 2), strength=s).collect():
         t = tokens[r.id]
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10((two[u, w] + 50 * p(w)) / ((len(train) if u is None else one[u]) + 50)) for u, w in zip([None, *t], t, strict=False))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
+        base = sum(math.log10((one[w,] + 1) / (n + v + 1)) for w in t[2:])
+        score = sum(math.log10(p(tuple(t[k - 2 : k + 1]))) for k in range(2, len(t)))
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t) - 2, sum(one[w,] > 0 for w in t[2:]), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def test_counts_have_64_bits():
+    keys, big = np.array([5, 9], np.uint64), np.array([2**40, 3], np.int64)
+    row = {"keys": backoff._packed(np.diff(keys, prepend=np.uint64(0))), "counts": backoff._packed(big)}
+    counts, places = backoff._summed([row, row])
+    assert counts.tolist() == [2**41, 6] and [p.tolist() for p in places] == [[0, 1], [0, 1]]
+    assert backoff._unpacked(backoff._packed(counts), "i8").tolist() == [2**41, 6]
+
+
 def test_scoring_edge_cases(spark, odd):
     rows = backoff.score_texts(odd, in_fold("doc_id", 7, 2)).collect()
     assert len(rows) == odd.count() and all(np.isfinite(r.score) for r in rows)
