@@ -2,7 +2,8 @@
 
 Unit vectors within cosine t lie within eps = sqrt(2 - 2 t). They are projected on leading principal directions (an
 orthonormal projection never lengthens a distance), sorted by their grid cells of side eps, and cut into sequence
-intervals. Two intervals are joined only if their bounding boxes come within eps, and recursively so for their halves.
+intervals. Two intervals are joined only if their bounding boxes come within eps, and recursively so for their halves; of
+the one that comes first, only the vectors that lie within eps of the other's box travel there.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, written
+from .common import Batches, bound_batches, sized, written
 from .components import components
 from .simhash import _star
 
-#: Rows of a sequence interval that travels as one row, and rows below which an interval is compared outright.
-BLOCK, LEAF = 1024, 128
+#: Rows of a sequence interval that is packed as one row, rows below which an interval is compared outright, and grid
+#: dimensions that order the vectors; intervals meet by the cells of the first two.
+BLOCK, LEAF, GRID = 1024, 128, 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -25,6 +27,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def principal_directions(vectors: DataFrame, column: str, size: int, count: int) -> np.ndarray:
     """size x count matrix of leading principal directions of all unit vectors; only size squared sums reach the driver."""
 
@@ -32,8 +41,7 @@ def principal_directions(vectors: DataFrame, column: str, size: int, count: int)
         total, first, n = np.zeros((size, size)), np.zeros(size), 0
         for b in parts:
             if b.num_rows:
-                x = _matrix(b.column(0))
-                x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = _unit(_matrix(b.column(0)))
                 total, first, n = total + x.T @ x, first + x.sum(axis=0), n + len(x)
         if n:
             flat = np.concatenate((total.ravel(), first, [n]))
@@ -74,17 +82,15 @@ def interval_join(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _intervals(nodes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """One row per sequence interval of the epsilon grid order: packed unit vectors, ids, weights and bounds."""
+def _intervals(nodes: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFrame:
+    """One row per sequence interval of the epsilon grid order: packed nodes, weights and vectors, bounds, and ranges of cells."""
     dims = axes.shape[1]
-    grid = [f"c{k}" for k in range(min(4, dims))]
+    grid = [f"c{k}" for k in range(min(GRID, dims))]
 
     def project(parts: Batches) -> Batches:
         for b in parts:
-            x = _matrix(b.column(2))
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(x) else x
-            cells = np.floor(x @ axes / eps).astype(np.int32) if len(x) else np.zeros((0, dims), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), *[pa.array(cells[:, k]) for k in range(len(grid))]], names=["id", "part", "vector", "weight", *grid])
+            cells = np.floor(_unit(_matrix(b.column(2))) @ axes / eps).astype(np.int32) if b.num_rows else np.zeros((0, dims), np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(cells[:, k]) for k in range(len(grid))]], names=["node", "part", "vector", "weight", *grid])
 
     def pack(parts: Batches) -> Batches:
         for b in parts:
@@ -93,80 +99,96 @@ def _intervals(nodes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 for at in range(lo, hi, BLOCK):
                     c = b.slice(at, min(BLOCK, hi - at))
-                    x = _matrix(c.column(2))
-                    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    p, ids = x @ axes, c.column(0).to_numpy()
-                    first = c.column(4).to_numpy()
-                    yield pa.RecordBatch.from_pylist([{"block": int(ids[0]), "part": part[at], "ids": ids.tolist(), "weights": c.column(3).to_pylist(), "vectors": np.ascontiguousarray(x).tobytes(), "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "from": int(first.min()), "to": int(first.max())}], schema=packed)
+                    x, nodes = _matrix(c.column(2)), c.column(0).to_numpy()
+                    p, first, second = _unit(x) @ axes, c.column(4).to_numpy(), c.column(3 + min(2, len(grid))).to_numpy()
+                    yield pa.RecordBatch.from_pylist([{"block": int(nodes[0]), "part": part[at], "nodes": nodes.tobytes(), "weights": c.column(3).to_numpy().tobytes(), "vectors": np.ascontiguousarray(x).tobytes(), "low": p.min(axis=0).tolist(), "high": p.max(axis=0).tolist(), "from0": int(first.min()), "to0": int(first.max()), "from1": int(second.min()), "to1": int(second.max())}], schema=packed)
 
-    packed = pa.schema([("block", pa.int64()), ("part", pa.string()), ("ids", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64())), ("vectors", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("from", pa.int32()), ("to", pa.int32())])
+    packed = pa.schema([("block", pa.int64()), ("part", pa.string()), ("nodes", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("from0", pa.int32()), ("to0", pa.int32()), ("from1", pa.int32()), ("to1", pa.int32())])
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select("id", "part", "vector", "weight").mapInArrow(project, "id long, part string, vector array<double>, weight long, " + ", ".join(f"{c} int" for c in grid))
-    ordered = cells.repartitionByRange(n, "part", *grid, "id").sortWithinPartitions("part", *grid, "id")
-    return ordered.mapInArrow(pack, "block long, part string, ids array<long>, weights array<long>, vectors binary, low array<double>, high array<double>, `from` int, `to` int")
+    cells = nodes.select("node", "part", "vector", "weight").mapInArrow(project, f"node long, part string, vector {kind}, weight long, " + ", ".join(f"{c} int" for c in grid))
+    ordered = cells.repartitionByRange(n, "part", *grid, "node").sortWithinPartitions("part", *grid, "node")
+    return ordered.mapInArrow(pack, "block long, part string, nodes binary, weights binary, vectors binary, low array<double>, high array<double>, from0 int, to0 int, from1 int, to1 int")
 
 
 def cosine_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, dims: int = 8) -> DataFrame:
     """(id, n_links, component) of every row: how many other rows link with it directly, and the smallest id it reaches.
 
     Rows link when their labels are equal and not null, their vectors have equal length and their cosine (double
-    precision) is at least `least`. Null, zero or non-finite vectors link with nothing: 0 links, their own component.
-    Equal vectors of a label are one node with a weight, so copies count in n_links without being paired. A dense group
-    hands back one star per pair of intervals and one count per node, never its pairs. Empty tables give no rows.
+    precision) is at least `least`. Null, zero or non-finite vectors link with nothing: 0 links, their own component; so
+    do rows with a null id. Rows count one by one, also where ids repeat. Equal vectors of a label are one node with a
+    weight, so copies count in n_links without being paired. A dense group hands back one star per pair of intervals and
+    one count per node, never its pairs. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("vector"), F.col(label_col).cast("string").alias("label"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0), F.lit(False))
     good = rows.where(usable).withColumn("part", F.concat_ws(":", F.size("vector").cast("string"), "label")).withColumn("digest", F.xxhash64("vector"))
-    nodes = written(good.groupBy("part", "digest", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "nodes")
+    nodes = good.groupBy("part", "digest", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     sizes = [r[0] for r in nodes.select(F.size("vector")).distinct().collect()]  # lengths of vectors: a schema fact, one as a rule
     links = None
     for size in sizes:
         own = nodes.where(F.col("part").startswith(f"{size}:"))
-        found = _links(own, principal_directions(own, "vector", size, min(dims, size)), least, eps)
+        found = _links(own, principal_directions(own, "vector", size, min(dims, size)), least, eps, kind)
         links = found if links is None else links.union(found)
     if links is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     links = written(links, "links")
-    groups = components(links.where("v is not null"), "u", "v")
-    counts = links.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "id")
-    done = nodes.join(counts, "id", "left").join(groups, "id", "left")
-    done = done.select("part", "digest", "vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    groups = components(links.where("v is not null"), "u", "v").withColumnRenamed("id", "node")
+    counts = links.where("v is null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "node")
+    done = nodes.join(counts, "node", "left").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    done = done.select("part", "digest", "vector", "id", "group", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    least_ids = done.groupBy("group").agg(F.min("id").alias("component"))
+    done = done.join(least_ids, "group").select("part", "digest", "vector", "n_links", "component")
     linked = good.join(done, ["part", "digest", "vector"]).select("id", "n_links", "component")
     return linked.union(rows.where(~usable).select("id", F.lit(0).cast("long"), "id"))
 
 
-def _links(nodes: DataFrame, axes: np.ndarray, least: float, eps: float) -> DataFrame:
+def _links(nodes: DataFrame, axes: np.ndarray, least: float, eps: float, kind: str) -> DataFrame:
     """(u, v, n): stars of linked nodes (v given), and weights of a node's partners (v null)."""
-    blocks = written(_intervals(nodes, axes, eps), "intervals")
-    meta = blocks.select("block", "part", "low", "high", "from", "to")
-    near = F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)).alias("cell")
-    left = meta.select(*[F.col(c).alias(f"{c}_a") for c in meta.columns], near).withColumnRenamed("part_a", "part")
-    right = meta.select("*", F.explode(F.sequence("from", "to")).alias("cell"))
+    raw = np.float32 if kind == "array<float>" else np.float64
+    blocks = written(_intervals(nodes, axes, eps, kind), "intervals")
+    meta = blocks.select("block", "part", "low", "high", "from0", "to0", "from1", "to1")
+    over = lambda k, more: F.explode(F.sequence(F.col(f"from{k}") - more, F.col(f"to{k}") + more)).alias(f"cell{k}")
+    left = meta.select("*", over(0, 1)).select("*", over(1, 1)).select("part", "cell0", "cell1", *[F.col(c).alias(f"{c}_a") for c in ("block", "low", "high", "from0", "from1")])
+    right = meta.select("*", over(0, 0)).select("*", over(1, 0))
     gaps = F.zip_with(F.zip_with("low_a", "high", lambda x, y: x - y), F.zip_with("low", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     close = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x) <= eps * eps
-    once = F.col("cell") == F.greatest(F.col("from_a") - 1, F.col("from"))
-    pairs = left.join(right, ["part", "cell"]).where(once & (F.col("block_a") <= F.col("block")) & close).select("block_a", "block")
-    data = ["ids", "weights", "vectors"]
-    pairs = pairs.join(blocks.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in data]), "block_a").join(blocks.select("block", *data), "block")
-
-    def run(parts: Batches) -> Batches:
+    once = [F.col(f"cell{k}") == F.greatest(F.col(f"from{k}_a") - 1, F.col(f"from{k}")) for k in (0, 1)]
+    pairs = left.join(right, ["part", "cell0", "cell1"]).where(once[0] & once[1] & (F.col("block_a") < F.col("block")) & close)
+    pairs = written(pairs.select(F.col("block_a").alias("from"), F.col("block").alias("to"), "low", "high"), "meetings")
+    data = ["nodes", "weights", "vectors"]
+    opened = lambda r, ending="": (np.frombuffer(r[f"nodes{ending}"], np.int64), np.frombuffer(r[f"weights{ending}"], np.int64), np.frombuffer(r[f"vectors{ending}"], raw).reshape(-1, axes.shape[0]))
+
+    def visit(parts: Batches) -> Batches:
+        """Of an interval, the vectors that lie within eps of the box of the one it meets."""
+        for batch in parts:
+            for r in batch.to_pylist():
+                ids, weight, x = opened(r)
+                p = _unit(x) @ axes
+                gap = np.maximum(0, np.maximum(np.array(r["low"]) - p, p - np.array(r["high"])))
+                near = (gap * gap).sum(axis=1) <= eps * eps
+                if near.any():
+                    yield pa.RecordBatch.from_pylist([{"block": r["to"], "nodes_a": ids[near].tobytes(), "weights_a": weight[near].tobytes(), "vectors_a": x[near].tobytes()}])
+
+    def compare(parts: Batches) -> Batches:
         for batch in parts:
             for r in batch.to_pylist():
-                ids, ids2 = np.array(r["ids_a"]), np.array(r["ids"])
-                same = r["block_a"] == r["block"]
-                a = np.frombuffer(r["vectors_a"]).reshape(len(ids), -1)
-                b = np.frombuffer(r["vectors"]).reshape(len(ids2), -1)
+                ids, weight, x = opened(r)
+                a = b = _unit(x)
+                every, shift, same = ids, 0, r["nodes_a"] is None
+                if not same:
+                    ids_a, weight_a, x_a = opened(r, "_a")
+                    a, shift, every, weight = _unit(x_a), len(ids_a), np.concatenate((ids_a, ids)), np.concatenate((weight_a, weight))
                 u, v = interval_join(a, b, a @ axes, b @ axes, least, eps, same)
                 if not len(u):
                     continue
-                every = ids if same else np.concatenate((ids, ids2))
-                weight = np.array(r["weights_a"] if same else r["weights_a"] + r["weights"])
-                v = v if same else v + len(ids)
+                v = v + shift
                 sums = np.zeros(len(every), np.int64)
                 np.add.at(sums, u, weight[v])
                 np.add.at(sums, v, weight[u])
@@ -177,4 +199,8 @@ def _links(nodes: DataFrame, axes: np.ndarray, least: float, eps: float) -> Data
                 some = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((every[order][node], every[some]))), pa.array([*every[order][root].tolist(), *[None] * len(some)], pa.int64()), pa.array(np.concatenate((np.zeros(len(node), np.int64), sums[some])))], names=["u", "v", "n"])
 
-    return pairs.select("block_a", "ids_a", "weights_a", "vectors_a", "block", *data).mapInArrow(run, "u long, v long, n long")
+    parcels = blocks.select("block", *data).join(sized(pairs, 1 << 16), F.col("block") == F.col("from")).select("to", "low", "high", *data)
+    parcels = parcels.mapInArrow(visit, "block long, nodes_a binary, weights_a binary, vectors_a binary")
+    met = parcels.join(blocks.select("block", *data), "block").select(*[f"{c}_a" for c in data], *data)
+    own = blocks.select(*[F.lit(None).cast("binary").alias(f"{c}_a") for c in data], *data)
+    return met.union(own).mapInArrow(compare, "u long, v long, n long")

@@ -384,6 +384,17 @@ def test_cosine_groups_match_brute_force(spark):
     assert sorted((r.id, r.n_links, r.component) for r in got) == [(i, degree[i], want[i]) for i in range(406)]
 
 
+def test_cosine_groups_of_repeated_ids_and_extreme_values(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.1], 0), (3, [0.1, 1.0], 0), (3, [0.1, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = sorted(((r.id or -1, r.n_links, r.component or -1) for r in epsilon_grid.cosine_groups(spark.createDataFrame(rows, schema)).collect()))
+    assert got == [(-1, 0, -1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+    rows = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [1.0, -1.0], 0), (4, [-1e300, 1e308], 0)]
+    got = sorted((r.id, r.n_links, r.component) for r in epsilon_grid.cosine_groups(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+    assert epsilon_grid.cosine_groups(spark.createDataFrame([], schema)).count() == 0
+
+
 def plain_fingerprint(text, words=4):
     t = text.encode().lower().split()
     if not t:
