@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut into words; of each distinct word, all substrings up to the longest piece are joined to the piece table,
-the edges are grouped by end and by word, and a higher-order aggregate folds them into the best path (Viterbi).
+the edges are grouped by end and by word, and a higher-order aggregate folds them into the best path (Viterbi). Words go
+by a number of their own, so that no row of the lattice holds a whole word, and the fold remembers only as many scores as
+the longest piece has characters; a word of any length costs its length.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from .common import written
 
 #: The mark of a space, and how much worse than the worst piece a byte of an unknown character scores.
 SPACE, BYTE_PENALTY = "▁", 10.0
+#: Characters of a word that are cut into substrings at once, ends that are folded at once, and the most frequent words,
+#: whose pieces meet the texts by broadcast.
+CHUNK, STEP, HEAD = 256, 256, 1 << 16
 
 
 def pieces(spark: SparkSession, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -36,42 +41,76 @@ def words(text):
     return F.split(marked, f"(?<!{SPACE})(?={SPACE})")
 
 
-def encode_words(distinct: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, ids): the best-scoring pieces of each distinct word; ties go to the longer last piece. A character without a piece becomes its bytes."""
-    normal, first_byte = table.where("score is not null"), table.where("piece = '<0x00>'").first()
+def code_bytes(code: str) -> str:
+    """SQL of the UTF-8 bytes of a code point, as an array of ints."""
+    tail = lambda shift: f"((shiftright({code}, {shift}) & 63) | 128)"
+    return f"""case when {code} < 128 then array({code}) when {code} < 2048 then array(shiftright({code}, 6) | 192, {tail(0)})
+        when {code} < 65536 then array(shiftright({code}, 12) | 224, {tail(6)}, {tail(0)}) else array(shiftright({code}, 18) | 240, {tail(12)}, {tail(6)}, {tail(0)}) end"""
+
+
+def lattice_edges(words_: DataFrame, table: DataFrame) -> DataFrame:
+    """(wid, end, len, score, code) of every piece that stands in a word (wid, word, n), and of every character without one.
+
+    code is the piece's id, or -1 minus the character's code point.
+    """
+    normal = table.where("score is not null")
     longest, worst = normal.agg(F.max(F.length("piece")), F.min("score")).first()
-    size = F.length("word")
-    starts = distinct.select("word", size.alias("n"), F.explode(F.sequence(F.lit(1), size)).alias("start"))
-    spans = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start") + 1))).alias("len"))
-    spans = spans.withColumn("piece", F.col("word").substr(F.col("start"), F.col("len")))
+    chunks = words_.select("wid", "n", F.expr(f"explode(transform(sequence(0, (n - 1) div {CHUNK}), k -> named_struct('from', int(k * {CHUNK}), 'part', substring(word, int(k * {CHUNK}) + 1, {CHUNK + longest - 1}))))").alias("c"))
+    chunks = chunks.select("wid", "n", "c.from", "c.part")
+    starts = chunks.select("wid", "from", "part", F.length("part").alias("size"), F.expr(f"explode(sequence(1, least({CHUNK}, n - from)))").alias("start"))
+    spans = starts.select("wid", "from", "part", "start", F.expr(f"explode(sequence(1, least({longest}, size - start + 1)))").alias("len"))
+    spans = spans.select("wid", (F.col("from") + F.col("start") + F.col("len") - 1).alias("end"), "len", F.col("part").substr(F.col("start"), F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(normal.select("piece", "id", "score")), "piece", "left").where("id is not null or len = 1")  # the vocabulary is fixed
-    code = F.hex(F.encode("piece", "UTF-8"))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + F.lit(first_byte.id if first_byte else 0))
-    edge = F.struct(F.coalesce("score", (worst - BYTE_PENALTY) * F.octet_length("piece")).alias("score"), (F.col("start") - 1).alias("from"), F.when(F.col("id").isNull(), bytes_).otherwise(F.array("id")).alias("ids"))
-    ends = found.groupBy("word", "n", (F.col("start") + F.col("len") - 1).alias("end")).agg(F.collect_list(edge).alias("edges"))
-    lattice = ends.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    zero = "array(named_struct('score', 0D, 'from', 0, 'ids', array(0)))"
-    best = F.expr(f"aggregate(ends, {zero}, (best, e) -> concat(best, array(array_max(transform(e.edges, x -> named_struct('score', element_at(best, x.from + 1).score + x.score, 'from', x.from, 'ids', x.ids))))))")
-    back = F.expr("aggregate(sequence(n, 1, -1), named_struct('at', n, 'ids', slice(array(array(0)), 1, 0)), (s, e) -> if(s.at = e, named_struct('at', element_at(best, e + 1).from, 'ids', concat(array(element_at(best, e + 1).ids), s.ids)), s), s -> flatten(s.ids))")
-    return lattice.select("word", "n", best.alias("best")).select("word", back.alias("ids"))
-
-
-def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of every whole text under the model's piece scores; null counts as empty, which is one space.
-
-    Rows that share an id are kept apart by a row number of their own. Decoding gives the text back, but for the mark
-    of a space itself, which comes back as a space. An empty table gives no rows.
+    score = F.coalesce("score", (worst - BYTE_PENALTY) * F.octet_length("piece"))
+    return found.select("wid", "end", "len", score.alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("code"))
+
+
+def encode_words(distinct: DataFrame, table: DataFrame) -> DataFrame:
+    """(word, ids): the best-scoring pieces of each distinct word; ties go to the longer last piece. A character without a piece becomes its bytes."""
+    known = written(distinct.select("word", F.length("word").alias("n"), F.monotonically_increasing_id().alias("wid")), "distinct")
+    letters, longest = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], table.where("score is not null").agg(F.max(F.length("piece"))).first()[0]
+    dealt = known.repartition(int(letters // 500_000) + 1, "wid")  # what a task folds is bounded by letters; edges stay there
+    edge = F.struct("score", "len", "code")
+    ends = lattice_edges(dealt, table).groupBy("wid", "end").agg(F.collect_list(edge).alias("edges"))
+    lattice = ends.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
+    step = f"slice(ends, int(k * {STEP}) + 1, {STEP})"
+    none = "slice(array(named_struct('len', 0, 'code', 0)), 1, 0)"
+    best = "array_max(transform(e.edges, x -> named_struct('score', element_at(s.ring, x.len) + x.score, 'len', x.len, 'code', x.code)))"
+    push = f"transform(array({best}), b -> named_struct('ring', slice(concat(array(b.score), s.ring), 1, {longest}), 'back', concat(s.back, array(named_struct('len', b.len, 'code', b.code)))))[0]"
+    inner = f"aggregate({step}, named_struct('ring', t.ring, 'back', {none}), (s, e) -> {push})"
+    outer = f"""aggregate(sequence(0, (size(ends) - 1) div {STEP}), named_struct('ring', array(0D), 'parts', slice(array({none}), 1, 0)),
+        (t, k) -> transform(array({inner}), r -> named_struct('ring', r.ring, 'parts', concat(t.parts, array(r.back))))[0], t -> t.parts)"""
+    take = "if(s.skip = 0, named_struct('skip', e.len - 1, 'codes', concat(s.codes, array(e.code))), named_struct('skip', s.skip - 1, 'codes', s.codes))"
+    back = f"""reverse(flatten(aggregate(reverse(parts), named_struct('skip', 0, 'lists', slice(array(array(0)), 1, 0)),
+        (t, p) -> transform(array(aggregate(reverse(p), named_struct('skip', t.skip, 'codes', slice(array(0), 1, 0)), (s, e) -> {take})), r -> named_struct('skip', r.skip, 'lists', concat(t.lists, array(r.codes))))[0], t -> t.lists)))"""
+    first_byte = table.where("piece = '<0x00>'").first()
+    ids = f"flatten(transform(codes, c -> if(c >= 0, array(c), transform({code_bytes('(-1 - c)')}, b -> b + {first_byte.id if first_byte else 0}))))"
+    paths = lattice.select("wid", F.expr(outer).alias("parts")).select("wid", F.expr(back).alias("codes")).select("wid", F.expr(ids).alias("ids"))
+    return known.join(paths, "wid").select("word", "ids")
+
+
+def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ids, and the columns of `keep`) of every whole text under the model's piece scores; null counts as empty, which is one space.
+
+    Rows go by a number of their own, so repeated and null ids are kept apart; documents must come in the same order when
+    read again, as rows of files do. Decoding gives the text back, but for the mark of a space itself, which comes back
+    as a space. An empty table gives no rows. Words of any length are read whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words"))
-    known = written(encode_words(rows.select(F.explode("words").alias("word")).distinct(), table), "words")
-    flat = rows.select("id", "row", F.posexplode("words").alias("pos", "word"))
-    joined = flat.join(known, "word").groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    return joined.select("id", F.flatten(F.col("parts.ids")).alias("ids"))
+    rows = docs.select(F.col(id_col).alias("id"), *keep, F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words"))
+    counts = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
+    known = written(encode_words(counts.select("word"), table), "words")
+    head = F.broadcast(known.join(F.broadcast(counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word")), "word"))
+    flat = rows.select("id", *keep, "row", F.posexplode("words").alias("pos", "word"))
+    met = flat.join(head, "word", "left")
+    tail = met.where("ids is null").drop("ids").join(known, "word")
+    joined = met.where("ids is not null").unionByName(tail).select("id", *keep, "row", F.struct("pos", "ids").alias("part"))
+    joined = joined.groupBy("row", "id", *keep).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return joined.select("id", F.flatten(F.col("parts.ids")).alias("ids"), *keep)
 
 
 def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    """(id, text) of (id, ids) rows: pieces joined by id, bytes put together; the space before the text is taken off."""
-    rows = encoded.select("id", "ids", F.monotonically_increasing_id().alias("row")).select("id", "row", F.posexplode_outer("ids").alias("pos", "piece_id"))
-    joined = rows.join(F.broadcast(table.select(F.col("id").alias("piece_id"), "hex")), "piece_id", "left")
-    text = F.decode(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("hex", F.lit("")).alias("hex")))), lambda x: x["hex"]), "")), "UTF-8")
-    return joined.groupBy("id", "row").agg(text.alias("text")).select("id", F.expr("substring(text, 2)").alias("text"))
+    """The rows of encode with the text of their ids: each id's bytes looked up, put together; the space before the text is taken off."""
+    names = {r.id: r.hex for r in table.select("id", "hex").collect()}  # the vocabulary is fixed
+    listed = F.split(F.lit(",".join(names.get(i, "") for i in range(max(names, default=0) + 1))), ",")
+    whole = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(listed, i), F.lit(""))), "")), "UTF-8")
+    return encoded.select(*encoded.columns, F.substring(whole, 2, 1 << 30).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, backoff, epsilon_grid, language, lattice, line_dedup, packing, quality, simhash, toxicity
-from .common import in_fold, table, written
+from .common import in_fold, table
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,23 +29,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pieces = table(spark, sf_dir, "documents", "doc_id", "text"), lattice.pieces(spark)
-    encoded = written(lattice.encode(docs, pieces), "encoded")
-    decoded = lattice.decode(encoded, pieces).select("id", F.sha2("text", 256).alias("decoded_sha256"))
-    sizes = encoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"))
-    return sizes.join(decoded, sizes.doc_id == decoded.id).join(docs.select(F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")), "id").select("doc_id", "n_pieces", "ids_hash", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    pieces, text = lattice.pieces(spark), F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text_sha256", F.sha2(F.translate(text, lattice.SPACE, " "), 256))
+    decoded = lattice.decode(lattice.encode(docs, pieces, keep=("text_sha256",)), pieces)
+    return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 def op4_media_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.audio_features(audio.encode_audio(table(spark, sf_dir, "documents", "doc_id", "text")))
     voiced = F.aggregate("spans", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"])
-    bands = F.concat_ws(",", F.transform("mel_mean", lambda x: F.format_number(x, 2)))
+    bands = F.concat_ws(",", F.transform("mel_mean", lambda x: F.round(x, 2).cast("string")))
     size = F.octet_length("samples").cast("long")
     return out.select(
         F.col("id").alias("doc_id"), "n_bytes", size.alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(samples, greatest(1, octet_length(samples) - 31), 32)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", F.col("frames").cast("string"), F.size("spans").cast("string"), F.format_number(voiced, 2), bands).alias("feature"),
+        F.concat_ws(";", F.col("frames").cast("string"), F.size("spans").cast("string"), F.round(voiced, 2).cast("string"), bands, F.sha2("features", 256)).alias("feature"),
     )
 
 
