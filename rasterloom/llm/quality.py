@@ -62,7 +62,7 @@ def votes(seen: dict[str, float]) -> str:
 def shape(word: bytes) -> bytes:
     for pattern, to in SHAPES:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 def features(text: bytes, seen: dict[str, float], known: dict[bytes, int]) -> dict[int, float]:
@@ -164,12 +164,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray, float], text_col: str = "text", posterior_col: str = "posterior", score_col: str = "score") -> DataFrame:
     """The documents with the labellers' posterior and the scorer's probability of good quality.
 
-    All columns pass unchanged. Null text counts as empty; texts of a few words get no votes and, as nothing speaks
+    All columns pass unchanged; a new column whose name is taken gets an underscore before it. Null text counts as empty; texts of a few words get no votes and, as nothing speaks
     against them, a high score. Equal texts get equal values; an empty table gives no rows.
     """
     posterior, theta, bias = model
     bound_batches(docs.sparkSession, 8 << 20)
     at = docs.columns.index(text_col)
+    posterior_col = fresh(docs, posterior_col)
+    score_col = fresh(docs, score_col)
     schema = docs.select("*", F.lit(0.0).alias(posterior_col), F.lit(0.0).alias(score_col)).schema
 
     def run(parts: Batches) -> Batches:
