@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import Batches, bound_batches
 
-#: Hashed feature slots; labelled documents of either label that the model is fitted on at most; passes over them.
-SLOTS, SAMPLE, EPOCHS = 1 << 18, 4000, 150
+#: Hashed feature slots; labelled documents of either label that the model is fitted on at most, and bytes of their texts
+#: at most; passes over them.
+SLOTS, SAMPLE, SAMPLE_BYTES, EPOCHS = 1 << 18, 4000, 16 << 20, 150
 PREFIXES = range(4, 10)
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: ASCII letters stay, other ASCII becomes space; bytes of other characters stay.
@@ -94,8 +95,9 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS,
     return Model(theta, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits the model on at most `sample` labelled documents of each label, those of the smallest id hashes.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits the model on at most `sample` labelled documents of each label and `sample_bytes` of their whole texts, those of
+    the smallest id hashes; a text that would exceed the bytes left is passed over.
 
     labels: (id, label 0/1); rows with a null id or label are left out. Only these texts reach the driver.
     """
@@ -105,8 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "text", "y").dropDuplicates(["id"])
-    rows = sorted(texts.collect())
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = every.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).orderBy(F.xxhash64("id"), "id").collect()
+    chosen, left = [], {0: sample_bytes, 1: sample_bytes}
+    for r in sizes:  # two samples at most
+        if r["size"] <= left[r.y]:
+            left[r.y] -= r["size"]
+            chosen.append((r.id, r.y))
+    chosen = docs.sparkSession.createDataFrame(chosen, every.select("id", F.lit(0).alias("y")).schema)
+    texts = every.join(F.broadcast(chosen), "id").select("id", "text", "y").groupBy("id", "y").agg(F.max("text").alias("text")).select("id", "text", "y")
+    rows = sorted(texts.collect(), key=lambda r: r.id)
     return fit([r.text or "" for r in rows], [r.y for r in rows], by.get(1, 0) / max(1, sum(by.values())))
 
 
