@@ -31,8 +31,42 @@ EVIDENCE, WIDER, RARE = 60.0, 20.0, 0.01
 #: Trigrams of a word that are summed at once, so that a text without spaces needs no more memory than others.
 CHUNK = 1 << 12
 LETTERS = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
-TAG, DECLARED = re.compile(r"<[^>]*>"), re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+ROOT, DECLARED = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+
+
+def visible(page: str) -> str:
+    """A page's text: a space for each comment, script, style and tag. What is opened and never closed counts as a tag, a `<`
+    without any `>` after it as text. No closing mark is looked for again once there is none, so broken pages cost their length."""
+    out, at, missing = [], 0, set()
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            return "".join((*out, page[at:]))
+        out.append(page[at:i])
+        found = HIDDEN.match(page, i)
+        name = "-->" if page.startswith("<!--", i) else found[1].lower() if found else None
+        if name and name not in missing:
+            end = page.find("-->", i + 4) + 3 if name == "-->" else getattr(CLOSED[name].search(page, found.end()), "end", int)()
+            if end > i:
+                out.append(" ")
+                at = end
+                continue
+            missing.add(name)
+        end = page.find(">", i)
+        if end < 0:
+            return "".join((*out, page[i:]))
+        out.append(" ")
+        at = end + 1
+
+
+def declared_language(page: str) -> str | None:
+    """The lang attribute of the first html tag."""
+    root = ROOT.search(page)
+    end = page.find(">", root.end()) if root else -1
+    found = DECLARED.search(page, root.end(), end) if end >= 0 else None
+    return found[1].lower() if found else None
 
 
 def words_of(text: str) -> list[bytes]:
@@ -66,9 +100,8 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts, declared, hosts, suffixes = [], [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 page = page or ""
-                found = DECLARED.search(page)
-                declared.append(found[1].lower() if found else None)
-                texts.append(html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page))))
+                declared.append(declared_language(page))
+                texts.append(html.unescape(visible(page)))
                 host, suffix = address(url)
                 hosts.append(host)
                 suffixes.append(suffix)
@@ -148,7 +181,7 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     seen = written(seen, "evidence")
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(len(classes))]
     of = lambda n: F.array(*[F.col(f"s{i}") for i in range(len(classes))]).alias(n)
-    grouped = lambda keys, n: seen.groupBy(*keys).agg(*sums).select(*keys, of(n))
+    grouped = lambda keys, n: sized(written(seen.groupBy(*keys).agg(*sums).select(*keys, of(n)), n), 1 << 16)
     everything = [x or 0.0 for x in seen.agg(*sums).first()]
     trust = np.full((len(classes), len(languages) + 2), 0.5)  # classes x what is declared
     said = [*languages, OTHER, "-"]
@@ -159,6 +192,7 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     wide = F.array(*[F.lit(float(x)) for x in base / base.sum()])
     narrow = lambda counts, prior: scaled(F.zip_with(F.zip_with(counts, F.col("soft"), lambda n, s: F.greatest(n - s, F.lit(0.0))), prior, lambda n, p: n + WIDER * p))
     told = F.create_map(*[x for j, d in enumerate(said) for x in (F.lit(d), F.array(*[F.lit(float(np.log(trust[i, j]))) for i in range(len(classes))]))])
+    # suffixes and domains are few as a rule and meet the rows by broadcast, so that a hot one is no hot key of a shuffle
     out = seen.join(grouped(["suffix"], "of_suffix"), "suffix").join(grouped(["suffix", "domain"], "of_domain"), ["suffix", "domain"]).join(grouped(["suffix", "domain", "host"], "of_host"), ["suffix", "domain", "host"])
     out = out.withColumn("prior", narrow(F.col("of_suffix"), wide))
     out = out.withColumn("prior", narrow(F.col("of_domain"), F.col("prior")))
