@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -221,12 +222,36 @@ def test_lattice_round_trip_and_best_path(spark):
     assert back == {i: t or "" for i, t in enumerate(texts)}
     scores = {r.piece: r.score for r in table.where("score is not null").collect()}
     names = {r.id: r.piece for r in table.collect()}
-    word = "▁Hello"
-    best = [0.0] + [-math.inf] * len(word)
-    for e in range(1, len(word) + 1):
-        best[e] = max(best[s] + scores[word[s:e]] for s in range(e) if word[s:e] in scores)
-    ids = next(r.ids for r in encode_rows(spark, [word], table))
-    assert "".join(names[i] for i in ids) == word and sum(scores[names[i]] for i in ids) == best[-1]
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect()
+    some = sorted({w for r in sample for w in ("▁" + r.text.replace(" ", "▁").replace("▁", " ▁")).split(" ") if w})[:400]
+    some += ["▁Hello", "▁日本🙂x", "🙂", "\u0000", "▁" * 5, "a" * 40, "▁\n\t", "ß日" * 30]
+    first, worst, longest = next(i for i, p in names.items() if p == "<0x00>"), min(scores.values()), max(map(len, scores))
+    by = {r.word: r.ids for r in encode_rows(spark, some, table)}
+    assert by.keys() == set(some)
+    for word in some:
+        best = [0.0] + [-math.inf] * len(word)
+        for e in range(1, len(word) + 1):
+            for at in range(max(0, e - longest), e):
+                piece = word[at:e]
+                if piece in scores:
+                    best[e] = max(best[e], best[at] + scores[piece])
+                elif len(piece) == 1:
+                    best[e] = max(best[e], best[at] + (worst - lattice.BYTE_PENALTY) * len(piece.encode()))
+        out, total = b"", 0.0
+        for i in by[word]:
+            ordinary = names[i] in scores
+            out += names[i].encode() if ordinary else bytes([i - first])
+            total += scores[names[i]] if ordinary else worst - lattice.BYTE_PENALTY
+        assert out == word.encode() and abs(total - best[-1]) < 1e-6
+
+
+def test_lattice_keeps_rows_and_long_words(spark):
+    table = lattice.pieces(spark)
+    rows = [(1, "one text"), (1, "one text"), (None, "no id"), (1, "another"), (2, "x" * 60_000 + "日" * 2_000), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
+    back = lattice.decode(lattice.encode(docs, table), table).collect()
+    assert sorted(((r.id or 0, r.text) for r in back)) == sorted((i or 0, t) for i, t in rows)
+    assert lattice.encode(docs.limit(0), table).count() == 0
 
 
 def encode_rows(spark, words, table):
@@ -256,6 +281,41 @@ def test_resampling_keeps_a_tone_and_stops_aliases():
     assert audio.segments(np.array([0, 0, 1.0, 0.1, 0, 0.1, 0, 0, 0, 0])) == [(2, 4)]
 
 
+def test_audio_features_match_plain_versions():
+    rng = np.random.default_rng(7)
+    x, filters = rng.normal(size=1000).astype(np.float32), audio.phases()
+    up, taps = filters.shape
+    proto = filters[:, ::-1].T.ravel()  # the whole low-pass
+    plain = []
+    for i in range(-(-len(x) * up // audio.DOWN)):
+        at, phase = divmod(i * audio.DOWN, up)
+        plain.append(sum(float(proto[k * up + phase]) * float(x[at + taps - 1 - k - taps // 2]) for k in range(taps) if 0 <= at + taps - 1 - k - taps // 2 < len(x)))
+    assert np.allclose(audio.resample(x, filters), plain, atol=1e-4)
+    signal, bands = rng.normal(size=1500), audio.mel_filters()
+    mel = audio.log_mel(signal, bands)
+    wide = np.concatenate((signal, np.zeros(audio.FRAME)))
+    for f in range(len(mel)):
+        part = wide[f * audio.HOP : f * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME)
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(audio.FRAME) / audio.FRAME))) ** 2 for k in range(audio.FRAME // 2 + 1)]
+        assert np.allclose(mel[f], np.log10(np.array(power) @ bands + 1e-10), atol=1e-6)
+    energy = rng.random(60)
+    base, want, run = np.median(energy), [], None
+    for i, e in enumerate([*energy, -9.0]):
+        if e >= base + 0.05:
+            run = i if run is None else run
+        elif run is not None:
+            want += [(run, i)] if max(energy[run:i]) >= base + 0.15 else []
+            run = None
+    assert audio.segments(energy) == want
+    patches = audio.read_tensors(audio.tensors(mel, 0.1))
+    held = patches["patch"].chunk(0).to_numpy_ndarray().reshape(-1, audio.BANDS)
+    assert np.allclose(held[: len(mel)], mel, atol=1e-5) and patches["end_s"].to_pylist()[-1] == len(mel) * 0.1
+
+
+def test_audio_of_an_empty_table(spark):
+    assert audio.audio_features(audio.encode_audio(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
 # --- 5, 6, 7: models ---------------------------------------------------------------------------------------------
 
 
@@ -307,6 +367,76 @@ def test_language_of_pages(spark):
     assert len(rows) == len(pages) and np.mean([f"/{r.lang}/" in pages[r.page_id] for r in rows]) > 0.97
 
 
+def test_broken_markup_costs_its_length():
+    page = "<html lang='de'><head><style>p {}</style></head><!-- x --><p>ein <b>Wort</b><script>var a = '<p>'</script > und 1 < 2"
+    assert language.visible(page).split() == "ein Wort und 1 < 2".split() and language.declared_language(page) == "de"
+    assert language.visible("a <!-- b <p>c") .split() == ["a", "c"] and language.declared_language("<html <html lang=en") is None
+    import time
+
+    for bad in ("<script ", "<!--", "<", "<html ", "</script"):
+        began = time.time()
+        language.visible(bad * 200_000)
+        language.declared_language(bad * 200_000)
+        assert time.time() - began < 5
+
+
+def test_odd_addresses_and_empty_pages(spark):
+    rows = [(1, "http://[broken", "<p>x</p>"), (2, None, None), (3, "https://a.example.de/fr/x", ""), (4, "no address", "<html lang=>y")]
+    got = {r.id: (r.host, r.suffix, r.declared) for r in language.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("", "", None), 2: ("", "", None), 3: ("a.example.de", "de/fr", None), 4: ("", "", None)}
+    pages = language.page_evidence(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert language.identify(pages, np.zeros((4, language.SLOTS))).count() == 0
+
+
+def test_long_words_keep_their_shape():
+    assert quality.shape(b"aB" * 200) != quality.shape(b"aB" * 201) and len(quality.shape(b"aB" * 200)) == 400
+
+
+def test_quality_fit_matches_plain_steps():
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(50, 5, replace=False).tolist(), rng.random(5).tolist(), float(rng.random())) for _ in range(40)]
+    theta, bias = quality.fit(rows, rounds=3)
+    want, b, seen, seen_b = np.zeros(quality.SLOTS), 1.0, np.zeros(quality.SLOTS), 0.0
+    for _ in range(3):
+        grad, gb = 1e-4 * want, 0.0
+        for slots, values, y in rows:
+            p = 1 / (1 + math.exp(-(b + sum(want[s] * v for s, v in zip(slots, values, strict=True)))))
+            for s, v in zip(slots, values, strict=True):
+                grad[s] += (p - y) / len(rows) * v
+            gb += (p - y) / len(rows)
+        seen, seen_b = seen + grad**2, seen_b + gb**2
+        want, b = want - grad / (np.sqrt(seen) + 1e-3), b - gb / (math.sqrt(seen_b) + 1e-3)
+    assert np.allclose(theta, want) and math.isclose(bias, b)
+
+
+def test_quality_score_passes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some words", 0.25, "x")], "doc_id long, text string, score double, posterior string")
+    out = quality.score(docs, quality.train(docs))
+    assert out.columns == [*docs.columns, "_posterior", "_score"] and tuple(out.first())[:4] == (1, "some words", 0.25, "x")
+
+
+def test_toxicity_matches_a_plain_noisy_or(spark):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=toxicity.SLOTS), -1.0)
+    texts = ["One bad word. Another line!\nthird, third?", "", None, "...", "word " * 3000]
+    got = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        clean = 1.0
+        parts = [p for p in re.split(r"[.!?\n]", texts[r.id] or "") if p] or [""]
+        for part in parts:
+            words = set("".join(c if c.isalpha() else " " for c in part.lower()).split())
+            clean *= 1 - 1 / (1 + math.exp(-(-1.0 + sum(model.word(w.encode()) for w in words))))
+        assert math.isclose(r.score, 1 - clean, abs_tol=1e-9)
+        assert all(texts[r.id][o.begin : o.end] == o.text and o.score >= 0.5 for o in r.offending)
+
+
+def test_toxicity_training_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "fine words here. " + ("you idiot" if i % 2 else "a day") + " x" * (100_000 if i < 2 else 0)) for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_bytes=5_000)
+    assert model.word(b"idiot") > 3 and model.word(b"x") == 0
+
+
 def test_text_without_spaces_is_read_whole(spark, data):
     table = spark.read.parquet(f"{data}/documents.parquet")
     likelihoods = language.train(table)
