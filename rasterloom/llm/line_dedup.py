@@ -18,7 +18,7 @@ from .components import components
 #: Characters from which a line may differ by all EDITS edits from a near duplicate; shorter ones by fewer, in proportion.
 LEAST, EDITS = 24, 2
 #: Lines that own a segment from which those that meet it are told apart by rings of cells instead, and cells of a line.
-HOT, CELLS = 6, 32
+HOT, CELLS = 16, 32
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
@@ -57,42 +57,42 @@ def classes(edits: int, least: int) -> list[tuple[int, int, int | None]]:
 def segment_keys(once: DataFrame, edits: int, least: int) -> DataFrame:
     """(key, h, own) of each line's own segments (own = 1), and of its substrings where a segment of a shorter line, or a
     shifted one of an equally long line, can stand (own = 0). A key holds the shorter line's length and the segment's number."""
-    keys = []
-    for k, low, high in classes(edits, least):
-        for d, i, s in _places(k):
-            inside = f"len >= {low + d}" + (f" and len < {high + d}" if high else "")
-            keys.append(f"if({inside}, named_struct('key', {_key(str(i), f'(len - {d})', str(k + 1), str(s))}, 'own', {int(d == s == 0)}), null)")
-    spread = once.select("h", F.expr(f"explode(array({', '.join(keys)}))").alias("at"))
-    return spread.where("at.key is not null").select("at.key", "h", "at.own")
+    places = [(k + 1, low + d, high + d if high else 1 << 31, d, i, s, int(d == s == 0)) for k, low, high in classes(edits, least) for d, i, s in _places(k)]
+    at = F.explode(F.array(*[F.struct(*[F.lit(x).cast("int" if x < 1 << 31 else "long").alias(n) for n, x in zip(("parts", "low", "high", "d", "i", "s", "own"), p, strict=True)]) for p in places])).alias("at")
+    spread = once.select("h", "line", "len", at).where("len >= at.low and len < at.high")
+    spread = spread.select("h", "line", "len", "at.parts", "at.i", "at.s", "at.own", (F.col("len") - F.col("at.d")).alias("size"))
+    return spread.select(F.expr(_key("i", "size", "parts", "s")).alias("key"), "h", "own").where("key is not null")
 
 
 def ring_pairs(crowd: DataFrame, edits: int, least: int) -> DataFrame:
     """(h, h2) candidates among lines that share a segment with many others; h is the shorter line or as long.
 
-    A line is cut into CELLS cells. A cell (the centre), its two neighbours, the two beyond these, and so on are edits + 1
-    disjoint parts of the line, so one of them stands whole in any line within the threshold, each of its two cells shifted
-    by a few places. Of all centres the one whose parts the fewest lines meet is taken: where the variants of one line
-    differ, the parts about the difference are met only by those that differ there.
+    A line is cut into CELLS cells. A cell (the centre), its two neighbours, and so on up to the rest of the line on both
+    sides are edits + 1 disjoint parts, so one of them stands whole in any line within the threshold: the rest at both
+    ends, another part with each of its two cells shifted by a few places. Of all centres the one whose parts the fewest
+    lines meet is taken: where the variants of one line differ, the parts about it are met only by those that differ there.
     """
     cells = f"greatest({2 * edits + 1}, least({CELLS}, size div 2))"
     cell = lambda i, shift: f"substring(line, {_start(i, 'size', cells)} + {shift} + 1, {_start(f'({i} + 1)', 'size', cells)} - {_start(i, 'size', cells)})"
+    ends = f"substring(line, 1, {_start('(c - r + 1)', 'size', cells)}), substring(line, {_start('(c + r)', 'size', cells)} + d + 1, size)"
     far = range(-edits, edits + 1)
-    own = [(0, r, 0, 0) for r in range(edits + 1)]
-    met = [(d, r, s, t) for d in range(edits + 1) for r in range(edits + 1) for s in far for t in far if abs(s) + abs(t - s) + abs(d - t) <= edits and (r or s == t)]
+    met = [(d, r, s, t) for d in range(edits + 1) for r in range(edits) for s in far for t in far if abs(s) + abs(t - s) + abs(d - t) <= edits and (r or s == t)]
+    met += [(d, edits, 0, d) for d in range(edits + 1)]
 
     def keys(places: list[tuple[int, int, int, int]]) -> DataFrame:
-        """(h, c, key): for a line longer by d, the two cells r places beside the centre, shifted by s and by t."""
+        """(h, d, c, key): for a line longer by d, the two cells r places beside the centre, shifted by s and by t."""
         place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("drst", p, strict=True)]) for p in places])).alias("at")
         at = crowd.select("h", "line", "len", place).select("h", "line", "len", "at.*", (F.col("len") - F.col("at.d")).alias("size")).where(F.col("size") >= least)
         at = at.select("*", F.expr(f"explode(sequence({edits}, {cells} - {edits + 1}))").alias("c"))
         inside = f"{_start('(c - r)', 'size', cells)} + s >= 0 and {_start('(c + r + 1)', 'size', cells)} + t <= len"
-        return at.where(inside).select("h", "c", F.expr(f"xxhash64(size, c, r, {cell('(c - r)', 's')}, if(r = 0, '', {cell('(c + r)', 't')}))").alias("key"))
+        key = f"if(r = {edits}, xxhash64(size, c, r, {ends}), xxhash64(size, c, r, {cell('(c - r)', 's')}, if(r = 0, '', {cell('(c + r)', 't')})))"
+        return at.where(inside).select("h", "d", "c", F.expr(key).alias("key"))
 
-    probe = written(keys(met).select(F.col("h").alias("h2"), "key"), "probes")
-    parts = keys(own)
+    probe = written(keys(met).select(F.col("h").alias("h2"), "d", "key"), "probes")
+    parts = keys([(0, r, 0, 0) for r in range(edits + 1)])
     counts = probe.groupBy("key").agg(F.count("*").alias("n"))
     centre = parts.join(counts, "key").groupBy("h", "c").agg(F.sum("n").alias("n")).groupBy("h").agg(F.min_by("c", F.struct("n", "c")).alias("c"))
-    return parts.join(centre, ["h", "c"]).select("h", "key").join(probe, "key").where("h != h2").select("h", "h2")
+    return parts.join(centre, ["h", "c"]).select("h", "key").join(probe, "key").where("h < h2 or (d > 0 and h > h2)").select("h", "h2")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -150,7 +150,7 @@ def line_links(once: DataFrame, edits: int, least: int) -> DataFrame:
     met = keys.withColumns({"n": F.count("*").over(within), "owners": F.sum("own").over(within)}).where("n > 1 and owners > 0")
     met = written(met.select("key", "h", "own", "owners"), "met")
     few = met.where(F.col("owners") <= HOT)
-    pairs = few.where("own = 1").select("key", "h").join(few.select("key", F.col("h").alias("h2")), "key").where("h != h2").select("h", "h2")
+    pairs = few.where("own = 1").select("key", "h").join(few.select("key", F.col("h").alias("h2"), F.col("own").alias("both")), "key").where("h < h2 or (both = 0 and h > h2)").select("h", "h2")
     crowded = written(met.where(F.col("owners") > HOT).select("h").distinct(), "crowded")
     if not crowded.isEmpty():
         crowd = written(once.join(sized(crowded), "h", "left_semi").dropDuplicates(["h"]), "crowd")
