@@ -17,8 +17,9 @@ from .components import components
 
 #: Characters from which a line may differ by all EDITS edits from a near duplicate; shorter ones by fewer, in proportion.
 LEAST, EDITS = 24, 2
-#: Lines that own a segment from which those that meet it are told apart by rings of cells instead, and cells of a line.
-HOT, CELLS = 16, 32
+#: Lines that own a segment from which those that meet it are told apart by rings of cells instead, cells of a line, and
+#: lines of which a task makes the keys of all rings (about 900 each).
+HOT, CELLS, CROWD = 16, 32, 64
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
@@ -154,6 +155,7 @@ def line_links(once: DataFrame, edits: int, least: int) -> DataFrame:
     crowded = written(met.where(F.col("owners") > HOT).select("h").distinct(), "crowded")
     if not crowded.isEmpty():
         crowd = written(once.join(sized(crowded), "h", "left_semi").dropDuplicates(["h"]), "crowd")
+        crowd = crowd.repartition(max(1, crowd.count() // CROWD))
         for k, bottom, top in classes(edits, least):
             pairs = pairs.union(ring_pairs(crowd if top is None else crowd.where(F.col("len") < top + k), k, bottom))
     pairs = written(pairs.distinct(), "pairs")
