@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Batches, bound_batches, byte_texts
 
 #: Bytes of text in a block, and bytes of text whose keys one key range answers for on average.
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 12 << 20
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Kinds of counts: tokens, and tokens after one and after two others.
 WORDS, PAIRS, TRIPLES = 0, 1, 2
 #: Low bits of the keys of pairs and triples that are left out, which makes their rows smaller; 56 bits stay.
