@@ -35,12 +35,26 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str
 def cone_search(catalog: DataFrame, cones: DataFrame, limit: float | None = None) -> DataFrame:
     """(cone, id, distance) of stars within each cone (cone, ra0, dec0, radius in degrees), up to a magnitude limit.
 
-    Joined on whole degrees of declination; the exact distance decides, so right ascension needs no wrap.
+    Joined on degrees of declination and on cells of right ascension, about a degree wide in each band; a cone near a
+    pole takes all cells of a band. The exact distance decides.
     """
     stars = catalog if limit is None else catalog.where(F.col("mag") <= limit)
-    bands = cones.select("*", F.explode(F.sequence(F.floor(F.col("dec0") - F.col("radius")).cast("int"), F.floor(F.col("dec0") + F.col("radius")).cast("int"))).alias("band"))
+    count = F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("band") + 0.5) + 0.5))))).cast("int")
+    bands = cones.select("*", F.explode(F.sequence(F.floor(F.col("dec0") - F.col("radius")).cast("int"), F.floor(F.col("dec0") + F.col("radius")).cast("int"))).alias("band")).withColumn("cells", count)
+    reach = F.when(F.abs("dec0") + F.col("radius") < 89.9, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("radius")) / F.cos(F.radians("dec0"))))) + 1e-6).otherwise(180.0)
+    at = lambda ra: F.floor(ra / 360 * F.col("cells")).cast("int")
+    cells = F.array_distinct(F.transform(F.sequence(at(F.col("ra0") - reach), at(F.col("ra0") + reach)), lambda c: F.pmod(c, F.col("cells"))))
+    bands = bands.withColumn("cell", F.explode(cells)).drop("cells")
     d = angular_distance(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
-    return stars.withColumn("band", F.floor("dec").cast("int")).join(bands, "band").withColumn("distance", d).where(F.col("distance") <= F.col("radius")).select("cone", "id", "distance")
+    placed = stars.withColumn("band", F.floor("dec").cast("int")).withColumn("cells", count).withColumn("cell", F.pmod(at(F.col("ra")), F.col("cells"))).drop("cells")
+    return placed.join(bands, ["band", "cell"]).withColumn("distance", d).where(F.col("distance") <= F.col("radius")).select("cone", "id", "distance")
+
+
+def nearest(pairs: DataFrame, count: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Of the pairs of each left point, those with the nearest others (at most count; ties by the smaller id), as neighbours:
+    (id, other, xi, eta), places about the point."""
+    rank = F.row_number().over(Window.partitionBy(*on, "id_a").orderBy("d2", "id_b"))
+    return pairs.where("id_a != id_b").withColumn("rank", rank).where(F.col("rank") <= count).select(*on, F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("xb") - F.col("xa")).alias("xi"), (F.col("yb") - F.col("ya")).alias("eta"))
 
 
 def triangles(neighbours: DataFrame) -> DataFrame:
@@ -55,7 +69,8 @@ def triangles(neighbours: DataFrame) -> DataFrame:
     left = F.col("turn") < 0
     pick = lambda c, d: F.when(left, F.col(c)).otherwise(F.col(d))
     t = both.select("id", pick("o1", "o2").alias("p"), pick("o2", "o1").alias("q"), pick("x1", "x2").alias("px"), pick("y1", "y2").alias("py"), pick("x2", "x1").alias("qx"), pick("y2", "y1").alias("qy"))
-    s0, s1, s2 = F.hypot("px", "py"), F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")), F.hypot("qx", "qy")
+    length = lambda u, v: F.sqrt(u * u + v * v)
+    s0, s1, s2 = length(F.col("px"), F.col("py")), length(F.col("qx") - F.col("px"), F.col("qy") - F.col("py")), length(F.col("qx"), F.col("qy"))
     t = t.select("id", "p", "q", s0.alias("s0"), s1.alias("s1"), s2.alias("s2"))  # sides: id-p, p-q, q-id
     longest = F.greatest("s0", "s1", "s2")
     roll = F.when(F.col("s2") == longest, 0).when(F.col("s0") == longest, 1).otherwise(2)
@@ -65,11 +80,27 @@ def triangles(neighbours: DataFrame) -> DataFrame:
     return t.select(at(ids, 0).alias("id0"), at(ids, 1).alias("id1"), at(ids, 2).alias("id2"), (at(sides, 0) / at(sides, 2)).alias("k0"), (at(sides, 1) / at(sides, 2)).alias("k1"))
 
 
-def catalog_triangles(catalog: DataFrame, radius: float, limit: float = 8.0, count: int = 10) -> DataFrame:
-    """Triangles of each star up to the limit with its nearest neighbours (at most count) that are at least as bright."""
+def catalog_triangles(catalog: DataFrame, radius: float, limit: float = 8.0, count: int = 10, widest: float = 90.0) -> DataFrame:
+    """Triangles of each star up to the limit with its nearest neighbours (at most count) that are at least as bright.
+
+    Stars with fewer than count such neighbours within the radius are searched again with twice the radius, until all have
+    enough or the widest radius is reached.
+    """
     stars = catalog.where(F.col("mag") <= limit)
-    near = cone_search(stars, stars.select(F.col("id").alias("cone"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), F.lit(radius).alias("radius")))
-    near = near.where("cone != id").join(stars.select("id", "ra", "dec", "mag"), "id").join(stars.select(F.col("id").alias("cone"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), F.col("mag").alias("mag0")), "cone").where("mag <= mag0")
+    own, todo, near = stars.select(F.col("id").alias("cone"), F.col("ra").alias("ra0"), F.col("dec").alias("dec0"), F.col("mag").alias("mag0")), None, None
+    while True:
+        cones = (own if todo is None else own.join(todo, "cone", "left_semi")).withColumn("radius", F.lit(float(radius)))
+        found = cone_search(stars, cones.select("cone", "ra0", "dec0", "radius"))
+        found = found.where("cone != id").join(stars.select("id", "ra", "dec", "mag"), "id").join(own, "cone").where("mag <= mag0")
+        last = radius >= widest
+        few = own.select("cone") if todo is None else todo
+        few = few.join(found.groupBy("cone").agg(F.count("*").alias("n")), "cone", "left").where(F.coalesce("n", F.lit(0)) < count).select("cone")
+        few = few.checkpoint() if few.sparkSession.sparkContext.getCheckpointDir() else few.persist()
+        done = found if last else found.join(few, "cone", "left_anti")
+        near = done if near is None else near.unionByName(done)
+        if last or few.isEmpty():
+            break
+        todo, radius = few, min(widest, 2 * radius)
     rank = F.row_number().over(Window.partitionBy("cone").orderBy("distance", "id"))
     near = near.withColumn("rank", rank).where(F.col("rank") <= count)
     xi, eta, _ = gnomonic(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
@@ -98,7 +129,7 @@ def similarity_fit(pairs: DataFrame, keys: tuple[str, ...] = ("frame_idx",)) ->
     return t.select(*keys, F.col("s_n").cast("long").alias("n"), "a", "b", ((c["xb"] - F.col("a") * c["xa"] + F.col("b") * c["ya"]) / c["n"]).alias("dx"), ((c["yb"] - F.col("b") * c["xa"] - F.col("a") * c["ya"]) / c["n"]).alias("dy"))
 
 
-def ransac_shift(pairs: DataFrame, rounds: int = 100, tolerance: float = 1.5, seed: int = 2725) -> DataFrame:
+def ransac_shift(pairs: DataFrame, rounds: int = 100, tolerance: float = 1.5, seed: int = 17) -> DataFrame:
     """(frame_idx, dx, dy, inliers, confidence, success) of candidate pairs (xa, ya, xb, yb) of each frame.
 
     A round takes the mean offset of three pairs; over half of the pairs or 40 inliers end it early; five are needed.
@@ -123,6 +154,28 @@ def ransac_shift(pairs: DataFrame, rounds: int = 100, tolerance: float = 1.5, se
     return pairs.groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, inliers int, confidence double, success boolean")
 
 
+def fall_back(found: DataFrame, *others: DataFrame) -> DataFrame:
+    """A registration table in which frames without an offset take the first that another method found for them.
+
+    others: (frame_idx, dx, dy, success, confidence) of phase correlation, template matching, in order of preference;
+    their offsets say where the reference lies in the frame, so they are turned round.
+    """
+    for other in others:
+        o = other.where("success").select("frame_idx", (-F.col("dx")).alias("ox"), (-F.col("dy")).alias("oy"), F.col("confidence").alias("oc"))
+        missing = F.col("dx").isNull() & F.col("ox").isNotNull()
+        joined = found.join(o, "frame_idx", "left").withColumn("missing", missing)
+        pick = lambda a, b: F.when(F.col("missing"), b).otherwise(F.col(a)).alias(a)
+        found = joined.select("frame_idx", pick("dx", F.col("ox")), pick("dy", F.col("oy")), pick("rotation", F.lit(0.0)), pick("confidence", F.col("oc")), "time")
+    return found
+
+
+def near_previous(candidates: DataFrame, most: float) -> DataFrame:
+    """Offsets (frame_idx, dx, dy, ...) that lie within `most` of the last frame's before them; the others go. The frame before the first lies at 0."""
+    w = Window.orderBy("frame_idx")  # a row a frame
+    last = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
+    return candidates.withColumns({"px": last("dx"), "py": last("dy")}).where(F.hypot(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) <= most).drop("px", "py")
+
+
 def detect_shifts(points: DataFrame, reference: DataFrame, frames: DataFrame, radius: float = 100.0) -> DataFrame:
     """The registration table: a row a frame with dx, dy, rotation (degrees), confidence and seconds since the reference.
 
@@ -155,15 +208,14 @@ def star_votes(matches: DataFrame) -> DataFrame:
     return n.withColumn("r", first("star", "id")).withColumn("q", first("id", "star")).where("r = 1 and q = 1").select("star", "id", "votes")
 
 
-def identify_stars(points: DataFrame, catalog: DataFrame, known: DataFrame, radius: float, error: float = 0.005) -> DataFrame:
+def identify_stars(points: DataFrame, catalog: DataFrame, known: DataFrame, radius: float, error: float = 0.005, count: int = 10) -> DataFrame:
     """(star, id, votes, x, y, brightness, ra, dec, mag) of image points that match catalogue stars, brightest first.
 
-    Triangles of each point with its neighbours within the radius are searched among the catalogue's (known, of
+    Triangles of each point with its nearest neighbours within the radius are searched among the catalogue's (known, of
     catalog_triangles) by their side ratios; the vertices of matches vote. The image is taken as not mirrored.
     """
     own = points.select("id", "x", "y")
-    near = pairs_within(own, own, radius).where("id_a != id_b").select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("xb") - F.col("xa")).alias("xi"), (F.col("yb") - F.col("ya")).alias("eta"))
-    votes = star_votes(triangle_search(triangles(near), known, error))
+    votes = star_votes(triangle_search(triangles(nearest(pairs_within(own, own, radius), count)), known, error))
     return votes.join(points.select(F.col("id").alias("star"), "x", "y", "brightness"), "star").join(catalog.select("id", "ra", "dec", "mag"), "id").orderBy("mag")
 
 

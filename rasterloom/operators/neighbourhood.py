@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +51,56 @@ def convolve(pixels: DataFrame, kernel, width: int, height: int) -> DataFrame:
     return moved.union(empty).groupBy(*KEY).agg(F.sum("v").alias("v"))
 
 
+#: Taps up to which windows are exploded; larger ones go by tiles of this side.
+TAPS, TILE = 225, 64
+
+
 def quantile_filter(pixels: DataFrame, kernel, width: int, height: int, q: float = 0.5) -> DataFrame:
     """Nearest-rank quantile of the window's values times the kernel; None in the kernel and invalid pixels do not count.
 
-    The window of a cell begins (size - 1) // 2 before it; the rank is q (n - 1), rounded half to even.
+    The window of a cell begins (size - 1) // 2 before it; the rank is q (n - 1), rounded half to even. Every cell of the
+    extent has a row; without a valid value in its window it is NULL. Large windows are taken tile by tile.
     """
     back = tuple(tuple(row) for row in kernel)
+    if len(back) * len(back[0]) > TAPS:
+        return _quantile_tiles(pixels, back, width, height, q)
     ky, kx = (len(back) - 1) // 2, (len(back[0]) - 1) // 2
     moved = pixels.where("v is not null").select(*KEY, "v", F.explode(_taps(back, ky, kx)).alias("t"))
     moved = moved.select("frame_idx", "plane_idx", (F.col("y") - F.col("t.dy")).alias("y"), (F.col("x") - F.col("t.dx")).alias("x"), (F.col("v") * F.col("t.k")).alias("v")).where(_inside(width, height))
-    ranked = moved.groupBy(*KEY).agg(F.sort_array(F.collect_list("v")).alias("s"))
-    return ranked.select(*KEY, F.element_at("s", F.bround(F.lit(q) * (F.size("s") - 1), 0).cast("int") + 1).alias("v"))
+    empty = grid(pixels.select("frame_idx", "plane_idx").distinct(), width, height).select(*KEY, F.lit(None).cast("double").alias("v"))
+    ranked = moved.union(empty).groupBy(*KEY).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    return ranked.select(*KEY, F.get("s", F.bround(F.lit(q) * (F.size("s") - 1), 0).cast("int")).alias("v"))
+
+
+def _quantile_tiles(pixels: DataFrame, kernel, width: int, height: int, q: float) -> DataFrame:
+    """quantile_filter where a window holds many pixels: each pixel goes to the tiles that its windows touch, a tile is one group."""
+    values = np.array([[np.nan if k is None else float(k) for k in row] for row in kernel])
+    up, left = (values.shape[0] - 1) // 2, (values.shape[1] - 1) // 2
+    down, right = values.shape[0] - 1 - up, values.shape[1] - 1 - left
+    tiles = lambda c, before, after, size: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - after) / TILE).cast("int")), F.least(F.lit((size - 1) // TILE), F.floor((F.col(c) + before) / TILE).cast("int"))))
+    empty = grid(pixels.select("frame_idx", "plane_idx").distinct(), -(-width // TILE), -(-height // TILE))
+    dealt = pixels.where("v is not null").select(*KEY, "v", tiles("y", up, down, height).alias("ty")).select("*", tiles("x", left, right, width).alias("tx"))
+    dealt = dealt.unionByName(empty.select("frame_idx", "plane_idx", F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(None).cast("double").alias("v"), F.col("y").alias("ty"), F.col("x").alias("tx")))
+
+    def run(pdf):
+        y0, x0 = int(pdf["ty"].iloc[0]) * TILE, int(pdf["tx"].iloc[0]) * TILE
+        h, w = min(TILE, height - y0), min(TILE, width - x0)
+        a = np.full((h + up + down, w + left + right), np.nan)
+        some = pdf[pdf["v"].notna()]
+        a[some["y"].to_numpy() - y0 + up, some["x"].to_numpy() - x0 + left] = some["v"].to_numpy()
+        used = ~np.isnan(values)
+        view = np.lib.stride_tricks.sliding_window_view(a, values.shape)
+        out = np.full((h, w), np.nan)
+        for i in range(h):  # a row of windows at once
+            s = np.sort(view[i][:, used] * values[used], axis=1)
+            n = (~np.isnan(s)).sum(axis=1)
+            rank = np.round(q * (n - 1)).astype(int)  # half to even
+            out[i] = np.where(n > 0, s[np.arange(w), np.maximum(rank, 0)], np.nan)
+        y, x = np.indices(out.shape)
+        return pd.DataFrame({"frame_idx": int(pdf["frame_idx"].iloc[0]), "plane_idx": int(pdf["plane_idx"].iloc[0]), "y": (y + y0).ravel(), "x": (x + x0).ravel(), "v": out.ravel()})
+
+    found = dealt.groupBy("frame_idx", "plane_idx", "ty", "tx").applyInPandas(run, "frame_idx int, plane_idx int, y int, x int, v double")
+    return found.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
 def parse_quantile(name: str) -> tuple[float, int | None]:
@@ -89,12 +130,14 @@ def _analyse(pixels: DataFrame, axis: str, size: int, taps: list[float]) -> Data
     """c[i] = sum of taps[t] * x[2 i + 1 - t] along an axis, with half-sample symmetric extension."""
     length = len(taps)
     out = (size + length - 1) // 2
-    at, count = F.col(axis), []
-    for t, k in enumerate(taps):
-        for image in (at, -1 - at, 2 * size - 1 - at):  # the places that show this sample
-            count.append(F.struct((image + t - 1).alias("p"), F.lit(float(k)).alias("k")))
+    at = F.col(axis)
+    taps_at = lambda image: F.array(*[F.struct((image + t - 1).alias("p"), F.lit(float(k)).alias("k")) for t, k in enumerate(taps)])
+    none = F.array().cast("array<struct<p: int, k: double>>")
+    # the places that show this sample: itself, and near a border its mirror image
+    count = F.concat(taps_at(at), F.when(at < length, taps_at(-1 - at)).otherwise(none), F.when(at >= size - length, taps_at(2 * size - 1 - at)).otherwise(none))
+    count = F.filter(count, lambda c: (F.pmod(c["p"], F.lit(2)) == 0) & c["p"].between(0, 2 * out - 2))
     rest = [c for c in KEY if c != axis]
-    moved = pixels.where("v is not null").select(*KEY, "v", F.explode(F.array(*count)).alias("c")).where((F.pmod(F.col("c.p"), F.lit(2)) == 0) & F.col("c.p").between(0, 2 * out - 2))
+    moved = pixels.where("v is not null").select(*KEY, "v", F.explode(count).alias("c"))
     return moved.groupBy(*rest, F.shiftright(F.col("c.p"), 1).alias(axis)).agg(F.sum(F.col("v") * F.col("c.k")).alias("v")).select(*KEY, "v")
 
 
@@ -121,3 +164,27 @@ def idwt(bands: dict[str, DataFrame], width: int, height: int, taps: list[float]
     """The inverse of dwt for the extent it was taken over."""
     bank = filter_bank(taps)
     return _synthesise(_synthesise(bands["aa"], bands["ad"], "x", width, bank), _synthesise(bands["da"], bands["dd"], "x", width, bank), "y", height, bank)
+
+
+def dwt_levels(pixels: DataFrame, width: int, height: int, levels: int, taps: list[float] = DB2) -> dict[str, tuple[DataFrame, int, int]]:
+    """Several levels: each band by name with its width and height. The details of level k are adk, dak and ddk (level 1 is
+    the finest), aa is the approximation of the last one. Levels end where an extent is shorter than the filter."""
+    out, extents, low = {}, [(width, height)], pixels
+    for k in range(1, levels + 1):
+        w, h = extents[-1]
+        if min(w, h) < len(taps):
+            break
+        bands = dwt(low, w, h, taps)
+        extents.append(((w + len(taps) - 1) // 2, (h + len(taps) - 1) // 2))
+        out |= {f"{n}{k}": (bands[n], *extents[-1]) for n in ("ad", "da", "dd")}
+        low = bands["aa"]
+    return {"aa": (low, *extents[-1])} | out
+
+
+def idwt_levels(bands: dict[str, tuple[DataFrame, int, int]], width: int, height: int, taps: list[float] = DB2) -> DataFrame:
+    """The inverse of dwt_levels for the extent it was taken over."""
+    low, levels = bands["aa"][0], sum(n.startswith("dd") for n in bands)
+    for k in range(levels, 0, -1):
+        w, h = bands[f"dd{k - 1}"][1:] if k > 1 else (width, height)
+        low = idwt({"aa": low} | {n: bands[f"{n}{k}"][0] for n in ("ad", "da", "dd")}, w, h, taps)
+    return low

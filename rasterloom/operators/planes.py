@@ -1,15 +1,20 @@
-"""Operators that need a whole plane: Fourier, linear algebra, denoising, labelling. Each plane is one group of a grouped
-Arrow function, so memory is bounded by a plane and not by a stream."""
+"""Operators that need a whole plane: Fourier, linear algebra, denoising, labelling. Memory is bounded by a plane and an
+Arrow batch, not by a stream: planes that come in one batch are taken as one stack, so small planes cost no call each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neighbourhood import filter_bank
 
+#: Share of the Laplacian in phase correlation, and how far its peak must stand out over mean and deviation.
+DETAIL, SHARP = 0.3, 1.5
 REAL, COMPLEX = "frame_idx int, plane_idx int, y int, x int, v double", "frame_idx int, plane_idx int, y int, x int, re double, im double"
 
 
@@ -32,25 +37,68 @@ def _by_plane(pixels: DataFrame, function, schema: str) -> DataFrame:
     return pixels.groupBy("frame_idx", "plane_idx").applyInPandas(function, schema)
 
 
+def _stacked(pixels: DataFrame, columns: tuple[str, ...], width: int, height: int, kernel: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """kernel of stacks (planes, height, width), one a column, to the named stacks of the result. Planes come sorted, so
+    that those that are complete in what was read are taken at once and the last one waits for its rest."""
+    keys = ["frame_idx", "plane_idx", "y", "x"]
+
+    def apply(t: pa.Table) -> pa.RecordBatch:
+        frame, plane, y, x = (t.column(k).to_numpy() for k in keys)
+        new = np.concatenate(([True], (frame[1:] != frame[:-1]) | (plane[1:] != plane[:-1])))
+        at, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        stacks = []
+        for c in columns:
+            v = t.column(c).to_numpy(zero_copy_only=False).astype(float)
+            stack = np.zeros((len(first), height, width))
+            stack[at, y, x] = np.where(np.isnan(v), 0.0, v)
+            stacks.append(stack)
+        found = kernel(*stacks)
+        shape = next(iter(found.values())).shape
+        _, ys, xs = np.indices(shape, dtype=np.int32)
+        each = lambda v: np.repeat(v[first].astype(np.int32), shape[1] * shape[2])
+        return pa.RecordBatch.from_arrays([pa.array(each(frame)), pa.array(each(plane)), pa.array(ys.ravel()), pa.array(xs.ravel()), *[pa.array(np.ascontiguousarray(v, float).ravel()) for v in found.values()]], names=[*keys, *found])
+
+    def run(parts):
+        waiting: list[pa.RecordBatch] = []
+        for b in parts:
+            if not b.num_rows:
+                continue
+            frame, plane = b.column(0).to_numpy(), b.column(1).to_numpy()
+            last = int(np.flatnonzero((frame != frame[-1]) | (plane != plane[-1]))[-1]) + 1 if (frame[0], plane[0]) != (frame[-1], plane[-1]) else 0
+            if last == 0 and waiting:
+                before = waiting[-1]
+                if (before.column(0)[-1].as_py(), before.column(1)[-1].as_py()) != (int(frame[0]), int(plane[0])):
+                    yield apply(pa.Table.from_batches(waiting))
+                    waiting = []
+            if last:
+                yield apply(pa.Table.from_batches([*waiting, b.slice(0, last)]))
+                waiting = []
+            waiting.append(b.slice(last))
+        if waiting:
+            yield apply(pa.Table.from_batches(waiting))
+
+    dealt = pixels.select(*[F.col(k).cast("int").alias(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in columns])
+    return dealt.repartition("frame_idx", "plane_idx").sortWithinPartitions("frame_idx", "plane_idx").mapInArrow(run, schema)
+
+
 def fft(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Unnormalised 2-D transform of each plane; invalid pixels count 0."""
 
-    def run(pdf):
-        f = np.fft.fft2(_dense(pdf, ("v",), width, height)[0])
-        return _rows(pdf, re=f.real, im=f.imag)
+    def kernel(v):
+        f = np.fft.fft2(v, axes=(1, 2))
+        return {"re": f.real, "im": f.imag}
 
-    return _by_plane(pixels, run, COMPLEX)
+    return _stacked(pixels, ("v",), width, height, kernel, COMPLEX)
 
 
 def ifft(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """The inverse transform, divided by the number of pixels."""
 
-    def run(pdf):
-        re, im = _dense(pdf, ("re", "im"), width, height)
-        f = np.fft.ifft2(re + 1j * im)
-        return _rows(pdf, re=f.real, im=f.imag)
+    def kernel(re, im):
+        f = np.fft.ifft2(re + 1j * im, axes=(1, 2))
+        return {"re": f.real, "im": f.imag}
 
-    return _by_plane(pixels, run, COMPLEX)
+    return _stacked(pixels, ("re", "im"), width, height, kernel, COMPLEX)
 
 
 def smooth_length(n: int) -> int:
@@ -66,34 +114,33 @@ def smooth_length(n: int) -> int:
 
 
 def _spectra(data: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    shape = tuple(smooth_length(a + b - 1) for a, b in zip(data.shape, kernel.shape, strict=True))
-    return np.fft.fft2(data, shape), np.fft.fft2(kernel, shape), shape
+    shape = tuple(smooth_length(a + b - 1) for a, b in zip(data.shape[1:], kernel.shape, strict=True))
+    return np.fft.fft2(data, shape, axes=(1, 2)), np.fft.fft2(kernel, shape), shape
 
 
 def fft_convolve(pixels: DataFrame, kernel, width: int, height: int) -> DataFrame:
     """Convolution by spectra, for kernels too large to explode; the same centre and borders as neighbourhood.convolve."""
     k = np.array(kernel, dtype=float)
 
-    def run(pdf):
-        a, b, _ = _spectra(_dense(pdf, ("v",), width, height)[0], k)
-        full = np.fft.ifft2(a * b).real
+    def run(v):
+        a, b, _ = _spectra(v, k)
         cy, cx = k.shape[0] // 2, k.shape[1] // 2
-        return _rows(pdf, v=full[cy : cy + height, cx : cx + width])
+        return {"v": np.fft.ifft2(a * b, axes=(1, 2)).real[:, cy : cy + height, cx : cx + width]}
 
-    return _by_plane(pixels, run, REAL)
+    return _stacked(pixels, ("v",), width, height, run, REAL)
 
 
 def deconvolve(pixels: DataFrame, kernel, width: int, height: int, noise: float = 0.01) -> DataFrame:
     """Wiener filter conj(H) / (|H|^2 + noise); the modulus of the result."""
     k = np.array(kernel, dtype=float)
 
-    def run(pdf):
-        a, b, shape = _spectra(_dense(pdf, ("v",), width, height)[0], k)
-        full = np.fft.ifft2(a * np.conj(b) / (np.abs(b) ** 2 + noise))
-        full = np.roll(full, (k.shape[0] // 2, k.shape[1] // 2), axis=(0, 1))
-        return _rows(pdf, v=np.abs(full)[:height, :width])
+    def run(v):
+        a, b, _ = _spectra(v, k)
+        full = np.fft.ifft2(a * np.conj(b) / (np.abs(b) ** 2 + noise), axes=(1, 2))
+        full = np.roll(full, (k.shape[0] // 2, k.shape[1] // 2), axis=(1, 2))
+        return {"v": np.abs(full)[:, :height, :width]}
 
-    return _by_plane(pixels, run, REAL)
+    return _stacked(pixels, ("v",), width, height, run, REAL)
 
 
 def matrix_product(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("frame_idx", "plane_idx")) -> DataFrame:
@@ -108,15 +155,19 @@ def inverse_matrix(pixels: DataFrame, width: int, height: int) -> DataFrame:
     if width != height:
         raise ValueError(f"a plane of {width} x {height} has no inverse")
 
-    def run(pdf):
-        m = _dense(pdf, ("v",), width, height)[0]
+    def run(v):
         try:
-            inverse = np.linalg.inv(m)
-        except np.linalg.LinAlgError:
-            inverse = np.full(m.shape, np.nan)
-        return _rows(pdf, v=inverse)
+            return {"v": np.linalg.inv(v)}
+        except np.linalg.LinAlgError:  # one of them is singular
+            out = np.full(v.shape, np.nan)
+            for k, m in enumerate(v):
+                try:
+                    out[k] = np.linalg.inv(m)
+                except np.linalg.LinAlgError:
+                    continue
+            return {"v": out}
 
-    return _by_plane(pixels, run, REAL).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    return _stacked(pixels, ("v",), width, height, run, REAL).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
 def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4) -> DataFrame:
@@ -186,7 +237,7 @@ def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0
                 continue
             spread = np.linalg.eigvalsh(np.cov(np.stack((x, y)), bias=True) + np.eye(2) / 12)
             ratio = float(np.sqrt(spread[1] / spread[0]))
-            if ratio <= aspect:
+            if ratio <= aspect * (1 + 1e-9):
                 w = v[y, x]
                 cx, cy = (float((w * x).sum() / w.sum()), float((w * y).sum() / w.sum())) if w.sum() else (float(x.mean()), float(y.mean()))
                 rows.append((cx, cy, float(w.sum()), float(v[int(round(cy)), int(round(cx))]), len(y), ratio))
@@ -200,33 +251,55 @@ def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0
     return _by_plane(pixels, run, "frame_idx int, plane_idx int, point int, x double, y double, brightness double, center_brightness double, area int, aspect_ratio double")
 
 
-def phase_shift(pixels: DataFrame, reference: DataFrame, width: int, height: int) -> DataFrame:
-    """(frame_idx, dx, dy, sharpness) of each frame against a one-frame reference, by the peak of the cross-power spectrum."""
-    both = pixels.select("frame_idx", "y", "x", "v").join(reference.select("y", "x", F.col("v").alias("r")), ["y", "x"], "full_outer").where("frame_idx is not null")
+def _beside(pixels: DataFrame, reference: DataFrame, largest: int = 1 << 22) -> DataFrame:
+    """Pixels of each frame with the reference's at the same place, as r: of the same frame if the reference has frames,
+    else of the one reference plane, which is broadcast where it is counted to be small."""
+    own = "frame_idx" in reference.columns
+    r = reference.select(*(["frame_idx"] if own else []), "y", "x", F.col("v").alias("r"))
+    if own:
+        return pixels.select("frame_idx", "y", "x", "v").join(r, ["frame_idx", "y", "x"], "full_outer")
+    small = r.count() <= largest
+    both = pixels.select("frame_idx", "y", "x", "v").join(F.broadcast(r) if small else r, ["y", "x"], "left")
+    frames = pixels.select("frame_idx").distinct().withColumn("one", F.lit(1))
+    # places of the reference at which a frame has no pixel: few columns, and one row a frame and place
+    rest = frames.join((F.broadcast(r) if small else r).withColumn("one", F.lit(1)), "one").join(pixels.select("frame_idx", "y", "x"), ["frame_idx", "y", "x"], "left_anti")
+    return both.select("frame_idx", "y", "x", "v", "r").union(rest.select("frame_idx", "y", "x", F.lit(None).cast("double"), "r"))
+
+
+def phase_shift(pixels: DataFrame, reference: DataFrame, width: int, height: int, most: float | None = None) -> DataFrame:
+    """(frame_idx, dx, dy, sharpness, success) of each frame against its reference (see _beside), by the peak of the cross-power spectrum.
+
+    The planes are mixed with the size of their Laplacians for detail, normalised and windowed. A shift fails where it
+    exceeds `most` pixels or the peak is less than SHARP times the surface's mean and deviation.
+    """
     window = np.outer(np.hanning(height + 2)[1:-1], np.hanning(width + 2)[1:-1])
 
     def run(pdf):
         a, b = _dense(pdf, ("v", "r"), width, height)
+        lap = lambda m: sum(np.roll(m, s, axis) for s in (1, -1) for axis in (0, 1)) - 4 * m
+        a, b = ((1 - DETAIL) * m + DETAIL * np.abs(lap(m)) for m in (a, b))
         a, b = ((m - m.mean()) / (m.std() or 1) * window for m in (a, b))
         cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
         peak = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
         y, x = np.unravel_index(peak.argmax(), peak.shape)
         near = [((y + i) % height, (x + j) % width) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]
         w = np.maximum([peak[p] for p in near], 0)
-        dy = y + (w[1] - w[2]) / w.sum()
-        dx = x + (w[3] - w[4]) / w.sum()
-        return pd.DataFrame({"frame_idx": [int(pdf["frame_idx"].iloc[0])], "dx": [float(dx - width if dx > width / 2 else dx)], "dy": [float(dy - height if dy > height / 2 else dy)], "sharpness": [float(peak.max() / (peak.std() or 1))]})
+        dy, dx = y + (w[1] - w[2]) / (w.sum() or 1), x + (w[3] - w[4]) / (w.sum() or 1)
+        dx, dy = float(dx - width if dx > width / 2 else dx), float(dy - height if dy > height / 2 else dy)
+        size = np.abs(peak)
+        sharp = float(size.max() / ((size.mean() + size.std()) or 1))
+        ok = sharp >= SHARP and (most is None or max(abs(dx), abs(dy)) <= most)
+        return pd.DataFrame({"frame_idx": [int(pdf["frame_idx"].iloc[0])], "dx": [dx], "dy": [dy], "sharpness": [sharp], "success": [ok]})
 
-    return both.groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, sharpness double")
+    return _beside(pixels, reference).groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, sharpness double, success boolean")
 
 
-def template_match(pixels: DataFrame, reference: DataFrame, width: int, height: int, reach: int = 8) -> DataFrame:
-    """(frame_idx, dx, dy, score): place of the reference's centre quarter in each frame, by normalised cross-correlation."""
-    both = pixels.select("frame_idx", "y", "x", "v").join(reference.select("y", "x", F.col("v").alias("r")), ["y", "x"], "full_outer").where("frame_idx is not null")
+def template_match(pixels: DataFrame, reference: DataFrame, width: int, height: int, reach: int = 8, least: float = 0.3) -> DataFrame:
+    """(frame_idx, dx, dy, score, success): place of the reference's centre half in each frame, by normalised cross-correlation of at least `least`."""
 
     def run(pdf):
         a, b = _dense(pdf, ("v", "r"), width, height)
-        y0, x0, h, w = height // 4, width // 4, height // 2, width // 2
+        y0, x0, h, w = height // 4, width // 4, max(1, height // 2), max(1, width // 2)
         t = b[y0 : y0 + h, x0 : x0 + w]
         t = (t - t.mean()) / (t.std() or 1)
         best = (-2.0, 0, 0)
@@ -234,6 +307,6 @@ def template_match(pixels: DataFrame, reference: DataFrame, width: int, height:
             for dx in range(max(-reach, -x0), min(reach, width - w - x0) + 1):
                 part = a[y0 + dy : y0 + dy + h, x0 + dx : x0 + dx + w]
                 best = max(best, (float(((part - part.mean()) / (part.std() or 1) * t).mean()), dx, dy))
-        return pd.DataFrame({"frame_idx": [int(pdf["frame_idx"].iloc[0])], "dx": [float(best[1])], "dy": [float(best[2])], "score": [best[0]]})
+        return pd.DataFrame({"frame_idx": [int(pdf["frame_idx"].iloc[0])], "dx": [float(best[1])], "dy": [float(best[2])], "score": [best[0]], "success": [best[0] >= least]})
 
-    return both.groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, score double")
+    return _beside(pixels, reference).groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, score double, success boolean")

@@ -53,7 +53,7 @@ def lrgb_combination(light: DataFrame, colours: DataFrame) -> DataFrame:
     return colour.to_rgb(light.where("plane_idx = 0").select(*KEY, "v").unionByName(ab.select(*KEY, "v")))
 
 
-def median_filter(pixels: DataFrame, width: int, height: int, radius: int = 2) -> DataFrame:
+def median_filter(pixels: DataFrame, width: int, height: int, radius: int = 25) -> DataFrame:
     return neighbourhood.quantile_filter(pixels, neighbourhood.disk(radius), width, height)
 
 
@@ -65,7 +65,7 @@ def wiener_deconvolution(pixels: DataFrame, kernel, width: int, height: int) ->
     return planes.deconvolve(pixels, kernel, width, height)
 
 
-def star_mask(pixels: DataFrame, width: int, height: int, radius: int = 2, quantile: float = 0.95) -> DataFrame:
+def star_mask(pixels: DataFrame, width: int, height: int, radius: int = 25, quantile: float = 0.95) -> DataFrame:
     """1 where blurred pixels exceed the local median by more than the quantile of positive differences, else 0."""
     soft = blur(pixels, width, height)
     base = median_filter(pixels, width, height, radius).withColumnRenamed("v", "m")
@@ -74,7 +74,7 @@ def star_mask(pixels: DataFrame, width: int, height: int, radius: int = 2, quant
     return diff.join(level, ["frame_idx", "plane_idx"], "left").select(*KEY, F.when(F.col("v") > F.col("t"), 1.0).otherwise(0.0).alias("v"))
 
 
-def star_extraction(pixels: DataFrame, width: int, height: int, radius: int = 2) -> DataFrame:
+def star_extraction(pixels: DataFrame, width: int, height: int, radius: int = 25) -> DataFrame:
     """Points of the pixels less their local median."""
     base = median_filter(pixels, width, height, radius).withColumnRenamed("v", "m")
     flat = blur(pixels, width, height).join(base, list(KEY)).select(*KEY, (F.col("v") - F.col("m")).alias("v"))

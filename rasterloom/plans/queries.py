@@ -96,7 +96,7 @@ register("px_tensor_row_offset", tensor_row_offset, li(f"SELECT p.frame_idx, p.p
 STACK_SQL = {"sum": "sum(v)", "count": "CAST(count(v) AS DOUBLE)", "maximum": "max(v)", "minimum": "min(v)", "average": "avg(v)", "standard_deviation": "stddev_pop(v)"}
 for _name, _sql in STACK_SQL.items():
     register(f"stack_{_name}", lambda s, d, n=_name: pixels_out(pixelwise.stack(raster_li(s, d), n)), li(f"SELECT 0 AS frame_idx, plane_idx, y, x, round({_sql}, {DIGITS}) AS v FROM li GROUP BY plane_idx, y, x"))
-register("stack_product", lambda s, d: pixels_out(pixelwise.stack(em_invalid(s, d).where("frame_idx < 12").withColumn("v", F.col("v") + 1), "product")), em(f"SELECT 0 AS frame_idx, plane_idx, y, x, round(product(v + 1), {DIGITS}) AS v FROM {EMI} WHERE frame_idx < 12 GROUP BY plane_idx, y, x"))
+register("stack_product", lambda s, d: pixels_out(pixelwise.stack(em_invalid(s, d).withColumn("v", F.col("v") / 100 + 1), "product")), em(f"SELECT 0 AS frame_idx, plane_idx, y, x, round(product(v / 100 + 1), {DIGITS}) AS v FROM {EMI} GROUP BY plane_idx, y, x"))
 CLIP = f"""clip AS (SELECT {KEYS}, CASE WHEN abs(v - avg(v) OVER w) > 1.5 * stddev_pop(v) OVER w THEN NULL ELSE v END AS v FROM li WINDOW w AS (PARTITION BY plane_idx, y, x))"""
 register("sigma_clip", lambda s, d: pixels_out(pixelwise.sigma_clip(raster_li(s, d))), f"WITH {LI_SQL}, {CLIP} SELECT {KEYS}, round(v, {DIGITS}) AS v FROM clip")
 register("sigma_clip_average", lambda s, d: pixels_out(pixelwise.sigma_clipped_average(raster_li(s, d))), f"WITH {LI_SQL}, {CLIP} SELECT 0 AS frame_idx, plane_idx, y, x, round(avg(v), {DIGITS}) AS v FROM clip GROUP BY plane_idx, y, x")
@@ -136,7 +136,7 @@ register("transpose", lambda s, d: pixels_out(colour.transpose(raster_li(s, d)))
 for _name, _args, _y, _x, _where in (
     ("roll", {"shift_x": 5, "shift_y": -3}, "(y + 29) % 32", "(x + 5) % 32", "true"),
     ("flip", {"flip_x": True}, "y", "31 - x", "true"),
-    ("rot90", {"rot90": 1}, "31 - x", "y", "true"),
+    ("rot90", {"rot90": 1}, "x", "31 - y", "true"),
     ("crop", {"left": 4, "top": 2, "crop_width": 20, "crop_height": 24}, "y - 2", "x - 4", "x BETWEEN 4 AND 23 AND y BETWEEN 2 AND 25"),
 ):
     register(f"reposition_{_name}", lambda s, d, a=_args: pixels_out(geometry.reposition(raster_li(s, d), 32, 32, **a)), li(f"SELECT frame_idx, plane_idx, CAST({_y} AS INT) AS y, CAST({_x} AS INT) AS x, v FROM li WHERE {_where}"))
@@ -185,9 +185,15 @@ register("convolve_fft", lambda s, d: pixels_out(planes.fft_convolve(raster_li(s
 
 def rank_sql(q: float, n: int) -> str:
     b = (n - 1) // 2
-    return li(f"""SELECT frame_idx, plane_idx, y, x, s[CAST(round_even({q} * (len(s) - 1), 0) AS INT) + 1] AS v FROM (
-        SELECT frame_idx, plane_idx, y - dy AS y, x - dx AS x, list_sort(list(v)) AS s FROM li, (SELECT CAST(unnest(range({-b}, {n - b})) AS INT) AS dy), (SELECT CAST(unnest(range({-b}, {n - b})) AS INT) AS dx)
-        WHERE y - dy BETWEEN 0 AND 31 AND x - dx BETWEEN 0 AND 31 GROUP BY ALL)""".replace("y - dy AS y, x - dx AS x", "y - dy AS ty, x - dx AS tx").replace("plane_idx, y, x, s[", "plane_idx, ty AS y, tx AS x, s["))
+    return windows_sql(q, f"(SELECT CAST(a AS INT) AS dy, CAST(b AS INT) AS dx FROM (SELECT unnest(range({-b}, {n - b})) AS a), (SELECT unnest(range({-b}, {n - b})) AS b))")
+
+
+def windows_sql(q: float, taps: str) -> str:
+    """Every cell of every plane with the q-quantile of the values at the taps (dy, dx) beside it, NULL where there is none."""
+    return li(f"""SELECT c.frame_idx, c.plane_idx, c.y, c.x, s[CAST(round_even({q} * (len(s) - 1), 0) AS INT) + 1] AS v
+        FROM (SELECT DISTINCT frame_idx, plane_idx, gy.y, gx.x FROM li, (SELECT CAST(unnest(range(32)) AS INT) AS y) gy, (SELECT CAST(unnest(range(32)) AS INT) AS x) gx) c
+        LEFT JOIN (SELECT frame_idx, plane_idx, y - dy AS y, x - dx AS x, list_sort(list(v)) AS s FROM li, {taps} t
+            GROUP BY frame_idx, plane_idx, li.y - dy, li.x - dx) w ON (w.frame_idx, w.plane_idx, w.y, w.x) = (c.frame_idx, c.plane_idx, c.y, c.x)""")
 
 
 register("median_3x3", lambda s, d: pixels_out(neighbourhood.quantile_filter(raster_li(s, d), [[1.0] * 3] * 3, 32, 32)), rank_sql(0.5, 3))
@@ -254,26 +260,27 @@ register("table_preview", lambda s, d: table_ev(s, d).orderBy("y", "x").limit(20
 register("hourly_table", lambda s, d: table_ev(s, d).select("y", "x", "v"), f"WITH {EV_SQL} SELECT y, x, v FROM ev")
 
 # --- points and sky ----------------------------------------------------------------------------------------------
-register("topk_grid", lambda s, d: astrometry.topk_grid(points_pt(s, d).withColumn("frame_idx", F.lit(0)), "mag", 1024, 1024).select("cell", "rank", "id", "mag"), f"""WITH {PT_SQL} SELECT * FROM (SELECT CAST(floor(y * 3 / 1024) * 3 + floor(x * 3 / 1024) AS INT) AS cell, CAST(row_number() OVER (PARTITION BY floor(y * 3 / 1024) * 3 + floor(x * 3 / 1024) ORDER BY mag DESC, id) AS INT) AS rank, id, mag FROM pt) WHERE rank <= 8""")
+register("topk_grid", lambda s, d: astrometry.topk_grid(points_pt(s, d), "mag", 1024, 1024).select("frame_idx", "cell", "rank", "id", "mag"), f"""WITH {PT_SQL} SELECT * FROM (SELECT frame_idx, CAST(floor(y * 3 / 1024) * 3 + floor(x * 3 / 1024) AS INT) AS cell, CAST(row_number() OVER (PARTITION BY frame_idx, floor(y * 3 / 1024) * 3 + floor(x * 3 / 1024) ORDER BY mag DESC, id) AS INT) AS rank, id, mag FROM pt) WHERE rank <= 8""")
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points_pt(spark, sf_dir).select("id", "x", "y")
-    return astrometry.pairs_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 24.0).select("id_a", "id_b", "d2")
+    """Pairs of each frame's points of even and of odd id, as of two exposures."""
+    p = points_pt(spark, sf_dir).select("frame_idx", "id", "x", "y")
+    return astrometry.pairs_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 64.0, on=("frame_idx",)).select("id_a", "id_b", "d2")
 
 
-register("candidate_pairs", candidate_pairs, f"WITH {PT_SQL} SELECT a.id AS id_a, b.id AS id_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.id % 2 = 0 AND b.id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 576")
+register("candidate_pairs", candidate_pairs, f"WITH {PT_SQL} SELECT a.id AS id_a, b.id AS id_b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM pt a JOIN pt b ON a.frame_idx = b.frame_idx AND a.id % 2 = 0 AND b.id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 4096")
 HAVERSINE = "degrees(2 * asin(sqrt(least(1.0, power(sin(radians({d1} - {d2}) / 2), 2) + cos(radians({d1})) * cos(radians({d2})) * power(sin(radians({r1} - {r2}) / 2), 2)))))"
 
 
 def cone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points_pt(spark, sf_dir)
-    cones = p.where("id % 97 = 0").select(F.col("id").alias("cone"), (F.col("ra") + 0.5).alias("ra0"), (F.col("dec") * 0.9).alias("dec0"), F.lit(7.3).alias("radius"))
+    cones = p.where("id % 20 = 0").select(F.col("id").alias("cone"), (F.col("ra") + 0.5).alias("ra0"), (F.col("dec") * 0.9).alias("dec0"), F.lit(7.3).alias("radius"))
     return astrometry.cone_search(p, cones, 8.0).select("cone", "id", F.round("distance", DIGITS).alias("distance"))
 
 
 _H = HAVERSINE.format(d1="p.dec", d2="c.dec0", r1="p.ra", r2="c.ra0")
-register("cone_search", cone_search, f"WITH {PT_SQL}, c AS (SELECT id AS cone, ra + 0.5 AS ra0, dec * 0.9 AS dec0 FROM pt WHERE id % 97 = 0) SELECT cone, p.id, round({_H}, {DIGITS}) AS distance FROM pt p JOIN c ON p.mag <= 8.0 AND {_H} <= 7.3")
+register("cone_search", cone_search, f"WITH {PT_SQL}, c AS (SELECT id AS cone, ra + 0.5 AS ra0, dec * 0.9 AS dec0 FROM pt WHERE id % 20 = 0) SELECT cone, p.id, round({_H}, {DIGITS}) AS distance FROM pt p JOIN c ON p.mag <= 8.0 AND {_H} <= 7.3")
 register("angular_distance", lambda s, d: points_pt(s, d).select("id", F.round(scalar.angular_distance(F.col("ra"), F.col("dec"), F.lit(120.0), F.lit(30.0)), DIGITS).alias("distance")), f"WITH {PT_SQL} SELECT id, round({HAVERSINE.format(d1='dec', d2='30.0', r1='ra', r2='120.0')}, {DIGITS}) AS distance FROM pt")
 
 
@@ -297,90 +304,107 @@ register("gnomonic_round_trip", gnomonic_round_trip, f"WITH {PT_SQL} SELECT id,
 
 
 def image_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points_pt(spark, sf_dir).select("id", "x", "y")
-    near = astrometry.pairs_within(p, p, 30.0).where("id_a != id_b").select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("xb") - F.col("xa")).alias("xi"), (F.col("yb") - F.col("ya")).alias("eta"))
-    return astrometry.triangles(near)
-
+    """Triangles of each point with its five nearest neighbours in its frame."""
+    p = points_pt(spark, sf_dir).select("frame_idx", "id", "x", "y")
+    return astrometry.triangles(astrometry.nearest(astrometry.pairs_within(p, p, 96.0, on=("frame_idx",)), 5))
 
-register("triangle_keys", lambda s, d: image_triangles(s, d).select(F.greatest("id0", "id1", "id2").alias("top"), F.least("id0", "id1", "id2").alias("low"), (F.col("id0") + F.col("id1") + F.col("id2")).alias("ids"), F.round(F.least("k0", "k1"), DIGITS).alias("k")).distinct(), f"""WITH {PT_SQL}, n AS (SELECT a.id, b.id AS o, b.x - a.x AS u, b.y - a.y AS v FROM pt a JOIN pt b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 900),
-    t AS (SELECT p.id, p.o, q.o AS o2, sqrt(p.u * p.u + p.v * p.v) AS s0, sqrt((q.u - p.u) * (q.u - p.u) + (q.v - p.v) * (q.v - p.v)) AS s1, sqrt(q.u * q.u + q.v * q.v) AS s2 FROM n p JOIN n q ON p.id = q.id AND p.o < q.o AND p.u * q.v <> p.v * q.u)
-    SELECT DISTINCT greatest(id, o, o2) AS top, least(id, o, o2) AS low, id + o + o2 AS ids, round(least(s0, s1, s2) / greatest(s0, s1, s2), {DIGITS}) AS k FROM t""")
 
-
-def triangle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = image_triangles(spark, sf_dir).dropDuplicates(["id0", "id1", "id2"])
-    found = astrometry.triangle_search(t.where("id0 % 20 = 0"), t, 0.01)
-    return found.select("w_id0", "w_id1", "w_id2", "id0", "id1", "id2").distinct()
+#: The triangles in SQL; id0..id2, k0, k1 as the library gives them.
+TRIANGLES_SQL = f"""WITH {PT_SQL}, n AS (SELECT a.id, b.id AS o, b.x - a.x AS u, b.y - a.y AS v FROM pt a JOIN pt b ON a.frame_idx = b.frame_idx AND a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 9216
+        QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) <= 5),
+    b AS (SELECT p.id, p.o AS o1, p.u AS u1, p.v AS v1, q.o AS o2, q.u AS u2, q.v AS v2, p.u * q.v - p.v * q.u < 0 AS l FROM n p JOIN n q ON p.id = q.id AND p.o < q.o AND p.u * q.v <> p.v * q.u),
+    c AS (SELECT id, CASE WHEN l THEN o1 ELSE o2 END AS p, CASE WHEN l THEN o2 ELSE o1 END AS q, CASE WHEN l THEN u1 ELSE u2 END AS px, CASE WHEN l THEN v1 ELSE v2 END AS py, CASE WHEN l THEN u2 ELSE u1 END AS qx, CASE WHEN l THEN v2 ELSE v1 END AS qy FROM b),
+    d AS (SELECT [id, p, q] AS ids, [sqrt(px * px + py * py), sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)), sqrt(qx * qx + qy * qy)] AS s FROM c),
+    e AS (SELECT ids, s, CASE WHEN s[3] = list_max(s) THEN 0 WHEN s[1] = list_max(s) THEN 1 ELSE 2 END AS r FROM d),
+    t AS (SELECT ids[r % 3 + 1] AS id0, ids[(r + 1) % 3 + 1] AS id1, ids[(r + 2) % 3 + 1] AS id2, s[r % 3 + 1] / s[(r + 2) % 3 + 1] AS k0, s[(r + 1) % 3 + 1] / s[(r + 2) % 3 + 1] AS k1 FROM e)"""
 
 
-register("triangle_search", triangle_search)
+register("triangle_keys", lambda s, d: image_triangles(s, d).select("id0", "id1", "id2", F.round("k0", DIGITS).alias("k0"), F.round("k1", DIGITS).alias("k1")), f"{TRIANGLES_SQL} SELECT id0, id1, id2, round(k0, {DIGITS}) AS k0, round(k1, {DIGITS}) AS k1 FROM t")
 
 
-def shift_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The point set moved by (7, -4), registered against itself."""
-    p = points_pt(spark, sf_dir).select("id", "x", "y")
-    moved = p.select(F.lit(1).alias("frame_idx"), "id", (F.col("x") + 7).alias("x"), (F.col("y") - 4).alias("y"))
-    pairs = astrometry.pairs_within(p, moved, 12.0)
-    return astrometry.match_offsets(pairs.withColumn("frame_idx", F.lit(1)))
+def triangle_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = image_triangles(spark, sf_dir).dropDuplicates(["id0", "id1", "id2"])
+    found = astrometry.triangle_search(t.where("id0 % 20 = 0"), t, 0.001)
+    return found.select("w_id0", "w_id1", "w_id2", "id0", "id1", "id2")
 
 
-register("shift_votes", shift_votes, f"""WITH {PT_SQL}, o AS (SELECT b.x + 7 - a.x AS dx, b.y - 4 - a.y AS dy FROM pt a JOIN pt b ON (b.x + 7 - a.x) * (b.x + 7 - a.x) + (b.y - 4 - a.y) * (b.y - 4 - a.y) < 144)
-    SELECT 1 AS frame_idx, dx, dy, count(*) AS votes FROM o GROUP BY dx, dy ORDER BY votes DESC, dx, dy LIMIT 1""")
+register("triangle_search", triangle_search, f"""{TRIANGLES_SQL}, u AS (SELECT DISTINCT id0, id1, id2, k0, k1 FROM t)
+    SELECT w.id0 AS w_id0, w.id1 AS w_id1, w.id2 AS w_id2, u.id0, u.id1, u.id2 FROM u w JOIN u ON w.id0 % 20 = 0 AND abs(w.k0 - u.k0) <= 0.0015 AND sqrt((w.k0 - u.k0) * (w.k0 - u.k0) + (w.k1 - u.k1) * (w.k1 - u.k1)) <= 0.001 * sqrt(w.k0 * w.k0 + w.k1 * w.k1)""")
 
 
-def ransac_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points_pt(spark, sf_dir).select("id", "x", "y")
-    moved = p.select("id", (F.col("x") + 7).alias("x"), (F.col("y") - 4).alias("y"))
-    pairs = astrometry.pairs_within(p, moved, 12.0).withColumn("frame_idx", F.lit(1))
-    return astrometry.ransac_shift(pairs)
+def moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of each frame's points with the same moved by (7, -4)."""
+    p = points_pt(spark, sf_dir).select("frame_idx", "id", "x", "y")
+    return astrometry.pairs_within(p, p.withColumns({"x": F.col("x") + 7, "y": F.col("y") - 4}), 12.0, on=("frame_idx",))
 
 
-register("ransac_shift", ransac_shift)
+register("shift_votes", lambda s, d: astrometry.match_offsets(moved_pairs(s, d)), f"""WITH {PT_SQL}, o AS (SELECT a.frame_idx, b.x + 7 - a.x AS dx, b.y - 4 - a.y AS dy FROM pt a JOIN pt b ON a.frame_idx = b.frame_idx AND (b.x + 7 - a.x) * (b.x + 7 - a.x) + (b.y - 4 - a.y) * (b.y - 4 - a.y) < 144)
+    SELECT frame_idx, dx, dy, count(*) AS votes FROM o GROUP BY frame_idx, dx, dy QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY votes DESC, dx, dy) = 1""")
+#: A consensus on the true offset takes in the true pairs and the few others that lie within the tolerance; their mean rounds to it.
+register("ransac_shift", lambda s, d: astrometry.ransac_shift(moved_pairs(s, d)).select("frame_idx", F.round("dx").alias("dx"), F.round("dy").alias("dy"), "success"), f"WITH {PT_SQL} SELECT DISTINCT frame_idx, 7.0::DOUBLE AS dx, -4.0::DOUBLE AS dy, true AS success FROM pt")
 
 
 def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A known rotation, scale and shift found back from sums."""
     p = points_pt(spark, sf_dir)
     xb, yb = 0.8 * F.col("x") - 0.6 * F.col("y") + 5, 0.6 * F.col("x") + 0.8 * F.col("y") - 3
-    out = astrometry.similarity_fit(p.select(F.lit(0).alias("frame_idx"), F.col("x").alias("xa"), F.col("y").alias("ya"), xb.alias("xb"), yb.alias("yb")))
+    out = astrometry.similarity_fit(p.select("frame_idx", F.col("x").alias("xa"), F.col("y").alias("ya"), xb.alias("xb"), yb.alias("yb")))
     return out.select("frame_idx", "n", *[F.round(c, DIGITS).alias(c) for c in ("a", "b", "dx", "dy")])
 
 
-register("similarity_fit", similarity_fit, "SELECT 0 AS frame_idx, count(*) AS n, 0.8::DOUBLE AS a, 0.6::DOUBLE AS b, 5.0::DOUBLE AS dx, -3.0::DOUBLE AS dy FROM customer")
+register("similarity_fit", similarity_fit, f"WITH {PT_SQL} SELECT frame_idx, count(*) AS n, 0.8::DOUBLE AS a, 0.6::DOUBLE AS b, 5.0::DOUBLE AS dx, -3.0::DOUBLE AS dy FROM pt GROUP BY frame_idx")
 
 
 def sky_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars near a pointing with image places of a known plate: half a degree a hundred pixels, turned by 30 degrees."""
     xi, eta, c = scalar.gnomonic(F.col("ra"), F.col("dec"), F.lit(120.0), F.lit(30.0))
-    p = points_pt(spark, sf_dir).select("id", "ra", "dec").withColumns({"xi": xi, "eta": eta, "c": c}).where("c > 0.6")
+    p = points_pt(spark, sf_dir).select("frame_idx", "id", "ra", "dec").withColumns({"xi": xi, "eta": eta, "c": c}).where("c > 0.6")
     k, cos, sin = 200.0, math.cos(math.radians(30)), math.sin(math.radians(30))
-    return p.withColumns({"frame_idx": F.lit(0), "x": k * (cos * F.col("xi") + sin * F.col("eta")), "y": k * (-sin * F.col("xi") + cos * F.col("eta"))})
+    return p.withColumns({"x": k * (cos * F.col("xi") + sin * F.col("eta")), "y": k * (-sin * F.col("xi") + cos * F.col("eta"))})
 
 
-register("plate_orientation", lambda s, d: astrometry.orientation(sky_stars(s, d), 120.0, 30.0).select("frame_idx", "crval1", "crval2", F.round("rotation", 4).alias("rotation"), F.round("pixel_scale", 4).alias("pixel_scale"), "confidence"), f"WITH {PT_SQL} SELECT 0 AS frame_idx, 120.0::DOUBLE AS crval1, 30.0::DOUBLE AS crval2, 30.0::DOUBLE AS rotation, 18.0::DOUBLE AS pixel_scale, least(1.0, count(*) / 20)::DOUBLE AS confidence FROM pt WHERE {_CD} > 0.6")
+register("plate_orientation", lambda s, d: astrometry.orientation(sky_stars(s, d), 120.0, 30.0).select("frame_idx", "crval1", "crval2", F.round("rotation", 4).alias("rotation"), F.round("pixel_scale", 4).alias("pixel_scale"), "confidence"), f"WITH {PT_SQL} SELECT frame_idx, 120.0::DOUBLE AS crval1, 30.0::DOUBLE AS crval2, 30.0::DOUBLE AS rotation, 18.0::DOUBLE AS pixel_scale, least(1.0, count(*) / 20)::DOUBLE AS confidence FROM pt WHERE {_CD} > 0.6 GROUP BY frame_idx")
 register("plate_distortion", lambda s, d: astrometry.distortion(sky_stars(s, d).select("frame_idx", (F.col("x") + 1e-6 * F.col("x") * F.col("x")).alias("u"), F.col("y").alias("v"), "xi", "eta")).select("frame_idx", F.size("a").alias("terms"), (F.round("rms", 1) + F.lit(0.0)).alias("rms")))
-register("point_extraction", lambda s, d: planes.label_planes(raster_li(s, d), 32, 32).select("frame_idx", "plane_idx", "point", F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y"), F.round("brightness", DIGITS).alias("brightness"), "area"))
+register("point_extraction", lambda s, d: planes.label_planes(raster_li(s, d), 32, 32, quantile=0.75).select("frame_idx", "plane_idx", "point", F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y"), F.round("brightness", DIGITS).alias("brightness"), "area"), f"""WITH RECURSIVE {LI_SQL}, q AS (SELECT frame_idx, plane_idx, quantile_cont(v, 0.75) AS q FROM li GROUP BY ALL),
+    m AS (SELECT frame_idx, plane_idx, y, x, v, y * 32 + x AS k FROM li JOIN q USING (frame_idx, plane_idx) WHERE v > q),
+    e AS (SELECT a.frame_idx, a.plane_idx, a.k AS a, b.k AS b FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.plane_idx = b.plane_idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    reach(frame_idx, plane_idx, a, b) AS (SELECT frame_idx, plane_idx, k, k FROM m UNION SELECT r.frame_idx, r.plane_idx, r.a, e.b FROM reach r JOIN e ON e.frame_idx = r.frame_idx AND e.plane_idx = r.plane_idx AND e.a = r.b),
+    label AS (SELECT frame_idx, plane_idx, a AS k, min(b) AS label FROM reach GROUP BY ALL),
+    g AS (SELECT frame_idx, plane_idx, label, count(*) AS area, sum(v) AS brightness, sum(v * x) / sum(v) AS cx, sum(v * y) / sum(v) AS cy, var_pop(x) + 1 / 12 AS sxx, var_pop(y) + 1 / 12 AS syy, covar_pop(x, y) AS sxy FROM m JOIN label USING (frame_idx, plane_idx, k) GROUP BY ALL),
+    h AS (SELECT *, (sxx + syy) / 2 AS mid, sqrt((sxx - syy) * (sxx - syy) / 4 + sxy * sxy) AS off FROM g WHERE area BETWEEN pi() AND pi() * 64)
+    SELECT frame_idx, plane_idx, CAST(row_number() OVER (PARTITION BY frame_idx, plane_idx ORDER BY cx * cx + cy * cy, label) - 1 AS INT) AS point, round(cx, {DIGITS}) AS x, round(cy, {DIGITS}) AS y, brightness, CAST(area AS INT) AS area FROM h WHERE sqrt((mid + off) / (mid - off)) <= 2.000000002""")
 
 
 def phase_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames rolled by their number, against the first."""
-    base = raster_li(spark, sf_dir).where("plane_idx = 0 and frame_idx = 0").select("y", "x", "v")
-    frames = raster_li(spark, sf_dir).select("frame_idx").distinct()
-    rolled = base.join(frames).select("frame_idx", F.pmod(F.col("y") + F.col("frame_idx"), F.lit(32)).alias("y"), F.pmod(F.col("x") + 2 * F.col("frame_idx"), F.lit(32)).alias("x"), "v")
-    return planes.phase_shift(rolled, base, 32, 32).select("frame_idx", F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy"))
+    """Every frame's first plane, rolled by its number, against itself."""
+    base = raster_li(spark, sf_dir).where("plane_idx = 0").select("frame_idx", "y", "x", "v")
+    rolled = base.select("frame_idx", F.pmod(F.col("y") + F.col("frame_idx"), F.lit(32)).alias("y"), F.pmod(F.col("x") + 2 * F.col("frame_idx"), F.lit(32)).alias("x"), "v")
+    return planes.phase_shift(rolled, base, 32, 32).select("frame_idx", F.round("dx").alias("dx"), F.round("dy").alias("dy"))
+
+
+register("phase_shift", phase_shift, li("SELECT DISTINCT frame_idx, CAST(2 * frame_idx AS DOUBLE) AS dx, CAST(frame_idx AS DOUBLE) AS dy FROM li WHERE plane_idx = 0"))
+
+
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by the place of the reference's centre; frames are moved without wrapping."""
+    base = raster_li(spark, sf_dir).where("plane_idx = 0").select("frame_idx", "y", "x", "v")
+    moved = base.select("frame_idx", (F.col("y") + F.col("frame_idx")).alias("y"), (F.col("x") - F.col("frame_idx")).alias("x"), "v").where("y < 32 and x >= 0")
+    return planes.template_match(moved, base, 32, 32).select("frame_idx", "dx", "dy", "success")
 
 
-register("phase_shift", phase_shift)
+register("template_match", template_match, li("SELECT DISTINCT frame_idx, CAST(-frame_idx AS DOUBLE) AS dx, CAST(frame_idx AS DOUBLE) AS dy, true AS success FROM li WHERE plane_idx = 0"))
 
 # --- macros ------------------------------------------------------------------------------------------------------
 from . import macros  # noqa: E402
 
 register("lrgb_combination", lambda s, d: pixels_out(macros.lrgb_combination(raster_em(s, d), raster_em(s, d))), planes_sql("em", EM_SQL, *[f"p0 {e}" for e in ("+ (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- 2 * (p0 + p1 - 2 * p2) / 6")]))
 register("chroma_denoise", lambda s, d: pixels_out(macros.chroma_denoise(raster_em(s, d), 8, 8)))
-register("median_disk", lambda s, d: pixels_out(macros.median_filter(raster_li(s, d), 32, 32, 1)), li("""SELECT frame_idx, plane_idx, ty AS y, tx AS x, s[CAST(round_even(0.5 * (len(s) - 1), 0) AS INT) + 1] AS v FROM (
-    SELECT frame_idx, plane_idx, y - dy AS ty, x - dx AS tx, list_sort(list(v)) AS s FROM li, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) k(dy, dx)
-    WHERE y - dy BETWEEN 0 AND 31 AND x - dx BETWEEN 0 AND 31 GROUP BY ALL)"""))
-register("star_mask", lambda s, d: pixels_out(macros.star_mask(raster_li(s, d), 32, 32, 1)))
+DISK = "(SELECT CAST(a AS INT) AS dy, CAST(b AS INT) AS dx FROM (SELECT unnest(range(-25, 26)) AS a), (SELECT unnest(range(-25, 26)) AS b) WHERE a * a + b * b <= 625)"
+register("median_disk", lambda s, d: pixels_out(macros.median_filter(raster_li(s, d), 32, 32)), windows_sql(0.5, DISK))
+register("star_mask", lambda s, d: pixels_out(macros.star_mask(raster_li(s, d), 32, 32)), f"""WITH {LI_SQL}, m AS ({windows_sql(0.5, DISK).replace(f"WITH {LI_SQL}", "")}), b AS ({kernel_sql(neighbourhood.BLUR).replace(f"round(coalesce(sum(p.v * k.k), 0), {DIGITS}) + 0.0", "coalesce(sum(p.v * k.k), 0)")}),
+    d AS (SELECT b.frame_idx, b.plane_idx, b.y, b.x, b.v - m.v AS v FROM b JOIN m USING (frame_idx, plane_idx, y, x)), t AS (SELECT frame_idx, plane_idx, quantile_cont(v, 0.95) AS t FROM d WHERE v > 0 GROUP BY ALL)
+    SELECT {KEYS}, CASE WHEN v > t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM d LEFT JOIN t USING (frame_idx, plane_idx)""")
+register("dwt_two_levels_round_trip", lambda s, d: pixels_out(neighbourhood.idwt_levels(neighbourhood.dwt_levels(raster_em(s, d), 8, 8, 2), 8, 8)), em(f"SELECT {KEYS}, round(v, {DIGITS}) + 0.0 AS v FROM em"))
 register("wavelet_soft_threshold", lambda s, d: pixels_out(macros.wavelet_denoise(raster_em(s, d), 8, 8, 0.05)))
 
 

@@ -35,9 +35,9 @@ def table_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points_pt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue-like point set: id, ra, dec, mag and image places x, y."""
+    """A catalogue-like point set: id, ra, dec, mag, and scattered image places x, y in frames of 1024 points."""
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(k.alias("id"), ((k * 37) % 360).cast("double").alias("ra"), ((k * 61) % 181 - 90).cast("double").alias("dec"), ((k * 13) % 100 / 10.0).cast("double").alias("mag"), ((k * 97) % 1024).cast("double").alias("x"), ((k * 53) % 1024).cast("double").alias("y"))
+    return read(spark, sf_dir, "customer").select(F.floor(k / 1024).cast("int").alias("frame_idx"), k.alias("id"), ((k * 37) % 360).cast("double").alias("ra"), ((k * 61) % 181 - 90).cast("double").alias("dec"), ((k * 13) % 100 / 10.0).cast("double").alias("mag"), ((k * k * 37 + k * 97) % 1021).cast("double").alias("x"), ((k * k * 53 + k * 11) % 1019).cast("double").alias("y"))
 
 
 LI_SQL = """li AS (
@@ -53,6 +53,6 @@ EV_SQL = """ev AS (
     SELECT 0 AS frame_idx, 0 AS plane_idx, CAST(user_id AS INT) AS y, CAST(extract(hour FROM ts) AS INT) AS x,
            CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS v FROM events GROUP BY ALL)"""
 PT_SQL = """pt AS (
-    SELECT c_custkey AS id, CAST((c_custkey * 37) % 360 AS DOUBLE) AS ra, CAST((c_custkey * 61) % 181 - 90 AS DOUBLE) AS dec,
-           ((c_custkey * 13) % 100) / 10.0::DOUBLE AS mag, CAST((c_custkey * 97) % 1024 AS DOUBLE) AS x, CAST((c_custkey * 53) % 1024 AS DOUBLE) AS y
+    SELECT CAST(c_custkey // 1024 AS INT) AS frame_idx, c_custkey AS id, CAST((c_custkey * 37) % 360 AS DOUBLE) AS ra, CAST((c_custkey * 61) % 181 - 90 AS DOUBLE) AS dec,
+           ((c_custkey * 13) % 100) / 10.0::DOUBLE AS mag, CAST((c_custkey * c_custkey * 37 + c_custkey * 97) % 1021 AS DOUBLE) AS x, CAST((c_custkey * c_custkey * 53 + c_custkey * 11) % 1019 AS DOUBLE) AS y
     FROM customer)"""

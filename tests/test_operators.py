@@ -91,7 +91,7 @@ def test_layout_round_trips(spark, a):
         q = geometry.reposition(q, *((5, 4) if k % 2 == 0 else (4, 5)), rot90=1)
     assert (array(q, 4, 5) == want).all()
     assert (array(geometry.reposition(p, 5, 4, flip_x=True, shift_y=1), 4, 5) == np.roll(want[:, ::-1], 1, axis=0)).all()
-    assert (array(geometry.reposition(p, 5, 4, rot90=1), 5, 4) == np.rot90(want)).all()
+    assert (array(geometry.reposition(p, 5, 4, rot90=1), 5, 4) == np.rot90(want, -1)).all()
 
 
 def test_transform_identity_shift_and_quarter_turn(spark):
