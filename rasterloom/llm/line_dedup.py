@@ -80,20 +80,17 @@ def ring_pairs(crowd: DataFrame, edits: int, least: int) -> DataFrame:
     met = [(d, r, s, t) for d in range(edits + 1) for r in range(edits) for s in far for t in far if abs(s) + abs(t - s) + abs(d - t) <= edits and (r or s == t)]
     met += [(d, edits, 0, d) for d in range(edits + 1)]
 
-    def keys(places: list[tuple[int, int, int, int]]) -> DataFrame:
-        """(h, d, c, key): for a line longer by d, the two cells r places beside the centre, shifted by s and by t."""
-        place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("drst", p, strict=True)]) for p in places])).alias("at")
-        at = crowd.select("h", "line", "len", place).select("h", "line", "len", "at.*", (F.col("len") - F.col("at.d")).alias("size")).where(F.col("size") >= least)
-        at = at.select("*", F.expr(f"explode(sequence({edits}, {cells} - {edits + 1}))").alias("c"))
-        inside = f"{_start('(c - r)', 'size', cells)} + s >= 0 and {_start('(c + r + 1)', 'size', cells)} + t <= len"
-        key = f"if(r = {edits}, xxhash64(size, c, r, {ends}), xxhash64(size, c, r, {cell('(c - r)', 's')}, if(r = 0, '', {cell('(c + r)', 't')})))"
-        return at.where(inside).select("h", "d", "c", F.expr(key).alias("key"))
-
-    probe = written(keys(met).select(F.col("h").alias("h2"), "d", "key"), "probes")
-    parts = keys([(0, r, 0, 0) for r in range(edits + 1)])
+    # for a line longer by d, the two cells r places beside the centre c, shifted by s and by t; own: the line's own parts
+    place = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("drst", p, strict=True)]) for p in met])).alias("at")
+    at = crowd.select("h", "line", "len", place).select("h", "line", "len", "at.*", (F.col("len") - F.col("at.d")).alias("size")).where(F.col("size") >= least)
+    at = at.select("*", F.expr(f"explode(sequence({edits}, {cells} - {edits + 1}))").alias("c"))
+    inside = f"{_start('(c - r)', 'size', cells)} + s >= 0 and {_start('(c + r + 1)', 'size', cells)} + t <= len"
+    key = f"if(r = {edits}, xxhash64(size, c, r, {ends}), xxhash64(size, c, r, {cell('(c - r)', 's')}, if(r = 0, '', {cell('(c + r)', 't')})))"
+    probe = written(at.where(inside).select(F.col("h").alias("h2"), "d", "c", F.expr("d = 0 and s = 0 and t = 0").alias("own"), F.expr(key).alias("key")), "probes")
+    parts = probe.where("own").select(F.col("h2").alias("h"), "c", "key")
     counts = probe.groupBy("key").agg(F.count("*").alias("n"))
     centre = parts.join(counts, "key").groupBy("h", "c").agg(F.sum("n").alias("n")).groupBy("h").agg(F.min_by("c", F.struct("n", "c")).alias("c"))
-    return parts.join(centre, ["h", "c"]).select("h", "key").join(probe, "key").where("h < h2 or (d > 0 and h > h2)").select("h", "h2")
+    return parts.join(centre, ["h", "c"]).select("h", "key").join(probe.select("h2", "d", "key"), "key").where("h < h2 or (d > 0 and h > h2)").select("h", "h2")
 
 
 def _let(value: str, name: str, body: str) -> str:
