@@ -29,7 +29,9 @@ class Stream:
     """One input of an operator: pixels and what planning needs to know about them.
 
     length counts frames; planes, width and height are extents. A polynomial has coefficients instead of pixels:
-    coefficients[j][i] stands for x^i y^j at absolute pixel positions.
+    coefficients[j][i] stands for x^i y^j at absolute pixel positions; by_plane has one such grid for each of several
+    planes. columns and lines name a table's axes, names its planes, ids the frames; sizes are the extents before each
+    level of a wavelet transform; header is a relation that belongs to the frames.
     """
 
     pixels: DataFrame | None = None
@@ -40,6 +42,13 @@ class Stream:
     category: str = "primary"
     type: str = "image"
     coefficients: tuple[tuple[float, ...], ...] = field(default=())
+    by_plane: tuple[tuple[tuple[float, ...], ...], ...] = ()
+    columns: tuple[str, ...] = ()
+    lines: tuple[str, ...] = ()
+    names: tuple[str, ...] = ()
+    ids: tuple[str, ...] = ()
+    sizes: tuple[tuple[int, int], ...] = ()
+    header: DataFrame | None = None
 
     def priority(self) -> int:
         return CATEGORY_PRIORITY.get(self.category, 20_000) + TYPE_PRIORITY.get(self.type, 0) + max(0, min(999, 1000 - self.length))
@@ -65,6 +74,26 @@ def polynomial(coefficients: tuple[tuple[float, ...], ...], x: Column | str = "x
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
 
 
+def surfaces(s: Stream) -> tuple:
+    """The coefficient grids of a polynomial, one for each plane that it tells apart."""
+    return s.by_plane or (s.coefficients,)
+
+
+def polynomial_of(s: Stream) -> Column:
+    """A polynomial stream's value at a pixel; planes beyond those it tells apart are 0."""
+    if not s.by_plane:
+        return polynomial(s.coefficients)
+    value = F.lit(0.0)
+    for k, c in enumerate(s.by_plane):
+        value = F.when(F.col("plane_idx") == k, polynomial(c)).otherwise(value)
+    return value
+
+
+def constant(c) -> float | None:
+    """The value of a polynomial without x and y, else None."""
+    return None if any(v for j, row in enumerate(c) for i, v in enumerate(row) if i or j) else float(c[0][0] if c and c[0] else 0.0)
+
+
 def multiply_polynomials(a, b):
     """Coefficients of a product of two polynomials."""
     out = [[0.0] * (len(a[0]) + len(b[0]) - 1) for _ in range(len(a) + len(b) - 1)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import angular_distance, gnomonic
+from . import planes
 
 
 def topk_grid(points: DataFrame, by: str, width: float, height: float, rows: int = 3, columns: int = 3, k: int = 8) -> DataFrame:
@@ -169,6 +170,27 @@ def fall_back(found: DataFrame, *others: DataFrame) -> DataFrame:
     return found
 
 
+def register_frames(images: DataFrame, reference: DataFrame, width: int, height: int, *, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0, rows: int = 3, columns: int = 3, stars: int = 8, radius: float = 100.0, phase_most: float = 100.0, template_reach: int = 150) -> DataFrame:
+    """The registration table (see detect_shifts) of one-plane frames (frame_idx, y, x, v) against a reference plane (y, x, v).
+
+    Frames are normalised; their points, at most `stars` in each grid cell, are matched with the reference's. Frames where
+    that fails are registered by phase correlation, and where that fails too by the place of the reference's centre.
+    """
+    images, reference = planes.normalised(images.withColumn("plane_idx", F.lit(0))), planes.normalised(reference.select(F.lit(0).alias("frame_idx"), F.lit(0).alias("plane_idx"), "y", "x", "v"))
+
+    def points(df: DataFrame) -> DataFrame:
+        p = planes.label_planes(df, width, height, quantile, least, most, aspect).withColumn("id", F.col("point"))
+        return topk_grid(p, "brightness", width, height, rows, columns, stars).select("frame_idx", "id", "x", "y")
+
+    frames = images.select("frame_idx").distinct().withColumn("seconds", F.lit(None).cast("double"))
+    found = detect_shifts(points(images), points(reference).drop("frame_idx"), frames, radius)
+    left = images.join(found.where("dx is null").select("frame_idx"), "frame_idx", "left_semi")
+    plane = reference.select("y", "x", "v")
+    phase = planes.phase_shift(left, plane, width, height, phase_most).withColumn("confidence", F.least(F.lit(1.0), F.col("sharpness") / 10))
+    template = planes.template_match(left, plane, width, height, template_reach).withColumn("confidence", F.col("score"))
+    return fall_back(found, phase, template)
+
+
 def near_previous(candidates: DataFrame, most: float) -> DataFrame:
     """Offsets (frame_idx, dx, dy, ...) that lie within `most` of the last frame's before them; the others go. The frame before the first lies at 0."""
     w = Window.orderBy("frame_idx")  # a row a frame

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import BINARY, UNARY, complex_product, modulus
-from ..model import CELL, KEY, Stream, add_polynomials, multiply_polynomials, ordered, polynomial
+from ..model import CELL, KEY, Stream, add_polynomials, constant, multiply_polynomials, ordered, polynomial_of, surfaces
 
 
 def unary(pixels: DataFrame, name: str) -> DataFrame:
@@ -20,10 +24,25 @@ def unary_complex(pixels: DataFrame, name: str) -> DataFrame:
     re, im = F.col("re"), F.col("im")
     if name in ("absolute", "squared_norm"):
         return pixels.select(*[c for c in pixels.columns if c not in ("re", "im")], (modulus(re, im) if name == "absolute" else re * re + im * im).alias("v"))
-    change = {"conjugate": (re, -im), "negate": (-re, -im), "pass": (re, im)}[name]
+    square = re * re + im * im
+    change = {"conjugate": (re, -im), "negate": (-re, -im), "pass": (re, im), "inverse": (F.try_divide(re, square), F.try_divide(-im, square))}[name]
     return pixels.withColumns({"re": change[0], "im": change[1]})
 
 
+#: Of two constants; anything else of polynomials than sums and products needs constants.
+OF_CONSTANTS = {"power": lambda a, b: a**b if a > 0 or b == int(b) else math.nan, "max": max, "min": min}
+
+
+def combined(name: str, a, b):
+    """Two polynomials under a binary operator."""
+    if name in ("offset", "scale"):
+        return (add_polynomials if name == "offset" else multiply_polynomials)(a, b)
+    x, y = constant(a), constant(b)
+    if x is None or y is None or name not in OF_CONSTANTS:
+        raise ValueError(f"{name} of polynomials takes constants")
+    return ((float(OF_CONSTANTS[name](x, y)),),)
+
+
 def binary(streams: list[Stream], name: str) -> Stream:
     """Left fold of a binary operator over two or more streams.
 
@@ -35,11 +54,10 @@ def binary(streams: list[Stream], name: str) -> Stream:
     if len(streams) < 2:
         raise ValueError("a binary operator takes two streams at least")
     if all(s.type == "polynomial" for s in streams):
-        combine = {"offset": add_polynomials, "scale": multiply_polynomials}[name]
-        c = streams[0].coefficients
-        for s in streams[1:]:
-            c = combine(c, s.coefficients)
-        return Stream(type="polynomial", coefficients=c)
+        planes = max(len(surfaces(s)) for s in streams)
+        grids = [surfaces(s) * planes if len(surfaces(s)) == 1 else surfaces(s) for s in streams]
+        made = tuple(reduce(lambda a, b: combined(name, a, b), g) for g in zip(*grids, strict=True))
+        return replace(streams[0], coefficients=made[0], by_plane=made if planes > 1 else ())
     lengths = {s.length for s in streams if s.pixels is not None and s.length > 1}
     if len(lengths) > 1:
         raise ValueError(f"streams of {sorted(lengths)} frames cannot be zipped")
@@ -50,7 +68,7 @@ def binary(streams: list[Stream], name: str) -> Stream:
         if k == first:
             continue
         if s.type == "polynomial":
-            out = out.withColumn(f"v{k}", polynomial(s.coefficients))
+            out = out.withColumn(f"v{k}", polynomial_of(s))
             continue
         varies = {"frame_idx": s.length > 1, "plane_idx": s.planes > 1, "y": s.height > 1, "x": s.width > 1}
         on = [c for c in KEY if varies[c]]
@@ -60,13 +78,16 @@ def binary(streams: list[Stream], name: str) -> Stream:
     for k in range(1, len(streams)):
         value = BINARY[name](value, F.col(f"v{k}"))
     pixels = out.select(*KEY, value.alias("v"))
-    return Stream(pixels, max(s.length for s in real), base.planes, max(s.width for s in real), max(s.height for s in real), base.category, base.type)
+    return replace(base, pixels=pixels, length=max(s.length for s in real), width=max(s.width for s in real), height=max(s.height for s in real))
 
 
-def binary_complex(a: DataFrame, b: DataFrame, on: tuple[str, ...] = KEY) -> DataFrame:
-    """Product of two complex rasters that share keys."""
-    b = b.select(*on, F.col("re").alias("re_b"), F.col("im").alias("im_b"))
-    re, im = complex_product((F.col("re"), F.col("im")), (F.col("re_b"), F.col("im_b")))
+def binary_complex(a: DataFrame, b: DataFrame, on: tuple[str, ...] = KEY, name: str = "scale") -> DataFrame:
+    """Product (or sum, name "offset") of two rasters that share keys, of which one at least is complex."""
+    parts = lambda df: (F.col("re"), F.col("im")) if "re" in df.columns else (F.col("v"), F.when(F.col("v").isNotNull(), F.lit(0.0)))
+    a = a.select(*KEY, parts(a)[0].alias("ra"), parts(a)[1].alias("ia"))
+    b = b.select(*on, parts(b)[0].alias("rb"), parts(b)[1].alias("ib"))
+    x, y = (F.col("ra"), F.col("ia")), (F.col("rb"), F.col("ib"))
+    re, im = complex_product(x, y) if name == "scale" else (x[0] + y[0], x[1] + y[1])
     return a.join(b, list(on)).select(*KEY, re.alias("re"), im.alias("im"))
 
 

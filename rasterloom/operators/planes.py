@@ -266,6 +266,15 @@ def _beside(pixels: DataFrame, reference: DataFrame, largest: int = 1 << 22) ->
     return both.select("frame_idx", "y", "x", "v", "r").union(rest.select("frame_idx", "y", "x", F.lit(None).cast("double"), "r"))
 
 
+def normalised(pixels: DataFrame) -> DataFrame:
+    """Frames' planes with the range of three deviations on both sides of the mean as whole numbers from 0 to 255; invalid
+    pixels are 127, planes without any deviation 0."""
+    of = pixels.groupBy("frame_idx", "plane_idx").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    level = F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), ((F.col("v") - F.col("mean")) / F.col("deviation") + 3) / 6 * 255))).cast("double")
+    v = F.when(F.col("deviation") > 0, F.coalesce(level, F.lit(127.0))).otherwise(0.0)
+    return pixels.join(of, ["frame_idx", "plane_idx"]).select("frame_idx", "plane_idx", "y", "x", v.alias("v"))
+
+
 def phase_shift(pixels: DataFrame, reference: DataFrame, width: int, height: int, most: float | None = None) -> DataFrame:
     """(frame_idx, dx, dy, sharpness, success) of each frame against its reference (see _beside), by the peak of the cross-power spectrum.
 

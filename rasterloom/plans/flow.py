@@ -12,11 +12,15 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalar import BINARY, UNARY
-from ..model import KEY, Stream, concatenated
-from ..operators import colour, fit, geometry, neighbourhood, pixelwise, planes
+from ..model import KEY, Stream, concatenated, constant, grid, ordered, surfaces
+from ..operators import astrometry, colour, fit, geometry, neighbourhood, pixelwise, planes
+from ..sources import csvplanes, images
+from . import macros
 
 #: Operators by name: (node, input streams) -> stream.
 OPERATORS: dict[str, Callable[["Node", list[Stream]], Stream]] = {}
@@ -53,6 +57,13 @@ class Flow:
     def __init__(self) -> None:
         self.nodes: dict[int, Node] = {}
         self.known: dict[str, Stream] = {}
+        self.given: list[Stream] = []
+
+    def _mark(self, stream: Stream) -> str:
+        """A name for a given stream. The flow keeps the stream, so that no other one can take its identity."""
+        if not any(s is stream for s in self.given):
+            self.given.append(stream)
+        return f"source {next(k for k, s in enumerate(self.given) if s is stream)}"
 
     def add(self, kind: str, *inputs: Node, **params) -> Node:
         node = Node(max(self.nodes, default=-1) + 1, kind, params, [n.id for n in inputs])
@@ -95,7 +106,7 @@ class Flow:
         """The plan of one node. sources: streams by node number as n0=..., for readers and open inputs."""
         target = target.id if isinstance(target, Node) else target
         given = {int(k[1:]): s for k, s in sources.items()}
-        results, marks = dict(given), {k: f"source {id(s.pixels)} {s}" for k, s in given.items()}
+        results, marks = dict(given), {k: self._mark(s) for k, s in given.items()}
         for node in self.order([target]):
             if node.id in results:
                 continue
@@ -139,21 +150,65 @@ def _changed(s: Stream, pixels, **changes) -> Stream:
     return replace(s, pixels=pixels, **changes)
 
 
-def _kernel(node: Node, streams: list[Stream]):
-    """The kernel of a neighbourhood node: its parameter, or the rows of its second, auxiliary input (a small table)."""
-    if "kernel" in node.params:
-        return node.params["kernel"]
-    a = [[0.0] * streams[1].width for _ in range(streams[1].height)]
-    for r in streams[1].pixels.where("frame_idx = 0 and plane_idx = 0").select("y", "x", "v").collect():
+#: Cells of a kernel, and of a table that a flow holds, at most; larger ones are no kernels and belong in files.
+KERNEL = 1 << 16
+
+
+def _cells(s: Stream, plane: int = 0) -> list[list[float | None]]:
+    """The values of a small plane, None where it is invalid."""
+    if s.width * s.height > KERNEL:
+        raise ValueError(f"a kernel of {s.width} x {s.height} is too large")
+    a: list[list[float | None]] = [[None] * s.width for _ in range(s.height)]
+    for r in s.pixels.where((F.col("frame_idx") == 0) & (F.col("plane_idx") == plane)).select("y", "x", "v").limit(KERNEL).collect():
         a[r.y][r.x] = r.v
     return a
 
 
+def _kernel(node: Node, streams: list[Stream], plane: int = 0, invalid: float | None = 0.0):
+    """The kernel of a neighbourhood node: its parameter, or a plane of its auxiliary input (a small table)."""
+    if "kernel" in node.params:
+        return node.params["kernel"]
+    return [[invalid if v is None else v for v in row] for row in _cells(ordered(streams)[-1], plane)]
+
+
+def _unary(name: str, s: Stream) -> Stream:
+    if s.type == "polynomial":
+        if name == "pass":
+            return s
+        if name == "negate":
+            made = tuple(tuple(tuple(-v for v in row) for row in c) for c in surfaces(s))
+        else:
+            values = [constant(c) for c in surfaces(s)]
+            if any(v is None for v in values):
+                raise ValueError(f"{name} of a polynomial takes a constant")
+            spark = SparkSession.active()
+            found = spark.range(1).select(*[UNARY[name](F.lit(v)).alias(f"v{k}") for k, v in enumerate(values)]).first()
+            made = tuple(((float("nan") if v is None else float(v),),) for v in found)
+        return replace(s, coefficients=made[0], by_plane=made if s.by_plane else ())
+    if "re" in s.pixels.columns:
+        return _changed(s, pixelwise.unary_complex(s.pixels, name))
+    return _changed(s, pixelwise.unary(s.pixels, name))
+
+
+def _binary(name: str, streams: list[Stream]) -> Stream:
+    if not any(s.pixels is not None and "re" in s.pixels.columns for s in streams):
+        return pixelwise.binary(streams, name)
+    streams = ordered(streams)
+    out = max(streams, key=lambda s: (s.length, s.planes))
+    for s in streams:
+        if s is not out and s.type == "polynomial":
+            raise ValueError(f"{name} of complex pixels and a polynomial is not defined")
+        if s is not out:
+            on = tuple(c for c in KEY if {"frame_idx": s.length > 1, "plane_idx": s.planes > 1, "y": s.height > 1, "x": s.width > 1}[c])
+            out = _changed(out, pixelwise.binary_complex(out.pixels, s.pixels, on, name))
+    return out
+
+
 for _name in UNARY:
-    OPERATORS[_name] = lambda node, s, n=_name: s[0] if s[0].type == "polynomial" else _changed(s[0], pixelwise.unary_complex(s[0].pixels, n) if "re" in s[0].pixels.columns and n in ("absolute", "squared_norm", "conjugate", "negate", "pass") else pixelwise.unary(s[0].pixels, n))
+    OPERATORS[_name] = lambda node, s, n=_name: _unary(n, s[0])
 OPERATORS["category_auxiliary"] = lambda node, s: s[0]
 for _name in BINARY:
-    OPERATORS[_name] = lambda node, s, n=_name: pixelwise.binary(s, n)
+    OPERATORS[_name] = lambda node, s, n=_name: _binary(n, s)
 for _name in ("sum", "product", "count", "maximum", "minimum", "average", "standard_deviation"):
     OPERATORS[_name] = lambda node, s, n=_name: _changed(s[0], pixelwise.stack(_all(s), n), length=1, width=max(x.width for x in s), height=max(x.height for x in s))
 
@@ -189,9 +244,15 @@ def _dense(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("convolution")
 def _convolution(node: Node, s: list[Stream]) -> Stream:
-    kernel = _kernel(node, s)
-    small = len(kernel) * len(kernel[0]) <= 225
-    return _changed(s[0], (neighbourhood.convolve if small else planes.fft_convolve)(s[0].pixels, kernel, s[0].width, s[0].height))
+    """One kernel for all planes, or one for each plane where the auxiliary input has as many."""
+    image, parts = ordered(s)[0], None
+    several = "kernel" not in node.params and ordered(s)[-1].planes == image.planes > 1
+    for k in range(image.planes if several else 1):
+        kernel = _kernel(node, s, k)
+        convolve = neighbourhood.convolve if len(kernel) * len(kernel[0]) <= 225 else planes.fft_convolve
+        part = convolve(image.pixels.where(F.col("plane_idx") == k) if several else image.pixels, kernel, image.width, image.height)
+        parts = part if parts is None else parts.unionByName(part)
+    return _changed(image, parts)
 
 
 @register_operator("deconvolution")
@@ -201,7 +262,10 @@ def _deconvolution(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("quantile_filter")
 def _quantile(node: Node, s: list[Stream]) -> Stream:
-    return _changed(s[0], neighbourhood.quantile_filter(s[0].pixels, _kernel(node, s), s[0].width, s[0].height, node.params.get("q", 0.5)))
+    """Invalid cells of the kernel are left out; its plane's name may hold the quantile."""
+    image, aux = ordered(s)[0], ordered(s)[-1]
+    q = neighbourhood.parse_quantile(aux.names[0])[0] if aux.names and aux is not image else node.params.get("q", 0.5)
+    return _changed(image, neighbourhood.quantile_filter(image.pixels, _kernel(node, s, invalid=None), image.width, image.height, q))
 
 
 @register_operator("fft")
@@ -216,9 +280,12 @@ def _ifft(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("matrix_product")
 def _product(node: Node, s: list[Stream]) -> Stream:
+    s = ordered(s)
     if s[0].width != s[1].height:
         raise ValueError("inner sizes differ")
-    return _changed(s[0], planes.matrix_product(s[0].pixels, s[1].pixels), width=s[1].width)
+    on = tuple(c for c, n in (("frame_idx", s[1].length), ("plane_idx", s[1].planes)) if n > 1)
+    right = s[1].pixels if len(on) == 2 else s[0].pixels.select("frame_idx", "plane_idx").distinct().join(s[1].pixels.drop(*[c for c in ("frame_idx", "plane_idx") if c not in on]), list(on) or F.lit(True))  # one matrix for all
+    return _changed(s[0], planes.matrix_product(s[0].pixels, right), width=s[1].width)
 
 
 @register_operator("inverse_matrix")
@@ -226,12 +293,179 @@ def _inverse(node: Node, s: list[Stream]) -> Stream:
     return _changed(s[0], planes.inverse_matrix(s[0].pixels, s[0].width, s[0].height))
 
 
+def _table_rows(tables: list[Stream], frames: Stream) -> DataFrame:
+    """Parameters by frame: the row of a table of one line for every frame, else the line of the frame's id, else that of the
+    empty label. A table without labels has a line a frame."""
+    table = tables[0]
+    names = [c for c in table.columns]
+    at = lambda c: F.max(F.when(F.col("x") == names.index(c), F.col("v"))).alias(c)
+    rows = table.pixels.where("plane_idx = 0").groupBy("y").agg(*[at(c) for c in names])
+    every = frames.pixels.select("frame_idx").distinct()
+    if table.height == 1:
+        return every.join(F.broadcast(rows.drop("y")))  # one row
+    if not any(table.lines):
+        return rows.withColumnRenamed("y", "frame_idx")
+    labels = {label: y for y, label in enumerate(table.lines)}
+    ids = frames.ids or tuple(str(k) for k in range(frames.length))
+    pairs = [(k, labels.get(name, labels.get(""))) for k, name in enumerate(ids) if name in labels or "" in labels]
+    lines = rows.sparkSession.createDataFrame(pairs, "frame_idx int, y int")  # a row a frame
+    return lines.join(rows, "y").drop("y")
+
+
+@register_operator("transform")
+def _transform(node: Node, s: list[Stream]) -> Stream:
+    """Frames (and constant streams as frames) by the parameters of the table input; the canvas holds all of them."""
+    tables = [x for x in s if x.type == "table"]
+    image = next(x for x in ordered(s) if x.type != "table")
+    if not tables:
+        raise ValueError("a transform takes a table of parameters")
+    params = _table_rows(tables, image)
+    filled = params.select("frame_idx", *[F.coalesce(F.col(c), F.lit(d)).alias(c) if c in params.columns else F.lit(d).alias(c) for c, d in (("dx", 0.0), ("dy", 0.0), ("rotation", 0.0), ("scale", 1.0))], *[F.col(c).cast("int").alias(c) for c in ("left", "top", "width", "height") if c in params.columns])
+    left, top, width, height = geometry.canvas_of(filled, image.width, image.height)
+    return _changed(image, geometry.transform(image.pixels, filled, image.width, image.height, width, height, left, top), width=width, height=height)
+
+
 @register_operator("reposition")
 def _reposition(node: Node, s: list[Stream]) -> Stream:
-    p = node.params
-    w, h = p.get("crop_width", s[0].width), p.get("crop_height", s[0].height)
+    """By parameters, or by a table input of one line."""
+    tables = [x for x in s if x.type == "table" and {"shift_x", "shift_y", "rot90", "flip_x", "flip_y", "transpose", "left", "top", "width", "height"} & set(x.columns)]
+    image, p = next(x for x in ordered(s) if not any(x is t for t in tables)), dict(node.params)
+    if tables:
+        if tables[0].height != 1:
+            raise ValueError("a reposition takes a table of one line")
+        row = dict(zip(tables[0].columns, _cells(tables[0])[0], strict=True))
+        p = {{"width": "crop_width", "height": "crop_height"}.get(k, k): int(v) for k, v in row.items() if v}
+        p |= {k: bool(p[k] % 2) for k in ("transpose", "flip_x", "flip_y") if k in p}
+        p = {"crop_width": image.width - p.get("left", 0), "crop_height": image.height - p.get("top", 0)} | p
+    w, h = p.get("crop_width", image.width), p.get("crop_height", image.height)
     turned = bool(p.get("transpose")) != bool(p.get("rot90", 0) % 2)
-    return _changed(s[0], geometry.reposition(s[0].pixels, s[0].width, s[0].height, **p), width=h if turned else w, height=w if turned else h)
+    return _changed(image, geometry.reposition(image.pixels, image.width, image.height, **p), width=h if turned else w, height=w if turned else h)
+
+
+@register_operator("dwt")
+def _dwt(node: Node, s: list[Stream]) -> Stream:
+    """A further level of the planes' approximations. Each plane is followed by its bands ad, da, dd of the newest level, then
+    by those of earlier ones; the taps come from the auxiliary input."""
+    image, taps = ordered(s)[0], [v or 0.0 for v in _kernel(node, s)[0]]
+    sizes = image.sizes or ((image.width, image.height),)
+    group, (w, h) = 1 + 3 * (len(sizes) - 1), sizes[-1]
+    plane, band = F.floor(F.col("plane_idx") / group).cast("int"), F.col("plane_idx") % group
+    bands = neighbourhood.dwt(image.pixels.where(band == 0).withColumn("plane_idx", plane), w, h, taps)
+    out = image.pixels.where(band > 0).withColumn("plane_idx", plane * (group + 3) + band + 3).select(*KEY, "v")
+    for k, name in enumerate(("aa", "ad", "da", "dd")):
+        out = out.unionByName(bands[name].withColumn("plane_idx", F.col("plane_idx") * (group + 3) + k).select(*KEY, "v"))
+    names = image.names or tuple(f"Plane {k}" for k in range(image.planes // group))
+    level = len(sizes)
+    names = tuple(x for n in names[::group] for x in (n, *[f"{n} ({b}{k})" for k in range(level, 0, -1) for b in ("ad", "da", "dd")]))
+    n = len(taps)
+    new = ((w + n - 1) // 2, (h + n - 1) // 2)
+    first = sizes[1] if level > 1 else new
+    return _changed(image, out.withColumn("plane_idx", F.col("plane_idx").cast("int")), planes=image.planes // group * (group + 3), width=first[0], height=first[1], sizes=(*sizes, new), names=names)
+
+
+@register_operator("idwt")
+def _idwt(node: Node, s: list[Stream]) -> Stream:
+    """Takes back the newest level."""
+    image, taps = next(x for x in ordered(s) if x.sizes), [v or 0.0 for v in _kernel(node, s)[0]]
+    group, (w, h) = 1 + 3 * (len(image.sizes) - 1), image.sizes[-2]
+    plane, band = F.floor(F.col("plane_idx") / group).cast("int"), F.col("plane_idx") % group
+    bands = {name: image.pixels.where(band == k).withColumn("plane_idx", plane) for k, name in enumerate(("aa", "ad", "da", "dd"))}
+    back = neighbourhood.idwt(bands, w, h, taps).withColumn("plane_idx", (F.col("plane_idx") * (group - 3)).cast("int")).select(*KEY, "v")
+    rest = image.pixels.where(band > 3).withColumn("plane_idx", (plane * (group - 3) + band - 3).cast("int")).select(*KEY, "v")
+    sizes = image.sizes[:-1] if len(image.sizes) > 2 else ()
+    width, height = image.sizes[1] if sizes else image.sizes[0]
+    kept = tuple(n for k, n in enumerate(image.names) if not 1 <= k % group <= 3)
+    return _changed(image, back.unionByName(rest), planes=image.planes // group * (group - 3), width=width, height=height, sizes=sizes, names=kept)
+
+
+@register_operator("auto_levels")
+def _levels(node: Node, s: list[Stream]) -> Stream:
+    """The pixels as they are; the display range of each frame is the header."""
+    return replace(s[0], header=colour.auto_levels(s[0].pixels))
+
+
+def _as_table(rows: DataFrame, line: str, columns: tuple[str, ...], frame: str | None = None) -> DataFrame:
+    """Rows as the pixels of a table: a line each, a column for each name."""
+    cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("x", "v")
+    return rows.select(F.col(frame).alias("frame_idx") if frame else F.lit(0).alias("frame_idx"), F.lit(0).alias("plane_idx"), F.col(line).cast("int").alias("y"), cells)
+
+
+@register_operator("points_extraction")
+def _points(node: Node, s: list[Stream]) -> Stream:
+    p, columns = node.params, ("x", "y", "brightness", "center_brightness", "area", "aspect_ratio")
+    plane = min(p.get("targetPlane", 1), s[0].planes - 1)
+    found = planes.label_planes(s[0].pixels.where(F.col("plane_idx") == plane), s[0].width, s[0].height, p.get("threshold", 95) / 100, p.get("minDiameter", 2), p.get("maxDiameter", 16), p.get("maxAspectRatio", 2.0))
+    return Stream(_as_table(found, "point", columns, "frame_idx"), s[0].length, 1, len(columns), 1, type="table", columns=columns, ids=s[0].ids)
+
+
+@register_operator("shift_detection")
+def _shifts(node: Node, s: list[Stream]) -> Stream:
+    """A line a frame; the reference is the auxiliary stream's first frame, else the first frame of the stream itself."""
+    p, columns = node.params, ("dx", "dy", "rotation", "confidence", "time")
+    image, *others = ordered(s)
+    plane = min(p.get("alignmentPlane", 1), image.planes - 1)
+    target = others[0] if others else image
+    reference = target.pixels.where((F.col("frame_idx") == 0) & (F.col("plane_idx") == min(plane, target.planes - 1))).select("y", "x", "v")
+    found = astrometry.register_frames(
+        image.pixels.where(F.col("plane_idx") == plane).select("frame_idx", "y", "x", "v"), reference, image.width, image.height, quantile=p.get("starThreshold", 95) / 100, least=p.get("starMinDiameter", 2), most=p.get("starMaxDiameter", 16), aspect=p.get("maxAspectRatio", 2.0),
+        rows=p.get("gridRows", 3), columns=p.get("gridCols", 3), stars=p.get("starsPerGrid", 8), radius=p.get("starSampleRadius", 100), phase_most=p.get("phaseMaxOffset", 100), template_reach=p.get("templateSearchRange", 150),
+    )
+    return Stream(_as_table(found, "frame_idx", columns), 1, 1, len(columns), image.length, type="table", columns=columns)
+
+
+@register_operator("chroma_denoise")
+def _chroma(node: Node, s: list[Stream]) -> Stream:
+    return _changed(s[0], macros.chroma_denoise(s[0].pixels, s[0].width, s[0].height))
+
+
+@register_operator("wavelet_denoise")
+def _wavelet(node: Node, s: list[Stream]) -> Stream:
+    return _changed(s[0], planes.wavelet_denoise(s[0].pixels, s[0].width, s[0].height, node.params.get("sigma", 1.0), neighbourhood.DB2, node.params.get("levels", 4)))
+
+
+def _read(pixels: DataFrame, **known) -> Stream:
+    """A stream of read pixels; the extents come from one aggregation."""
+    n, p, w, h = pixels.agg(*[F.coalesce(F.max(c), F.lit(-1)) + 1 for c in ("frame_idx", "plane_idx", "x", "y")]).first()
+    return Stream(pixels, max(1, n), max(1, p), max(1, w), max(1, h), **known)
+
+
+@register_operator("file_reader")
+def _file_reader(node: Node, s: list[Stream]) -> Stream:
+    return _read(csvplanes.read_csv(SparkSession.active(), node.params["path"]).select(*KEY, "v"), type="table")
+
+
+def _numbered(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Frames numbered in the order of their files and parts: a row a frame, joined back."""
+    order = F.row_number().over(Window.orderBy(*keys)) - 1  # a row a frame
+    frames = pixels.select(*keys).distinct().withColumn("frame_idx", order.cast("int"))
+    return pixels.join(frames, list(keys)).select(*KEY, "v")
+
+
+@register_operator("image_reader")
+def _image_reader(node: Node, s: list[Stream]) -> Stream:
+    return _read(_numbered(images.read_png(SparkSession.active(), node.params["path"]), ("source_file",)))
+
+
+@register_operator("fits_reader")
+def _fits_reader(node: Node, s: list[Stream]) -> Stream:
+    return _read(_numbered(images.read_fits(SparkSession.active(), node.params["path"]), ("source_file", "part")))
+
+
+@register_operator("file_writer")
+def _file_writer(node: Node, s: list[Stream]) -> Stream:
+    """Writes a folder of text files a frame and hands the stream on."""
+    csvplanes.write_csv(s[0].pixels, node.params["path"])
+    return s[0]
+
+
+@register_operator("image_writer")
+def _image_writer(node: Node, s: list[Stream]) -> Stream:
+    """The encoded files, one row a frame, as the header; they are written where a path is given."""
+    p = node.params
+    files = images.encode_frames(s[0].pixels, s[0].width, s[0].height, p.get("low", 0.0), p.get("end", 256.0), p.get("depth", 8), p.get("form", "png"))
+    if "path" in p:
+        files.write.mode("overwrite").parquet(p["path"])
+    return replace(s[0], header=files)
 
 
 @register_operator("tone_curve")
@@ -259,8 +493,35 @@ def _sigma(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("coefficients")
 def _coefficients(node: Node, s: list[Stream]) -> Stream:
-    rows, cols = node.params.get("yOrder", 0) + 1, node.params.get("xOrder", 0) + 1
-    values = node.params.get("values", {})
-    return Stream(type="polynomial", coefficients=tuple(tuple(float(values.get(f"{j},{i}", 0)) for i in range(cols)) for j in range(rows)))
+    """Values by "plane,x power,y power"; absent ones are 0. One plane holds for all planes of what it meets."""
+    p = node.params
+    rows, cols, values = p.get("yOrder", 0) + 1, p.get("xOrder", 0) + 1, p.get("coefficients", {})
+    names = tuple(p.get("planes", ["Plane 0"]))
+    made = tuple(tuple(tuple(float(values.get(f"{k},{i},{j}", 0)) for i in range(cols)) for j in range(rows)) for k in range(len(names)))
+    return Stream(type="polynomial", coefficients=made[0], by_plane=made if len(made) > 1 else (), planes=len(names), names=names)
+
+
+def _constant(node: Node, kind: str, values, width: int, height: int, **known) -> Stream:
+    """Pixels of a constant by "plane,x,y" (absent ones are 0), or one value everywhere."""
+    spark, names = SparkSession.active(), tuple(node.params.get("planes", ["Plane 0"]))
+    cells = grid(spark.range(len(names)).select(F.lit(0).alias("frame_idx"), F.col("id").cast("int").alias("plane_idx")), width, height)
+    if isinstance(values, dict):
+        given = [(*map(int, k.split(",")), float(v)) for k, v in values.items()]
+        table = spark.createDataFrame(given, "plane_idx int, x int, y int, v double")
+        pixels = cells.join(F.broadcast(table), ["plane_idx", "x", "y"], "left").select(*KEY, F.coalesce("v", F.lit(0.0)).alias("v"))  # as large as the flow's file
+    else:
+        pixels = cells.select(*KEY, F.lit(float(values)).alias("v"))
+    return Stream(pixels, 1, len(names), width, height, type=kind, names=names, **known)
+
+
+@register_operator("table")
+def _table(node: Node, s: list[Stream]) -> Stream:
+    p = node.params
+    columns, lines = p.get("columns", ["A", "B", "C"]), p.get("lines", ["1", "2", "3"])
+    width, height = (v if isinstance(v, int) else len(v) for v in (columns, lines))
+    return _constant(node, "table", p.get("table", {}), width, height, columns=() if isinstance(columns, int) else tuple(columns), lines=() if isinstance(lines, int) else tuple(lines))
 
 
+@register_operator("tensor")
+def _tensor(node: Node, s: list[Stream]) -> Stream:
+    return _constant(node, "tensor", node.params.get("tensor", {}), node.params.get("xOrder", 1), node.params.get("yOrder", 1))

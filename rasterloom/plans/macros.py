@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import soft_threshold
 from ..model import KEY, grid
-from ..operators import colour, fit, geometry, neighbourhood, pixelwise, planes
+from ..operators import astrometry, colour, fit, geometry, neighbourhood, pixelwise, planes
 
 
 def average(pixels: DataFrame) -> DataFrame:
@@ -28,6 +28,14 @@ def pixel_complete(pixels: DataFrame, params: DataFrame, width: int, height: int
     return average(aligned if sigma is None else pixelwise.sigma_clip(aligned, sigma))
 
 
+def star_alignment(pixels: DataFrame, reference: DataFrame, width: int, height: int, plane: int = 1, **settings) -> tuple[DataFrame, int, int]:
+    """Frames moved and turned onto a reference frame (y, x, v of the plane), with the width and height of the common canvas."""
+    table = astrometry.register_frames(pixels.where(F.col("plane_idx") == plane).select("frame_idx", "y", "x", "v"), reference, width, height, **settings)
+    params = table.where("dx is not null").select("frame_idx", "dx", "dy", "rotation", F.lit(1.0).alias("scale"))
+    left, top, new_width, new_height = geometry.canvas_of(params, width, height)
+    return geometry.transform(pixels, params, width, height, new_width, new_height, left, top), new_width, new_height
+
+
 def background_flat(pixels: DataFrame) -> DataFrame:
     return fit.subtract_background(pixels)
 

@@ -318,6 +318,170 @@ def test_flow_rejects_cycles_and_reuses_results(spark):
     assert flow.run(node, n0=s) is flow.run(node, n0=s)
 
 
+def noise(spark, frames=1, planes=1, width=12, height=10, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(f, p, y, x, float(rng.normal())) for f in range(frames) for p in range(planes) for y in range(height) for x in range(width)]
+    return spark.createDataFrame(rows, "frame_idx int, plane_idx int, y int, x int, v double"), frames, planes, width, height
+
+
+def values(pixels):
+    return {tuple(r[k] for k in KEY): r["v"] for r in pixels.collect()}
+
+
+def close(a, b):
+    a, b = values(a), values(b)
+    return a.keys() == b.keys() and all((x is None) == (b[k] is None) and (x is None or abs(x - b[k]) < 1e-9) for k, x in a.items())
+
+
+def graph(*nodes):
+    """A flow from (type, parameters, connections)."""
+    return flows.load(json.dumps({"version": "1", "nodes": [{"index": k, "type": kind, **params, "connections": to} for k, (kind, params, to) in enumerate(nodes)]}))
+
+
+def kernel_table(rows, **more):
+    return {"category": "auxiliary", "planes": ["Plane 0"], "columns": [str(k) for k in range(len(rows[0]))], "lines": [str(k) for k in range(len(rows))], "table": {f"0,{x},{y}": v for y, row in enumerate(rows) for x, v in enumerate(row) if v}, **more}
+
+
+def test_flow_of_a_table_kernel_and_of_one_for_each_plane(spark):
+    pixels, frames, count, w, h = noise(spark, 2, 3)
+    flow = graph(("pass", {}, [2]), ("table", kernel_table(neighbourhood.BLUR), [2]), ("convolution", {}, []))
+    flow.validate()
+    assert close(flow.run(2, n0=Stream(pixels, frames, count, w, h)).pixels, macros.blur(pixels, w, h))
+    table = kernel_table(neighbourhood.BLUR)
+    table |= {"planes": ["L", "a", "b"], "table": {"0,1,1": 1.0} | {k.replace("0,", f"{p},", 1): v for p in (1, 2) for k, v in table["table"].items()}}
+    flow = graph(("lab_converter", {}, [2]), ("table", table, [2]), ("convolution", {}, [3]), ("rgb_converter", {}, []))
+    flow.nodes[0].inputs = [9]
+    flow.nodes[9] = flows.Node(9, "pass")
+    assert close(flow.run(3, n9=Stream(pixels, frames, count, w, h)).pixels, macros.chroma_denoise(pixels, w, h))
+
+
+def test_flow_of_a_median_over_a_disk(spark):
+    """A disk cut from a table by a polynomial, its sign and a threshold, as the kernel of a quantile filter."""
+    pixels, frames, count, w, h = noise(spark)
+    disk = {"planes": ["quantile 0.5"], "columns": 5, "lines": 5, "table": 0}
+    inside = {"category": "auxiliary", "xOrder": 2, "yOrder": 2, "coefficients": {"0,0,0": -3.5, "0,1,0": 4.0, "0,2,0": -1.0, "0,0,1": 4.0, "0,0,2": -1.0}}
+    flow = graph(("table", disk, [2]), ("coefficients", inside, [2]), ("offset", {}, [3]), ("sign", {}, [5]), ("coefficients", {"category": "auxiliary", "coefficients": {"0,0,0": 0.1}}, [5]), ("upper_pass", {}, [6]), ("pass", {"category": "auxiliary"}, [8]), ("pass", {}, [8]), ("quantile_filter", {}, []))
+    assert close(flow.run(8, n7=Stream(pixels, frames, count, w, h)).pixels, macros.median_filter(pixels, w, h, 2))
+
+
+def test_flow_of_spectra(spark):
+    """Convolution and Wiener filter by spectra of repositioned planes."""
+    pixels, frames, count, w, h = noise(spark, 2)
+    size = lambda a, b, **more: {"category": "auxiliary", "columns": [*more, "width", "height"], "lines": ["1"], "table": {f"0,{k},0": float(v) for k, v in enumerate((*more.values(), a, b))}}
+    kernel = ("table", kernel_table(neighbourhood.BLUR), [2])
+    flow = graph(("pass", {}, [4]), kernel, ("reposition", {}, [6]), ("table", size(16, 15), [4]), ("reposition", {}, [7]), ("table", size(16, 15, shift_x=-1, shift_y=-1), [2]), ("fft", {"category": "auxiliary"}, [8]), ("fft", {}, [8]), ("scale", {}, [9]), ("ifft", {}, [11]), ("table", size(w, h), [11]), ("reposition", {}, []))
+    got = flow.run(11, n0=Stream(pixels, frames, count, w, h)).pixels
+    assert close(got.select(*KEY, F.col("re").alias("v")), macros.blur(pixels, w, h)) and got.where("abs(im) > 1e-9").count() == 0
+    wiener = graph(("pass", {}, [1]), ("fft", {"category": "auxiliary"}, [2, 4]), ("squared_norm", {"category": "auxiliary"}, [3]), ("offset", {"category": "auxiliary"}, [5]), ("conjugate", {"category": "auxiliary"}, [6]), ("inverse", {"category": "auxiliary"}, [6]), ("scale", {"category": "auxiliary"}, [7]), ("scale", {}, []), ("coefficients", {"category": "auxiliary", "coefficients": {"0,0,0": 0.01}}, [3]))
+    wiener.nodes[7].inputs.append(9)
+    wiener.nodes[9] = flows.Node(9, "fft", inputs=[0])
+    a = np.fft.fft2(array(pixels.where("frame_idx = 1"), h, w))
+    want = a * np.conj(a) / (np.abs(a) ** 2 + 0.01)
+    found = wiener.run(7, n0=Stream(pixels.where("frame_idx = 1").withColumn("frame_idx", F.lit(0)), 1, count, w, h)).pixels
+    assert np.allclose(array(found, h, w, "re"), want.real) and np.allclose(array(found, h, w, "im"), want.imag)
+
+
+def test_flow_of_wavelets(spark):
+    """Soft threshold of the details of two planes, and two levels back and forth."""
+    pixels, frames, count, w, h = noise(spark, 1, 2)
+    taps = ("table", kernel_table([neighbourhood.DB2]), [2, 9])
+    shrink = {"category": "auxiliary", "coefficients": {"0,0,0": -0.3}}
+    details = {"planes": [f"P{k}" for k in range(8)], "coefficients": {f"{k},0,0": 1.0 for k in range(8) if k % 4}}
+    flow = graph(("pass", {}, [2]), taps, ("dwt", {}, [3, 7]), ("absolute", {}, [5]), ("coefficients", shrink, [10]), ("offset", {}, [6]), ("max", {}, [8]), ("sign", {}, [8]), ("scale", {}, [9]), ("idwt", {}, []), ("scale", {"category": "auxiliary"}, [5]), ("coefficients", details, [10]), ("coefficients", {"category": "auxiliary"}, [6]))
+    assert close(flow.run(9, n0=Stream(pixels, frames, count, w, h)).pixels, macros.wavelet_denoise(pixels, w, h, 0.3))
+    twice = graph(("pass", {}, [2]), ("table", kernel_table([neighbourhood.DB2]), [2, 3, 4, 5]), ("dwt", {}, [3]), ("dwt", {}, [4]), ("idwt", {}, [5]), ("idwt", {}, []))
+    source = Stream(pixels, frames, count, w, h, names=("A", "B"))
+    level = twice.run(3, n0=source)
+    assert level.planes == 14 and level.names[:5] == ("A", "A (ad2)", "A (da2)", "A (dd2)", "A (ad1)") and level.sizes == ((12, 10), (7, 6), (5, 4))
+    back = twice.run(5, n0=source)
+    assert close(back.pixels, pixels) and (back.planes, back.width, back.height) == (2, 12, 10)
+
+
+def test_flow_of_aligned_frames(spark):
+    """Coverage-weighted mean of frames moved by a table; one-line tables hold for all frames, unknown ones stay."""
+    pixels, frames, count, w, h = noise(spark, 3)
+    moves = {"category": "auxiliary", "columns": ["dx", "dy"], "lines": ["0", "1"], "table": {"0,0,1": 2.0, "0,1,1": 1.0}}
+    flow = graph(("pass", {}, [1, 6]), ("fill_1", {}, [3]), ("table", moves, [3, 6]), ("transform", {}, [4]), ("sum", {}, [5]), ("inverse", {}, [8]), ("transform", {}, [7]), ("sum", {}, [8]), ("scale", {}, []))
+    params = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0), (1, 2.0, 1.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 1.0)], "frame_idx int, dx double, dy double, rotation double, scale double")
+    got = flow.run(8, n0=Stream(pixels, frames, count, w, h))
+    assert (got.width, got.height) == (14, 11) and close(got.pixels, macros.pixel_complete(pixels, params, w, h, 14, 11))
+
+
+def stars(spark, shifts, size=64, seed=4, count=20):
+    rng = np.random.default_rng(seed)
+    at = [(float(rng.uniform(8, size - 8)), float(rng.uniform(8, size - 8)), float(rng.uniform(50, 100))) for _ in range(count)]
+    rows = []
+    for f, (dx, dy) in enumerate(shifts):
+        y, x = np.indices((size, size))
+        a = sum(b * np.exp(-((x - sx - dx) ** 2 + (y - sy - dy) ** 2) / 3.0) for sx, sy, b in at)
+        rows += [(f, 0, int(j), int(i), float(a[j, i])) for j in range(size) for i in range(size)]
+    return spark.createDataFrame(rows, "frame_idx int, plane_idx int, y int, x int, v double"), len(shifts), size
+
+
+def test_flow_of_star_alignment_and_moving_objects(spark):
+    pixels, n, size = stars(spark, [(0, 0), (3, -2), (-1, 4)])
+    source = Stream(pixels, n, 1, size, size)
+    settings = {"category": "auxiliary", "alignmentPlane": 1, "starThreshold": 90, "starSampleRadius": 12}
+    flow = graph(("pass", {}, [1, 2]), ("shift_detection", settings, [2]), ("transform", {}, []))
+    table = {(r.y, r.x): r.v for r in flow.run(1, n0=source).pixels.collect()}
+    assert [(round(table[k, 0]), round(table[k, 1])) for k in range(n)] == [(0, 0), (-3, 2), (1, -4)]
+    aligned = flow.run(2, n0=source)
+    spread = aligned.pixels.groupBy("y", "x").agg(F.count("v").alias("n"), (F.max("v") - F.min("v")).alias("d")).where("n = 3").agg(F.avg("d")).first()[0]
+    assert spread < 1.5
+    moving = {"category": "auxiliary", "xOrder": 5, "yOrder": 5, "tensor": {f"0,{k},{k}": 1.0 for k in range(5)} | {"0,0,4": 0.5}}
+    metcalf = graph(("pass", {}, [1]), ("shift_detection", settings, [3]), ("tensor", moving, [3]), ("matrix_product", {"category": "auxiliary"}, []))
+    assert metcalf.run(3, n0=source).width == 5
+    points = graph(("pass", {}, [1]), ("points_extraction", {"threshold": 90}, []))
+    found = points.run(1, n0=source)
+    assert found.columns[:3] == ("x", "y", "brightness") and found.pixels.where("frame_idx = 0").count() > 5 * 6
+
+
+def test_registration_falls_back(spark):
+    """Frames without points are registered by their spectra, and those that fail there by their centre."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(32, 32)).cumsum(axis=0).cumsum(axis=1)
+    rows = [(f, int(y), int(x), float(np.roll(base, (f, -f), (0, 1))[y, x])) for f in range(3) for y in range(32) for x in range(32)]
+    frames = spark.createDataFrame(rows, "frame_idx int, y int, x int, v double")
+    got = {r.frame_idx: r for r in astrometry.register_frames(frames, frames.where("frame_idx = 0").select("y", "x", "v"), 32, 32, least=100.0, most=101.0).collect()}
+    assert all(got[f].dx is not None and round(got[f].dx) == f and round(got[f].dy) == -f and got[f].confidence > 0 for f in range(3))
+    table = spark.createDataFrame([(0, None, None, None, 0.0, None), (1, 5.0, 5.0, 0.0, 0.9, None)], "frame_idx int, dx double, dy double, rotation double, confidence double, time double")
+    other = spark.createDataFrame([(0, 2.0, 1.0, True, 0.4), (1, 9.0, 9.0, True, 0.4)], "frame_idx int, dx double, dy double, success boolean, confidence double")
+    assert [tuple(r)[:5] for r in astrometry.fall_back(table, other.where("frame_idx = 9"), other).orderBy("frame_idx").collect()] == [(0, -2.0, -1.0, 0.0, 0.4), (1, 5.0, 5.0, 0.0, 0.9)]
+    assert [r.frame_idx for r in astrometry.near_previous(spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 2.0), (2, 90.0, 2.0)], "frame_idx int, dx double, dy double"), 10.0).orderBy("frame_idx").collect()] == [0, 1]
+
+
+def test_constants_of_flows(spark):
+    pixels, frames, count, w, h = noise(spark, 1, 3)
+    flow = graph(("pass", {}, [2]), ("coefficients", {"category": "auxiliary", "planes": ["a", "b", "c"], "coefficients": {"1,0,0": 2.0, "2,0,0": 3.0}}, [2]), ("scale", {}, []), ("coefficients", {"coefficients": {"0,0,0": 4.0}}, [4]), ("inverse", {}, [5]), ("power", {}, []), ("coefficients", {"category": "auxiliary", "coefficients": {"0,0,0": 0.5}}, [5]))
+    got = values(flow.run(2, n0=Stream(pixels, frames, count, w, h)).pixels)
+    assert all(abs(got[k] - v * (0, 2, 3)[k[1]]) < 1e-9 for k, v in values(pixels).items())
+    assert flow.run(5).coefficients == ((0.5,),)
+    two = graph(("tensor", {"xOrder": 3, "yOrder": 2, "tensor": {"0,2,1": 5.0}}, []),).run(0)
+    assert (two.width, two.height, two.type) == (3, 2, "tensor") and {(r.y, r.x): r.v for r in two.pixels.collect()}[1, 2] == 5.0
+    with pytest.raises(RuntimeError):
+        graph(("coefficients", {"xOrder": 1, "coefficients": {"0,1,0": 1.0}}, [1]), ("inverse", {}, [])).run(1)
+
+
+def test_transform_keeps_frames_without_parameters(spark):
+    pixels, *_ = noise(spark, 2)
+    params = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 1.0, 5, 4)], "frame_idx int, dx double, dy double, rotation double, scale double, width int, height int")
+    got = values(geometry.transform(pixels, params, 12, 10, 14, 11, 2, 1))
+    want = values(pixels)
+    assert all(abs(got[1, 0, y + 1, x + 2] - want[1, 0, y, x]) < 1e-9 for y in range(10) for x in range(12))
+    assert {k[2:] for k in got if k[0] == 0} == {(y, x) for y in range(1, 4) for x in range(3, 5)}
+
+
+def test_large_windows_go_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    a = [[None if rng.random() < 0.2 else float(rng.integers(0, 50)) for _ in range(23)] for _ in range(17)]
+    p, kernel = raster(spark, a), neighbourhood.disk(4)
+    want = values(neighbourhood.quantile_filter(p, kernel, 23, 17, 0.3))
+    monkeypatch.setattr(neighbourhood, "TAPS", 1)
+    monkeypatch.setattr(neighbourhood, "TILE", 7)
+    assert values(neighbourhood.quantile_filter(p, kernel, 23, 17, 0.3)) == want
+    assert values(neighbourhood.quantile_filter(raster(spark, [[None, None, None, 1, 1]]), [[1.0]], 5, 1)) == {(0, 0, 0, x): (None if x < 3 else 1.0) for x in range(5)}
+
+
 def test_live_stack(spark, tmp_path):
     folder = tmp_path / "frames"
     for k, v in enumerate((1.0, 3.0)):
