@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, bound_batches, byte_texts, checkpointed, fresh, sized, written
@@ -24,6 +24,8 @@ BLOCK, TILE = 2048, 512
 SEED = 42
 #: Longs of a set's fingerprint, how many of them are compared first, and classes of sizes within one similarity ratio.
 LONGS, FIRST, CLASSES = 4, 2, 4
+#: Candidates of a set from which it is compared within blocks that carry the sets, and hashes of shingles in such a block.
+DENSE, SET_LONGS = 32, 1 << 19
 #: Standard deviations beyond the mean distance of sets just similar enough that still make a candidate.
 MARGIN = 6.0
 
@@ -199,49 +201,69 @@ def candidate_radius(bits: int, least: float) -> int:
     return int(bits * p + MARGIN * np.sqrt(bits * p * (1 - p)))
 
 
-def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
-    """(u, v) keys of sets that may be similar and whose labels differ. nodes: (key, label, n, f0, ...), n above 0.
+def _block_pairs(nodes: DataFrame, least: float, fields: list[str], rows: Column) -> DataFrame:
+    """(same, a_..., b_...): the arrays of `fields` of every two blocks of sets whose sizes do not rule out the similarity.
 
-    mode "near": of each pair of blocks, each node with its nearest and its smallest partner; "labels": the nearest nodes
-    of each two labels; "all": every pair. Sets whose sizes alone rule out the similarity are not compared.
+    Blocks hold sets of one class of sizes, dealt out by `rows`, the number of blocks that a class of `count` sets needs.
     """
-    bound_batches(nodes.sparkSession)
     width = float(-np.log(least) / CLASSES)
-    fields = ["key", "label", "n", *[f"f{k}" for k in range(LONGS)]]
     nodes = nodes.withColumn("size", F.floor(F.log("n") / width + 1e-9).cast("int"))
-    cells = F.broadcast(checkpointed(nodes.groupBy("size").count().select("size", F.ceil(F.col("count") / BLOCK).cast("int").alias("salts"))))
+    cells = F.broadcast(checkpointed(nodes.groupBy("size").agg(F.count("*").alias("count"), F.max("n").alias("most")).select("size", F.ceil(rows).cast("int").alias("salts"))))
     salted = nodes.join(cells, "size").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
     blocks = checkpointed(salted.groupBy("size", "salt").agg(F.collect_list(F.struct(*fields)).alias("rows")))
     left = blocks.select(F.col("size").alias("size0"), F.col("salt").alias("salt0"), F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(CLASSES))).alias("step")).withColumn("size", F.col("size0") + F.col("step"))
     left = left.join(cells, "size").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     own = F.col("step") == 0
     left = left.where(~own | (F.col("salt0") <= F.col("salt"))).withColumn("same", own & (F.col("salt0") == F.col("salt")))
-    met = left.join(blocks, ["size", "salt"]).select("same", *[F.col(f"left.{c}").alias(f"a_{c}") for c in fields], *[F.col(f"rows.{c}").alias(f"b_{c}") for c in fields])
+    return left.join(blocks, ["size", "salt"]).select("same", *[F.col(f"left.{c}").alias(f"a_{c}") for c in fields], *[F.col(f"rows.{c}").alias(f"b_{c}") for c in fields])
+
+
+def _near_rows(a: list[np.ndarray], b: list[np.ndarray], same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (in a, in b) of sets that may be similar and whose labels differ, and the bits by which they differ. a, b: key,
+    label, n, f0, ...; each pair of one block once."""
     first, whole = candidate_radius(64 * FIRST, least), candidate_radius(64 * LONGS, least)
+    fa, fb = ([x.view(np.uint64) for x in side[3 : 3 + LONGS]] for side in (a, b))
+    us, vs = [], []
+    for at in range(0, len(a[0]), TILE):
+        apart = sum(np.bitwise_count(fa[k][at : at + TILE, None] ^ fb[k][None]) for k in range(FIRST))
+        u, v = np.nonzero(apart <= first)
+        u = u + at
+        low, high = np.minimum(a[2][u], b[2][v]), np.maximum(a[2][u], b[2][v])
+        ok = (a[1][u] != b[1][v]) & (low >= least * high - 1e-9) & (~np.bool_(same) | (u < v))
+        us.append(u[ok])
+        vs.append(v[ok])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    far = sum(np.bitwise_count(x[u] ^ y[v]).astype(np.int16) for x, y in zip(fa, fb, strict=True))
+    ok = far <= whole
+    return u[ok], v[ok], far[ok]
+
+
+FIELDS = ["key", "label", "n", *[f"f{k}" for k in range(LONGS)]]
+
+
+def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
+    """(u, v) keys of sets that may be similar and whose labels differ. nodes: (key, label, n, f0, ..., dense), n above 0.
+
+    mode "near": of each pair of blocks, each node with its nearest and its smallest partner; "labels": the nearest nodes
+    of each two labels; "sparse": every pair of which one node at least is not dense; "count": for each node u, as v, how
+    many candidates a pair of blocks has for it. Sets whose sizes alone rule out the similarity are not compared.
+    """
+    bound_batches(nodes.sparkSession)
+    met = _block_pairs(nodes, least, [*FIELDS, "dense"], F.col("count") / BLOCK)
+    width = len(FIELDS) + 1
 
     def run(parts: Batches) -> Batches:
-        count = lambda a, b, ks: sum(np.bitwise_count(a[k] ^ b[k]).astype(np.int16) for k in ks)
         for batch in parts:
             for i in range(batch.num_rows):
-                same = batch.column(0)[i].as_py()
-                a, b = ([np.asarray(batch.column(1 + k + side * len(fields))[i].values) for k in range(len(fields))] for side in (0, 1))
-                fa, fb = ([x.view(np.uint64) for x in side[3:]] for side in (a, b))
-                us, vs = [], []
-                for at in range(0, len(a[0]), TILE):
-                    apart = sum(np.bitwise_count(fa[k][at : at + TILE, None] ^ fb[k][None]) for k in range(FIRST))
-                    u, v = np.nonzero(apart <= first)
-                    u = u + at
-                    low, high = np.minimum(a[2][u], b[2][v]), np.maximum(a[2][u], b[2][v])
-                    ok = (a[1][u] != b[1][v]) & (low >= least * high - 1e-9) & (~np.bool_(same) | (u < v))
-                    us.append(u[ok])
-                    vs.append(v[ok])
-                u, v = np.concatenate(us), np.concatenate(vs)
-                far = count([f[u] for f in fa], [f[v] for f in fb], range(LONGS)) if len(u) else np.empty(0, np.int16)
-                u, v, far = u[far <= whole], v[far <= whole], far[far <= whole]
+                a, b = ([batch.column(1 + k + side * width)[i].values.to_numpy(zero_copy_only=False) for k in range(width)] for side in (0, 1))
+                u, v, far = _near_rows(a, b, batch.column(0)[i].as_py(), least)
                 if not len(u):
                     continue
-                if mode == "all":
-                    chosen, other = a[0][u], b[0][v]
+                if mode == "count":
+                    chosen, other = np.unique(np.concatenate((a[0][u], b[0][v])), return_counts=True)
+                elif mode == "sparse":
+                    ok = ~(a[-1][u] & b[-1][v])
+                    chosen, other = a[0][u[ok]], b[0][v[ok]]
                 elif mode == "labels":
                     la, lb = a[1][u], b[1][v]
                     one, two = np.minimum(la, lb), np.maximum(la, lb)
@@ -260,26 +282,73 @@ def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
     return met.mapInArrow(run, "u long, v long")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The pairs (u, v) of keys whose sets of shingles have at least this Jaccard similarity, taken from the texts."""
-    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    ids = nodes.join(sized(wanted), "key", "left_semi").select("id").distinct()
+def shingle_sets(keys: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(key, shingles): sorted hashes of the distinct shingles of the texts of these keys, as a table."""
+    ids = nodes.join(sized(keys), "key", "left_semi").select("id").distinct()
     bound_batches(docs.sparkSession)
 
     def run(parts: Batches) -> Batches:
         for b in parts:
             texts = byte_texts(b.column(0))
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]
+            sets = [np.sort(np.unique(shingle_hashes(t, words)).view(np.int64)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_key, texts)), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sized(ids), "id", "left_semi")
-    sets = written(found.select("text").mapInArrow(run, "key long, shingles array<long>"), "shingles")
+    return written(found.select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The pairs (u, v) of keys whose sets of shingles have at least this Jaccard similarity, taken from the texts."""
+    wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+    sets = shingle_sets(wanted, nodes, docs, id_col, text_col, words)
     # pairs are narrow: they meet their first sets by broadcast, so that a set with many partners is no hot key
     both = sized(pairs).join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
     both = both.select("u", "v", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("shared"))
     return both.where(F.col("shared") >= least * (F.col("total") - F.col("shared")) - 1e-9).select("u", "v")
 
 
+def similar_dense(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v) keys that connect all similar sets among dense nodes, whose candidates are too many for a row each: blocks carry
+    the sets themselves, and a pair of blocks hands back stars. Within it, sets that are linked already are not compared again."""
+    bound_batches(nodes.sparkSession)
+    met = _block_pairs(nodes.join(sets, "key"), least, [*FIELDS, "shingles"], F.col("count") * F.greatest(F.col("most") / SET_LONGS, F.lit(1 / BLOCK)))
+    width = len(FIELDS) + 1
+
+    def run(parts: Batches) -> Batches:
+        for batch in parts:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py()
+                a, b = ([batch.column(1 + k + side * width)[i].values for k in range(width)] for side in (0, 1))
+                own, other = ([x.to_numpy(zero_copy_only=False) for x in side[:-1]] for side in (a, b))
+                u, v, far = _near_rows(own, other, same, least)
+                if not len(u):
+                    continue
+                keys = own[0] if same else np.concatenate((own[0], other[0]))
+                sets_ = [x.values.to_numpy() for x in a[-1]] + ([] if same else [x.values.to_numpy() for x in b[-1]])
+                v = v if same else v + len(own[0])
+                group = list(range(len(keys)))
+
+                def find(x: int) -> int:
+                    while group[x] != x:
+                        group[x] = group[group[x]]
+                        x = group[x]
+                    return x
+
+                for x, y in zip(u[order := np.argsort(far, kind="stable")].tolist(), v[order].tolist(), strict=True):
+                    p, q = find(x), find(y)
+                    if p != q:
+                        one, two = sets_[x], sets_[y]
+                        at = np.searchsorted(two, one)
+                        shared = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+                        if shared >= least * (len(one) + len(two) - shared) - 1e-9:
+                            group[max(p, q)] = min(p, q)
+                roots = np.array([find(x) for x in range(len(keys))])
+                moved = np.flatnonzero(roots != np.arange(len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[moved], pa.int64()), pa.array(keys[roots[moved]], pa.int64())], names=["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, component): every document with the smallest id that it reaches by links.
 
@@ -292,11 +361,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = checkpointed(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *prints)]).where("id is not null"))
     links, labels = None, nodes.select("key", F.col("key").alias("label"))
     for mode in ("near", "labels", "all"):
-        pairs = candidate_pairs(nodes.where("n > 0").join(labels, "key"), least, mode)
-        pairs = written(pairs.select("u", "v").distinct(), "candidates")
-        if pairs.isEmpty():
+        labelled = nodes.where("n > 0").join(labels, "key").withColumn("dense", F.lit(False))
+        more = None
+        if mode == "all":
+            counts = candidate_pairs(labelled, least, "count").groupBy(F.col("u").alias("key")).agg(F.sum("v").alias("c"))
+            counts = checkpointed(counts)
+            if counts.isEmpty():
+                break
+            dense = counts.where(F.col("c") > DENSE).select("key")
+            if not dense.isEmpty():
+                some = labelled.join(sized(dense), "key", "left_semi")
+                more = similar_dense(some, shingle_sets(dense, nodes, docs, id_col, text_col, words), least)
+            labelled = labelled.join(counts, "key").withColumn("dense", F.col("c") > DENSE).drop("c")
+        pairs = written(candidate_pairs(labelled, least, "sparse" if mode == "all" else mode).select("u", "v").distinct(), "candidates")
+        if not pairs.isEmpty():
+            own = similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
+            more = own if more is None else more.union(own)
+        if more is None:
             break
-        more = similar_pairs(pairs, nodes, docs, id_col, text_col, words, least)
         links = written(more if links is None else links.union(more), "similar")
         groups = components(links, "u", "v").withColumnsRenamed({"id": "key", "component": "label"})
         labels = checkpointed(nodes.select("key").join(groups, "key", "left").select("key", F.coalesce("label", "key").alias("label")))

@@ -569,7 +569,9 @@ def jaccard_sets(text, words=5):
     return {b" ".join(t[i : i + words]) for i in range(max(1, len(t) - words + 1))} if t else set()
 
 
-def test_keep_one_finds_every_similar_text(spark):
+@pytest.mark.parametrize("dense", [0, 32])
+def test_keep_one_finds_every_similar_text(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(4)
     texts = []
     for size in (3, 8, 9, 12, 40, 41, 90, 200, 600):
