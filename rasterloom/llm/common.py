@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the rows hold.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Values that a Memo holds at most.
+MEMO = 1 << 16
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -66,6 +68,20 @@ def batches(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+class Memo(dict):
+    """A function's values by argument; forgets all of them beyond MEMO, so that it cannot fill a worker's memory."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, key):
+        if len(self) >= MEMO:
+            self.clear()
+        self[key] = x = self.function(key)
+        return x
+
+
 def in_fold(doc_id: str, folds: int, fold: int):
     """True where crc32 of the id written as text leaves this remainder; a null id is in no fold."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))

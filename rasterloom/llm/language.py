@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, fresh, sized, written
+from .common import Batches, Memo, bound_batches, fresh, sized, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: No known language: a uniform likelihood.
@@ -153,14 +153,13 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     def read(parts: Batches) -> Batches:
         logs = held.value
 
-        class Words(dict):
-            def __missing__(self, word):
-                parts = [(logs[slots].sum(axis=0), len(slots)) for slots in trigrams(word)]
-                self[word] = x = parts[0] if len(parts) == 1 else (sum(p for p, _ in parts), sum(n for _, n in parts))
-                return x
+        def of_word(word: bytes) -> tuple[np.ndarray, int]:
+            parts = [(logs[slots].sum(axis=0), len(slots)) for slots in trigrams(word)]
+            return parts[0] if len(parts) == 1 else (sum(p for p, _ in parts), sum(n for _, n in parts))
 
+        words = Memo(of_word)
         for b in parts:
-            words, out, sizes = Words(), [], []
+            out, sizes = [], []
             for text in b.column(1).to_pylist():
                 total, n, size = np.zeros(len(classes)), 0, 0
                 for word, k in Counter(words_of(text or "")).items():

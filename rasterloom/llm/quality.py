@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches, byte_texts, fresh
+from .common import Batches, Memo, bound_batches, byte_texts, fresh
 
 #: Hashed slots of the scorer, and documents it is fitted on at most (those of the smallest id hashes).
 SLOTS, SAMPLE = 1 << 13, 12_000
@@ -65,14 +65,15 @@ def shape(word: bytes) -> bytes:
     return word
 
 
-def features(text: bytes, seen: dict[str, float], known: dict[bytes, int]) -> dict[int, float]:
-    """Slots and values: shares of word shapes, and the ratios in steps. known: slots of words seen before."""
+def word_slots() -> Memo:
+    return Memo(lambda word: xxhash.xxh64_intdigest(shape(word)) % SLOTS)
+
+
+def features(text: bytes, seen: dict[str, float], known: Memo) -> dict[int, float]:
+    """Slots and values: shares of word shapes, and the ratios in steps. known: word_slots()."""
     counts: Counter[int] = Counter()
     for word, k in Counter(text.split()).items():
-        slot = known.get(word)
-        if slot is None:
-            slot = known[word] = xxhash.xxh64_intdigest(shape(word)) % SLOTS
-        counts[slot] += k
+        counts[known[word]] += k
     out = {s: c / max(1, seen["words"]) for s, c in counts.items()}
     for name, _, bad in LABELLERS:
         if name in seen:
@@ -146,8 +147,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     posterior, _, _ = estimate(vote_patterns(docs, text_col))
 
     def run(parts: Batches) -> Batches:
+        known = word_slots()
         for b in parts:
-            known: dict[bytes, int] = {}
             out = []
             for t in byte_texts(b.column(0)):
                 seen = ratios(t)
@@ -175,8 +176,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray, float], te
     schema = docs.select("*", F.lit(0.0).alias(posterior_col), F.lit(0.0).alias(score_col)).schema
 
     def run(parts: Batches) -> Batches:
+        known = word_slots()
         for b in parts:
-            known: dict[bytes, int] = {}
             first, second = [], []
             for t in byte_texts(b.column(at)):
                 seen = ratios(t)

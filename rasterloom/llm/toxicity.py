@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bound_batches
+from .common import Batches, Memo, bound_batches
 
 #: Hashed feature slots; labelled documents of either label that the model is fitted on at most, and bytes of their texts
 #: at most; passes over them.
@@ -135,14 +135,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(parts: Batches) -> Batches:
         known = Model(*held.value)
 
-        class Weights(dict):
-            def __missing__(self, word):
-                self[word] = x = known.word(word)
-                return x
-
+        weights = Memo(known.word)
         odds = float(np.log(least / (1 - least)))
         for b in parts:
-            weights, scores, found = Weights(), [], []
+            scores, found = [], []
             for text in b.column(1).to_pylist():
                 zs, at, hits = [], weights.__getitem__, []
                 for m in SENTENCE.finditer(text or ""):
