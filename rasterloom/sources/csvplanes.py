@@ -8,6 +8,7 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _number(cell: str) -> float | None:
@@ -46,7 +47,7 @@ def parse_planes(text: str) -> list[dict]:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """(frame_idx, plane_idx, plane, type, y, x, line, column, v) of the files under a path, one frame a file in path order."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
-    numbers = files.select("source_file").orderBy("source_file").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["source_file", "frame_idx"])
+    numbers = files.select("source_file").withColumn("frame_idx", F.row_number().over(Window.orderBy("source_file")) - 1)  # a row a file
 
     def run(parts):
         for pdf in parts:

@@ -79,16 +79,7 @@ def png_pixels(data: bytes) -> np.ndarray:
         elif kind == 1:
             row = line.reshape(width, step).cumsum(axis=0, dtype=np.uint8).ravel()
         else:
-            row = np.zeros(stride, np.int64)
-            up = above.astype(np.int64)
-            for i in range(stride):
-                left, corner = (row[i - step], up[i - step]) if i >= step else (0, 0)
-                if kind == 3:
-                    guess = (left + up[i]) // 2
-                else:
-                    p = left + up[i] - corner
-                    guess = min((left, up[i], corner), key=lambda c: abs(p - c))
-                row[i] = (line[i] + guess) & 255
+            row = np.frombuffer(_predicted(kind, line.tobytes(), above.tobytes(), step), np.uint8)
         above = row.astype(np.uint8)
         rows.append(above)
     v = np.stack(rows)
@@ -98,6 +89,23 @@ def png_pixels(data: bytes) -> np.ndarray:
     return np.moveaxis(v, -1, 0)
 
 
+def _predicted(kind: int, line: bytes, up: bytes, step: int) -> bytearray:
+    """A row of filter 3 (mean) or 4 (nearest of left, above and corner): each byte needs the one before it, so plain ints are quickest."""
+    row = bytearray(len(line))
+    for i, value in enumerate(line):
+        above = up[i]
+        left, corner = (row[i - step], up[i - step]) if i >= step else (0, 0)
+        if kind == 3:
+            guess = (left + above) >> 1
+        else:
+            p, q = above - corner, left - corner  # distances of left and of above from left + above - corner
+            r = abs(p + q)
+            p, q = abs(p), abs(q)
+            guess = left if p <= q and p <= r else above if q <= r else corner
+        row[i] = (value + guess) & 255
+    return row
+
+
 def write_png(planes: np.ndarray, depth: int = 8) -> bytes:
     """A PNG of one, two, three or four planes."""
     count, height, width = planes.shape
@@ -123,13 +131,40 @@ def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 for part, planes in enumerate(decode(data)):
                     for k, plane in enumerate(planes):
-                        y, x = np.indices(plane.shape)
-                        yield pd.DataFrame({"source_file": name, "part": part, "plane_idx": k, "y": y.ravel(), "x": x.ravel(), "v": plane.ravel().astype(float)})
+                        height = max(1, PIXELS_AT_ONCE // max(1, plane.shape[1]))
+                        for top in range(0, plane.shape[0], height):
+                            some = plane[top : top + height]
+                            y, x = np.indices(some.shape)
+                            yield pd.DataFrame({"source_file": name, "part": part, "plane_idx": k, "y": y.ravel() + top, "x": x.ravel(), "v": some.ravel().astype(float)})
 
     out = files.mapInPandas(run, PIXELS)
     return out.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
+#: Pixels of a plane that leave a decoder as one frame of rows.
+PIXELS_AT_ONCE = 1 << 18
+
+
+def read_fits_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, part, mode, bayer_pattern, width, height, planes, header): a row for each unit with an image.
+
+    mode is L, RGB or RGBA by the number of planes, FITS_nC for other numbers, and BAYER where one plane has a mosaic pattern.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(parts):
+        for pdf in parts:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                for part, (cards, v) in enumerate(fits_units(data)):
+                    planes = channels_first(v)
+                    pattern = cards.get("BAYERPAT") or cards.get("BAYER")
+                    pattern = pattern.strip(" '").upper() if pattern and len(planes) == 1 else None
+                    mode = "BAYER" if pattern else {1: "L", 3: "RGB", 4: "RGBA"}.get(len(planes), f"FITS_{len(planes)}C")
+                    yield pd.DataFrame([{"source_file": name, "part": part, "mode": mode, "bayer_pattern": pattern, "width": planes.shape[2], "height": planes.shape[1], "planes": len(planes), "header": {k: str(x) for k, x in cards.items()}}])
+
+    return files.mapInPandas(run, "source_file string, part int, mode string, bayer_pattern string, width int, height int, planes int, header map<string,string>")
+
+
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of FITS files: (source_file, part, plane_idx, y, x, v), part counting the units with an image."""
     return _decoded(spark, path, lambda data: [channels_first(v) for _, v in fits_units(data)])
@@ -159,17 +194,30 @@ def encode_frames(pixels: DataFrame, width: int, height: int, low: float, end: f
 
 
 #: Sources of each normalised header key, first non-null wins.
-HEADER_SOURCES = {"exposure_time": ("ExposureTime", "EXPTIME", "EXPOSURE"), "f_number": ("FNumber", "APERTURE"), "iso_speed": ("ISOSpeed", "PhotographicSensitivity", "ISOSpeedRatings"), "focal_length": ("FocalLength", "FOCALLEN")}
+HEADER_SOURCES = {"exposure_time": ("ExposureTime", "EXPTIME", "EXPOSURE"), "f_number": ("FNumber", "APERTURE"), "focal_length": ("FocalLength", "FOCALLEN")}
+
+
+#: The key that holds the sensitivity for each SensitivityType, and the keys of times with those of their subseconds.
+SENSITIVITY = {1: "StandardOutputSensitivity", 2: "RecommendedExposureIndex", 3: "ISOSpeed", 4: "RecommendedExposureIndex", 5: "ISOSpeed", 6: "ISOSpeed", 7: "ISOSpeed"}
+TIMES = (("DateTimeOriginal", "SubSecTimeOriginal"), ("DateTimeDigitized", "SubSecTimeDigitized"), ("DateTime", "SubSecTime"), ("DATE-OBS", None), ("DATEOBS", None), ("DATE", None))
 
 
 def normalise_headers(frames: DataFrame, column: str = "exif") -> DataFrame:
-    """Typed columns of an open header map: numbers by the first source that has one, and the time with its subseconds."""
+    """Typed columns of an open header map: numbers by the first source that has one, the sensitivity by its type (else the
+    photographic one), and the first time there is with its subseconds."""
     m = F.col(column)
-    out = frames.withColumns({k: F.coalesce(*[F.expr(f"try_cast(`{column}`['{n}'] AS double)") for n in names]) for k, names in HEADER_SOURCES.items()})
-    stamp = F.coalesce(m["DateTimeOriginal"], m["DateTime"], m["DATE-OBS"], m["DATEOBS"], m["DATE"])
-    text = F.regexp_replace(F.regexp_replace(stamp, r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3"), "T", " ")
-    sub = F.when(m["SubSecTimeOriginal"].isNotNull(), F.concat(text, F.lit("."), m["SubSecTimeOriginal"])).otherwise(text)
-    return out.withColumn("datetime", F.try_to_timestamp(sub))
+    number = lambda n: F.expr(f"try_cast(`{column}`['{n}'] AS double)")
+    out = frames.withColumns({k: F.coalesce(*map(number, names)) for k, names in HEADER_SOURCES.items()})
+    kind, iso = number("SensitivityType"), F.coalesce(number("PhotographicSensitivity"), number("ISOSpeedRatings"))
+    typed = F.lit(None).cast("double")
+    for k, name in SENSITIVITY.items():
+        typed = F.when(kind == k, number(name)).otherwise(typed)
+    out = out.withColumn("iso_speed", F.when(kind.isNotNull(), typed).otherwise(iso))
+    stamps = []
+    for name, part in TIMES:
+        text = F.regexp_replace(F.regexp_replace(m[name], r"^(\d{4}):(\d{2}):(\d{2})", "$1-$2-$3"), "T", " ")
+        stamps.append(F.try_to_timestamp(text if part is None else F.when(m[part].isNotNull(), F.concat(text, F.lit("."), m[part])).otherwise(text)))
+    return out.withColumn("datetime", F.coalesce(*stamps))
 
 
 def pixel_resolution(unit: Column, resolution: Column) -> Column:

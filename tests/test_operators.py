@@ -289,6 +289,22 @@ def test_encoded_frames_and_headers(spark):
     frames = spark.createDataFrame([({"DATE-OBS": "2024-01-02T03:04:05", "EXPTIME": "1.5"},)], "exif map<string,string>")
     h = images.normalise_headers(frames).first()
     assert h.exposure_time == 1.5 and str(h.datetime) == "2024-01-02 03:04:05"
+    frames = spark.createDataFrame([({"SensitivityType": "2", "RecommendedExposureIndex": "800", "ISOSpeed": "100", "DateTimeDigitized": "2024:01:02 03:04:05", "SubSecTimeDigitized": "25"},), ({"PhotographicSensitivity": "400", "ISOSpeed": "1"},)], "exif map<string,string>")
+    first, second = images.normalise_headers(frames).collect()
+    assert (first.iso_speed, second.iso_speed, str(first.datetime), second.datetime) == (800.0, 400.0, "2024-01-02 03:04:05.250000", None)
+
+
+def test_predicted_rows_match_a_plain_filter():
+    rng = np.random.default_rng(2)
+    line, up = rng.integers(0, 256, 60).astype(np.uint8).tobytes(), rng.integers(0, 256, 60).astype(np.uint8).tobytes()
+    for kind, step in ((3, 3), (4, 1), (4, 4)):
+        row = []
+        for i in range(60):
+            left, corner = (row[i - step], up[i - step]) if i >= step else (0, 0)
+            p = left + up[i] - corner
+            guess = (left + up[i]) // 2 if kind == 3 else min((left, up[i], corner), key=lambda c: abs(p - c))
+            row.append((line[i] + guess) & 255)
+        assert list(images._predicted(kind, line, up, step)) == row
 
 
 AVERAGE = {"nodes": [{"index": 0, "type": "pass", "connections": [1, 2]}, {"index": 1, "type": "count", "connections": [3]}, {"index": 2, "type": "sum", "connections": [4]}, {"index": 3, "type": "inverse", "connections": [4]}, {"index": 4, "type": "scale", "connections": []}]}
