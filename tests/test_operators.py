@@ -277,10 +277,14 @@ def test_png_round_trip(spark, tmp_path, depth):
 
 def test_fits_reader(spark, tmp_path):
     card = lambda k, v: f"{k:<8}= {v:>20}".ljust(80)
-    head = "".join([card("SIMPLE", "T"), card("BITPIX", 16), card("NAXIS", 2), card("NAXIS1", 3), card("NAXIS2", 2), card("BZERO", 10), "END".ljust(80)]).ljust(2880)
+    head = "".join([card("SIMPLE", "T"), card("BITPIX", 16), card("NAXIS", 2), card("NAXIS1", 3), card("NAXIS2", 2), card("BZERO", 10), card("BAYERPAT", "'RGGB'"), "END".ljust(80)]).ljust(2880)
     data = np.arange(6, dtype=">i2").tobytes().ljust(2880, b"\0")
     (tmp_path / "a.fits").write_bytes(head.encode() + data)
     assert (array(images.read_fits(spark, str(tmp_path / "a.fits")), 2, 3) == np.arange(6).reshape(2, 3) + 10).all()
+    h = images.read_fits_headers(spark, str(tmp_path / "a.fits")).first()
+    assert (h.mode, h.bayer_pattern, h.width, h.height, h.planes, h.header["BZERO"]) == ("BAYER", "RGGB", 3, 2, 1, "10")
+    flow = graph(("fits_reader", {"path": str(tmp_path)}, [1]), ("negate", {}, []))
+    assert flow.run(1).width == 3 and values(flow.run(1).pixels)[0, 0, 1, 2] == -15.0
 
 
 def test_encoded_frames_and_headers(spark):
