@@ -126,6 +126,55 @@ def matrix_colours(cells: DataFrame, matrix) -> DataFrame:
     return cells.select("frame_idx", "y", "x", *[(p[0] * r[0] + p[1] * r[1] + p[2] * r[2]).alias(f"p{k}") for k, r in enumerate(matrix)])
 
 
+#: Fixed values of the colour spaces for denoising: linear colour to XYZ and back, colour to luminance and two differences and back.
+XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+FROM_XYZ = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875992, 0.041556), (0.055648, -0.204043, 1.057311))
+DIFFERENCES = ((0.299, 0.587, 0.114), (-0.147, -0.289, 0.436), (0.615, -0.515, -0.100))
+FROM_DIFFERENCES = ((1.0, 0.0, 1.140), (1.0, -0.394, -0.581), (1.0, 2.032, 0.0))
+
+
+def to_space(cells: DataFrame, space: str) -> DataFrame:
+    """p0..p2 of colours from 0 to 1 in the space "Lab" (by XYZ, without a white point), "YUV" or "HSV"."""
+    if space == "YUV":
+        return matrix_colours(cells, DIFFERENCES)
+    if space == "Lab":
+        x, y, z = (F.cbrt(f"p{k}") for k in range(3))
+        return matrix_colours(cells, XYZ).select("frame_idx", "y", "x", (116 * y - 16).alias("p0"), (500 * (x - y)).alias("p1"), (200 * (y - z)).alias("p2"))
+    r, g, b = (F.col(f"p{k}") for k in range(3))
+    known = r.isNotNull() & g.isNotNull() & b.isNotNull()
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    # of equal largest colours the last one decides
+    hue = F.when(top == low, 0.0).when(top == b, 4 + (r - g) / (top - low)).when(top == g, 2 + (b - r) / (top - low)).otherwise((g - b) / (top - low)) / 6
+    hue = F.when(hue < 0, hue + 1).otherwise(hue)
+    of = lambda c: F.when(known, c)
+    return cells.select("frame_idx", "y", "x", of(hue).alias("p0"), of(F.when(top != 0, (top - low) / top).otherwise(0.0)).alias("p1"), of(top).alias("p2"))
+
+
+def from_space(cells: DataFrame, space: str) -> DataFrame:
+    """The inverse of to_space, clipped to 0..1."""
+    p = [F.col(f"p{k}") for k in range(3)]
+    if space == "HSV":
+        h = p[0] * 6
+        sector, f = F.pmod(F.floor(h), F.lit(6)), h - F.floor(h)
+        down, q, t = p[2] * (1 - p[1]), p[2] * (1 - p[1] * f), p[2] * (1 - p[1] * (1 - f))
+        order = ((p[2], t, down), (q, p[2], down), (down, p[2], t), (down, q, p[2]), (t, down, p[2]), (p[2], down, q))
+        parts = []
+        for k in range(3):
+            value = F.lit(None).cast("double")
+            for i, row in enumerate(order):
+                value = F.when(sector == i, row[k]).otherwise(value)
+            parts.append(value.alias(f"p{k}"))
+        cells = cells.select("frame_idx", "y", "x", *parts)
+    elif space == "YUV":
+        cells = matrix_colours(cells, FROM_DIFFERENCES)
+    else:
+        y = (p[0] + 16) / 116
+        cube = lambda c: c * c * c
+        cells = matrix_colours(cells.select("frame_idx", "y", "x", cube(p[1] / 500 + y).alias("p0"), cube(y).alias("p1"), cube(y - p[2] / 200).alias("p2")), FROM_XYZ)
+    clip = lambda c: F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
+    return cells.select("frame_idx", "y", "x", *[clip(F.col(f"p{k}")).alias(f"p{k}") for k in range(3)])
+
+
 def inverse_matrix_of(matrix):
     return tuple(map(tuple, np.linalg.inv(np.array(matrix)).tolist()))
 

@@ -51,6 +51,38 @@ def convolve(pixels: DataFrame, kernel, width: int, height: int) -> DataFrame:
     return moved.union(empty).groupBy(*KEY).agg(F.sum("v").alias("v"))
 
 
+def along(pixels: DataFrame, axis: str, size: int, taps: dict[int, float]) -> DataFrame:
+    """The sum of taps[k] times the value k places further along an axis, mirrored at the borders (half-sample symmetric).
+
+    Invalid pixels count 0 and stay invalid; pixels that are not there get no row. Taps reach less far than the extent.
+    """
+    at = F.col(axis)
+    reach = max(abs(k) for k in taps)
+    sent = lambda image: F.array(*[F.struct((image - k).alias("p"), F.lit(float(w)).alias("k")) for k, w in taps.items()])
+    none = F.array().cast("array<struct<p: int, k: double>>")
+    every = F.concat(sent(at), F.when(at < reach, sent(-1 - at)).otherwise(none), F.when(at >= size - reach, sent(2 * size - 1 - at)).otherwise(none))
+    moved = pixels.where("v is not null").select(*KEY, "v", F.explode(F.filter(every, lambda c: c["p"].between(0, size - 1))).alias("c"))
+    moved = moved.select(*[F.col("c.p").alias(c) if c == axis else c for c in KEY], (F.col("v") * F.col("c.k")).alias("v"), F.lit(False).alias("own"))
+    own = pixels.select(*KEY, F.lit(0.0).alias("v"), F.col("v").isNotNull().alias("own"))
+    return moved.union(own).groupBy(*KEY).agg(F.sum("v").alias("v"), F.max("own").alias("own")).where("own").select(*KEY, "v").union(pixels.where("v is null").select(*KEY, "v"))
+
+
+def gaussian(pixels: DataFrame, width: int, height: int, sigma: float) -> DataFrame:
+    """A Gaussian of this deviation in pixels, cut off beyond four deviations, along both axes in turn."""
+    reach = int(4 * sigma + 0.5)
+    raw = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
+    taps = {k: w / sum(raw.values()) for k, w in raw.items()}
+    return along(along(pixels, "y", height, taps), "x", width, taps)
+
+
+def gradient(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """The length of the Sobel gradient."""
+    slope, soft = {-1: -1.0, 1: 1.0}, {-1: 1.0, 0: 2.0, 1: 1.0}
+    gx = along(along(pixels, "x", width, slope), "y", height, soft)
+    gy = along(along(pixels, "y", height, slope), "x", width, soft).withColumnRenamed("v", "w")
+    return gx.join(gy, list(KEY)).select(*KEY, F.sqrt(F.col("v") * F.col("v") + F.col("w") * F.col("w")).alias("v"))
+
+
 #: Taps up to which windows are exploded; larger ones go by tiles of this side.
 TAPS, TILE = 225, 64
 

@@ -170,11 +170,44 @@ def inverse_matrix(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return _stacked(pixels, ("v",), width, height, run, REAL).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
-def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4) -> DataFrame:
+def _labels(mask: np.ndarray, corners: bool) -> np.ndarray:
+    """The smallest cell number of each cell's connected group (by edges, and by corners too); mask.size outside."""
+    h, w = mask.shape
+    label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
+    steps = [(a, b) for a in range(3) for b in range(3) if corners or a == 1 or b == 1]
+    while True:
+        wide = np.pad(label, 1, constant_values=mask.size)
+        new = np.where(mask, np.min([wide[a : a + h, b : b + w] for a, b in steps], axis=0), mask.size)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def protected(v: np.ndarray, percentile: float, radius: int) -> np.ndarray:
+    """Cells of a plane (invalid: NaN) within `radius` of a bright group: over the percentile, or 2 or 5 below it, four cells
+    or more that touch by edges."""
+    out, (h, w) = np.zeros(v.shape, bool), v.shape
+    for level in (percentile, percentile - 2, percentile - 5):
+        if level <= 0 or np.isnan(v).all():
+            continue
+        mask = np.nan_to_num(v, nan=-np.inf) > np.nanpercentile(v, level)
+        label = _labels(mask, False)
+        counts = np.bincount(label[mask], minlength=mask.size + 1)
+        mask &= counts[label] >= 4
+        wide = np.pad(mask, radius)
+        for dy in range(-radius, radius + 1):
+            for dx in range(-radius, radius + 1):
+                if dx * dx + dy * dy <= radius * radius:
+                    out |= wide[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
+    return out
+
+
+def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4, stars: float | None = None, radius: int = 3) -> DataFrame:
     """Soft threshold sigma sqrt(2 ln n) of the detail bands of each level, by an orthogonal transform with half-sample
     symmetric extension, of any extent. Levels are as many as leave about 8 pixels, one at least.
 
-    Invalid pixels count 0 in the transform and stay invalid; only the pixels that are there are returned.
+    Invalid pixels count 0 in the transform and stay invalid; only the pixels that are there are returned. Pixels about
+    bright groups over the percentile `stars` stay as they are (None: nowhere).
     """
     bank = {k: np.array(v) for k, v in filter_bank(taps).items()}
     size = len(taps)
@@ -204,6 +237,9 @@ def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, ta
         for ad, da, dd in reversed(kept):
             a = a[: ad.shape[0], : ad.shape[1]]  # one too long where the extent was odd
             a = join(join(a, ad, 1), join(da, dd, 1), 0)
+        if stars is not None:
+            given = _dense(pdf, ("v",), width, height, np.nan)[0]
+            a = np.where(protected(given, stars, radius), np.nan_to_num(given), a[:height, :width])
         out = pdf[["frame_idx", "plane_idx", "y", "x"]].copy()
         out["v"] = np.where(pdf["v"].isna(), np.nan, a[pdf["y"].to_numpy(), pdf["x"].to_numpy()])
         return out
@@ -222,14 +258,7 @@ def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0
         v = _dense(pdf, ("v",), width, height, np.nan)[0]
         ok = ~np.isnan(v)
         mask = ok & (v > np.quantile(v[ok], quantile)) if ok.any() else ok
-        label = np.where(mask, np.arange(mask.size).reshape(mask.shape), mask.size)
-        while True:
-            wide_ = np.pad(label, 1, constant_values=mask.size)
-            low = np.min([wide_[a : a + height, b : b + width] for a in range(3) for b in range(3)], axis=0)
-            new = np.where(mask, low, mask.size)
-            if (new == label).all():
-                break
-            label = new
+        label = _labels(mask, True)
         rows = []
         for k in np.unique(label[mask]):
             y, x = np.nonzero(label == k)

@@ -415,12 +415,20 @@ def _shifts(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("chroma_denoise")
 def _chroma(node: Node, s: list[Stream]) -> Stream:
-    return _changed(s[0], macros.chroma_denoise(s[0].pixels, s[0].width, s[0].height))
+    """Frames of three planes (of four with the mean green); others pass."""
+    p, image = node.params, s[0]
+    if image.planes < 3:
+        return image
+    pixels = colour.merge_rgbg(image.pixels) if image.planes == 4 else image.pixels
+    edges = p.get("edge_threshold", 0.1) if p.get("preserve_edges", True) else None
+    return _changed(image, macros.colour_denoise(pixels, image.width, image.height, p.get("colorspace", "Lab"), p.get("chroma_strength", 2.0), p.get("luma_strength", 0.2), edges), planes=3)
 
 
 @register_operator("wavelet_denoise")
 def _wavelet(node: Node, s: list[Stream]) -> Stream:
-    return _changed(s[0], planes.wavelet_denoise(s[0].pixels, s[0].width, s[0].height, node.params.get("sigma", 1.0), neighbourhood.DB2, node.params.get("levels", 4)))
+    p = node.params
+    stars = p.get("star_threshold", 99.0) if p.get("star_protection", True) else None
+    return _changed(s[0], planes.wavelet_denoise(s[0].pixels, s[0].width, s[0].height, p.get("sigma", 1.0), neighbourhood.DB2, p.get("levels", 4), stars, p.get("protection_radius", 3)))
 
 
 def _read(pixels: DataFrame, **known) -> Stream:

@@ -55,6 +55,34 @@ def chroma_denoise(pixels: DataFrame, width: int, height: int, kernel=neighbourh
     return colour.to_rgb(lab.where("plane_idx = 0").unionByName(soft))
 
 
+def colour_denoise(pixels: DataFrame, width: int, height: int, space: str = "Lab", chroma: float = 2.0, luma: float = 0.2, edges: float | None = 0.1) -> DataFrame:
+    """Gaussians of `luma` and `chroma` pixels over the first and the other two channels of a colour space.
+
+    Frames are brought to 0..1 first and back at the end. Where the gradient of the first channel, brought to 0..1 over the
+    frame, exceeds `edges`, pixels stay as they are (None: nowhere). Invalid pixels stay invalid.
+    """
+    ends = pixels.groupBy("frame_idx").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    ends = ends.select("frame_idx", F.when(F.col("high") > F.col("low"), F.col("low")).otherwise(0.0).alias("low"), span.alias("span"))
+    scaled = pixels.join(ends, "frame_idx").select(*KEY, ((F.col("v") - F.col("low")) / F.col("span")).alias("v"))
+    three = [F.col(f"p{k}") for k in range(3)]
+    channels = colour.long(colour.to_space(colour.wide(scaled), space), three)
+    soft = None
+    for where, sigma in (("plane_idx = 0", luma), ("plane_idx > 0", chroma)):
+        part = channels.where(where)
+        part = neighbourhood.gaussian(part, width, height, sigma) if sigma > 0 else part
+        soft = part if soft is None else soft.unionByName(part)
+    if edges is not None:
+        slope = neighbourhood.gradient(channels.where("plane_idx = 0"), width, height)
+        of = slope.groupBy("frame_idx").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        level = F.when(F.col("most") > F.col("least"), (F.col("v") - F.col("least")) / (F.col("most") - F.col("least"))).otherwise(F.col("v"))
+        sharp = slope.join(of, "frame_idx").where(level > edges).select("frame_idx", "y", "x", F.lit(True).alias("sharp"))
+        whole = channels.withColumnRenamed("v", "kept")
+        soft = soft.join(whole, list(KEY)).join(sharp, ["frame_idx", "y", "x"], "left").select(*KEY, F.when(F.col("sharp"), F.col("kept")).otherwise(F.col("v")).alias("v"))
+    back = colour.long(colour.from_space(colour.wide(soft), space), three)
+    return back.join(ends, "frame_idx").select(*KEY, (F.col("v") * F.col("span") + F.col("low")).alias("v"))
+
+
 def lrgb_combination(light: DataFrame, colours: DataFrame) -> DataFrame:
     """Lightness of the first plane of one stream with the colours of another."""
     ab = colour.to_lab(colours).where("plane_idx > 0")

@@ -400,6 +400,8 @@ from . import macros  # noqa: E402
 register("lrgb_combination", lambda s, d: pixels_out(macros.lrgb_combination(raster_em(s, d), raster_em(s, d))), planes_sql("em", EM_SQL, *[f"p0 {e}" for e in ("+ (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- (p0 - p1) / 2 + (p0 + p1 - 2 * p2) / 6", "- 2 * (p0 + p1 - 2 * p2) / 6")]))
 register("chroma_denoise", lambda s, d: pixels_out(macros.chroma_denoise(raster_em(s, d), 8, 8)))
 DISK = "(SELECT CAST(a AS INT) AS dy, CAST(b AS INT) AS dx FROM (SELECT unnest(range(-25, 26)) AS a), (SELECT unnest(range(-25, 26)) AS b) WHERE a * a + b * b <= 625)"
+for _space in ("Lab", "YUV", "HSV"):
+    register(f"colour_denoise_{_space.lower()}", lambda s, d, n=_space: pixels_out(macros.colour_denoise(raster_em(s, d), 8, 8, n, 0.5, 0.2)))
 register("median_disk", lambda s, d: pixels_out(macros.median_filter(raster_li(s, d), 32, 32)), windows_sql(0.5, DISK))
 register("star_mask", lambda s, d: pixels_out(macros.star_mask(raster_li(s, d), 32, 32)), f"""WITH {LI_SQL}, m AS ({windows_sql(0.5, DISK).replace(f"WITH {LI_SQL}", "")}), b AS ({kernel_sql(neighbourhood.BLUR).replace(f"round(coalesce(sum(p.v * k.k), 0), {DIGITS}) + 0.0", "coalesce(sum(p.v * k.k), 0)")}),
     d AS (SELECT b.frame_idx, b.plane_idx, b.y, b.x, b.v - m.v AS v FROM b JOIN m USING (frame_idx, plane_idx, y, x)), t AS (SELECT frame_idx, plane_idx, quantile_cont(v, 0.95) AS t FROM d WHERE v > 0 GROUP BY ALL)

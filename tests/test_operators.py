@@ -502,6 +502,73 @@ def test_large_windows_go_by_tiles(spark, monkeypatch):
     assert values(neighbourhood.quantile_filter(raster(spark, [[None, None, None, 1, 1]]), [[1.0]], 5, 1)) == {(0, 0, 0, x): (None if x < 3 else 1.0) for x in range(5)}
 
 
+def test_protected_cells_lie_about_bright_groups():
+    v = np.zeros((20, 20))
+    v[5:7, 5:7] = 10.0  # four cells by edges
+    v[15, 15] = v[16, 16] = v[17, 17] = v[18, 18] = 20.0  # by corners only
+    v[0, 0] = np.nan
+    y, x = np.indices(v.shape)
+    want = np.min([np.hypot(y - a, x - b) for a in (5, 6) for b in (5, 6)], axis=0) <= 2
+    assert (planes.protected(v, 97.0, 2) == want).all()
+    assert not planes.protected(np.full((3, 3), np.nan), 99.0, 1).any()
+
+
+def test_colour_denoising_matches_a_plain_version(spark):
+    import colorsys
+
+    pixels, frames, count, w, h = noise(spark, 2, 3)
+    pixels = pixels.withColumn("v", F.when((F.col("x") == 3) & (F.col("y") == 4), None).otherwise(F.col("v") + F.when(F.col("x") > 6, 40.0).otherwise(0.0)))
+
+    def smooth(a, axis, taps):
+        reach = max(map(abs, taps))
+        wide = np.moveaxis(np.pad(np.moveaxis(np.nan_to_num(a), axis, -1), [(0, 0), (reach, reach)], mode="symmetric"), -1, -1)
+        n = a.shape[axis]
+        return np.moveaxis(sum(t * wide[:, reach + k : reach + k + n] for k, t in taps.items()), -1, axis)
+
+    def blurred(a, sigma):
+        reach = int(4 * sigma + 0.5)
+        raw = {k: math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)}
+        taps = {k: v / sum(raw.values()) for k, v in raw.items()}
+        return np.where(np.isnan(a), np.nan, smooth(np.where(np.isnan(a), 0, smooth(a, 0, taps)), 1, taps))
+
+    def stacks(df):
+        a = np.full((frames, 3, h, w), np.nan)
+        for k, v in values(df).items():
+            a[k] = np.nan if v is None else v
+        return a
+
+    given = stacks(pixels)
+    for space in ("Lab", "YUV", "HSV"):
+        got = stacks(macros.colour_denoise(pixels, w, h, space, 0.6, 0.3, 0.2))
+        for f in range(frames):
+            a = given[f]
+            low, high = np.nanmin(a), np.nanmax(a)
+            n = (a - low) / (high - low)
+            if space == "HSV":
+                c = np.stack(np.vectorize(lambda r, g, b: (np.nan,) * 3 if np.isnan(r + g + b) else colorsys.rgb_to_hsv(r, g, b))(*n))
+            else:
+                c = np.tensordot(colour.XYZ if space == "Lab" else colour.DIFFERENCES, n, 1)
+            if space == "Lab":
+                x, y, z = np.cbrt(c)
+                c = np.stack((116 * y - 16, 500 * (x - y), 200 * (y - z)))
+            slope, soft = {-1: -1.0, 1: 1.0}, {-1: 1.0, 0: 2.0, 1: 1.0}
+            gone = np.isnan(c[0])
+            zero = lambda m: np.where(gone, 0, m)
+            g = np.hypot(smooth(zero(smooth(c[0], 1, slope)), 0, soft), smooth(zero(smooth(c[0], 0, slope)), 1, soft))[~gone]
+            edge = np.zeros((h, w), bool)
+            edge[~gone] = (g - g.min()) / (g.max() - g.min()) > 0.2
+            d = np.where(edge, c, np.stack([blurred(c[0], 0.3), blurred(c[1], 0.6), blurred(c[2], 0.6)]))
+            if space == "HSV":
+                out = np.stack(np.vectorize(lambda x, y, z: (np.nan,) * 3 if np.isnan(x) else colorsys.hsv_to_rgb(x, y, z))(*d))
+            elif space == "YUV":
+                out = np.tensordot(colour.FROM_DIFFERENCES, d, 1)
+            else:
+                fy = (d[0] + 16) / 116
+                out = np.tensordot(colour.FROM_XYZ, np.stack((d[1] / 500 + fy, fy, fy - d[2] / 200)) ** 3, 1)
+            want = np.clip(out, 0, 1) * (high - low) + low
+            assert np.allclose(got[f], want, equal_nan=True, atol=1e-6), space
+
+
 def test_live_stack(spark, tmp_path):
     folder = tmp_path / "frames"
     for k, v in enumerate((1.0, 3.0)):
