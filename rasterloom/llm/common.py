@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the rows hold.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Values that a Memo holds at most.
 MEMO = 1 << 16
 

@@ -83,7 +83,7 @@ def trigrams(word: bytes) -> Iterator[list[int]]:
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, text, declared, host, suffix) of web pages: text without markup, the html tag's language, the address's host
     and its suffix (last label, and a two-letter first folder). Null pages and addresses give empty values; bad ones too."""
-    bound_batches(pages.sparkSession, 8 << 20)
+    bound_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
 
     def address(url: str | None) -> tuple[str, str]:
@@ -112,7 +112,7 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """log P(trigram slot | language), languages x slots, from at most `sample` labelled texts a language (smallest id hashes)."""
-    bound_batches(docs.sparkSession, 8 << 20)
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null")
     picked = None
     for lang in languages:
@@ -144,7 +144,7 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     domain (last two labels), domains towards the suffix, suffixes towards all rows, each without the row itself. Null
     or empty declarations and hosts are values like any other, so a hot host is one group of a partial aggregation.
     """
-    bound_batches(rows.sparkSession, 8 << 20)
+    bound_batches(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
     classes = (*languages, OTHER)
     table = np.vstack((likelihoods, np.full((1, SLOTS), -np.log(SLOTS)))).T.copy()
