@@ -176,7 +176,7 @@ def token_totals(docs: DataFrame, buckets: int) -> dict[str, int]:
         counts, _ = _summed(table.select(["keys", "counts"]).to_pylist())
         return pa.table({"n": [int(counts.sum())], "v": [int((counts > 0).sum())], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
 
-    asked = _asked(docs, buckets, (WORDS,)).select("bucket", "keys", "counts")
+    asked = _asked(docs, buckets, (WORDS,)).select("bucket", "keys", "counts").repartition(buckets, "bucket")
     sums = asked.groupBy("bucket").applyInArrow(count, "n long, v long, once long, twice long")
     return {k: x or 0 for k, x in sums.agg(*[F.sum(c).alias(c) for c in ("n", "v", "once", "twice")]).first().asDict().items()}
 
@@ -262,6 +262,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         out = traverse(tokens, lengths, counts[WORDS], counts[PAIRS][grams[0]], counts[TRIPLES][grams[1]], starts, totals, strength)
         return pa.table({"id": texts.column("id"), "held_out": texts.column("held"), "n_tokens": lengths, "n_known": out["n_known"], "train_tokens": np.full(len(lengths), totals["n"]), "base_score": out["base_score"], "score": out["score"]})
 
-    answered = _asked(docs, buckets, (WORDS, PAIRS, TRIPLES)).groupBy("bucket").applyInArrow(answer, "bucket int, kind int, block long, digest long, counts binary")
+    # partitions follow the bytes of text, so that what a task reads does not grow with them
+    answered = _asked(docs, buckets, (WORDS, PAIRS, TRIPLES)).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, "bucket int, kind int, block long, digest long, counts binary")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answered.groupBy("block", "digest").cogroup(_texts(docs).groupBy("block", "digest")).applyInArrow(score, schema)
+    dealt = lambda df: df.repartition(buckets, "block", "digest").groupBy("block", "digest")
+    return dealt(answered).cogroup(dealt(_texts(docs))).applyInArrow(score, schema)
