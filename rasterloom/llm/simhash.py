@@ -244,8 +244,7 @@ FIELDS = ["key", "label", "n", *[f"f{k}" for k in range(LONGS)]]
 def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
     """(u, v) keys of sets that may be similar and whose labels differ. nodes: (key, label, n, f0, ..., dense), n above 0.
 
-    mode "near": of each pair of blocks, each node with its nearest and its smallest partner; "labels": the nearest nodes
-    of each two labels; "sparse": every pair of which one node at least is not dense; "count": for each node u, as v, how
+    mode "near": of each pair of blocks, each node with its nearest and its smallest partner; "sparse": every pair of which one node at least is not dense; "count": for each node u, as v, how
     many candidates a pair of blocks has for it. Sets whose sizes alone rule out the similarity are not compared.
     """
     bound_batches(nodes.sparkSession)
@@ -264,12 +263,6 @@ def candidate_pairs(nodes: DataFrame, least: float, mode: str) -> DataFrame:
                 elif mode == "sparse":
                     ok = ~(a[-1][u] & b[-1][v])
                     chosen, other = a[0][u[ok]], b[0][v[ok]]
-                elif mode == "labels":
-                    la, lb = a[1][u], b[1][v]
-                    one, two = np.minimum(la, lb), np.maximum(la, lb)
-                    order = np.lexsort((far, two, one))
-                    new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
-                    chosen, other = a[0][u][order[new]], b[0][v][order[new]]
                 else:
                     x, y, d = np.concatenate((a[0][u], b[0][v])), np.concatenate((b[0][v], a[0][u])), np.concatenate((far, far))
                     picks = []
@@ -360,7 +353,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = [f"f{k}" for k in range(LONGS)]
     nodes = checkpointed(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *prints)]).where("id is not null"))
     links, labels = None, nodes.select("key", F.col("key").alias("label"))
-    for mode in ("near", "labels", "all"):
+    for mode in ("near", "all"):
         labelled = nodes.where("n > 0").join(labels, "key").withColumn("dense", F.lit(False))
         more = None
         if mode == "all":
