@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the rows hold.
 BATCH_BYTES = 2 << 20
+#: Bytes of a frame's rows up to which it is broadcast.
+SMALL = 32 << 20
 #: Values that a Memo holds at most.
 MEMO = 1 << 16
 
@@ -54,9 +57,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
-    """A hint to broadcast the frame where it is counted to be small (narrow rows); beyond that it is shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes as a row in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(16).cast("long"), lambda s, x: s + _bytes(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A hint to broadcast the frame where its rows are measured to be small together (in bytes); beyond that it is shuffled."""
+    held = df.agg(F.sum(sum((_bytes(F.col(f.name), f.dataType) for f in df.schema), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (held or 0) <= most else df
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -199,7 +199,7 @@ def _links(nodes: DataFrame, axes: np.ndarray, least: float, eps: float, kind: s
                 some = np.flatnonzero(sums)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((every[order][node], every[some]))), pa.array([*every[order][root].tolist(), *[None] * len(some)], pa.int64()), pa.array(np.concatenate((np.zeros(len(node), np.int64), sums[some])))], names=["u", "v", "n"])
 
-    parcels = blocks.select("block", *data).join(sized(pairs, 1 << 16), F.col("block") == F.col("from")).select("to", "low", "high", *data)
+    parcels = blocks.select("block", *data).join(sized(pairs, 2 << 20), F.col("block") == F.col("from")).select("to", "low", "high", *data)
     parcels = parcels.mapInArrow(visit, "block long, nodes_a binary, weights_a binary, vectors_a binary")
     met = parcels.join(blocks.select("block", *data), "block").select(*[f"{c}_a" for c in data], *data)
     own = blocks.select(*[F.lit(None).cast("binary").alias(f"{c}_a") for c in data], *data)

@@ -180,7 +180,7 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     seen = written(seen, "evidence")
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(len(classes))]
     of = lambda n: F.array(*[F.col(f"s{i}") for i in range(len(classes))]).alias(n)
-    grouped = lambda keys, n: sized(written(seen.groupBy(*keys).agg(*sums).select(*keys, of(n)), n), 1 << 16)
+    grouped = lambda keys, n: sized(written(seen.groupBy(*keys).agg(*sums).select(*keys, of(n)), n), 4 << 20)
     everything = [x or 0.0 for x in seen.agg(*sums).first()]
     trust = np.full((len(classes), len(languages) + 2), 0.5)  # classes x what is declared
     said = [*languages, OTHER, "-"]

@@ -23,9 +23,11 @@ HOT, CELLS, CROWD = 16, 32, 64
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
-    """(doc, pos, line, h, len) of every line of at least `least` characters; pos counts all lines from 0."""
-    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    return every.select("doc", "pos", "line", F.length("line").alias("len")).where(F.col("len") >= least).withColumn("h", F.xxhash64("line"))
+    """(doc, copy, pos, line, h, len) of every line of at least `least` characters; copy tells apart the texts of one id,
+    pos counts all lines from 0."""
+    split = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.split(F.col(text_col), "\n").alias("lines"))
+    every = split.select("doc", "copy", F.posexplode("lines").alias("pos", "line"))
+    return every.select("doc", "copy", "pos", "line", F.length("line").alias("len")).where(F.col("len") >= least).withColumn("h", F.xxhash64("line"))
 
 
 def _start(i: str, size: str, parts: int) -> str:
@@ -134,9 +136,9 @@ def near_lines(found: DataFrame, edits: int = EDITS, least: int = 1) -> tuple[Da
     Two lines link within as many edits as the shorter one allows: `edits` from LEAST characters on, fewer in proportion
     below that. Lines that allow none are only grouped by their hash.
     """
-    firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
-    twice = firsts.where("n > 1").select("h", F.col("first.doc").alias("doc1"), F.col("first.pos").alias("pos1"))
-    once = found.join(sized(twice), "h", "left").where("doc1 is null or (doc = doc1 and pos = pos1)").select("h", "line", "len")
+    firsts = written(found.groupBy("h").agg(F.min(F.struct("doc", "copy", "pos")).alias("first"), F.count("*").alias("n")), "firsts")
+    twice = firsts.where("n > 1").select("h", "first")
+    once = found.join(sized(twice), "h", "left").where("first is null or struct(doc, copy, pos) = first").select("h", "line", "len")
     return components(line_links(once, edits, least), "h", "h2").withColumnsRenamed({"id": "h", "component": "root"}), firsts
 
 
@@ -173,11 +175,11 @@ def line_links(once: DataFrame, edits: int, least: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 1) -> DataFrame:
-    """(doc, pos, first_doc, first_pos) of every line of at least `least` characters that repeats an earlier one.
+    """(doc, copy, pos, first_doc, first_pos) of every line of at least `least` characters that repeats an earlier one.
 
     Lines are classed with equal ones and with those within `edits` edits (fewer for lines under LEAST characters, see
-    near_lines), directly or through others; the first of a class, by document id and place, is not listed. Empty lines, null texts and rows with a null id take no part;
-    rows that share an id are one document. Lines are told apart by a 64-bit hash. Very long lines are compared whole.
+    near_lines), directly or through others; the first of a class, by document id, text (copy, a hash) and place, is not listed. Empty lines,
+    null texts and rows with a null id take no part; rows that share an id and the text are one document, of which all stay alike. Lines are told apart by a 64-bit hash. Very long lines are compared whole.
     """
     found = lines(docs, id_col, text_col, least)
     near, firsts = near_lines(found, edits, least)
@@ -186,8 +188,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = classes.join(roots, "root", "left_semi")
     least_of = some.groupBy("root").agg(F.min("first").alias("least"))
     some = some.join(least_of, "root").select("h", "least")
-    out = found.select("doc", "pos", "h").join(sized(some), "h").where("doc != least.doc or pos != least.pos")
-    return out.select("doc", "pos", F.col("least.doc").alias("first_doc"), F.col("least.pos").alias("first_pos"))
+    out = found.select("doc", "copy", "pos", "h").join(sized(some), "h").where("struct(doc, copy, pos) != least")
+    return out.select("doc", "copy", "pos", F.col("least.doc").alias("first_doc"), F.col("least.pos").alias("first_pos"))
 
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = 1) -> DataFrame:
@@ -195,10 +197,12 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document that loses every line goes; one that had no text stays as it is.
     """
-    key, gone = fresh(docs, "line_doc"), fresh(docs, "line_places")
-    places = repeated_lines(docs, id_col, text_col, edits, least).groupBy("doc").agg(F.collect_set("pos").alias(gone)).withColumnRenamed("doc", key)
-    out = docs.join(sized(written(places, "places"), 1 << 18), docs[id_col] == F.col(key), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(gone, i))
-    whole = F.col(gone).isNull()
-    out = out.where(whole | (F.size(kept) > 0))
-    return out.select(*[F.when(whole, F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    key, copy, gone = (fresh(docs, x) for x in ("line_doc", "line_copy", "line_places"))
+    places = repeated_lines(docs, id_col, text_col, edits, least).groupBy("doc", "copy").agg(F.collect_set("pos").alias(gone)).withColumnsRenamed({"doc": key, "copy": copy})
+    out = docs.join(sized(written(places, "places")), (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(copy)), "left")
+    text, whole = f"`{text_col}`", F.col(gone).isNull()
+    # places are looked up as a set: a document costs its length, however many of its lines go
+    kept = F.expr(_let(f"split({text}, '\n')", "x", f"transform(array_except(sequence(0, size(x) - 1), `{gone}`), i -> x[i])"))
+    left = fresh(docs, "line_left")
+    out = out.withColumn(left, F.when(~whole, kept)).where(whole | (F.size(left) > 0))
+    return out.select(*[F.when(F.col(left).isNull(), docs[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -16,6 +16,7 @@ from collections import deque
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from .common import Batches, bound_batches
 BLOCK_TOKENS = 1 << 18
 #: Windows in a run between two candidate cuts that cuts inside sentences may divide.
 RUN = 3
+#: White space so long that the look-ahead of the tokenizer's pattern could run out of stack on it.
+BLANK = regex.compile(r"\p{White_Space}{4096,}")
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -42,6 +45,18 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(enc: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text. A long run of white space is one piece of the pattern, but for its last character where a text
+    goes on; it is encoded as such without the pattern, whose stack it would exhaust."""
+    ids, at = [], 0
+    for run in BLANK.finditer(text):
+        ids += enc.encode(text[at : run.start()], allowed_special="all")
+        closed = run.end() == len(text) or any(text.startswith(x, run.end()) for x in enc.special_tokens_set)
+        at = run.end() if closed else run.end() - 1
+        ids += enc._encode_single_piece(text[run.start() : at])
+    return ids + enc.encode(text[at:], allowed_special="all")
+
+
 def sentence_ends(enc: tiktoken.Encoding) -> np.ndarray:
     """For each id, whether its text ends a sentence or a line."""
     return np.array([enc.decode_single_token_bytes(i).rstrip(b" ").endswith((b".", b"!", b"?", b"\n")) for i in range(enc.n_vocab)])
@@ -62,7 +77,8 @@ def choose_cuts(spots: np.ndarray, prices: np.ndarray, window: int, inside: floa
 
     spots: increasing candidate positions, the last being the end; prices: the price of a cut there. A window costs its
     padding, nothing if its length is a power of two; a cut inside a sentence costs `inside`. From spot i to spot j up
-    to RUN windows may run, all full but the last. A gap longer than that is bridged by full windows from i on.
+    to RUN windows may run, all full but the last. A gap longer than that is bridged by full windows from i on, so cuts
+    within it are not always those of least cost.
     """
     where = np.concatenate(([0], spots))
     hits = _power_steps(where, window)
@@ -158,7 +174,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in parts:
             kind_of = b.column(0).type
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], dtype=np.int64)
+                ids = np.array([*token_ids(enc, text or ""), end_id], dtype=np.int64)
                 held_ids.append(doc)
                 held.append(ids)
                 total += len(ids)

@@ -22,9 +22,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    gone = line_dedup.repeated_lines(docs).groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.min(F.struct("first_doc", "first_pos")).alias("least"))
-    counted = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")), F.lit(0)).cast("long").alias("n_lines"))
-    out = counted.join(gone, counted.doc_id == gone.doc, "left")
+    gone = line_dedup.repeated_lines(docs).groupBy("doc", "copy").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.min(F.struct("first_doc", "first_pos")).alias("least"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("own"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")), F.lit(0)).cast("long").alias("n_lines"))
+    out = counted.join(gone, (counted.doc_id == gone.doc) & (counted.own == gone.copy), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.array_join("places", ",").alias("removed"), F.col("least.first_doc").alias("least_first_doc"))
 
 
