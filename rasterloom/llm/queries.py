@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, backoff, epsilon_grid, language, lattice, line_dedup, packing, quality, simhash, toxicity
+from . import audio, backoff, epsilon_grid, exact, language, lattice, line_dedup, packing, quality, runs, simhash, toxicity, trie
 from .common import in_fold, table
 
 
@@ -77,6 +77,35 @@ def op9_epsilon_grid_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return trie.prefix_trie(trie.with_heads(turns, stride=100, most=6))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x != '')"
+    planted = f"""array_join(element_at(transform(array({words}), w -> transform(array(named_struct('a', h div 10 % size(w), 'n', size(w))),
+        s -> transform(array(1 + (s.n - s.a) div (3 + h div 10 % 8)), p -> transform(w, (x, i) -> if(i < s.a, x, element_at(w, cast(s.a + (i - s.a) % p + 1 as int)))))[0])[0]), 1), ' ')"""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("h", h)
+    docs = docs.select("doc_id", F.expr(f"case when h % 10 = 0 and size({words}) > 0 then {planted} else text end").alias("text"))
+    out = runs.periodic_runs(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), listed.alias("listed"), "collapsed")
+    return out.select(
+        "doc_id", "n_runs", F.col("r.start").alias("start"), (-F.col("r.col1")).alias("length"), F.col("r.period").alias("period"),
+        F.expr("1000 * -r.col1 div r.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = exact.one_space(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text_sha256", F.sha2(text, 256))
+    out = exact.exact_groups(docs, keep=("text_sha256",))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +117,9 @@ QUERIES = {
     "op8_lm_backoff_scoring": op8_lm_backoff_scoring,
     "op9_epsilon_grid_near_dedup": op9_epsilon_grid_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: Pairs of equal label with a cosine of at least 0.93, then the smallest id reachable by label propagation over the links.
@@ -154,7 +186,50 @@ SELECT d.doc_id, CAST(coalesce(len(list_filter(string_split(d.text, chr(10)), la
 FROM documents d LEFT JOIN by_doc b USING (doc_id)
 """
 
+#: Turns as (role, text), rebuilt; nodes are lists of these. crc32 is folded over bytes, each followed by eight shifts (-1).
+OP11_SQL = """
+WITH t AS (
+    SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''),
+        md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, '')))) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+    SELECT conv_id, own, conv_id - conv_id % 100 AS base, CAST(xor(4294967295, list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+        lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) ELSE xor(s >> 1, 3988292384 * (s & 1)) END)) % 6 AS BIGINT) AS h
+    FROM t
+), c AS (
+    SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.base
+), m AS (
+    SELECT conv_id, d, len(turns) = d AS ends, turns[1:d] AS path, turns[1:d - 1] AS up, turns[d].x AS last FROM c, unnest(range(len(turns) + 1)) r(d)
+), node AS (
+    SELECT d, path, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n, length(coalesce(min(last), '')) AS chars,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends
+    FROM m GROUP BY d, path
+), kids AS (
+    SELECT d - 1 AS d, up AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY d, up
+), own AS (
+    SELECT node.*, coalesce(kids.n, 0) AS children, (node.n - 1) * CASE WHEN node.d = 0 THEN 0 ELSE chars END AS saved FROM node LEFT JOIN kids USING (d, path)
+), sums AS (
+    SELECT a.d, a.path, sum(CASE WHEN o.children = 0 THEN 1 ELSE 0 END) AS leaves, sum(o.saved) AS saved
+    FROM own o, LATERAL (SELECT r.d, o.path[1:r.d] AS path FROM unnest(range(o.d + 1)) r(d)) a GROUP BY a.d, a.path
+)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.children AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, o.ends AS ends_sha256
+FROM own o JOIN sums s USING (d, path) LEFT JOIN node p ON p.d = o.d - 1 AND p.path = o.up AND o.d > 0
+"""
+
+#: White space becomes one space; of equal texts the smallest id stays.
+OP13_SQL = """
+WITH t AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS text FROM documents
+)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_prefix_trie": OP11_SQL,
+    "op13_exact_dedup": OP13_SQL,
     "op2_line_dedup": OP2_SQL,
     "op9_epsilon_grid_near_dedup": OP9_SQL,
 }
