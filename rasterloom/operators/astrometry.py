@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,28 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import angular_distance, gnomonic
-from . import planes
-
-
-def topk_grid(points: DataFrame, by: str, width: float, height: float, rows: int = 3, columns: int = 3, k: int = 8) -> DataFrame:
-    """The k points of the greatest `by` in each grid cell of a frame; ties go to the smaller id."""
-    cell = (F.floor(F.col("y") * rows / height) * columns + F.floor(F.col("x") * columns / width)).cast("int")
-    rank = F.row_number().over(Window.partitionBy("frame_idx", "cell").orderBy(F.desc(by), "id"))
-    return points.withColumn("cell", cell).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_a, id_b, d2) of points of two relations nearer than radius: an equi-join on square buckets of that side.
-
-    Only the left side is sent to its nine neighbours; a pair meets in the right point's bucket alone. `on` are further
-    keys of both sides, `carry` columns of the left one that pairs keep.
-    """
-    bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
-    a = left.select(*on, *carry, F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(F.array(*[F.struct((bucket("x") + i).alias("bx"), (bucket("y") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b"))
-    a = a.select("*", "b.bx", "b.by").drop("b")
-    b = right.select(*on, F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"), bucket("x").alias("bx"), bucket("y").alias("by"))
-    d2 = (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb"))
-    return a.join(b, [*on, "bx", "by"]).select(*on, *carry, "id_a", "id_b", "xa", "ya", "xb", "yb", d2.alias("d2")).where(F.col("d2") < radius * radius)
+from . import consensus, planes
+from .consensus import consensus_shift as ransac_shift
+from .points import nearest, pairs_within, similarity_fit, topk_grid
 
 
 def cone_search(catalog: DataFrame, cones: DataFrame, limit: float | None = None) -> DataFrame:
@@ -51,13 +34,6 @@ def cone_search(catalog: DataFrame, cones: DataFrame, limit: float | None = None
     return placed.join(bands, ["band", "cell"]).withColumn("distance", d).where(F.col("distance") <= F.col("radius")).select("cone", "id", "distance")
 
 
-def nearest(pairs: DataFrame, count: int, on: tuple[str, ...] = ()) -> DataFrame:
-    """Of the pairs of each left point, those with the nearest others (at most count; ties by the smaller id), as neighbours:
-    (id, other, xi, eta), places about the point."""
-    rank = F.row_number().over(Window.partitionBy(*on, "id_a").orderBy("d2", "id_b"))
-    return pairs.where("id_a != id_b").withColumn("rank", rank).where(F.col("rank") <= count).select(*on, F.col("id_a").alias("id"), F.col("id_b").alias("other"), (F.col("xb") - F.col("xa")).alias("xi"), (F.col("yb") - F.col("ya")).alias("eta"))
-
-
 def triangles(neighbours: DataFrame) -> DataFrame:
     """Triangles of each centre with two of its neighbours: (id0, id1, id2, k0, k1).
 
@@ -118,43 +94,6 @@ def triangle_search(wanted: DataFrame, known: DataFrame, error: float) -> DataFr
     return w.select("*", "b.b0", "b.b1").drop("b").join(k, ["b0", "b1"]).where(d <= error * F.hypot("w_k0", "w_k1")).drop("b0", "b1")
 
 
-def similarity_fit(pairs: DataFrame, keys: tuple[str, ...] = ("frame_idx",)) -> DataFrame:
-    """Closed-form similarity from (xa, ya) to (xb, yb) in least squares: a, b, dx, dy with x' = a x - b y + dx. Sums only."""
-    s = {n: F.sum(e) for n, e in (("n", F.lit(1.0)), ("xa", F.col("xa")), ("ya", F.col("ya")), ("xb", F.col("xb")), ("yb", F.col("yb")), ("aa", F.col("xa") * F.col("xa") + F.col("ya") * F.col("ya")), ("dot", F.col("xa") * F.col("xb") + F.col("ya") * F.col("yb")), ("cross", F.col("xa") * F.col("yb") - F.col("ya") * F.col("xb")))}
-    t = pairs.groupBy(*keys).agg(*[e.alias(f"s_{n}") for n, e in s.items()])
-    c = {n: F.col(f"s_{n}") for n in s}
-    down = c["aa"] - (c["xa"] * c["xa"] + c["ya"] * c["ya"]) / c["n"]
-    a = F.try_divide(c["dot"] - (c["xa"] * c["xb"] + c["ya"] * c["yb"]) / c["n"], down)
-    b = F.try_divide(c["cross"] - (c["xa"] * c["yb"] - c["ya"] * c["xb"]) / c["n"], down)
-    t = t.withColumns({"a": a, "b": b})
-    return t.select(*keys, F.col("s_n").cast("long").alias("n"), "a", "b", ((c["xb"] - F.col("a") * c["xa"] + F.col("b") * c["ya"]) / c["n"]).alias("dx"), ((c["yb"] - F.col("b") * c["xa"] - F.col("a") * c["ya"]) / c["n"]).alias("dy"))
-
-
-def ransac_shift(pairs: DataFrame, rounds: int = 100, tolerance: float = 1.5, seed: int = 17) -> DataFrame:
-    """(frame_idx, dx, dy, inliers, confidence, success) of candidate pairs (xa, ya, xb, yb) of each frame.
-
-    A round takes the mean offset of three pairs; over half of the pairs or 40 inliers end it early; five are needed.
-    The stream of random numbers is the same for every frame, so results do not depend on partitions.
-    """
-
-    def run(pdf):
-        pdf = pdf.sort_values(["id_a", "id_b"])
-        d = np.stack((pdf["xb"] - pdf["xa"], pdf["yb"] - pdf["ya"]), axis=1)
-        rng, best = np.random.default_rng(seed), np.zeros(len(d), bool)
-        for _ in range(rounds if len(d) >= 3 else 0):
-            mean = d[rng.choice(len(d), 3, replace=False)].mean(axis=0)
-            hit = np.hypot(*(d - mean).T) < tolerance
-            if hit.sum() > best.sum():
-                best = hit
-                if best.sum() > len(d) / 2 or best.sum() > 40:
-                    break
-        n = int(best.sum())
-        shift = d[best].mean(axis=0) if n else np.zeros(2)
-        return pd.DataFrame({"frame_idx": [int(pdf["frame_idx"].iloc[0])], "dx": [float(shift[0])], "dy": [float(shift[1])], "inliers": [n], "confidence": [min(1.0, n / 20)], "success": [n >= 5]})
-
-    return pairs.groupBy("frame_idx").applyInPandas(run, "frame_idx int, dx double, dy double, inliers int, confidence double, success boolean")
-
-
 def fall_back(found: DataFrame, *others: DataFrame) -> DataFrame:
     """A registration table in which frames without an offset take the first that another method found for them.
 
@@ -170,7 +109,7 @@ def fall_back(found: DataFrame, *others: DataFrame) -> DataFrame:
     return found
 
 
-def register_frames(images: DataFrame, reference: DataFrame, width: int, height: int, *, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0, rows: int = 3, columns: int = 3, stars: int = 8, radius: float = 100.0, phase_most: float = 100.0, template_reach: int = 150) -> DataFrame:
+def register_frames(images: DataFrame, reference: DataFrame, width: int, height: int, *, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0, rows: int = 3, columns: int = 3, stars: int = 8, radius: float = 100.0, phase_most: float = 100.0, template_reach: int = 150, previous: bool = False, rounds: int = 100, seed: int = 17) -> DataFrame:
     """The registration table (see detect_shifts) of one-plane frames (frame_idx, y, x, v) against a reference plane (y, x, v).
 
     Frames are normalised; their points, at most `stars` in each grid cell, are matched with the reference's. Frames where
@@ -183,7 +122,7 @@ def register_frames(images: DataFrame, reference: DataFrame, width: int, height:
         return topk_grid(p, "brightness", width, height, rows, columns, stars).select("frame_idx", "id", "x", "y")
 
     frames = images.select("frame_idx").distinct().withColumn("seconds", F.lit(None).cast("double"))
-    found = detect_shifts(points(images), points(reference).drop("frame_idx"), frames, radius)
+    found = detect_shifts(points(images), points(reference).drop("frame_idx"), frames, radius, width, height, previous, seed, rounds)
     left = images.join(found.where("dx is null").select("frame_idx"), "frame_idx", "left_semi")
     plane = reference.select("y", "x", "v")
     phase = planes.phase_shift(left, plane, width, height, phase_most).withColumn("confidence", F.least(F.lit(1.0), F.col("sharpness") / 10))
@@ -192,24 +131,33 @@ def register_frames(images: DataFrame, reference: DataFrame, width: int, height:
 
 
 def near_previous(candidates: DataFrame, most: float) -> DataFrame:
-    """Offsets (frame_idx, dx, dy, ...) that lie within `most` of the last frame's before them; the others go. The frame before the first lies at 0."""
+    """Offsets (frame_idx, dx, dy, ...) that lie within `most` of the last frame's before them; the others go. The frame before
+    the first lies at 0. Where an offset that goes must not count for the next frame, see consensus.previous_offsets."""
     w = Window.orderBy("frame_idx")  # a row a frame
     last = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
     return candidates.withColumns({"px": last("dx"), "py": last("dy")}).where(F.hypot(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) <= most).drop("px", "py")
 
 
-def detect_shifts(points: DataFrame, reference: DataFrame, frames: DataFrame, radius: float = 100.0) -> DataFrame:
+def detect_shifts(points: DataFrame, reference: DataFrame, frames: DataFrame, radius: float = 100.0, width: float = 0.0, height: float = 0.0, previous: bool = False, seed: int = 17, rounds: int = 100) -> DataFrame:
     """The registration table: a row a frame with dx, dy, rotation (degrees), confidence and seconds since the reference.
 
-    dx and dy move the frame onto the reference. Candidate pairs by range join, an offset by consensus, a similarity on its
-    inliers. points: (frame_idx, id, x, y);
-    reference: (id, x, y); frames: (frame_idx, seconds). Frames without an offset have NULLs and confidence 0.
+    dx and dy move the frame onto the reference, after a turn about the centre of a frame of this width and height.
+    Candidate pairs lie within the radius; with `previous`, of where the last frame's offset puts a point, so that a drift
+    may exceed the radius (see consensus.previous_offsets). An offset by consensus, a similarity on its inliers.
+    points: (frame_idx, id, x, y), few a frame; reference: (id, x, y); frames: (frame_idx, seconds). Frames without an
+    offset have NULLs and confidence 0.
     """
-    pairs = pairs_within(points, reference, radius, carry=("frame_idx",))
-    found = ransac_shift(pairs).where("success")
+    if previous:
+        far = pairs_within(points, reference, math.hypot(width, height) + radius, carry=("frame_idx",))
+        pairs = consensus.pairs_about(far, consensus.previous_offsets(consensus.candidate_offsets(far), frames, radius), radius)
+    else:
+        pairs = pairs_within(points, reference, radius, carry=("frame_idx",))
+    found = ransac_shift(pairs, rounds, seed=seed).where("success")
     near = pairs.join(found.select("frame_idx", F.col("dx").alias("mx"), F.col("dy").alias("my")), "frame_idx").where(F.hypot(F.col("xb") - F.col("xa") - F.col("mx"), F.col("yb") - F.col("ya") - F.col("my")) < 2)
-    fit = similarity_fit(near).select("frame_idx", F.degrees(F.atan2("b", "a")).alias("rotation"))
-    return frames.join(found, "frame_idx", "left").join(fit, "frame_idx", "left").select("frame_idx", "dx", "dy", F.coalesce("rotation", F.when(F.col("dx").isNotNull(), 0.0)).alias("rotation"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("seconds").alias("time"))
+    about = {c: F.col(c) - (width if c[0] == "x" else height) / 2 for c in ("xa", "ya", "xb", "yb")}
+    fit = similarity_fit(near.withColumns(about)).where("n >= 3 and a is not null").select("frame_idx", F.degrees(F.atan2("b", "a")).alias("rotation"), F.col("dx").alias("fx"), F.col("dy").alias("fy"))
+    some = frames.join(found, "frame_idx", "left").join(fit, "frame_idx", "left")
+    return some.select("frame_idx", F.coalesce("fx", "dx").alias("dx"), F.coalesce("fy", "dy").alias("dy"), F.coalesce("rotation", F.when(F.col("dx").isNotNull(), 0.0)).alias("rotation"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("seconds").alias("time"))
 
 
 def match_offsets(pairs: DataFrame, bin_: float = 1.0) -> DataFrame:
