@@ -122,6 +122,13 @@ def pairs_about(pairs: DataFrame, previous: DataFrame, radius: float) -> DataFra
 # --- the plate ---------------------------------------------------------------------------------------------------
 
 
+def mean_directions(stars: DataFrame) -> DataFrame:
+    """(frame_idx, ra0, dec0): the mean of the stars' directions as vectors, so that neither pole nor meridian matters."""
+    r, d = F.radians("ra"), F.radians("dec")
+    sums = stars.groupBy("frame_idx").agg(F.avg(F.cos(r) * F.cos(d)).alias("cx"), F.avg(F.sin(r) * F.cos(d)).alias("cy"), F.avg(F.sin(d)).alias("cz"))
+    return sums.select("frame_idx", F.pmod(F.degrees(F.atan2("cy", "cx")), F.lit(360.0)).alias("ra0"), F.degrees(F.atan2(F.col("cz"), F.hypot("cx", "cy"))).alias("dec0"))
+
+
 def plate_consensus(stars: DataFrame, width: float, height: float, threshold: float = 3.0, rounds: int = 100, seed: int = 42) -> DataFrame:
     """(frame_idx, crval1, crval2, rotation, pixel_scale, confidence, inliers) of identified stars (frame_idx, star, x, y, ra,
     dec) of a frame, some of which may be wrong.
@@ -131,10 +138,8 @@ def plate_consensus(stars: DataFrame, width: float, height: float, threshold: fl
     similarity is fitted to them in least squares. crval: the sky at the frame's centre; rotation from 0 to 360 degrees;
     pixel_scale in degrees; north is that of the mean direction. Without three inliers rotation, scale and confidence are 0.
     """
-    known = stars.where("star is not null and ra is not null and dec is not null")
-    r, d = F.radians("ra"), F.radians("dec")
-    sums = known.groupBy("frame_idx").agg(F.avg(F.cos(r) * F.cos(d)).alias("cx"), F.avg(F.sin(r) * F.cos(d)).alias("cy"), F.avg(F.sin(d)).alias("cz"))
-    centre = sums.select("frame_idx", F.pmod(F.degrees(F.atan2("cy", "cx")), F.lit(360.0)).alias("ra0"), F.degrees(F.atan2(F.col("cz"), F.hypot("cx", "cy"))).alias("dec0"))
+    known = stars.select("frame_idx", "star", "x", "y", "ra", "dec").where("star is not null and ra is not null and dec is not null")
+    centre = mean_directions(known)
     xi, eta, c = gnomonic(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
     placed = known.join(centre, "frame_idx").withColumn("c", c).where("c > 0").select("frame_idx", "star", (F.col("x") - width / 2).alias("u"), (F.col("y") - height / 2).alias("v"), xi.alias("xi"), eta.alias("eta"))
     rows = _numbered(placed, "star", "u", "v")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import KEY, Stream
-from ..operators import astrometry, colour, fit, geometry, neighbourhood, pixelwise, planes
+from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes
 from ..sources.tables import EM_SQL, EV_SQL, LI_SQL, PT_SQL, points_pt, raster_em, raster_li, table_ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,6 +344,75 @@ register("shift_votes", lambda s, d: astrometry.match_offsets(moved_pairs(s, d))
 register("ransac_shift", lambda s, d: astrometry.ransac_shift(moved_pairs(s, d)).select("frame_idx", F.round("dx").alias("dx"), F.round("dy").alias("dy"), "success"), f"WITH {PT_SQL} SELECT DISTINCT frame_idx, 7.0::DOUBLE AS dx, -4.0::DOUBLE AS dy, true AS success FROM pt")
 
 
+def stray_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of each frame's points with the same moved by (7, -4), every fifth of them elsewhere."""
+    p = points_pt(spark, sf_dir).select("frame_idx", "id", "x", "y")
+    away = F.col("id") % 5 == 4
+    moved = p.withColumns({"x": F.col("x") + F.when(away, F.col("id") * 31 % 25 - 12).otherwise(7), "y": F.col("y") + F.when(away, F.col("id") * 17 % 25 - 12).otherwise(-4)})
+    return astrometry.pairs_within(p, moved, 12.0, on=("frame_idx",))
+
+
+STRAY_SQL = f"""{PT_SQL}, moved AS (SELECT frame_idx, id, x + CASE WHEN id % 5 = 4 THEN id * 31 % 25 - 12 ELSE 7 END AS x, y + CASE WHEN id % 5 = 4 THEN id * 17 % 25 - 12 ELSE -4 END AS y FROM pt),
+    pairs AS (SELECT a.frame_idx, a.id AS id_a, b.id AS id_b, b.x - a.x AS ox, b.y - a.y AS oy FROM pt a JOIN moved b ON a.frame_idx = b.frame_idx AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) < 144)"""
+
+
+def draw_sql(x: str, n: str) -> str:
+    """consensus.draw in SQL."""
+    y = f"((CAST({x} AS BIGINT) * 1103515245 + 12345) % 2147483648)"
+    return f"({y} * {y} % 2147483629 % {n})"
+
+
+def samples_sql(rows: str, size: int, rounds: int, seed: int) -> str:
+    """consensus._samples in SQL: (frame_idx, round, k, row) of a relation with row and n."""
+    first, gap = f"(round * {size} + {seed})", f"greatest(1, (n - 1) // {max(1, size - 1)})"
+    at, picks = draw_sql(first, "n"), []
+    for k in range(size):
+        at = at if k == 0 else f"{at} + 1 + {draw_sql(f'({first} + {k})', gap)}"
+        picks.append(f"({at}) % n")
+    return f"""SELECT frame_idx, round, unnest(range({size})) AS k, unnest([{', '.join(picks)}]) AS row FROM (SELECT DISTINCT frame_idx, n FROM {rows} WHERE n >= {size}), (SELECT unnest(range({rounds})) AS round)"""
+
+
+register(
+    "consensus_shift", lambda s, d: astrometry.ransac_shift(stray_pairs(s, d), rounds=40).select("frame_idx", F.round("dx", DIGITS).alias("dx"), F.round("dy", DIGITS).alias("dy"), "inliers", "success"),
+    f"""WITH {STRAY_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY id_a, id_b) - 1 AS row, count(*) OVER (PARTITION BY frame_idx) AS n FROM pairs),
+    s AS ({samples_sql("d", 3, 40, 17)}), m AS (SELECT frame_idx, round, avg(ox) AS mx, avg(oy) AS my FROM s JOIN d USING (frame_idx, row) GROUP BY ALL),
+    c AS (SELECT frame_idx, round, any_value(n) AS n, count(*) AS inliers, avg(ox) AS dx, avg(oy) AS dy FROM m JOIN d USING (frame_idx) WHERE (ox - mx) * (ox - mx) + (oy - my) * (oy - my) < 2.25 GROUP BY ALL),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY NOT (2 * inliers > n OR inliers > 40), CASE WHEN 2 * inliers > n OR inliers > 40 THEN 0 ELSE -inliers END, round) = 1)
+    SELECT frame_idx, round(coalesce(dx, 0), {DIGITS}) AS dx, round(coalesce(dy, 0), {DIGITS}) AS dy, CAST(coalesce(inliers, 0) AS INT) AS inliers, coalesce(inliers, 0) >= 5 AS success FROM (SELECT DISTINCT frame_idx FROM pairs) LEFT JOIN b USING (frame_idx)""",
+)
+
+
+def previous_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each frame's search begins: the offset that was accepted before it."""
+    pairs = stray_pairs(spark, sf_dir)
+    found = consensus.previous_offsets(consensus.candidate_offsets(pairs), pairs.select("frame_idx"), 9.0)
+    return found.select("frame_idx", F.round("px", DIGITS).alias("px"), F.round("py", DIGITS).alias("py"))
+
+
+register("previous_offset", previous_offset, f"""WITH RECURSIVE {STRAY_SQL}, c AS (SELECT frame_idx, avg(ox) AS ox, avg(oy) AS oy, count(*) AS votes FROM pairs, (VALUES (0.0), (0.5)) a(ga), (VALUES (0.0), (0.5)) b(gb)
+        GROUP BY frame_idx, ga, gb, floor(ox / 3 + ga), floor(oy / 3 + gb) HAVING count(*) >= 5), f AS (SELECT frame_idx, row_number() OVER (ORDER BY frame_idx) AS k FROM (SELECT DISTINCT frame_idx FROM pairs)),
+    fold(k, px, py) AS (SELECT CAST(1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT k + 1, coalesce(b.o, px), coalesce(b.p, py) FROM (SELECT fold.k, any_value(fold.px) AS px, any_value(fold.py) AS py, arg_min(struct_pack(o := c.ox, p := c.oy), struct_pack(a := -c.votes, b := sqrt((c.ox - fold.px) * (c.ox - fold.px) + (c.oy - fold.py) * (c.oy - fold.py)), c := c.ox, d := c.oy)) AS b
+            FROM fold JOIN f ON f.k = fold.k LEFT JOIN c ON c.frame_idx = f.frame_idx AND (c.ox - fold.px) * (c.ox - fold.px) + (c.oy - fold.py) * (c.oy - fold.py) < 81 GROUP BY fold.k))
+    SELECT f.frame_idx, round(px, {DIGITS}) AS px, round(py, {DIGITS}) AS py FROM fold JOIN f USING (k)""")
+
+
+def star_pair_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four stars for each two triangles of a point that share their first side, found among all triangles again."""
+    known = consensus.turned(image_triangles(spark, sf_dir)).distinct()
+    some = known.where("i0 % 20 = 0").withColumn("p", F.array("r0", "r1", "r2"))
+    seeds = some.select("i0", "i1", F.col("i2").alias("p2"), "p").join(some.select("i0", "i1", F.col("i2").alias("q2"), F.col("p").alias("q")), ["i0", "i1"]).where("p2 < q2")
+    seeds = seeds.select(*[F.col(a).alias(b) for a, b in (("i0", "w0"), ("i1", "w1"), ("p2", "w2"), ("q2", "w3"))], "p", "q").withColumn("seed", F.struct("w0", "w1", "w2", "w3"))
+    found = consensus.intersect_triangles(seeds.select("seed", "p", "q"), known, 0.01)
+    return found.select("seed.*", "i0", "i1", "i2", "i3")
+
+
+_NEAR = "(s.{0}0 - {1}.r0) * (s.{0}0 - {1}.r0) + (s.{0}1 - {1}.r1) * (s.{0}1 - {1}.r1) + (s.{0}2 - {1}.r2) * (s.{0}2 - {1}.r2) <= 0.0001 * (s.{0}0 * s.{0}0 + s.{0}1 * s.{0}1 + s.{0}2 * s.{0}2)"
+register("star_pair_intersection", star_pair_intersection, f"""{TRIANGLES_SQL}, k AS (SELECT id0 AS i0, id1 AS i1, id2 AS i2, k0 AS r0, k1 AS r1, 1.0::DOUBLE AS r2 FROM t UNION SELECT id1, id2, id0, k1, 1.0, k0 FROM t UNION SELECT id2, id0, id1, 1.0, k0, k1 FROM t),
+    s AS (SELECT p.i0 AS w0, p.i1 AS w1, p.i2 AS w2, q.i2 AS w3, p.r0 AS p0, p.r1 AS p1, p.r2 AS p2, q.r0 AS q0, q.r1 AS q1, q.r2 AS q2 FROM k p JOIN k q ON p.i0 % 20 = 0 AND p.i0 = q.i0 AND p.i1 = q.i1 AND p.i2 < q.i2)
+    SELECT DISTINCT s.w0, s.w1, s.w2, s.w3, c.i0, c.i1, c.i2, g.i2 AS i3 FROM s JOIN k c ON abs(s.p0 - c.r0) < 0.02 AND {_NEAR.format('p', 'c')} JOIN k g ON c.i0 = g.i0 AND c.i1 = g.i1 AND c.i2 <> g.i2 AND {_NEAR.format('q', 'g')}""")
+
+
 def similarity_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A known rotation, scale and shift found back from sums."""
     p = points_pt(spark, sf_dir)
@@ -365,6 +434,35 @@ def sky_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("plate_orientation", lambda s, d: astrometry.orientation(sky_stars(s, d), 120.0, 30.0).select("frame_idx", "crval1", "crval2", F.round("rotation", 4).alias("rotation"), F.round("pixel_scale", 4).alias("pixel_scale"), "confidence"), f"WITH {PT_SQL} SELECT frame_idx, 120.0::DOUBLE AS crval1, 30.0::DOUBLE AS crval2, 30.0::DOUBLE AS rotation, 18.0::DOUBLE AS pixel_scale, least(1.0, count(*) / 20)::DOUBLE AS confidence FROM pt WHERE {_CD} > 0.6 GROUP BY frame_idx")
 register("plate_distortion", lambda s, d: astrometry.distortion(sky_stars(s, d).select("frame_idx", (F.col("x") + 1e-6 * F.col("x") * F.col("x")).alias("u"), F.col("y").alias("v"), "xi", "eta")).select("frame_idx", F.size("a").alias("terms"), (F.round("rms", 1) + F.lit(0.0)).alias("rms")))
+def plate_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of the stars about a pointing, with places a little off, every fifth of them elsewhere."""
+    stars = sky_stars(spark, sf_dir).select("frame_idx", F.col("id").alias("star"), "ra", "dec")
+    xi, eta, _ = scalar.gnomonic(F.col("ra"), F.col("dec"), F.col("ra0"), F.col("dec0"))
+    stars = stars.join(consensus.mean_directions(stars), "frame_idx").withColumns({"xi": xi, "eta": eta})
+    off = F.when(F.col("star") % 5 == 2, F.col("star") * 7 % 300 - 150.0).otherwise((F.col("star") * 13 % 7 - 3) * 0.2)
+    k, cos, sin = 200.0, math.cos(math.radians(30)), math.sin(math.radians(30))
+    stars = stars.withColumns({"x": k * (cos * F.col("xi") + sin * F.col("eta")) + off, "y": k * (-sin * F.col("xi") + cos * F.col("eta")) - off})
+    found = consensus.plate_consensus(stars, 0, 0, threshold=3.0, rounds=30)
+    return found.select("frame_idx", *[F.round(c, 4).alias(c) for c in ("crval1", "crval2", "rotation")], F.round("pixel_scale", 6).alias("pixel_scale"), "confidence", "inliers")
+
+
+#: Tangent-plane places (degrees) about a direction, and the direction of a place, in SQL.
+_XI = "degrees(cos(radians(dec)) * sin(radians(ra - {0})) / {2})", "degrees((cos(radians({1})) * sin(radians(dec)) - sin(radians({1})) * cos(radians(dec)) * cos(radians(ra - {0}))) / {2})"
+_C = "(sin(radians({1})) * sin(radians(dec)) + cos(radians({1})) * cos(radians(dec)) * cos(radians(ra - {0})))"
+_OWN = ("ra0", "dec0")
+_U = [x.format(*_OWN, _C.format(*_OWN)) for x in _XI]
+register("plate_consensus", plate_consensus, f"""WITH {PT_SQL}, st AS (SELECT frame_idx, id, ra, dec, CASE WHEN id % 5 = 2 THEN id * 7 % 300 - 150.0 ELSE (id * 13 % 7 - 3) * 0.2 END::DOUBLE AS o FROM pt WHERE {_CD} > 0.6),
+    ce AS (SELECT frame_idx, (degrees(atan2(avg(sin(radians(ra)) * cos(radians(dec))), avg(cos(radians(ra)) * cos(radians(dec))))) + 360) % 360 AS ra0, degrees(atan2(avg(sin(radians(dec))), sqrt(power(avg(cos(radians(ra)) * cos(radians(dec))), 2) + power(avg(sin(radians(ra)) * cos(radians(dec))), 2)))) AS dec0 FROM st GROUP BY frame_idx),
+    pl AS (SELECT *, 200 * (cos(radians(30)) * xi + sin(radians(30)) * eta) + o AS u, 200 * (-sin(radians(30)) * xi + cos(radians(30)) * eta) - o AS v FROM (SELECT *, {_U[0]} AS xi, {_U[1]} AS eta, {_C.format(*_OWN)} AS c FROM st JOIN ce USING (frame_idx))),
+    d AS (SELECT frame_idx, id, u, v, xi, eta, row_number() OVER (PARTITION BY frame_idx ORDER BY id) - 1 AS row, count(*) OVER (PARTITION BY frame_idx) AS n FROM pl WHERE c > 0),
+    s AS ({samples_sql("d", 2, 30, 42)}), w AS (SELECT frame_idx, round, max(u) FILTER (k = 0) AS u0, max(v) FILTER (k = 0) AS v0, max(xi) FILTER (k = 0) AS x0, max(eta) FILTER (k = 0) AS y0, max(u) FILTER (k = 1) AS u1, max(v) FILTER (k = 1) AS v1, max(xi) FILTER (k = 1) AS x1, max(eta) FILTER (k = 1) AS y1 FROM s JOIN d USING (frame_idx, row) GROUP BY ALL),
+    ab AS (SELECT *, ((u1 - u0) * (x1 - x0) + (v1 - v0) * (y1 - y0)) / ((u1 - u0) * (u1 - u0) + (v1 - v0) * (v1 - v0)) AS a, ((u1 - u0) * (y1 - y0) - (v1 - v0) * (x1 - x0)) / ((u1 - u0) * (u1 - u0) + (v1 - v0) * (v1 - v0)) AS b FROM w WHERE (u1 - u0) * (u1 - u0) + (v1 - v0) * (v1 - v0) > 1e-10 AND (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) > 1e-12),
+    h AS (SELECT d.*, round FROM ab JOIN d USING (frame_idx) WHERE power(xi - (a * u - b * v + (x0 + x1 - a * (u0 + u1) + b * (v0 + v1)) / 2), 2) + power(eta - (b * u + a * v + (y0 + y1 - b * (u0 + u1) - a * (v0 + v1)) / 2), 2) <= 9 * (a * a + b * b)),
+    g AS (SELECT frame_idx, round, count(*) AS m, avg(u) AS u, avg(v) AS v, avg(xi) AS xi, avg(eta) AS eta, sum(u * u + v * v) - count(*) * (avg(u) * avg(u) + avg(v) * avg(v)) AS q, sum(u * xi + v * eta) - count(*) * (avg(u) * avg(xi) + avg(v) * avg(eta)) AS p, sum(u * eta - v * xi) - count(*) * (avg(u) * avg(eta) - avg(v) * avg(xi)) AS r
+        FROM h GROUP BY frame_idx, round HAVING count(*) >= 3 QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY m DESC, round) = 1),
+    z AS (SELECT *, p / q AS a, r / q AS b, radians(xi - p / q * u + r / q * v) AS tx, radians(eta - r / q * u - p / q * v) AS ty FROM g JOIN ce USING (frame_idx))
+    SELECT frame_idx, round((ra0 + degrees(atan2(tx, cos(radians(dec0)) - ty * sin(radians(dec0)))) + 360) % 360, 4) AS crval1, round(degrees(atan2(sin(radians(dec0)) + ty * cos(radians(dec0)), sqrt(tx * tx + power(cos(radians(dec0)) - ty * sin(radians(dec0)), 2)))), 4) AS crval2,
+        round((degrees(atan2(b, a)) + 360) % 360, 4) AS rotation, round(sqrt(a * a + b * b), 6) AS pixel_scale, least(1.0, m / 20)::DOUBLE AS confidence, m AS inliers FROM z""")
 register("point_extraction", lambda s, d: planes.label_planes(raster_li(s, d), 32, 32, quantile=0.75).select("frame_idx", "plane_idx", "point", F.round("x", DIGITS).alias("x"), F.round("y", DIGITS).alias("y"), F.round("brightness", DIGITS).alias("brightness"), "area"), f"""WITH RECURSIVE {LI_SQL}, q AS (SELECT frame_idx, plane_idx, quantile_cont(v, 0.75) AS q FROM li GROUP BY ALL),
     m AS (SELECT frame_idx, plane_idx, y, x, v, y * 32 + x AS k FROM li JOIN q USING (frame_idx, plane_idx) WHERE v > q),
     e AS (SELECT a.frame_idx, a.plane_idx, a.k AS a, b.k AS b FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.plane_idx = b.plane_idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
