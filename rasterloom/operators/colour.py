@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import lab, rgb
 from ..model import KEY
+from . import ranks
 
 #: Plane of each cell of a 2 x 2 mosaic, row by row (R, G, B as 0, 1, 2).
 BAYER = {"RGGB": (0, 1, 1, 2), "GRBG": (1, 0, 2, 1), "GBRG": (1, 2, 0, 1), "BGGR": (2, 1, 1, 0)}
@@ -75,7 +76,7 @@ def bayer_dense(pixels: DataFrame, pattern: str = "RGGB") -> DataFrame:
 
 def auto_levels(pixels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Display range of each frame: interpolated percentiles over all planes, 0 to 1 where nothing is valid."""
-    p = pixels.groupBy("frame_idx").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
+    p = pixels.select("frame_idx").distinct().join(ranks.quantiles(pixels, ("frame_idx",), (low, high)), "frame_idx", "left")
     return p.select("frame_idx", F.coalesce(F.col("p")[0], F.lit(0.0)).alias("low"), F.coalesce(F.col("p")[1], F.lit(1.0)).alias("high"))
 
 

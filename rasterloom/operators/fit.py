@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+
 #: Exponents of x and y of the quadratic basis, in order 1, x, y, x^2, xy, y^2.
 BASIS = ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2))
 
@@ -84,12 +86,24 @@ def half_open_end(v: Column, whole: bool) -> Column:
 def display(pixels: DataFrame, low: float = 0.01, high: float = 0.99, per_plane: bool = False) -> DataFrame:
     """Pixels scaled to 0..255 between percentiles of their frame (or plane); invalid pixels become 0."""
     keys = ["frame_idx", "plane_idx"] if per_plane else ["frame_idx"]
-    p = pixels.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p"))
+    p = ranks.quantiles(pixels, tuple(keys), (low, high))
     scaled = F.try_divide((F.col("v") - F.col("p")[0]) * 255, F.col("p")[1] - F.col("p")[0])
     level = F.least(F.lit(255), F.greatest(F.lit(0), F.bround(F.coalesce(scaled, F.lit(0.0)), 0).cast("int")))
-    return pixels.join(p, keys).select("frame_idx", "plane_idx", "y", "x", level.alias("level"))
+    return pixels.join(p, keys, "left").select("frame_idx", "plane_idx", "y", "x", level.alias("level"))
 
 
 def isolines(pixels: DataFrame, step: float) -> DataFrame:
     """Position of each value in its band of width step, from 0 up to 1."""
     return pixels.select("frame_idx", "plane_idx", "y", "x", (F.pmod("v", F.lit(step)) / step).alias("v"))
+
+
+def percentile_zoom(pixels: DataFrame, low: float = 0.001, high: float = 0.999, bins: int = 256, margin: float = 0.1) -> DataFrame:
+    """(frame_idx, zoom_min, zoom_end): the bin centres of a frame's planes at ranks floor(low n) and floor(high n), with a
+    margin of a tenth of what lies between on either side."""
+    ends = pixels.groupBy("frame_idx", "plane_idx").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    centres = histogram(pixels, bins).join(ends, ["frame_idx", "plane_idx"]).select("frame_idx", (F.col("low") + (F.col("bin") + 0.5) * (F.col("high") - F.col("low")) / bins).alias("centre"), "n")
+    w = Window.partitionBy("frame_idx")  # bins, not pixels
+    run = centres.groupBy("frame_idx", "centre").agg(F.sum("n").alias("n")).withColumns({"run": F.sum("n").over(w.orderBy("centre")), "total": F.sum("n").over(w)})
+    first = lambda q: F.min(F.when(F.col("run") > F.floor(F.col("total") * q), F.col("centre")))
+    got = run.groupBy("frame_idx").agg(first(low).alias("a"), first(high).alias("b"))
+    return got.select("frame_idx", (F.col("a") - (F.col("b") - F.col("a")) * margin).alias("zoom_min"), (F.col("b") + (F.col("b") - F.col("a")) * margin).alias("zoom_end"))

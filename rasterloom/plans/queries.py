@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import KEY, Stream
-from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes
+from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes, ranks
 from ..sources.tables import EM_SQL, EV_SQL, LI_SQL, PT_SQL, points_pt, raster_em, raster_li, table_ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,6 +255,44 @@ register("min_max", lambda s, d: raster_em(s, d).groupBy("frame_idx", "plane_idx
 register("quantise_8bit", lambda s, d: raster_em(s, d).select(*KEY, scalar.quantise(F.col("v"), -0.5, 0.5, 255).alias("q")), em(f"SELECT {KEYS}, CAST(least(255, greatest(0, round_even((v + 0.5) * 256.0, 0))) AS INT) AS q FROM em"))
 register("display_adaptive", lambda s, d: fit.display(raster_li(s, d)), li(f"""SELECT {KEYS}, CAST(least(255, greatest(0, round_even(coalesce((v - lo) * 255 / (hi - lo), 0), 0))) AS INT) AS level FROM li JOIN (SELECT frame_idx, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM li GROUP BY frame_idx) USING (frame_idx)"""))
 register("isolines", lambda s, d: pixels_out(fit.isolines(raster_li(s, d), 16.0)), li(f"SELECT {KEYS}, round((v % 16) / 16, {DIGITS}) AS v FROM li"))
+
+# a trimmed range, round by round: the first bin of the logarithmic edges and the last of the even ones with two values or more
+_LOG_EDGE = "(CASE WHEN {k} <= 0 THEN lo WHEN {k} >= 32 THEN hi ELSE lo + (power(10.0, {k} / 32.0 - 1) - 0.1) * (hi - lo) / 0.9 END)"
+_EVEN_EDGE = "(CASE WHEN {k} <= 0 THEN lo WHEN {k} >= 32 THEN hi ELSE lo + {k} * (hi - lo) / 32 END)"
+
+
+def trim_sql(before: str, after: str) -> str:
+    count = lambda edge: f"SELECT frame_idx, plane_idx, lo, hi, k FROM {before} JOIN tail USING (frame_idx, plane_idx), (SELECT unnest(range(32)) AS k) WHERE v >= lo AND v < hi AND v >= {edge.format(k='k')} AND v < {edge.format(k='(k + 1)')} GROUP BY ALL HAVING count(*) > 1"
+    return f"""{after}_a AS (SELECT frame_idx, plane_idx, min(k) AS a FROM ({count(_LOG_EDGE)}) GROUP BY ALL), {after}_b AS (SELECT frame_idx, plane_idx, max(k) AS b FROM ({count(_EVEN_EDGE)}) GROUP BY ALL),
+    {after} AS (SELECT frame_idx, plane_idx, low, high, CASE WHEN a > 0 THEN {_LOG_EDGE.format(k='a')} ELSE lo END AS lo, CASE WHEN b < 31 THEN {_EVEN_EDGE.format(k='(b + 1)')} ELSE hi END AS hi FROM {before} LEFT JOIN {after}_a USING (frame_idx, plane_idx) LEFT JOIN {after}_b USING (frame_idx, plane_idx))"""
+
+
+#: Planes of whole customer balances with a few far outliers.
+TAIL_SQL = "tail AS (SELECT CAST(c_nationkey % 3 AS INT) AS frame_idx, CAST(c_custkey % 2 AS INT) AS plane_idx, CASE WHEN c_custkey % 211 = 7 THEN c_acctbal * 40 WHEN c_custkey % 223 = 9 THEN -c_acctbal * 9 ELSE c_acctbal END AS v FROM customer)"
+HIGH_RES_SQL = f"""{TAIL_SQL}, r0 AS (SELECT frame_idx, plane_idx, min(v) AS low, max(v) AS high, min(v) AS lo, max(v) AS hi FROM tail GROUP BY ALL), {trim_sql('r0', 'r1')}, {trim_sql('r1', 'r2')},
+    edges AS (SELECT frame_idx, plane_idx, unnest(list_sort(list_distinct(list_concat([low, high], list_transform(range(33), lambda k: {_LOG_EDGE.format(k='k')}), list_transform(range(33), lambda k: {_EVEN_EDGE.format(k='k')}))))) AS edge FROM r2),
+    spans AS (SELECT *, lead(edge) OVER w AS upper, lead(edge, 2) OVER w IS NULL AS last FROM edges WINDOW w AS (PARTITION BY frame_idx, plane_idx ORDER BY edge)),
+    hist AS (SELECT frame_idx, plane_idx, edge AS low, upper AS high, count(*) AS n FROM spans JOIN tail USING (frame_idx, plane_idx) WHERE v >= edge AND (v < upper OR last AND v = upper) GROUP BY ALL)"""
+
+
+def tail_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
+    v = F.when(k % 211 == 7, b * 40).when(k % 223 == 9, -b * 9).otherwise(b)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_nationkey") % 3).cast("int").alias("frame_idx"), (k % 2).cast("int").alias("plane_idx"), v.alias("v"))
+
+
+def high_res(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.trimmed_histogram(tail_values(spark, sf_dir), 32, 2)
+
+
+register("high_res_histogram", lambda s, d: high_res(s, d).select("frame_idx", "plane_idx", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n"), f"WITH {HIGH_RES_SQL} SELECT frame_idx, plane_idx, round(low, 4) AS low, round(high, 4) AS high, n FROM hist")
+register("high_res_mode", lambda s, d: ranks.trimmed_mode(high_res(s, d)).select("frame_idx", "plane_idx", F.round("mode", 4).alias("mode")), f"WITH {HIGH_RES_SQL} SELECT frame_idx, plane_idx, round(arg_min((low + high) / 2, (-n, low)), 4) AS mode FROM hist GROUP BY ALL")
+register("high_res_quantile", lambda s, d: ranks.histogram_quantile(high_res(s, d), 0.9).select("frame_idx", F.round("value", 4).alias("value")), f"""WITH {HIGH_RES_SQL}, c AS (SELECT frame_idx, (low + high) / 2 AS centre, sum(n) OVER (PARTITION BY frame_idx ORDER BY (low + high) / 2) AS run, sum(n) OVER (PARTITION BY frame_idx) AS total FROM hist)
+    SELECT frame_idx, round(min(centre), 4) AS value FROM c WHERE run >= 0.9 * total GROUP BY frame_idx""")
+register("exact_quantiles", lambda s, d: ranks.quantiles(raster_em(s, d), ("plane_idx",), (0.001, 0.25, 0.5, 0.999), buckets=64, gathered=32).select("plane_idx", *[F.round(F.col("p")[k], DIGITS).alias(f"q{k}") for k in range(4)]), em(f"SELECT plane_idx, {', '.join(f'round(quantile_cont(v, {q}), {DIGITS}) AS q{k}' for k, q in enumerate((0.001, 0.25, 0.5, 0.999)))} FROM em GROUP BY plane_idx"))
+register("percentile_zoom", lambda s, d: fit.percentile_zoom(raster_em(s, d)).select("frame_idx", F.round("zoom_min", DIGITS).alias("zoom_min"), F.round("zoom_end", DIGITS).alias("zoom_end")), em(f"""SELECT frame_idx, round(a - (b - a) * 0.1, {DIGITS}) AS zoom_min, round(b + (b - a) * 0.1, {DIGITS}) AS zoom_end FROM (
+    SELECT frame_idx, c[CAST(floor(len(c) * 0.001) AS INT) + 1] AS a, c[CAST(floor(len(c) * 0.999) AS INT) + 1] AS b FROM (SELECT frame_idx, list_sort(list(CASE WHEN hi > lo THEN lo + (least(255, floor((v - lo) * 256 / (hi - lo))) + 0.5) * (hi - lo) / 256 ELSE lo END)) AS c
+        FROM (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM em WINDOW w AS (PARTITION BY frame_idx, plane_idx)) GROUP BY frame_idx))"""))
 register("half_open_end", lambda s, d: table_ev(s, d).agg(fit.half_open_end(F.max("v"), True).alias("upper_end")), f"WITH {EV_SQL} SELECT max(v) + 1 AS upper_end FROM ev")
 register("table_preview", lambda s, d: table_ev(s, d).orderBy("y", "x").limit(20).select("y", "x", "v"), f"WITH {EV_SQL} SELECT y, x, v FROM ev ORDER BY y, x LIMIT 20")
 register("hourly_table", lambda s, d: table_ev(s, d).select("y", "x", "v"), f"WITH {EV_SQL} SELECT y, x, v FROM ev")
