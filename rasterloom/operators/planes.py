@@ -202,13 +202,17 @@ def protected(v: np.ndarray, percentile: float, radius: int) -> np.ndarray:
     return out
 
 
-def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4, stars: float | None = None, radius: int = 3) -> DataFrame:
+def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, taps: list[float], levels: int = 4, stars: float | None = None, radius: int = 3, tile: int | None = None) -> DataFrame:
     """Soft threshold sigma sqrt(2 ln n) of the detail bands of each level, by an orthogonal transform with half-sample
     symmetric extension, of any extent. Levels are as many as leave about 8 pixels, one at least.
 
     Invalid pixels count 0 in the transform and stay invalid; only the pixels that are there are returned. Pixels about
-    bright groups over the percentile `stars` stay as they are (None: nowhere).
+    bright groups over the percentile `stars` stay as they are (None: nowhere). With `tile`, each square of that side is
+    an image of its own, which bounds what a task holds.
     """
+    if tile:
+        side = F.struct(F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"))
+        pixels = pixels.withColumn("at", side)
     bank = {k: np.array(v) for k, v in filter_bank(taps).items()}
     size = len(taps)
 
@@ -227,7 +231,12 @@ def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, ta
                 out[:, t : t + 2 * n - 1 : 2] += bank[f][t] * c
         return np.moveaxis(out[:, size - 2 : 2 * n], -1, axis)
 
-    def run(pdf):
+    def tiled(key, pdf):
+        ty, tx = key[2]["ty"] * tile, key[2]["tx"] * tile
+        out = run(pdf.assign(y=pdf["y"] - ty, x=pdf["x"] - tx), min(tile, width - tx), min(tile, height - ty))
+        return out.assign(y=out["y"] + ty, x=out["x"] + tx)
+
+    def run(pdf, width=width, height=height):
         a, kept = _dense(pdf, ("v",), width, height)[0], []
         for _ in range(min(levels, max(1, int(np.log2(max(1, min(a.shape) // 8)))))):
             low, high = split(a, 0)
@@ -244,7 +253,8 @@ def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, ta
         out["v"] = np.where(pdf["v"].isna(), np.nan, a[pdf["y"].to_numpy(), pdf["x"].to_numpy()])
         return out
 
-    return _by_plane(pixels, run, REAL).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    found = pixels.groupBy("frame_idx", "plane_idx", "at").applyInPandas(tiled, REAL) if tile else _by_plane(pixels, lambda pdf: run(pdf), REAL)
+    return found.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
 
 
 def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0) -> DataFrame:

@@ -17,14 +17,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import BINARY, UNARY
+from ..functions.wavelets import scaling_filter
 from ..model import KEY, Stream, concatenated, constant, grid, ordered, surfaces
-from ..operators import astrometry, colour, fit, geometry, neighbourhood, pixelwise, planes
+from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes
 from ..sources import csvplanes, images
 from . import macros
 
 #: Operators by name: (node, input streams) -> stream.
 OPERATORS: dict[str, Callable[["Node", list[Stream]], Stream]] = {}
 
+#: Parameters that operators take, first by the names that files hold; others are refused. Operators that are not listed take none.
+_STARS = "gridRows gridCols starsPerGrid ransacIterations ransacSeed"
+PARAMETERS: dict[str, frozenset[str]] = {
+    k: frozenset(v.split())
+    for k, v in {
+        "tone_curve": "controlPoints boundaryCondition outputMin outputEnd displayMin displayEnd points condition out",
+        "colorspace_mask": "color_space mask_3d_points rotation_matrix space spheres",
+        "wavelet_denoise": "wavelet levels sigma star_threshold star_protection protection_radius",
+        "chroma_denoise": "colorspace chroma_strength luma_strength preserve_edges edge_threshold",
+        "points_extraction": "targetPlane threshold minDiameter maxDiameter maxAspectRatio",
+        "shift_detection": f"usePreviousOffset alignmentPlane starThreshold starMinDiameter starMaxDiameter starSampleRadius saturationThreshold useSaturationMask maxAspectRatio phaseMaxOffset templateSearchRange {_STARS}",
+        "star_identification": f"fovDeg useHeaderFovDeg catalog.matchLimit catalog.magLimit {_STARS}",
+        "orientation": "ransacThresholdPx ransacIterations ransacSeed",
+        "file_reader": "filePaths path", "image_reader": "filePaths path", "fits_reader": "filePaths path",
+        "file_writer": "outputFilePath path", "image_writer": "outputFilePath path low end depth form",
+        "coefficients": "planes xOrder yOrder coefficients", "table": "planes columns lines table", "tensor": "planes xOrder yOrder tensor",
+        "bayer_unpack_sparse": "pattern", "bayer_unpack_dense": "pattern", "convolution": "kernel", "deconvolution": "kernel", "quantile_filter": "kernel q", "dwt": "kernel", "idwt": "kernel",
+        "sigma_filtering": "sigma", "reposition": "shift_x shift_y rot90 flip_x flip_y transpose left top crop_width crop_height",
+    }.items()
+}
+
 
 def register_operator(name: str):
     """Decorator that adds an operator to flows; a name is taken once."""
@@ -101,6 +123,13 @@ class Flow:
         for node in self.order():
             if node.id not in given and node.type not in OPERATORS:
                 raise ValueError(f"node {node.id}: no operator {node.type}")
+            if node.id not in given:
+                self._known(node)
+
+    @staticmethod
+    def _known(node: Node) -> None:
+        if node.type in OPERATORS and (other := set(node.params) - PARAMETERS.get(node.type, frozenset())):
+            raise ValueError(f"node {node.id}: {node.type} takes no {', '.join(sorted(other))}")
 
     def run(self, target: Node | int, **sources: Stream) -> Stream:
         """The plan of one node. sources: streams by node number as n0=..., for readers and open inputs."""
@@ -112,6 +141,7 @@ class Flow:
                 continue
             if node.type not in OPERATORS:
                 raise ValueError(f"node {node.id}: no operator {node.type}")
+            self._known(node)
             mark = hashlib.md5(repr((node.type, sorted(node.params.items(), key=str), node.category, [marks[i] for i in node.inputs])).encode()).hexdigest()
             if mark not in self.known:
                 try:
@@ -365,8 +395,15 @@ def _dwt(node: Node, s: list[Stream]) -> Stream:
 
 @register_operator("idwt")
 def _idwt(node: Node, s: list[Stream]) -> Stream:
-    """Takes back the newest level."""
-    image, taps = next(x for x in ordered(s) if x.sizes), [v or 0.0 for v in _kernel(node, s)[0]]
+    """Takes back all levels; a stream without any passes."""
+    image, taps = next((x for x in ordered(s) if x.sizes), ordered(s)[0]), [v or 0.0 for v in _kernel(node, s)[0]]
+    while image.sizes:
+        image = _level_back(image, taps)
+    return image
+
+
+def _level_back(image: Stream, taps: list[float]) -> Stream:
+    """The stream without its newest level."""
     group, (w, h) = 1 + 3 * (len(image.sizes) - 1), image.sizes[-2]
     plane, band = F.floor(F.col("plane_idx") / group).cast("int"), F.col("plane_idx") % group
     bands = {name: image.pixels.where(band == k).withColumn("plane_idx", plane) for k, name in enumerate(("aa", "ad", "da", "dd"))}
@@ -408,11 +445,45 @@ def _shifts(node: Node, s: list[Stream]) -> Stream:
     reference = target.pixels.where((F.col("frame_idx") == 0) & (F.col("plane_idx") == min(plane, target.planes - 1))).select("y", "x", "v")
     found = astrometry.register_frames(
         image.pixels.where(F.col("plane_idx") == plane).select("frame_idx", "y", "x", "v"), reference, image.width, image.height, quantile=p.get("starThreshold", 95) / 100, least=p.get("starMinDiameter", 2), most=p.get("starMaxDiameter", 16), aspect=p.get("maxAspectRatio", 2.0),
-        rows=p.get("gridRows", 3), columns=p.get("gridCols", 3), stars=p.get("starsPerGrid", 8), radius=p.get("starSampleRadius", 100), phase_most=p.get("phaseMaxOffset", 100), template_reach=p.get("templateSearchRange", 150),
+        rows=p.get("gridRows", 3), columns=p.get("gridCols", 3), stars=p.get("starsPerGrid", 8), radius=p.get("starSampleRadius", 100), previous=p.get("usePreviousOffset", True), rounds=p.get("ransacIterations", 100), seed=p.get("ransacSeed", 2725), phase_most=p.get("phaseMaxOffset", 100), template_reach=p.get("templateSearchRange", 150),
     )
     return Stream(_as_table(found, "frame_idx", columns), 1, 1, len(columns), image.length, type="table", columns=columns)
 
 
+def _wide(s: Stream) -> DataFrame:
+    """The rows of a table as columns: frame_idx, line, and its own."""
+    at = lambda c: F.max(F.when(F.col("x") == s.columns.index(c), F.col("v"))).alias(c)
+    return s.pixels.where("plane_idx = 0").groupBy("frame_idx", F.col("y").alias("line")).agg(*[at(c) for c in s.columns])
+
+
+@register_operator("star_identification")
+def _identify(node: Node, s: list[Stream]) -> Stream:
+    """A table of points a frame and a catalogue as a table (id, ra, dec, mag), told by its columns; a line a star, the
+    brightest of the catalogue first."""
+    p, columns = node.params, ("ra", "dec", "mag", "x", "y", "brightness", "id")
+    points, catalog = next(x for x in s if "brightness" in x.columns), next(x for x in s if {"id", "ra", "dec", "mag"} <= set(x.columns))
+    stars = _wide(catalog).select(F.col("id").cast("long").alias("id"), "ra", "dec", "mag").where("id is not null").where(F.col("mag") <= p.get("catalog.magLimit", 8.0))
+    found = _wide(points).where("x is not null").select("frame_idx", F.col("line").cast("long").alias("id"), "x", "y", "brightness")
+    extent = found.agg(*[(F.min(c) + F.max(c)).alias(c) for c in ("x", "y")]).first()  # margins are taken as equal
+    if extent.x is None:
+        return Stream(_as_table(found.limit(0), "id", ("x",), "frame_idx"), points.length, 1, len(columns), 1, type="table", columns=columns, ids=points.ids)
+    known = astrometry.catalog_triangles(stars, p.get("fovDeg", 2.0) / 2, p.get("catalog.magLimit", 8.0))
+    named = consensus.identify_frames(found, stars, known, extent.x, extent.y, p.get("fovDeg", 2.0), error=p.get("catalog.matchLimit", 1.0) / 100, rows=p.get("gridRows", 1), columns=p.get("gridCols", 1), stars=p.get("starsPerGrid", 8), rounds=p.get("ransacIterations", 100), seed=p.get("ransacSeed", 2725))
+    line = F.row_number().over(Window.partitionBy("frame_idx").orderBy("mag", "id")) - 1  # as many as a frame's points
+    return Stream(_as_table(named.withColumn("line", line), "line", columns, "frame_idx"), points.length, 1, len(columns), 1, type="table", columns=columns, ids=points.ids)
+
+
+@register_operator("orientation")
+def _orientation(node: Node, s: list[Stream]) -> Stream:
+    """A line a frame of identified stars (a table with ra, dec, x, y); places are taken about the middle of the stars' extent,
+    as a table of stars does not tell the frame's."""
+    p, columns = node.params, ("crval1", "crval2", "rotation", "pixel_scale", "confidence")
+    stars = _wide(s[0]).withColumnRenamed("line", "star")
+    extent = stars.agg(*[(F.min(c) + F.max(c)).alias(c) for c in ("x", "y")]).first()
+    found = consensus.plate_consensus(stars, extent.x or 0.0, extent.y or 0.0, p.get("ransacThresholdPx", 3.0), p.get("ransacIterations", 100), p.get("ransacSeed", 2725))
+    return Stream(_as_table(found, "frame_idx", columns), 1, 1, len(columns), s[0].length, type="table", columns=columns, lines=s[0].ids or ())
+
+
 @register_operator("chroma_denoise")
 def _chroma(node: Node, s: list[Stream]) -> Stream:
     """Frames of three planes (of four with the mean green); others pass."""
@@ -428,7 +499,7 @@ def _chroma(node: Node, s: list[Stream]) -> Stream:
 def _wavelet(node: Node, s: list[Stream]) -> Stream:
     p = node.params
     stars = p.get("star_threshold", 99.0) if p.get("star_protection", True) else None
-    return _changed(s[0], planes.wavelet_denoise(s[0].pixels, s[0].width, s[0].height, p.get("sigma", 1.0), neighbourhood.DB2, p.get("levels", 4), stars, p.get("protection_radius", 3)))
+    return _changed(s[0], planes.wavelet_denoise(s[0].pixels, s[0].width, s[0].height, p.get("sigma", 0.1), list(scaling_filter(p.get("wavelet", "db4"))), p.get("levels", 4), stars, p.get("protection_radius", 3), tile=256))
 
 
 def _read(pixels: DataFrame, **known) -> Stream:
@@ -437,9 +508,17 @@ def _read(pixels: DataFrame, **known) -> Stream:
     return Stream(pixels, max(1, n), max(1, p), max(1, w), max(1, h), **known)
 
 
+def _paths(node: Node) -> list[str] | str:
+    """The files of a reader, or the one file or folder of a writer, by the name that files hold or as path."""
+    found = node.params.get("filePaths") or node.params.get("outputFilePath") or node.params.get("path")
+    if not found:
+        raise ValueError("no file is given")
+    return found
+
+
 @register_operator("file_reader")
 def _file_reader(node: Node, s: list[Stream]) -> Stream:
-    return _read(csvplanes.read_csv(SparkSession.active(), node.params["path"]).select(*KEY, "v"), type="table")
+    return _read(csvplanes.read_csv(SparkSession.active(), _paths(node)).select(*KEY, "v"), type="table")
 
 
 def _numbered(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -451,18 +530,24 @@ def _numbered(pixels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 @register_operator("image_reader")
 def _image_reader(node: Node, s: list[Stream]) -> Stream:
-    return _read(_numbered(images.read_png(SparkSession.active(), node.params["path"]), ("source_file",)))
+    return _read(_numbered(images.read_png(SparkSession.active(), _paths(node)), ("source_file",)))
 
 
 @register_operator("fits_reader")
 def _fits_reader(node: Node, s: list[Stream]) -> Stream:
-    return _read(_numbered(images.read_fits(SparkSession.active(), node.params["path"]), ("source_file", "part")))
+    return _read(_numbered(images.read_fits(SparkSession.active(), _paths(node)), ("source_file", "part")))
 
 
 @register_operator("file_writer")
 def _file_writer(node: Node, s: list[Stream]) -> Stream:
     """Writes a folder of text files a frame and hands the stream on."""
-    csvplanes.write_csv(s[0].pixels, node.params["path"])
+    def named(names: tuple[str, ...], at: str):
+        """The name at a place, or its number; a letter before that of a column tells a header from values."""
+        number = F.concat(F.lit("x" if at == "x" else ""), F.col(at).cast("string"))
+        return F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), F.col(at) + 1), number) if names else number
+
+    labels = {"column": named(s[0].columns, "x"), "line": named(s[0].lines, "y"), "plane": named(s[0].names, "plane_idx")}
+    csvplanes.write_csv(s[0].pixels.withColumns({k: v for k, v in labels.items() if k not in s[0].pixels.columns}), _paths(node))
     return s[0]
 
 
@@ -471,20 +556,30 @@ def _image_writer(node: Node, s: list[Stream]) -> Stream:
     """The encoded files, one row a frame, as the header; they are written where a path is given."""
     p = node.params
     files = images.encode_frames(s[0].pixels, s[0].width, s[0].height, p.get("low", 0.0), p.get("end", 256.0), p.get("depth", 8), p.get("form", "png"))
-    if "path" in p:
-        files.write.mode("overwrite").parquet(p["path"])
+    if "path" in p or "outputFilePath" in p:
+        files.write.mode("overwrite").parquet(_paths(node))
     return replace(s[0], header=files)
 
 
 @register_operator("tone_curve")
 def _tone(node: Node, s: list[Stream]) -> Stream:
-    curve = colour.tone_curve(F.col("v"), [tuple(p) for p in node.params["points"]], node.params.get("condition", "natural"), tuple(node.params.get("out", (0.0, 1.0))))
+    """The range shown on screen (displayMin, displayEnd) does not matter to the values."""
+    p = node.params
+    points = p.get("controlPoints", p.get("points", [(0.0, 0.0), (1.0, 1.0)]))
+    out = p.get("out", (p.get("outputMin", 0.0), p.get("outputEnd", 1.0)))
+    curve = colour.tone_curve(F.col("v"), [tuple(x) for x in points], p.get("boundaryCondition", p.get("condition", "natural")), tuple(map(float, out)))
     return _changed(s[0], s[0].pixels.withColumn("v", curve))
 
 
 @register_operator("colorspace_mask")
 def _mask(node: Node, s: list[Stream]) -> Stream:
-    return _changed(s[0], colour.colour_mask(s[0].pixels, [tuple(p) for p in node.params.get("spheres", [])], node.params.get("space", "RGB")))
+    """Frames of three planes, or of four with the mean green; any others pass everywhere."""
+    p = node.params
+    spheres = [tuple(x) for x in p.get("mask_3d_points", p.get("spheres", []))]
+    if s[0].planes not in (3, 4):
+        return _changed(s[0], s[0].pixels.withColumn("v", F.lit(1.0)))
+    pixels = colour.merge_rgbg(s[0].pixels) if s[0].planes == 4 else s[0].pixels
+    return _changed(s[0], colour.colour_mask(pixels, spheres, p.get("color_space", p.get("space", "RGB"))), planes=3)
 
 
 @register_operator("quadratic_fit")

@@ -44,7 +44,7 @@ def parse_planes(text: str) -> list[dict]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(frame_idx, plane_idx, plane, type, y, x, line, column, v) of the files under a path, one frame a file in path order."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
     numbers = files.select("source_file").withColumn("frame_idx", F.row_number().over(Window.orderBy("source_file")) - 1)  # a row a file

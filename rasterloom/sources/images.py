@@ -123,7 +123,7 @@ def write_pnm(planes: np.ndarray, depth: int = 8) -> bytes:
     return head + np.moveaxis(planes, 0, -1).astype(">u2" if depth == 16 else np.uint8).tobytes()
 
 
-def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
+def _decoded(spark: SparkSession, path: str | list[str], decode) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(parts):
@@ -145,7 +145,7 @@ def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
 PIXELS_AT_ONCE = 1 << 18
 
 
-def read_fits_headers(spark: SparkSession, path: str) -> DataFrame:
+def read_fits_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_file, part, mode, bayer_pattern, width, height, planes, header): a row for each unit with an image.
 
     mode is L, RGB or RGBA by the number of planes, FITS_nC for other numbers, and BAYER where one plane has a mosaic pattern.
@@ -165,12 +165,12 @@ def read_fits_headers(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "source_file string, part int, mode string, bayer_pattern string, width int, height int, planes int, header map<string,string>")
 
 
-def read_fits(spark: SparkSession, path: str) -> DataFrame:
+def read_fits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Pixels of FITS files: (source_file, part, plane_idx, y, x, v), part counting the units with an image."""
     return _decoded(spark, path, lambda data: [channels_first(v) for _, v in fits_units(data)])
 
 
-def read_png(spark: SparkSession, path: str) -> DataFrame:
+def read_png(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _decoded(spark, path, lambda data: [png_pixels(data)])
 
 
