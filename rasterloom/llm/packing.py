@@ -29,7 +29,8 @@ BLOCK_TOKENS = 1 << 18
 #: Windows in a run between two candidate cuts that cuts inside sentences may divide.
 RUN = 3
 #: White space so long that the look-ahead of the tokenizer's pattern could run out of stack on it.
-BLANK = regex.compile(r"\p{White_Space}{4096,}")
+LONG = 4096
+BLANK = regex.compile(rf"\p{{White_Space}}{{{LONG},}}")
 
 SCHEMA = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -48,6 +49,8 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
 def token_ids(enc: tiktoken.Encoding, text: str) -> list[int]:
     """The ids of a text. A long run of white space is one piece of the pattern, but for its last character where a text
     goes on; it is encoded as such without the pattern, whose stack it would exhaust."""
+    if len(text) < LONG:
+        return enc.encode(text, allowed_special="all")
     ids, at = [], 0
     for run in BLANK.finditer(text):
         ids += enc.encode(text[at : run.start()], allowed_special="all")
