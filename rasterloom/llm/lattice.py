@@ -20,6 +20,8 @@ SPACE, BYTE_PENALTY = "▁", 10.0
 #: Characters of a word that are cut into substrings at once, ends that are folded at once, and the most frequent words,
 #: whose pieces meet the texts by broadcast.
 CHUNK, STEP, HEAD = 256, 256, 1 << 16
+#: Bytes of a word that may be one of these.
+HEAD_BYTES = 64
 
 
 def pieces(spark: SparkSession, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -99,7 +101,7 @@ def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words"))
     counts = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
     known = written(encode_words(counts.select("word"), table), "words")
-    head = F.broadcast(known.join(F.broadcast(counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word")), "word"))
+    head = F.broadcast(known.join(F.broadcast(counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word")), "word"))
     flat = rows.select("id", *keep, "row", F.posexplode("words").alias("pos", "word"))
     met = flat.join(head, "word", "left")
     tail = met.where("ids is null").drop("ids").join(known, "word")
