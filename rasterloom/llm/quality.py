@@ -15,11 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Batches, Memo, bound_batches, byte_texts, fresh
+from .common import Batches, Memo, bound_batches, byte_texts, fresh, written
 
 #: Hashed slots of the scorer, and documents it is fitted on at most (those of the smallest id hashes).
 SLOTS, SAMPLE = 1 << 13, 12_000
+#: Features of that sample at most.
+SAMPLE_SLOTS = 1 << 22
 GOOD, BAD, NONE = "g", "b", "-"
 #: Name, and the values up to which a labeller votes good and from which it votes bad.
 LABELLERS = (("symbols", 0.02, 0.10), ("tails", 0.02, 0.15), ("capitals", 0.15, 0.40), ("bars", 0.01, 0.08), ("shouts", 0.05, 0.20), ("top_word", 0.12, 0.25), ("stutter", 0.02, 0.10), ("echoes", 0.40, 0.55), ("same_lines", 0.20, 0.50))
@@ -141,8 +144,9 @@ def fit(rows: list[tuple[list[int], list[float], float]], rounds: int = 300, rat
     return theta, float(bias)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray, float]:
-    """Posterior by vote pattern (over all documents), and the scorer's weights and bias (over the sample)."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_slots: int = SAMPLE_SLOTS) -> tuple[dict[str, float], np.ndarray, float]:
+    """Posterior by vote pattern (over all documents), and the scorer's weights and bias, over at most `sample` ids and
+    `sample_slots` features of theirs, those of the smallest id hashes; of the texts of one id the one of fewest features."""
     bound_batches(docs.sparkSession)
     posterior, _, _ = estimate(vote_patterns(docs, text_col))
 
@@ -150,15 +154,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         known = word_slots()
         for b in parts:
             out = []
-            for t in byte_texts(b.column(0)):
+            for t in byte_texts(b.column(1)):
                 seen = ratios(t)
                 x = features(t, seen, known)
                 out.append({"slots": list(x), "values": list(x.values()), "pattern": votes(seen)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("pattern", pa.string())]))
+            x = pa.Table.from_pylist(out, schema=pa.schema([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("pattern", pa.string())]))
+            yield from x.add_column(0, "id", b.column(0)).combine_chunks().to_batches()
 
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text")
-    rows = sorted((r.slots, r["values"], posterior[r.pattern]) for r in texts.mapInArrow(run, "slots array<int>, values array<double>, pattern string").collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    kind = docs.schema[id_col].dataType.simpleString()
+    # one text for each id, however often it stands there
+    one = texts.mapInArrow(run, f"id {kind}, slots array<int>, values array<double>, pattern string").groupBy("id").agg(F.min(F.struct(F.size("slots").alias("n"), "slots", "values", "pattern")).alias("x")).select("id", "x.*")
+    one = written(one, "sample")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))  # a row for each id of the sample
+    fits = one.select("id", "n").withColumn("upto", upto).where(F.col("upto") <= sample_slots).select("id")
+    rows = sorted((r.slots, r["values"], posterior[r.pattern]) for r in one.join(F.broadcast(fits), "id", "left_semi").collect())
     return posterior, *fit(rows)
 
 
