@@ -180,7 +180,7 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     seen = written(seen, "evidence")
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(len(classes))]
     of = lambda n: F.array(*[F.col(f"s{i}") for i in range(len(classes))]).alias(n)
-    grouped = lambda keys, n: sized(written(seen.groupBy(*keys).agg(*sums).select(*keys, of(n)), n), 4 << 20)
+    grouped = lambda keys, n: written(seen.groupBy(*keys).agg(*sums).select(*keys, of(n)), n)
     everything = [x or 0.0 for x in seen.agg(*sums).first()]
     trust = np.full((len(classes), len(languages) + 2), 0.5)  # classes x what is declared
     said = [*languages, OTHER, "-"]
@@ -191,8 +191,10 @@ def identify(rows: DataFrame, likelihoods: np.ndarray, languages: tuple[str, ...
     wide = F.array(*[F.lit(float(x)) for x in base / base.sum()])
     narrow = lambda counts, prior: scaled(F.zip_with(F.zip_with(counts, F.col("soft"), lambda n, s: F.greatest(n - s, F.lit(0.0))), prior, lambda n, p: n + WIDER * p))
     told = F.create_map(*[x for j, d in enumerate(said) for x in (F.lit(d), F.array(*[F.lit(float(np.log(trust[i, j]))) for i in range(len(classes))]))])
-    # suffixes and domains are few as a rule and meet the rows by broadcast, so that a hot one is no hot key of a shuffle
-    out = seen.join(grouped(["suffix"], "of_suffix"), "suffix").join(grouped(["suffix", "domain"], "of_domain"), ["suffix", "domain"]).join(grouped(["suffix", "domain", "host"], "of_host"), ["suffix", "domain", "host"])
+    # hosts meet their domains and suffixes first, a row a host; the rows then meet their host in one join, by broadcast or else
+    # in one whose hot keys Spark can split
+    hosts = grouped(["suffix", "domain", "host"], "of_host").join(sized(grouped(["suffix", "domain"], "of_domain"), 4 << 20), ["suffix", "domain"]).join(sized(grouped(["suffix"], "of_suffix"), 4 << 20), "suffix")
+    out = seen.join(sized(written(hosts, "hosts")), ["suffix", "domain", "host"])
     out = out.withColumn("prior", narrow(F.col("of_suffix"), wide))
     out = out.withColumn("prior", narrow(F.col("of_domain"), F.col("prior")))
     out = out.withColumn("prior", narrow(F.col("of_host"), F.col("prior")))

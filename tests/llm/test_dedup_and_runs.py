@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm import exact, line_dedup, packing, runs, trie
+from rasterloom.llm import exact, language, line_dedup, packing, quality, runs, trie
 from rasterloom.llm import queries as q
 
 
@@ -214,3 +214,69 @@ def test_prefix_trie_edge_cases(spark, tmp_path, data):
     got = q.op11_conversation_prefix_trie(spark, str(tmp_path))
     assert values(got.collect()) == sql(q.ORACLE_SQL["op11_conversation_prefix_trie"], data, got.columns, conversations=f"{where}/*.parquet")
     assert trie.prefix_trie(trie.turns(spark.read.parquet(where).limit(0))).count() == 0
+
+
+# --- 5 and 7: bounded samples, hot hosts ----------------------------------------------------------------------------
+
+
+def test_one_id_in_bulk_counts_once_in_the_sample(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    bulk = docs.union(spark.range(20_000).select(F.lit(-1).alias("doc_id"), F.concat(F.lit("some words of one id "), F.col("id").cast("string")).alias("text")))
+    held = []
+    fit, quality.fit = quality.fit, lambda rows: (held.append(rows), fit(rows))[1]
+    try:
+        quality.train(bulk)
+        quality.train(docs, sample_slots=2000)
+    finally:
+        quality.fit = fit
+    assert len(held[0]) == docs.count() + 1 and 0 < sum(len(r[0]) for r in held[1]) <= 2000
+
+
+def plain_posteriors(rows, logs, classes, languages):
+    """rows: (declared, host, suffix) of each text, logs their likelihoods. Every step in plain loops."""
+    rare, wider = language.RARE, language.WIDER
+    scaled = lambda x: [v / sum(x) for v in x]
+    start = [rare if c == language.OTHER else (1 - rare) / len(languages) for c in classes]
+    soft = [scaled([np.exp(a - max(x)) * p for a, p in zip(x, start, strict=True)]) for x in logs]
+    said = [*languages, language.OTHER, "-"]
+    keys = [(s, (s, ".".join(h.split(".")[-2:])), (s, h)) for _, h, s in rows]
+    n = len(classes)
+    total = [sum(x[i] for x in soft) + 1 for i in range(n)]
+    trust = np.full((n, len(said)), 0.5)
+    for (d, _, _), x in zip(rows, soft, strict=True):
+        trust[:, said.index(d)] += x
+    trust /= trust.sum(axis=1, keepdims=True)
+    out = []
+    for k, (d, _, _) in enumerate(rows):
+        prior = scaled(total)
+        for level in range(3):
+            counts = [sum(x[i] for x, q in zip(soft, keys, strict=True) if q[level] == keys[k][level]) for i in range(n)]
+            prior = scaled([max(c - s, 0.0) + wider * p for c, s, p in zip(counts, soft[k], prior, strict=True)])
+        x = [a + np.log(trust[i, said.index(d)]) + np.log(max(prior[i], 1e-12)) for i, a in enumerate(logs[k])]
+        out.append(scaled([np.exp(v - max(x)) for v in x]))
+    return out
+
+
+@pytest.mark.parametrize("small", [32 << 20, 0])
+def test_language_posteriors_match_plain_loops(spark, data, monkeypatch, small):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    likelihoods = language.train(docs)
+    rng = random.Random(5)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["", None]
+    langs = sorted({r.lang for r in docs.select("lang").distinct().collect() if r.lang})
+    rows = [(k, t, rng.choice([None, "", "xx", langs[0].upper(), *langs]), rng.choice(["", None, "a.b.c", "x.b.c", "q.d", "hot.example"]), rng.choice(["c", "d", None])) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    kept = []
+    keep = language.written
+    monkeypatch.setattr(language, "written", lambda d, name: kept.append((name, keep(d, name))) or kept[-1][1])
+    monkeypatch.setattr(language, "sized", lambda d, most=0: F.broadcast(d) if small else d)
+    got = {r.id: r for r in language.identify(df, likelihoods).collect()}
+    seen = {r.id: r for name, d in kept if name == "evidence" for r in d.collect()}
+    order = sorted(seen)
+    languages = sorted({r for r in langs})
+    classes = [*languages, language.OTHER]
+    want = plain_posteriors([(seen[k].declared, seen[k].host, seen[k].suffix) for k in order], [seen[k].logs for k in order], classes, languages)
+    for k, p in zip(order, want, strict=True):
+        assert np.allclose(got[k].posterior, p, atol=1e-9), k
+        assert got[k].lang == classes[int(np.argmax(p))] and abs(got[k].confidence - max(p)) < 1e-9
+    assert {seen[k].declared for k in order} <= {*languages, language.OTHER, "-"}
