@@ -258,36 +258,10 @@ def wavelet_denoise(pixels: DataFrame, width: int, height: int, sigma: float, ta
 
 
 def label_planes(pixels: DataFrame, width: int, height: int, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0) -> DataFrame:
-    """Points of each plane: 8-connected groups of pixels over the plane's quantile, in the size range of the two diameters.
+    """Points of each plane, see labels.points; the extent does not matter."""
+    from . import labels  # which labels tiles with what is here
 
-    Columns x, y (intensity centroid), brightness (sum), center_brightness, area (pixels), aspect_ratio (of the second
-    moments); rows by distance from the origin. Invalid pixels are background.
-    """
-
-    def run(pdf):
-        v = _dense(pdf, ("v",), width, height, np.nan)[0]
-        ok = ~np.isnan(v)
-        mask = ok & (v > np.quantile(v[ok], quantile)) if ok.any() else ok
-        label = _labels(mask, True)
-        rows = []
-        for k in np.unique(label[mask]):
-            y, x = np.nonzero(label == k)
-            if not np.pi * (least / 2) ** 2 <= len(y) <= np.pi * (most / 2) ** 2:
-                continue
-            spread = np.linalg.eigvalsh(np.cov(np.stack((x, y)), bias=True) + np.eye(2) / 12)
-            ratio = float(np.sqrt(spread[1] / spread[0]))
-            if ratio <= aspect * (1 + 1e-9):
-                w = v[y, x]
-                cx, cy = (float((w * x).sum() / w.sum()), float((w * y).sum() / w.sum())) if w.sum() else (float(x.mean()), float(y.mean()))
-                rows.append((cx, cy, float(w.sum()), float(v[int(round(cy)), int(round(cx))]), len(y), ratio))
-        rows.sort(key=lambda r: r[0] ** 2 + r[1] ** 2)
-        out = pd.DataFrame(rows, columns=["x", "y", "brightness", "center_brightness", "area", "aspect_ratio"])
-        out.insert(0, "point", range(len(out)))
-        out.insert(0, "plane_idx", int(pdf["plane_idx"].iloc[0]))
-        out.insert(0, "frame_idx", int(pdf["frame_idx"].iloc[0]))
-        return out
-
-    return _by_plane(pixels, run, "frame_idx int, plane_idx int, point int, x double, y double, brightness double, center_brightness double, area int, aspect_ratio double")
+    return labels.points(pixels, quantile, least, most, aspect)
 
 
 def _beside(pixels: DataFrame, reference: DataFrame, largest: int = 1 << 22) -> DataFrame:
