@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import angular_distance, gnomonic
 from . import consensus, planes
 from .consensus import consensus_shift as ransac_shift
+from .labels import settled
 from .points import nearest, pairs_within, similarity_fit, topk_grid
 
 
@@ -122,7 +123,7 @@ def register_frames(images: DataFrame, reference: DataFrame, width: int, height:
         return topk_grid(p, "brightness", width, height, rows, columns, stars).select("frame_idx", "id", "x", "y")
 
     frames = images.select("frame_idx").distinct().withColumn("seconds", F.lit(None).cast("double"))
-    found = detect_shifts(points(images), points(reference).drop("frame_idx"), frames, radius, width, height, previous, seed, rounds)
+    found = settled(detect_shifts(settled(points(images)), settled(points(reference).drop("frame_idx")), frames, radius, width, height, previous, seed, rounds))
     left = images.join(found.where("dx is null").select("frame_idx"), "frame_idx", "left_semi")
     plane = reference.select("y", "x", "v")
     phase = planes.phase_shift(left, plane, width, height, phase_most).withColumn("confidence", F.least(F.lit(1.0), F.col("sharpness") / 10))
@@ -152,7 +153,8 @@ def detect_shifts(points: DataFrame, reference: DataFrame, frames: DataFrame, ra
         pairs = consensus.pairs_about(far, consensus.previous_offsets(consensus.candidate_offsets(far), frames, radius), radius)
     else:
         pairs = pairs_within(points, reference, radius, carry=("frame_idx",))
-    found = ransac_shift(pairs, rounds, seed=seed).where("success")
+    pairs = settled(pairs)
+    found = settled(ransac_shift(pairs, rounds, seed=seed).where("success"))
     near = pairs.join(found.select("frame_idx", F.col("dx").alias("mx"), F.col("dy").alias("my")), "frame_idx").where(F.hypot(F.col("xb") - F.col("xa") - F.col("mx"), F.col("yb") - F.col("ya") - F.col("my")) < 2)
     about = {c: F.col(c) - (width if c[0] == "x" else height) / 2 for c in ("xa", "ya", "xb", "yb")}
     fit = similarity_fit(near.withColumns(about)).where("n >= 3 and a is not null").select("frame_idx", F.degrees(F.atan2("b", "a")).alias("rotation"), F.col("dx").alias("fx"), F.col("dy").alias("fy"))

@@ -15,7 +15,8 @@ TILE = 256
 PLANE = ["frame_idx", "plane_idx"]
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are now, for plans that use them several times: a reliable checkpoint where a folder is set."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
@@ -26,13 +27,13 @@ def united(links: DataFrame) -> DataFrame:
     a group winds through many tiles.
     """
     both = links.select(*PLANE, "a", "b").union(links.select(*PLANE, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _settled(both)
-    roots = _settled(both.groupBy(*PLANE, F.col("a").alias("label")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = settled(both)
+    roots = settled(both.groupBy(*PLANE, F.col("a").alias("label")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(roots.select(*PLANE, F.col("label").alias("b"), "root"), [*PLANE, "b"]).groupBy(*PLANE, F.col("a").alias("label")).agg(F.min("root").alias("near"))
         new = roots.join(near, [*PLANE, "label"]).select(*PLANE, "label", F.col("root").alias("before"), F.least("root", "near").alias("root"))
         jump = roots.select(*PLANE, F.col("label").alias("root"), F.col("root").alias("beyond"))
-        new = _settled(new.join(jump, [*PLANE, "root"], "left").select(*PLANE, "label", "before", F.least("root", F.coalesce("beyond", "root")).alias("root")))
+        new = settled(new.join(jump, [*PLANE, "root"], "left").select(*PLANE, "label", "before", F.least("root", F.coalesce("beyond", "root")).alias("root")))
         roots = new.drop("before")
         if new.where("root != before").isEmpty():
             return roots
@@ -52,14 +53,14 @@ def labelled(bright: DataFrame, corners: bool = True, tile: int = TILE) -> DataF
 
     at = lambda c: F.floor(F.col(c) / tile).cast("int")
     own = bright.select(*PLANE, "y", "x", "v", at("y").alias("ty"), at("x").alias("tx")).groupBy(*PLANE, "ty", "tx").applyInPandas(run, "frame_idx int, plane_idx int, y int, x int, v double, label long")
-    own = _settled(own)
+    own = settled(own)
     edge = lambda c: (F.pmod(F.col(c), F.lit(tile)) == 0) | (F.pmod(F.col(c), F.lit(tile)) == tile - 1)
     border = own.where(edge("y") | edge("x")).select(*PLANE, "y", "x", "label")
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if corners else [])]
     beside = F.explode(F.array(*[F.struct((F.col("y") + a).alias("ny"), (F.col("x") + b).alias("nx")) for a, b in steps])).alias("n")
     across = border.select(*PLANE, "y", "x", F.col("label").alias("a"), beside).where((F.floor(F.col("n.ny") / tile) != F.floor(F.col("y") / tile)) | (F.floor(F.col("n.nx") / tile) != F.floor(F.col("x") / tile)))
     links = across.select(*PLANE, F.col("n.ny").alias("y"), F.col("n.nx").alias("x"), "a").join(border.withColumnRenamed("label", "b"), [*PLANE, "y", "x"]).where("a != b").select(*PLANE, "a", "b")
-    links = _settled(links)
+    links = settled(links)
     if links.isEmpty():
         return own
     return own.join(united(links), [*PLANE, "label"], "left").select(*PLANE, "y", "x", "v", F.coalesce("root", "label").alias("label"))
@@ -80,7 +81,7 @@ def points(pixels: DataFrame, quantile: float = 0.95, least: float = 2.0, most:
     m = sums.selectExpr("*", "sxx / n - (sx / n) * (sx / n) + 1 / 12D as a", "syy / n - (sy / n) * (sy / n) + 1 / 12D as b", "sxy / n - (sx / n) * (sy / n) as c")
     m = m.selectExpr("*", "(a + b) / 2 as mid", "sqrt((a - b) * (a - b) / 4 + c * c) as off").selectExpr("*", "sqrt((mid + off) / (mid - off)) as aspect_ratio").where(F.col("aspect_ratio") <= aspect * (1 + 1e-9))
     m = m.select(*PLANE, "label", F.coalesce(F.try_divide("svx", "sv"), F.col("sx") / F.col("n")).alias("cx"), F.coalesce(F.try_divide("svy", "sv"), F.col("sy") / F.col("n")).alias("cy"), F.col("sv").alias("brightness"), F.col("n").cast("int").alias("area"), "aspect_ratio")
-    m = _settled(m)
+    m = settled(m)
     place = m.select(*PLANE, "label", F.bround("cy", 0).cast("int").alias("y"), F.bround("cx", 0).cast("int").alias("x"))
     centre = pixels.select(*PLANE, "y", "x", F.col("v").alias("center_brightness")).join(place, [*PLANE, "y", "x"]).select(*PLANE, "label", "center_brightness")
     order = F.row_number().over(Window.partitionBy(*PLANE).orderBy(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy"), "label")) - 1  # points, not pixels
