@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spectra
 from .neighbourhood import filter_bank
 
 #: Share of the Laplacian in phase correlation, and how far its peak must stand out over mean and deviation.
@@ -82,7 +83,9 @@ def _stacked(pixels: DataFrame, columns: tuple[str, ...], width: int, height: in
 
 
 def fft(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Unnormalised 2-D transform of each plane; invalid pixels count 0."""
+    """Unnormalised 2-D transform of each plane; invalid pixels count 0. Large planes go by blocks."""
+    if width * height > spectra.WHOLE:
+        return spectra.transform(pixels, width, height)
 
     def kernel(v):
         f = np.fft.fft2(v, axes=(1, 2))
@@ -92,7 +95,9 @@ def fft(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def ifft(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """The inverse transform, divided by the number of pixels."""
+    """The inverse transform, divided by the number of pixels. Large planes go by blocks."""
+    if width * height > spectra.WHOLE:
+        return spectra.transform(pixels, width, height, inverse=True)
 
     def kernel(re, im):
         f = np.fft.ifft2(re + 1j * im, axes=(1, 2))
@@ -113,14 +118,21 @@ def smooth_length(n: int) -> int:
         n += 1
 
 
+def _padded(extent: tuple[int, int], kernel: np.ndarray) -> tuple[int, int]:
+    return tuple(smooth_length(a + b - 1) for a, b in zip(extent, kernel.shape, strict=True))
+
+
 def _spectra(data: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    shape = tuple(smooth_length(a + b - 1) for a, b in zip(data.shape[1:], kernel.shape, strict=True))
+    shape = _padded(data.shape[1:], kernel)
     return np.fft.fft2(data, shape, axes=(1, 2)), np.fft.fft2(kernel, shape), shape
 
 
 def fft_convolve(pixels: DataFrame, kernel, width: int, height: int) -> DataFrame:
-    """Convolution by spectra, for kernels too large to explode; the same centre and borders as neighbourhood.convolve."""
+    """Convolution by spectra, for kernels too large to explode; the same centre and borders as neighbourhood.convolve.
+    Large planes go by blocks."""
     k = np.array(kernel, dtype=float)
+    if width * height > spectra.WHOLE:
+        return spectra.filtered(pixels, k, width, height, _padded((height, width), k), np.multiply, (k.shape[0] // 2, k.shape[1] // 2))
 
     def run(v):
         a, b, _ = _spectra(v, k)
@@ -131,12 +143,15 @@ def fft_convolve(pixels: DataFrame, kernel, width: int, height: int) -> DataFram
 
 
 def deconvolve(pixels: DataFrame, kernel, width: int, height: int, noise: float = 0.01) -> DataFrame:
-    """Wiener filter conj(H) / (|H|^2 + noise); the modulus of the result."""
+    """Wiener filter conj(H) / (|H|^2 + noise); the modulus of the result. Large planes go by blocks."""
     k = np.array(kernel, dtype=float)
+    response = lambda a, h: a * np.conj(h) / (np.abs(h) ** 2 + noise)
+    if width * height > spectra.WHOLE:
+        return spectra.filtered(pixels, k, width, height, _padded((height, width), k), response, (-(k.shape[0] // 2), -(k.shape[1] // 2)), np.abs)
 
     def run(v):
         a, b, _ = _spectra(v, k)
-        full = np.fft.ifft2(a * np.conj(b) / (np.abs(b) ** 2 + noise), axes=(1, 2))
+        full = np.fft.ifft2(response(a, b), axes=(1, 2))
         full = np.roll(full, (k.shape[0] // 2, k.shape[1] // 2), axis=(1, 2))
         return {"v": np.abs(full)[:, :height, :width]}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import KEY, Stream
-from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes, ranks
+from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes, ranks, spectra
 from ..sources.tables import EM_SQL, EV_SQL, LI_SQL, PT_SQL, points_pt, raster_em, raster_li, table_ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,10 +217,23 @@ def matrix_inverse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("matrix_inverse_check", matrix_inverse_check, em("SELECT frame_idx, plane_idx, y, x, CASE WHEN x = y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM em"))
-register("dft", lambda s, d: pixels_out(planes.fft(raster_em(s, d), 8, 8)), em(f"""SELECT a.frame_idx, a.plane_idx, k.y, l.x, round(sum(a.v * cos(2 * pi() * (k.y * a.y + l.x * a.x) / 8)), {DIGITS}) + 0.0 AS re, round(-sum(a.v * sin(2 * pi() * (k.y * a.y + l.x * a.x) / 8)), {DIGITS}) + 0.0 AS im
-    FROM em a, (SELECT CAST(unnest(range(8)) AS INT) AS y) k, (SELECT CAST(unnest(range(8)) AS INT) AS x) l GROUP BY ALL"""))
+DFT_SQL = em(f"""SELECT a.frame_idx, a.plane_idx, k.y, l.x, round(sum(a.v * cos(2 * pi() * (k.y * a.y + l.x * a.x) / 8)), {DIGITS}) + 0.0 AS re, round(-sum(a.v * sin(2 * pi() * (k.y * a.y + l.x * a.x) / 8)), {DIGITS}) + 0.0 AS im
+    FROM em a, (SELECT CAST(unnest(range(8)) AS INT) AS y) k, (SELECT CAST(unnest(range(8)) AS INT) AS x) l GROUP BY ALL""")
+register("dft", lambda s, d: pixels_out(planes.fft(raster_em(s, d), 8, 8)), DFT_SQL)
+register("dft_by_blocks", lambda s, d: pixels_out(spectra.transform(raster_em(s, d), 8, 8, block=3)), DFT_SQL)
 register("idft_round_trip", lambda s, d: pixels_out(planes.ifft(planes.fft(raster_em(s, d), 8, 8), 8, 8)), em(f"SELECT {KEYS}, round(v, {DIGITS}) + 0.0 AS v, 0.0::DOUBLE AS i FROM em").replace("AS v, 0.0::DOUBLE AS i", "AS re, 0.0::DOUBLE AS im"))
-register("deconvolve_wiener", lambda s, d: pixels_out(planes.deconvolve(raster_em(s, d), neighbourhood.BLUR, 8, 8)))
+TURN = "2 * pi() * (ky * {y} + kx * {x}) / 10"  # planes of 8 x 8 padded to 10 x 10
+WIENER_SQL = em(f"""SELECT frame_idx, plane_idx, y, x, round(sqrt(re * re + im * im), {DIGITS}) + 0.0 AS v FROM (
+    SELECT frame_idx, plane_idx, c.y, c.x, sum(gr * cos({TURN.format(y="(c.y - 1)", x="(c.x - 1)")}) - gi * sin({TURN.format(y="(c.y - 1)", x="(c.x - 1)")})) / 100 AS re,
+           sum(gr * sin({TURN.format(y="(c.y - 1)", x="(c.x - 1)")}) + gi * cos({TURN.format(y="(c.y - 1)", x="(c.x - 1)")})) / 100 AS im
+    FROM (SELECT frame_idx, plane_idx, f.ky, f.kx, (fr * hr + fi * hi) / (hr * hr + hi * hi + 0.01) AS gr, (fi * hr - fr * hi) / (hr * hr + hi * hi + 0.01) AS gi
+          FROM (SELECT frame_idx, plane_idx, ky, kx, sum(v * cos({TURN.format(y="y", x="x")})) AS fr, -sum(v * sin({TURN.format(y="y", x="x")})) AS fi
+                FROM em, (SELECT unnest(range(10)) AS ky), (SELECT unnest(range(10)) AS kx) GROUP BY ALL) f
+          JOIN (SELECT ky, kx, sum(w * cos({TURN.format(y="i", x="j")})) AS hr, -sum(w * sin({TURN.format(y="i", x="j")})) AS hi
+                FROM (SELECT i, j, (2 - abs(i - 1)) * (2 - abs(j - 1)) / 16.0::DOUBLE AS w FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)),
+                     (SELECT unnest(range(10)) AS ky), (SELECT unnest(range(10)) AS kx) GROUP BY ALL) h USING (ky, kx)) g,
+         (SELECT CAST(unnest(range(8)) AS INT) AS y) c_y, (SELECT CAST(unnest(range(8)) AS INT) AS x) c_x, LATERAL (SELECT c_y.y AS y, c_x.x AS x) c GROUP BY ALL)""")
+register("deconvolve_wiener", lambda s, d: pixels_out(planes.deconvolve(raster_em(s, d), neighbourhood.BLUR, 8, 8)), WIENER_SQL)
 register("wavelet_denoise", lambda s, d: pixels_out(planes.wavelet_denoise(raster_li(s, d), 32, 32, 1.5, neighbourhood.DB2)))
 
 
