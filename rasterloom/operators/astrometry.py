@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import angular_distance, gnomonic
-from . import consensus, planes
+from . import consensus, labels, morphology, planes
 from .consensus import consensus_shift as ransac_shift
 from .labels import settled
 from .points import nearest, pairs_within, similarity_fit, topk_grid
@@ -110,17 +110,20 @@ def fall_back(found: DataFrame, *others: DataFrame) -> DataFrame:
     return found
 
 
-def register_frames(images: DataFrame, reference: DataFrame, width: int, height: int, *, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0, rows: int = 3, columns: int = 3, stars: int = 8, radius: float = 100.0, phase_most: float = 100.0, template_reach: int = 150, previous: bool = False, rounds: int = 100, seed: int = 17) -> DataFrame:
+def register_frames(images: DataFrame, reference: DataFrame, width: int, height: int, *, quantile: float = 0.95, least: float = 2.0, most: float = 16.0, aspect: float = 2.0, rows: int = 3, columns: int = 3, stars: int = 8, radius: float = 100.0, phase_most: float = 100.0, template_reach: int = 150, previous: bool = False, rounds: int = 100, seed: int = 17, saturation: float | None = None) -> DataFrame:
     """The registration table (see detect_shifts) of one-plane frames (frame_idx, y, x, v) against a reference plane (y, x, v).
 
-    Frames are normalised; their points, at most `stars` in each grid cell, are matched with the reference's. Frames where
-    that fails are registered by phase correlation, and where that fails too by the place of the reference's centre.
+    Frames are normalised; points are sought in what stands out of their background (see morphology.star_planes; `saturation`
+    hides what lies about saturated cells), over the quantile of the values above 0. The brightest, `stars` in each grid
+    cell and 20 more, are matched with the reference's. Frames where that fails are registered by phase correlation, and
+    where that fails too by the place of the reference's centre.
     """
     images, reference = planes.normalised(images.withColumn("plane_idx", F.lit(0))), planes.normalised(reference.select(F.lit(0).alias("frame_idx"), F.lit(0).alias("plane_idx"), "y", "x", "v"))
 
     def points(df: DataFrame) -> DataFrame:
-        p = planes.label_planes(df, width, height, quantile, least, most, aspect).withColumn("id", F.col("point"))
-        return topk_grid(p, "brightness", width, height, rows, columns, stars).select("frame_idx", "id", "x", "y")
+        bright = settled(morphology.star_planes(df, width, height, saturation)).where("v > 0")
+        p = labels.points(bright, quantile, least, most, aspect).withColumn("id", F.col("point"))
+        return topk_grid(p, "brightness", width, height, rows, columns, stars, 20).select("frame_idx", "id", "x", "y")
 
     frames = images.select("frame_idx").distinct().withColumn("seconds", F.lit(None).cast("double"))
     found = settled(detect_shifts(settled(points(images)), settled(points(reference).drop("frame_idx")), frames, radius, width, height, previous, seed, rounds))

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def topk_grid(points: DataFrame, by: str, width: float, height: float, rows: int = 3, columns: int = 3, k: int = 8) -> DataFrame:
-    """The k points of the greatest `by` in each grid cell of a frame; ties go to the smaller id."""
+def topk_grid(points: DataFrame, by: str, width: float, height: float, rows: int = 3, columns: int = 3, k: int = 8, more: int | None = None) -> DataFrame:
+    """The k points of the greatest `by` in each grid cell of a frame; ties go to the smaller id. With `more`, the greatest of
+    the others follow until a frame has as many as all cells could hold, and so many more."""
     cell = (F.floor(F.col("y") * rows / height) * columns + F.floor(F.col("x") * columns / width)).cast("int")
     rank = F.row_number().over(Window.partitionBy("frame_idx", "cell").orderBy(F.desc(by), "id"))
-    return points.withColumn("cell", cell).withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = points.withColumn("cell", cell).withColumn("rank", rank)
+    if more is None:
+        return ranked.where(F.col("rank") <= k)
+    place = F.row_number().over(Window.partitionBy("frame_idx").orderBy(F.col("rank") > k, F.desc(by), "id"))  # points, not pixels
+    return ranked.withColumn("place", place).where(F.col("place") <= rows * columns * k + more).drop("place")
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:

@@ -446,6 +446,7 @@ def _shifts(node: Node, s: list[Stream]) -> Stream:
     found = astrometry.register_frames(
         image.pixels.where(F.col("plane_idx") == plane).select("frame_idx", "y", "x", "v"), reference, image.width, image.height, quantile=p.get("starThreshold", 95) / 100, least=p.get("starMinDiameter", 2), most=p.get("starMaxDiameter", 16), aspect=p.get("maxAspectRatio", 2.0),
         rows=p.get("gridRows", 3), columns=p.get("gridCols", 3), stars=p.get("starsPerGrid", 8), radius=p.get("starSampleRadius", 100), previous=p.get("usePreviousOffset", True), rounds=p.get("ransacIterations", 100), seed=p.get("ransacSeed", 2725), phase_most=p.get("phaseMaxOffset", 100), template_reach=p.get("templateSearchRange", 150),
+        saturation=p.get("saturationThreshold", 95) if p.get("useSaturationMask", False) else None,
     )
     return Stream(_as_table(found, "frame_idx", columns), 1, 1, len(columns), image.length, type="table", columns=columns)
 

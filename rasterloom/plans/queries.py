@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..model import KEY, Stream
-from ..operators import astrometry, colour, consensus, fit, geometry, neighbourhood, pixelwise, planes, ranks, spectra
+from ..operators import astrometry, colour, consensus, fit, geometry, morphology, neighbourhood, pixelwise, planes, ranks, spectra
 from ..sources.tables import EM_SQL, EV_SQL, LI_SQL, PT_SQL, points_pt, raster_em, raster_li, table_ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,6 +541,15 @@ def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.template_match(moved, base, 32, 32).select("frame_idx", "dx", "dy", "success")
 
 
+DISK3 = "(SELECT CAST(a AS INT) AS dy, CAST(b AS INT) AS dx FROM (SELECT unnest(range(-3, 4)) AS a), (SELECT unnest(range(-3, 4)) AS b) WHERE a * a + b * b <= 9)"
+for _name, _fn, _sql in (("dilate_disk", morphology.dilate, "max"), ("erode_disk", morphology.erode, "min")):
+    register(_name, lambda s, d, f=_fn: pixels_out(f(raster_li(s, d), 3, 32, 32, tile=16)), li(f"""SELECT frame_idx, plane_idx, y + dy AS y, x + dx AS x, round(CAST({_sql}(v) AS DOUBLE), {DIGITS}) + 0.0 AS v
+        FROM li, {DISK3} WHERE y + dy BETWEEN 0 AND 31 AND x + dx BETWEEN 0 AND 31 GROUP BY ALL"""))
+register("star_planes", lambda s, d: pixels_out(morphology.star_planes(raster_li(s, d).withColumn("v", F.col("v") % 256), 32, 32, reach=6, tile=16)), li(f"""
+    , b AS (SELECT c.frame_idx, c.plane_idx, c.y, c.x, round_even(sum((2 - abs(n.y - c.y)) * (2 - abs(n.x - c.x)) * (n.v % 256)) / sum((2 - abs(n.y - c.y)) * (2 - abs(n.x - c.x))), 0) AS v
+            FROM li c JOIN li n ON c.frame_idx = n.frame_idx AND c.plane_idx = n.plane_idx AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1 GROUP BY ALL)
+    SELECT c.frame_idx, c.plane_idx, c.y, c.x, round(greatest(any_value(c.v) - quantile_disc(n.v, 0.5), 0.0), {DIGITS}) + 0.0 AS v
+    FROM b c JOIN b n ON c.frame_idx = n.frame_idx AND c.plane_idx = n.plane_idx AND n.y BETWEEN c.y - 6 AND c.y + 6 AND n.x BETWEEN c.x - 6 AND c.x + 6 GROUP BY ALL"""))
 register("template_match", template_match, li("SELECT DISTINCT frame_idx, CAST(-frame_idx AS DOUBLE) AS dx, CAST(frame_idx AS DOUBLE) AS dy, true AS success FROM li WHERE plane_idx = 0"))
 
 # --- macros ------------------------------------------------------------------------------------------------------
