@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of one Arrow batch handed to a Python worker; bounds a worker's memory whatever the rows hold.
 BATCH_BYTES = 2 << 20
+#: Rows that a Parquet reader decodes at once: the texts of all of them lie in one array, which grows by doubling.
+BATCH_ROWS = 256
 #: Bytes of a frame's rows up to which it is broadcast.
 SMALL = 32 << 20
 #: Values that a Memo holds at most.
@@ -20,8 +22,10 @@ MEMO = 1 << 16
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bound Arrow batches by bytes, so that very long texts or packed blocks cannot pile up in a worker."""
+    """Bound Arrow batches by bytes, so that very long texts or packed blocks cannot pile up in a worker, and the rows that
+    Parquet readers decode at once, so that they ask for no arrays of tens of MB, for which an executor's heap would grow."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
