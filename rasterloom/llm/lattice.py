@@ -102,12 +102,12 @@ def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col:
     counts = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
     known = written(encode_words(counts.select("word"), table), "words")
     head = F.broadcast(known.join(F.broadcast(counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word")), "word"))
-    flat = rows.select("id", *keep, "row", F.posexplode("words").alias("pos", "word"))
-    met = flat.join(head, "word", "left")
+    met = rows.select("row", F.posexplode("words").alias("pos", "word")).join(head, "word", "left")
     tail = met.where("ids is null").drop("ids").join(known, "word")
-    joined = met.where("ids is not null").unionByName(tail).select("id", *keep, "row", F.struct("pos", "ids").alias("part"))
-    joined = joined.groupBy("row", "id", *keep).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return joined.select("id", F.flatten(F.col("parts.ids")).alias("ids"), *keep)
+    part = F.concat(F.array("pos"), "ids").alias("part")  # a word's row is its place and its ids; the other columns come back by row
+    joined = met.where("ids is not null").unionByName(tail).select("row", part).groupBy("row").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda p: F.slice(p, 2, F.size(p) - 1)))
+    return rows.select("row", "id", *keep).join(joined, "row").select("id", ids.alias("ids"), *keep)
 
 
 def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
