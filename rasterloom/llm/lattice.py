@@ -1,27 +1,34 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding as a lattice over words.
 
-Texts are cut into words; of each distinct word, all substrings up to the longest piece are joined to the piece table,
-the edges are grouped by end and by word, and a higher-order aggregate folds them into the best path (Viterbi). Words go
-by a number of their own, so that no row of the lattice holds a whole word, and the fold remembers only as many scores as
-the longest piece has characters; a word of any length costs its length.
+Stretches of texts are rows, and Arrow batches of them are cut into words. Of the words that a task does not remember, all
+substrings that are pieces are edges (columns of start, length, score and code), found by a join of the letters to the
+prefixes of the piece table, a letter further at a time; a fold over the ends keeps the best path to each (Viterbi), for
+many words at once. Words stay in the task that reads their text, and one of any length costs its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import Batches, bound_batches
 
 #: The mark of a space, and how much worse than the worst piece a byte of an unknown character scores.
 SPACE, BYTE_PENALTY = "▁", 10.0
-#: Characters of a word that are cut into substrings at once, ends that are folded at once, and the most frequent words,
-#: whose pieces meet the texts by broadcast.
-CHUNK, STEP, HEAD = 256, 256, 1 << 16
-#: Bytes of a word that may be one of these.
-HEAD_BYTES = 64
+#: Letters of words (one word at least) that meet the lattice at once, and ends of a word whose edges are held at once.
+LETTERS, STEP = 1 << 16, 1 << 14
+#: Words that a task remembers before it forgets them all, characters of one, and of a text that are a row.
+KNOWN, REMEMBERED, STRETCH = 1 << 19, 64, 1 << 16
 
 
 def pieces(spark: SparkSession, model: str = "piece_bpe_32k.model") -> DataFrame:
@@ -37,82 +44,267 @@ def pieces(spark: SparkSession, model: str = "piece_bpe_32k.model") -> DataFrame
     return spark.createDataFrame(rows, "piece string, id int, score double, hex string")
 
 
-def words(text):
-    """The words of a text (column): each begins with its spaces, written as marks; one space is put before the text."""
-    marked = F.concat(F.lit(SPACE), F.translate(F.coalesce(text, F.lit("")), " ", SPACE))
-    return F.split(marked, f"(?<!{SPACE})(?={SPACE})")
+class Trie(NamedTuple):
+    """A piece table by prefixes. keys: a prefix's number and the next letter, ascending; to: the longer prefix's number; codes
+    (-1: no piece) and scores by number; longest piece; score of a byte of an unknown character; id of byte 0."""
+
+    keys: np.ndarray
+    to: np.ndarray
+    codes: np.ndarray
+    scores: np.ndarray
+    longest: int
+    byte_score: float
+    first_byte: int
+
+
+def trie(table: DataFrame) -> Trie:
+    """The prefixes of a piece table; of equal pieces the best-scoring one counts."""
+    rows = table.select("piece", "id", "score").collect()  # the vocabulary is fixed
+    best = {r.piece: r for r in sorted((r for r in rows if r.piece and r.score is not None), key=lambda r: (r.score, r.id))}
+    numbers = {"": 0}
+    for piece in best:
+        for k in range(1, len(piece) + 1):
+            numbers.setdefault(piece[:k], len(numbers))
+    keys = np.array([numbers[p[:-1]] << 21 | ord(p[-1]) for p in numbers if p] + [1 << 62], np.int64)  # one that ends every search
+    order = np.argsort(keys)
+    codes, scores = np.full(len(numbers), -1, np.int64), np.zeros(len(numbers))
+    for piece, r in best.items():
+        codes[numbers[piece]], scores[numbers[piece]] = r.id, r.score
+    to = np.array([*range(1, len(numbers)), 0], np.int64)[order]
+    worst = min((r.score for r in best.values()), default=0.0)
+    return Trie(keys[order], to, codes, scores, max(map(len, best), default=1), worst - BYTE_PENALTY, next((r.id for r in rows if r.piece == "<0x00>"), 0))
 
 
-def code_bytes(code: str) -> str:
-    """SQL of the UTF-8 bytes of a code point, as an array of ints."""
-    tail = lambda shift: f"((shiftright({code}, {shift}) & 63) | 128)"
-    return f"""case when {code} < 128 then array({code}) when {code} < 2048 then array(shiftright({code}, 6) | 192, {tail(0)})
-        when {code} < 65536 then array(shiftright({code}, 12) | 224, {tail(6)}, {tail(0)}) else array(shiftright({code}, 18) | 240, {tail(12)}, {tail(6)}, {tail(0)}) end"""
+def byte_count(code: np.ndarray) -> np.ndarray:
+    """How many bytes code points take in UTF-8."""
+    return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
 
 
-def lattice_edges(words_: DataFrame, table: DataFrame) -> DataFrame:
-    """(wid, end, len, score, code) of every piece that stands in a word (wid, word, n), and of every character without one.
+def lattice_edges(letters: np.ndarray, room: np.ndarray, at: np.ndarray, table: Trie) -> tuple[np.ndarray, ...]:
+    """(start, len, score, code) of every piece that begins at one of the places, and of every character without one.
 
+    letters are code points, room is how many of them a place's word has from there on. Edges of an end come by length.
     code is the piece's id, or -1 minus the character's code point.
     """
-    normal = table.where("score is not null")
-    longest, worst = normal.agg(F.max(F.length("piece")), F.min("score")).first()
-    chunks = words_.select("wid", "n", F.expr(f"explode(transform(sequence(0, (n - 1) div {CHUNK}), k -> named_struct('from', int(k * {CHUNK}), 'part', substring(word, int(k * {CHUNK}) + 1, {CHUNK + longest - 1}))))").alias("c"))
-    chunks = chunks.select("wid", "n", "c.from", "c.part")
-    starts = chunks.select("wid", "from", "part", F.length("part").alias("size"), F.expr(f"explode(sequence(1, least({CHUNK}, n - from)))").alias("start"))
-    spans = starts.select("wid", "from", "part", "start", F.expr(f"explode(sequence(1, least({longest}, size - start + 1)))").alias("len"))
-    spans = spans.select("wid", (F.col("from") + F.col("start") + F.col("len") - 1).alias("end"), "len", F.col("part").substr(F.col("start"), F.col("len")).alias("piece"))
-    found = spans.join(F.broadcast(normal.select("piece", "id", "score")), "piece", "left").where("id is not null or len = 1")  # the vocabulary is fixed
-    score = F.coalesce("score", (worst - BYTE_PENALTY) * F.octet_length("piece"))
-    return found.select("wid", "end", "len", score.alias("score"), F.coalesce("id", -1 - F.ascii("piece")).alias("code"))
+    parts, number, size, known = [], np.zeros(len(at), np.int64), 0, np.zeros(len(letters), bool)
+    places = at
+    while len(at):
+        key = number << 21 | letters[at + size]
+        k = np.searchsorted(table.keys, key)
+        go = table.keys[k] == key
+        at, number, size = at[go], table.to[k[go]], size + 1
+        piece = table.codes[number] >= 0
+        start, met = at[piece], number[piece]
+        parts.append((start, np.full(len(start), size), table.scores[met], table.codes[met]))
+        if size == 1:
+            known[start] = True
+            lone = places[~known[places]]
+            parts.append((lone, np.ones(len(lone), np.int64), table.byte_score * byte_count(letters[lone]), -1 - letters[lone]))
+        more = room[at] > size
+        at, number = at[more], number[more]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def best_paths(words_: list[str], table: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one after another, how many each word has) of the best-scoring pieces of words; ties go to the longer last
+    piece. A character without a piece becomes its bytes."""
+    sizes = np.array([len(w) for w in words_], np.int64)
+    letters = np.frombuffer("".join(words_).encode("utf-32-le"), "<u4").astype(np.int64)
+    word, stops = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    place, room = np.arange(len(letters)) - (stops - sizes)[word], stops[word] - np.arange(len(letters))
+    best = np.zeros(len(letters) + 1)  # best[i + 1]: of the path to the end of letter i; best[0]: of the empty one
+    back, taken = np.zeros(len(letters), np.int32), np.zeros(len(letters), np.int32)
+    for low in range(0, int(sizes.max(initial=0)), STEP):
+        at = np.flatnonzero((place >= low - table.longest + 1) & (place < low + STEP))
+        start, size, score, code = lattice_edges(letters, room, at, table)
+        end = start + size - 1
+        within = np.flatnonzero((place[end] >= low) & (place[end] < low + STEP))
+        order = within[np.argsort(place[end[within]] * len(letters) + end[within], kind="stable")]
+        start, size, score, code, end = start[order], size[order], score[order], code[order], end[order]
+        source = np.where(place[start] == 0, 0, start)
+        firsts = np.flatnonzero(np.diff(end, prepend=-1))  # every letter ends an edge: its own, if no other
+        counts = np.diff(firsts, append=len(end))
+        steps = [*np.flatnonzero(np.diff(place[end[firsts]], prepend=-1)).tolist(), len(firsts)]
+        edge_numbers = np.arange(len(end))
+        for a, b in pairwise(steps):  # one end of every word that is long enough
+            lo = firsts[a]
+            hi = firsts[b] if b < len(firsts) else len(end)
+            sums = best[source[lo:hi]] + score[lo:hi]
+            top = np.maximum.reduceat(sums, firsts[a:b] - lo)
+            chosen = np.maximum.reduceat(np.where(sums == np.repeat(top, counts[a:b]), edge_numbers[lo:hi], -1), firsts[a:b] - lo)
+            ends = end[chosen]
+            best[ends + 1], back[ends], taken[ends] = top, size[chosen], code[chosen]
+    on_path, now = np.zeros(len(letters), bool), (stops - 1)[sizes > 0]
+    while len(now):
+        on_path[now] = True
+        now = now[place[now] >= back[now]]
+        now = now - back[now]
+    path = np.flatnonzero(on_path)
+    ids, of = taken[path].astype(np.int64), word[path]
+    bare = np.flatnonzero(ids < 0)
+    if len(bare):
+        letter = -1 - ids[bare]
+        n = byte_count(letter)
+        takes = np.ones(len(ids), np.int64)
+        takes[bare] = n
+        ids, of = np.repeat(ids, takes), np.repeat(of, takes)
+        ids[ids < 0] = np.frombuffer("".join(map(chr, letter.tolist())).encode(), np.uint8).astype(np.int64) + table.first_byte
+    return ids.astype(np.int32), np.bincount(of, minlength=len(sizes))
+
+
+def met(words_: list[str], table: Trie) -> Iterator[tuple[str, bytes]]:
+    """Words and their ids, as 32-bit integers; LETTERS of them, one word at least, meet the lattice at once."""
+    lot, letters = [], 0
+    for k, w in enumerate(words_, 1):
+        lot.append(w)
+        letters += len(w)
+        if letters >= LETTERS or k == len(words_):
+            ids, counts = best_paths(lot, table)
+            data, ends = ids.tobytes(), np.cumsum(4 * counts).tolist()
+            yield from ((w, data[a:b]) for w, a, b in zip(lot, [0, *ends[:-1]], ends, strict=True))
+            lot, letters = [], 0
+
+
+class Encoder:
+    """Ids of texts by the lattice of their words; remembers short words, and forgets all of them beyond KNOWN."""
+
+    def __init__(self, table: Trie):
+        self.table, self.known = table, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, where each text's end) of texts that begin with a space, but for empty ones, which have no words."""
+        tails, stops = [], []
+        for t in texts:
+            tails += word_tails(t)
+            stops.append(len(tails))
+        if len(self.known) > KNOWN:
+            self.known = {}
+        fresh = list(set(tails).difference(self.known))
+        self.known.update(zip(fresh, (ids for _, ids in met([SPACE + w.replace(" ", SPACE) for w in fresh], self.table)), strict=True))
+        rows = [self.known[w] for w in tails]
+        for w in fresh:
+            if len(w) > REMEMBERED:
+                del self.known[w]
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 4
+        return np.frombuffer(b"".join(rows), np.int32), np.concatenate(([0], ends))[stops]
+
+
+def word_tails(text: str) -> list[str]:
+    """The words of a text that begins with a space, each without its first space: a word begins with its spaces."""
+    if not text:
+        return []
+    parts = text[1:].split(" ")
+    if "" not in parts[:-1]:
+        return parts
+    tails, spaces = [], 0
+    for x in parts[:-1]:
+        if x:
+            tails.append(" " * spaces + x)
+            spaces = 0
+        else:
+            spaces += 1
+    return [*tails, " " * spaces + parts[-1]]
+
+
+def gather(flat: np.ndarray, begins: np.ndarray, takes: np.ndarray) -> np.ndarray:
+    """The stretches of flat with these beginnings and lengths, one after another."""
+    ends = np.cumsum(takes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - takes), takes)]
+
+
+def last_word(text: str) -> int:
+    """Where the last word of a text begins, that begins with a space: it may go on."""
+    body = text.rstrip(" ")
+    return len(body) if len(body) < len(text) else len(text[: text.rfind(" ") + 1].rstrip(" "))
+
+
+def listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of ids that end where `ends` says."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode_words(distinct: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, ids): the best-scoring pieces of each distinct word; ties go to the longer last piece. A character without a piece becomes its bytes."""
-    known = written(distinct.select("word", F.length("word").alias("n"), F.monotonically_increasing_id().alias("wid")), "distinct")
-    letters, longest = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], table.where("score is not null").agg(F.max(F.length("piece"))).first()[0]
-    dealt = known.repartition(int(letters // 500_000) + 1, "wid")  # what a task folds is bounded by letters; edges stay there
-    edge = F.struct("score", "len", "code")
-    ends = lattice_edges(dealt, table).groupBy("wid", "end").agg(F.collect_list(edge).alias("edges"))
-    lattice = ends.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("ends"))
-    step = f"slice(ends, int(k * {STEP}) + 1, {STEP})"
-    none = "slice(array(named_struct('len', 0, 'code', 0)), 1, 0)"
-    best = "array_max(transform(e.edges, x -> named_struct('score', element_at(s.ring, x.len) + x.score, 'len', x.len, 'code', x.code)))"
-    push = f"transform(array({best}), b -> named_struct('ring', slice(concat(array(b.score), s.ring), 1, {longest}), 'back', concat(s.back, array(named_struct('len', b.len, 'code', b.code)))))[0]"
-    inner = f"aggregate({step}, named_struct('ring', t.ring, 'back', {none}), (s, e) -> {push})"
-    outer = f"""aggregate(sequence(0, (size(ends) - 1) div {STEP}), named_struct('ring', array(0D), 'parts', slice(array({none}), 1, 0)),
-        (t, k) -> transform(array({inner}), r -> named_struct('ring', r.ring, 'parts', concat(t.parts, array(r.back))))[0], t -> t.parts)"""
-    take = "if(s.skip = 0, named_struct('skip', e.len - 1, 'codes', concat(s.codes, array(e.code))), named_struct('skip', s.skip - 1, 'codes', s.codes))"
-    back = f"""reverse(flatten(aggregate(reverse(parts), named_struct('skip', 0, 'lists', slice(array(array(0)), 1, 0)),
-        (t, p) -> transform(array(aggregate(reverse(p), named_struct('skip', t.skip, 'codes', slice(array(0), 1, 0)), (s, e) -> {take})), r -> named_struct('skip', r.skip, 'lists', concat(t.lists, array(r.codes))))[0], t -> t.lists)))"""
-    first_byte = table.where("piece = '<0x00>'").first()
-    ids = f"flatten(transform(codes, c -> if(c >= 0, array(c), transform({code_bytes('(-1 - c)')}, b -> b + {first_byte.id if first_byte else 0}))))"
-    paths = lattice.select("wid", F.expr(outer).alias("parts")).select("wid", F.expr(back).alias("codes")).select("wid", F.expr(ids).alias("ids"))
-    return known.join(paths, "wid").select("word", "ids")
+    """(word, ids): the best-scoring pieces of each word; ties go to the longer last piece. A character without a piece becomes its bytes."""
+    bound_batches(distinct.sparkSession)
+    prefixes = trie(table)
+
+    def run(parts: Batches) -> Batches:
+        for batch in parts:
+            found = [ids for _, ids in met(batch.column(0).to_pylist(), prefixes)]
+            ends = np.cumsum(np.array([len(x) for x in found], np.int64)) // 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed(np.frombuffer(b"".join(found), np.int32), ends)], names=["word", "ids"])
+
+    return distinct.select("word").where("word is not null").mapInArrow(run, "word string, ids array<int>")
 
 
 def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ids, and the columns of `keep`) of every whole text under the model's piece scores; null counts as empty, which is one space.
 
-    Rows go by a number of their own, so repeated and null ids are kept apart; documents must come in the same order when
-    read again, as rows of files do. Decoding gives the text back, but for the mark of a space itself, which comes back
-    as a space. An empty table gives no rows. Words of any length are read whole.
+    A text's stretches are rows that follow each other in the task that reads it, and the first of them brings the other
+    columns; a word that goes on in the next stretch waits for it. There is no shuffle. Repeated and null ids are kept
+    apart. An empty table gives no rows. Words of any length are read whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("words"))
-    counts = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
-    known = written(encode_words(counts.select("word"), table), "words")
-    head = F.broadcast(known.join(F.broadcast(counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word")), "word"))
-    met = rows.select("row", F.posexplode("words").alias("pos", "word")).join(head, "word", "left")
-    tail = met.where("ids is null").drop("ids").join(known, "word")
-    part = F.concat(F.array("pos"), "ids").alias("part")  # a word's row is its place and its ids; the other columns come back by row
-    joined = met.where("ids is not null").unionByName(tail).select("row", part).groupBy("row").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: F.slice(p, 2, F.size(p) - 1)))
-    return rows.select("row", "id", *keep).join(joined, "row").select("id", ids.alias("ids"), *keep)
+    bound_batches(docs.sparkSession)
+    prefixes = trie(table)
+    own = docs.select(F.col(id_col).alias("id"), *keep).schema.fields
+    first = F.array(F.struct(F.col(id_col).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep, 1))))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("whole"), first.alias("own"))
+    stretches = F.expr(f"transform(sequence(0, int((greatest(length(whole), 1) - 1) div {STRETCH})), k -> substring(whole, k * {STRETCH} + 1, {STRETCH}))")
+    spread = rows.select(F.arrays_zip(stretches.alias("part"), "own").alias("parts")).select(F.posexplode("parts").alias("pos", "part")).select("pos", "part.part", "part.own")
+
+    def run(parts: Batches) -> Batches:
+        encoder = Encoder(prefixes)
+        open_own, open_ids, rest = None, [], ""  # of the text that goes on in the next batch, and its last word so far
+
+        def done(own_: pa.StructArray, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            id_, *others = own_.flatten()
+            return pa.RecordBatch.from_arrays([id_, listed(ids, ends), *others], names=[own[0].name, "ids", *(f.name for f in own[1:])])
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            begins = batch.column(0).to_numpy() == 0
+            texts = [[rest]] if open_own is not None else []
+            for new, part in zip(begins.tolist(), batch.column(1).to_pylist(), strict=True):
+                if new:
+                    texts.append([" "])
+                texts[-1].append(part)
+            texts = ["".join(t).replace(SPACE, " ") for t in texts]
+            cut = last_word(texts[-1])
+            texts[-1], rest = texts[-1][:cut], texts[-1][cut:]
+            ids, ends = encoder(texts)
+            owns = batch.column(2).filter(pa.array(begins))
+            if open_own is not None:
+                owns = pa.concat_arrays([open_own, owns])
+            if len(texts) > 1:
+                whole = np.concatenate([*open_ids, ids[: ends[-2]]])
+                yield done(owns.slice(0, len(texts) - 1), whole, ends[:-1] + sum(map(len, open_ids)))
+                open_ids = []
+            open_own, open_ids = owns.slice(len(texts) - 1), [*open_ids, ids[ends[-2] if len(texts) > 1 else 0 :]]
+        if open_own is not None:
+            whole = np.concatenate([*open_ids, encoder([rest])[0]])
+            yield done(open_own, whole, np.array([len(whole)]))
+
+    return spread.mapInArrow(run, T.StructType([own[0], T.StructField("ids", T.ArrayType(T.IntegerType())), *own[1:]]))
 
 
 def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
     """The rows of encode with the text of their ids: each id's bytes looked up, put together; the space before the text is taken off."""
-    names = {r.id: r.hex for r in table.select("id", "hex").collect()}  # the vocabulary is fixed
-    listed = F.split(F.lit(",".join(names.get(i, "") for i in range(max(names, default=0) + 1))), ",")
-    whole = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(listed, i), F.lit(""))), "")), "UTF-8")
-    return encoded.select(*encoded.columns, F.substring(whole, 2, 1 << 30).alias("text"))
+    names = {r.id: bytes.fromhex(r.hex) for r in table.select("id", "hex").collect()}  # the vocabulary is fixed
+    top = max(names, default=-1) + 1  # and an id that is none
+    sizes = np.array([len(names.get(i, b"")) for i in range(top + 1)], np.int64)
+    begins, data = np.cumsum(sizes) - sizes, b"".join(names.get(i, b"") for i in range(top))
+    column = encoded.columns.index("ids")
+
+    def run(parts: Batches) -> Batches:
+        for batch in parts:
+            lists = batch.column(column)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = np.where((ids < 0) | (ids > top), top, ids)
+            out = gather(np.frombuffer(data, np.uint8), begins[ids], sizes[ids]).tobytes()
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+            texts = [out[a:b].decode()[1:] if known else None for a, b, known in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
