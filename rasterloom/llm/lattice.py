@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, bound_batches
+from .common import Batches, bound_batches, byte_texts
 
 #: The mark of a space, and how much worse than the worst piece a byte of an unknown character scores.
 SPACE, BYTE_PENALTY = "▁", 10.0
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col:
 
     A text's stretches are rows that follow each other in the task that reads it, and the first of them brings the other
     columns; a word that goes on in the next stretch waits for it. There is no shuffle. Repeated and null ids are kept
-    apart. An empty table gives no rows. Words of any length are read whole.
+    apart. An empty table gives no rows. Words of any length are read whole; bytes that are no UTF-8 are read as U+FFFD.
     """
     bound_batches(docs.sparkSession)
     prefixes = trie(table)
@@ -264,12 +264,12 @@ def encode(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col:
             if not batch.num_rows:
                 continue
             begins = batch.column(0).to_numpy() == 0
-            texts = [[rest]] if open_own is not None else []
-            for new, part in zip(begins.tolist(), batch.column(1).to_pylist(), strict=True):
+            texts = [[rest.encode()]] if open_own is not None else []
+            for new, part in zip(begins.tolist(), byte_texts(batch.column(1)), strict=True):
                 if new:
-                    texts.append([" "])
+                    texts.append([b" "])
                 texts[-1].append(part)
-            texts = ["".join(t).replace(SPACE, " ") for t in texts]
+            texts = [b"".join(t).decode(errors="replace").replace(SPACE, " ") for t in texts]
             cut = last_word(texts[-1])
             texts[-1], rest = texts[-1][:cut], texts[-1][cut:]
             ids, ends = encoder(texts)

@@ -71,3 +71,9 @@ def test_ends_are_folded_by_steps(spark, monkeypatch):
     texts = [" " + w.replace(lattice.SPACE, " ") for w in words]
     whole = [encoder(texts)[0].tolist() for _ in range(3)]
     assert whole[0] == whole[1] == whole[2]
+
+
+def test_bytes_that_are_no_text_become_marks_of_replacement(spark):
+    docs = spark.sql("select 1L as doc_id, cast(X'61FF62206320FF' as string) as text")
+    table = lattice.pieces(spark)
+    assert lattice.decode(lattice.encode(docs, table), table).first().text == "a\ufffdb c \ufffd"
