@@ -10,7 +10,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("make", [queries.moved_pairs])
+@pytest.mark.parametrize("make", [queries.moved_pairs, queries.stray_pairs])
 def test_points_meet_without_broadcasts(spark, data, make):
     p = plan(make(spark, data))
     assert "SortMergeJoin" in p and "Broadcast" not in p
