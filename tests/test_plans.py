@@ -14,3 +14,8 @@ def plan(df):
 def test_points_meet_without_broadcasts(spark, data, make):
     p = plan(make(spark, data))
     assert "SortMergeJoin" in p and "Broadcast" not in p
+
+
+def test_cones_meet_stars_without_broadcasts(spark, data):
+    p = plan(queries.QUERIES["cone_search"](spark, data))
+    assert "SortMergeJoin" in p and "Broadcast" not in p
