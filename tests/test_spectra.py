@@ -49,3 +49,23 @@ def test_filters_by_blocks_equal_those_of_whole_planes(stack, monkeypatch):
 
 def test_no_pixels_give_no_rows(stack):
     assert spectra.transform(stack[0].where("false"), 10, 13).count() == 0
+
+
+def test_many_small_planes_are_few_groups(spark, monkeypatch):
+    """A group of a lot holds the same block of many frames, also of those that lack other blocks."""
+    a = np.random.default_rng(6).normal(size=(90, 8, 8))
+    a[::7, 3:6] = 0  # every seventh frame lacks a block of rows
+    rows = [(k, 0, y, x, float(a[k, y, x])) for k in range(90) for y in range(8) for x in range(8) if k % 7 or not 3 <= y < 6]
+    pixels = spark.createDataFrame(rows, "frame_idx int, plane_idx int, y int, x int, v double")
+    pieces = spectra._across(pixels, ("v",), 8, 8, 8, np.fft.fft, 3, spectra._lot(3, 8, 8))
+    assert pieces.count() == 9  # three blocks of rows by three of columns
+    monkeypatch.setattr(spectra, "CELLS", 480)  # lots of twenty frames
+    assert spectra._across(pixels, ("v",), 8, 8, 8, np.fft.fft, 3, spectra._lot(3, 8, 8)).count() == 45
+    found = np.full((90, 8, 8), np.nan, complex)
+    for r in spectra.transform(pixels, 8, 8, block=3).collect():
+        found[r.frame_idx, r.y, r.x] = r.re + 1j * r.im
+    assert np.allclose(found, np.fft.fft2(a, axes=(1, 2)))
+    kernel = np.random.default_rng(5).random((3, 3))
+    for r in spectra.filtered(pixels, kernel, 8, 8, (10, 10), np.multiply, (1, 1), block=3).collect():
+        found[r.frame_idx, r.y, r.x] = r.v
+    assert np.allclose(found, np.fft.ifft2(np.fft.fft2(a, (10, 10), axes=(1, 2)) * np.fft.fft2(kernel, (10, 10)), axes=(1, 2))[:, 1:9, 1:9])
