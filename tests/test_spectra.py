@@ -51,16 +51,28 @@ def test_no_pixels_give_no_rows(stack):
     assert spectra.transform(stack[0].where("false"), 10, 13).count() == 0
 
 
+def records_shuffled(df):
+    """Rows that each exchange of the plan wrote."""
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        below = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(k) for k in range(p.children().size())]
+        own = [p.metrics().apply("shuffleRecordsWritten").value()] if p.metrics().contains("shuffleRecordsWritten") else []
+        return own + [n for b in below for n in walk(b)]
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_many_small_planes_are_few_groups(spark, monkeypatch):
     """A group of a lot holds the same block of many frames, also of those that lack other blocks."""
     a = np.random.default_rng(6).normal(size=(90, 8, 8))
     a[::7, 3:6] = 0  # every seventh frame lacks a block of rows
     rows = [(k, 0, y, x, float(a[k, y, x])) for k in range(90) for y in range(8) for x in range(8) if k % 7 or not 3 <= y < 6]
     pixels = spark.createDataFrame(rows, "frame_idx int, plane_idx int, y int, x int, v double")
-    pieces = spectra._across(pixels, ("v",), 8, 8, 8, np.fft.fft, 3, spectra._lot(3, 8, 8))
-    assert pieces.count() == 9  # three blocks of rows by three of columns
+    assert sorted(records_shuffled(spectra.transform(pixels, 8, 8, block=3))) == [9, len(rows)]  # pieces: three blocks of rows by three of columns
     monkeypatch.setattr(spectra, "CELLS", 480)  # lots of twenty frames
-    assert spectra._across(pixels, ("v",), 8, 8, 8, np.fft.fft, 3, spectra._lot(3, 8, 8)).count() == 45
+    assert sorted(records_shuffled(spectra.transform(pixels, 8, 8, block=3))) == [45, len(rows)]
     found = np.full((90, 8, 8), np.nan, complex)
     for r in spectra.transform(pixels, 8, 8, block=3).collect():
         found[r.frame_idx, r.y, r.x] = r.re + 1j * r.im
